@@ -18,9 +18,62 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbloom.llm import language_id
+
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbloom.llm import media
+
+    return media.store(_table(spark, sf_dir, "documents"))
+
+
+def op4_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, paired with their neighbours; spans are given as text."""
+    from orbloom.llm import preferences
+
+    out = preferences.format_pairs(preferences.neighbour_pairs(_table(spark, sf_dir, "conversations")))
+
+    def shown(c: str):
+        return F.array_join(F.transform(F.col(c), lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",").alias(c)
+
+    return out.select("pair_id", "prompt_turns", "prompt", "chosen", "rejected", shown("chosen_spans"), shown("rejected_spans"))
+
+
+OP4_SQL = """
+WITH m AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn, role, text) AS ms
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+p AS (
+  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id,
+         coalesce(any_value(ms) FILTER (WHERE conv_id % 2 = 0), []) AS c,
+         coalesce(any_value(ms) FILTER (WHERE conv_id % 2 = 1), []) AS r
+  FROM m GROUP BY 1),
+n AS (
+  SELECT *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] <> r[i])) - 1,
+                     least(len(c), len(r))) AS n FROM p),
+t AS (
+  SELECT pair_id, n, c[1:n] AS pc, c[n+1:] AS cc, r[n+1:] AS rc FROM n),
+s AS (
+  SELECT *,
+    list_transform(range(1, len(cc) + 1), lambda i: {'role': cc[i].role, 'b': coalesce(list_sum(list_transform(cc[1:i-1], lambda m: length(m.role) + length(m.text) + 13)), 0)::BIGINT + 5 + length(cc[i].role), 'e': list_sum(list_transform(cc[1:i], lambda m: length(m.role) + length(m.text) + 13))::BIGINT}) AS cs,
+    list_transform(range(1, len(rc) + 1), lambda i: {'role': rc[i].role, 'b': coalesce(list_sum(list_transform(rc[1:i-1], lambda m: length(m.role) + length(m.text) + 13)), 0)::BIGINT + 5 + length(rc[i].role), 'e': list_sum(list_transform(rc[1:i], lambda m: length(m.role) + length(m.text) + 13))::BIGINT}) AS rs
+  FROM t)
+SELECT pair_id, CAST(n AS INTEGER) AS prompt_turns,
+  coalesce(array_to_string(list_transform(pc, lambda m: '<|' || m.role || '|>' || chr(10) || m.text || '<|end|>' || chr(10)), ''), '') AS prompt,
+  coalesce(array_to_string(list_transform(cc, lambda m: '<|' || m.role || '|>' || chr(10) || m.text || '<|end|>' || chr(10)), ''), '') AS chosen,
+  coalesce(array_to_string(list_transform(rc, lambda m: '<|' || m.role || '|>' || chr(10) || m.text || '<|end|>' || chr(10)), ''), '') AS rejected,
+  coalesce(array_to_string(list_transform(list_filter(cs, lambda m: m.role = 'assistant'), lambda m: m.b || '-' || m.e), ','), '') AS chosen_spans,
+  coalesce(array_to_string(list_transform(list_filter(rs, lambda m: m.role = 'assistant'), lambda m: m.b || '-' || m.e), ','), '') AS rejected_spans
+FROM s
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_best_fit_packing,)}
+    return {f.__name__: f for f in (op4_preference_formatting, op6_best_fit_packing, op8_language_id, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_preference_formatting": OP4_SQL}
