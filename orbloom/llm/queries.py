@@ -24,6 +24,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbloom.llm import html_text
+
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbloom.llm import media
 
@@ -72,7 +78,7 @@ FROM s
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_preference_formatting, op6_best_fit_packing, op8_language_id, op10_media_columns)}
+    return {f.__name__: f for f in (op4_preference_formatting, op6_best_fit_packing, op7_html_extraction, op8_language_id, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
