@@ -24,6 +24,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded again."""
+    import public_tokenizers
+
+    from orbloom.llm import sentencepiece_codec
+
+    return sentencepiece_codec.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbloom.llm import html_text
 
@@ -78,7 +87,7 @@ FROM s
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_preference_formatting, op6_best_fit_packing, op7_html_extraction, op8_language_id, op10_media_columns)}
+    return {f.__name__: f for f in (op4_preference_formatting, op5_sentencepiece, op6_best_fit_packing, op7_html_extraction, op8_language_id, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
