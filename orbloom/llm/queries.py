@@ -45,6 +45,18 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store(_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbloom.llm import substring_dedup
+
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbloom.llm import suffix_array_dedup
+
+    return suffix_array_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, paired with their neighbours; spans are given as text."""
     from orbloom.llm import preferences
@@ -87,7 +99,7 @@ FROM s
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_preference_formatting, op5_sentencepiece, op6_best_fit_packing, op7_html_extraction, op8_language_id, op10_media_columns)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_suffix_array_dedup, op4_preference_formatting, op5_sentencepiece, op6_best_fit_packing, op7_html_extraction, op8_language_id, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
