@@ -39,6 +39,12 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbloom.llm import jaccard_join
+
+    return jaccard_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbloom.llm import media
 
@@ -99,7 +105,7 @@ FROM s
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_suffix_array_dedup, op4_preference_formatting, op5_sentencepiece, op6_best_fit_packing, op7_html_extraction, op8_language_id, op10_media_columns)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_suffix_array_dedup, op4_preference_formatting, op5_sentencepiece, op6_best_fit_packing, op7_html_extraction, op8_language_id, op9_ngram_jaccard_join, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
