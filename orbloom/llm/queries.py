@@ -51,6 +51,14 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store(_table(spark, sf_dir, "documents"))
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose vec_id is divisible by 20, among all others."""
+    from orbloom.llm import permutation_index
+
+    vectors = permutation_index.usable(_table(spark, sf_dir, "embeddings"))
+    return permutation_index.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orbloom.llm import substring_dedup
 
@@ -105,7 +113,7 @@ FROM s
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_suffix_array_dedup, op4_preference_formatting, op5_sentencepiece, op6_best_fit_packing, op7_html_extraction, op8_language_id, op9_ngram_jaccard_join, op10_media_columns)}
+    return {f.__name__: f for f in (op1_permutation_index, op2_substring_dedup, op3_suffix_array_dedup, op4_preference_formatting, op5_sentencepiece, op6_best_fit_packing, op7_html_extraction, op8_language_id, op9_ngram_jaccard_join, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
