@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from orbloom.plans import base, coefficient_queries
+
+MODULES = (coefficient_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
