@@ -29,6 +29,7 @@ from orbloom.llm._arrow import MIX1, MIX2, mix, powers, prefix_hash, saved, slic
 CHUNK = 1 << 20  # units of a longer document that are in memory at once
 MANY_COVERS = 2000  # different covers of one fingerprint, beyond which its windows are hashed instead
 SHARD_COVERS = 4000  # covers in a shard, on average
+RUN = 16  # windows of such covers that are looked up as one at first
 
 
 @dataclass(frozen=True)
@@ -166,22 +167,47 @@ def _exact(covers: DataFrame, spec: Spec, shards: int) -> DataFrame:
     return covers.withColumn("shard", F.pmod(F.xxhash64("fp"), F.lit(shards))).groupBy("shard").applyInArrow(run, RUNS)
 
 
-def _hashed(covers: DataFrame, spec: Spec) -> DataFrame:
-    """The same for fingerprints with very many covers: windows are counted by 128-bit hashes, wherever they are."""
+def _stretches(units: bytes, w: int, spec: Spec, step: int):
+    """First and last windows of runs of ``step`` windows, in step with the cover's anchor, and their 128-bit hashes."""
+    data = np.frombuffer(units, np.uint8)
+    v = unit_values(data, np.array([0, len(data)]), spec.by_word)[0]
+    h, twin = prefix_hash(v), prefix_hash(mix(v ^ MIX2))
+    i = np.arange(spec.length - spec.width + 1)
+    anchor = int(np.argmin(span_hash(h, i, i + spec.width) >> np.uint64(24))) if step > 1 else 0
+    p = np.arange(w)
+    first = np.flatnonzero(np.concatenate([[True], np.diff((p - anchor) // step) != 0]))
+    last = np.append(first[1:] - 1, w - 1)
+    return first, last, span_hash(h, first, last + spec.length), span_hash(twin, first, last + spec.length)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for fp, cover, n, w, units in zip(*(b.column(k).to_pylist() for k in ("fp", "cover", "n", "windows", "units"))):
-                data = np.frombuffer(units, np.uint8)
-                v = unit_values(data, np.array([0, len(data)]), spec.by_word)[0]
-                p = np.arange(w)
-                h1 = span_hash(prefix_hash(v), p, p + spec.length)
-                h2 = span_hash(prefix_hash(mix(v ^ MIX2)), p, p + spec.length)
-                yield pa.record_batch([pa.array(np.full(w, fp)), pa.array(np.full(w, cover)), pa.array(np.full(w, n)), pa.array(p.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["fp", "cover", "n", "w", "h1", "h2"])
-
-    rows = covers.mapInArrow(run, "fp bigint, cover bigint, n bigint, w int, h1 bigint, h2 bigint")
-    twice = rows.groupBy("h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").select("h1", "h2")
-    return rows.join(twice, ["h1", "h2"]).select("fp", "cover", F.col("w").alias("lo"), F.col("w").alias("hi"))
+
+def _hashed(covers: DataFrame, spec: Spec) -> DataFrame:
+    """The same for fingerprints with very many covers, by 128-bit hashes, wherever the covers are.
+
+    Runs of windows that occur twice as a whole are settled first; only windows of other runs are looked up singly,
+    but every window counts.
+    """
+
+    def rows(step: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for fp, cover, n, w, units in zip(*(b.column(k).to_pylist() for k in ("fp", "cover", "n", "windows", "units"))):
+                    lo, hi, h1, h2 = _stretches(units, w, spec, step)
+                    k = len(lo)
+                    yield pa.record_batch(
+                        [pa.array(np.full(k, fp)), pa.array(np.full(k, cover)), pa.array(np.full(k, n)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
+                        names=["fp", "cover", "n", "lo", "hi", "h1", "h2"],
+                    )
+
+        return covers.mapInArrow(run, "fp bigint, cover bigint, n bigint, lo int, hi int, h1 bigint, h2 bigint")
+
+    def twice(x: DataFrame) -> DataFrame:
+        return x.groupBy("h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").select("h1", "h2")
+
+    runs, single = rows(RUN), rows(1)
+    settled = saved(runs.join(twice(runs), ["h1", "h2"]).select("fp", "cover", "lo", "hi"), "repeated-runs")
+    known = settled.groupBy("fp", "cover").agg(F.collect_list(F.struct("lo", "hi")).alias("known"))
+    left = single.join(known, ["fp", "cover"], "left").where(~F.coalesce(F.exists("known", lambda k: (F.col("lo") >= k["lo"]) & (F.col("lo") <= k["hi"])), F.lit(False))).select("fp", "cover", "lo", "hi", "h1", "h2")
+    return settled.unionByName(left.join(twice(single), ["h1", "h2"]).select("fp", "cover", "lo", "hi"))
 
 
 def repeated(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
