@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orbloom.functions.special import student_p
+
 
 def mean_field(coef: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
     """Mean over epochs of what is there, with its standard error (null below two values)."""
@@ -99,10 +102,6 @@ def effective_correlation(df: DataFrame, keys: list[str], order: str, a: str, b:
 
 def with_p_value(correlations: DataFrame) -> DataFrame:
     """Two-sided p of each t, by the incomplete beta function."""
-    import pandas as pd
-
-    from orbloom.functions.special import student_p
-
     @F.pandas_udf("double")
     def p(t: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([student_p(a, b - 2) for a, b in zip(t, n)])

@@ -122,4 +122,5 @@ def destripe_moving(coef: DataFrame, keys: list[str], min_order: int, poly_order
             fit[i] = np.polyval(np.polyfit(x[lo:hi] - x[i], y[lo:hi], poly_order), 0.0)
         return pdf.assign(v=y - fit)
 
-    return coef.withColumn("_parity", F.col("n") % 2).groupBy(*keys, "m", "cs", "_parity").applyInPandas(lambda p: kernel(p)[coef.columns], coef.schema)
+    columns = coef.columns
+    return coef.withColumn("_parity", F.col("n") % 2).groupBy(*keys, "m", "cs", "_parity").applyInPandas(lambda p: kernel(p)[columns], coef.schema)
