@@ -32,7 +32,7 @@ from orbloom.llm._arrow import MIX1, MIX2, lower_ascii, mix, prefix_hash, saved,
 SKETCH = 1 << 18
 FREQUENT = 1000  # estimated occurrences beyond which a token is frequent
 COMBINED = 200  # sets up to this size index two-token combinations of frequent tokens
-BITMAP = 1024  # bits of a set's parity bitmap
+BITMAP = 1024  # bits of a set's parity bitmap, at least
 BLOOM_BITS = 1 << 25
 
 
@@ -130,10 +130,21 @@ def set_id(tokens: np.ndarray) -> np.uint64:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    bits = np.bincount((tokens & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
+    """Parities of the tokens by their low bits; about a bit for each token, a power of two and BITMAP at least."""
+    width = max(BITMAP, 1 << (len(tokens) - 1).bit_length())
+    bits = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def bits_apart(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many bits two bitmaps differ; the wider one is folded, which keeps its parities."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _sizes(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, node (id of its set; null if empty), n_shingles and, for the first of a task, the parity bitmap."""
 
@@ -190,8 +201,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
         for x in batches:
             if not x.num_rows:
                 continue
-            (d1, _), (d2, _) = utf8(x.column(3)), utf8(x.column(5))
-            apart = np.bitwise_count(d1 ^ d2).reshape(x.num_rows, -1).sum(axis=1, dtype=np.int64)
+            (d1, o1), (d2, o2) = utf8(x.column(3)), utf8(x.column(5))
+            if len(d1) == len(d2) == x.num_rows * BITMAP // 8:
+                apart = np.bitwise_count(d1 ^ d2).reshape(x.num_rows, -1).sum(axis=1, dtype=np.int64)
+            else:
+                apart = np.array([bits_apart(d1[o1[i] : o1[i + 1]], d2[o2[i] : o2[i + 1]]) for i in range(x.num_rows)])
             total = x.column(2).to_numpy().astype(np.int64) + x.column(4).to_numpy()
             yield x.select([0, 1]).filter(pa.array((total - apart) * (100 + percent) >= 2 * percent * total))
 
