@@ -3,7 +3,7 @@
 A document's set holds the 64-bit hashes of its distinct word shingles.  Documents with equal sets are one node.
 
 * A count sketch of fixed size over all shingles of the corpus splits tokens into rare and frequent ones and gives
-  a total order: rare first, frequent ones by count.  The order is a function of the token alone, so any error of
+  a total order by estimated count, so rare ones come first.  The order is a function of the token alone, so any error of
   the sketch costs speed, never a link.
 * Sets that link share a token in their prefixes, and two tokens in prefixes longer by one.  If the first shared
   token is rare, the index of single rare tokens finds the pair; if not, all tokens they share are frequent, so the
@@ -97,10 +97,9 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def excess(counts: np.ndarray) -> np.ndarray:
-    """Estimated occurrences of a bucket's most frequent token, 0 for rare ones."""
+    """Occurrences of a bucket beyond what chance gives it: an estimate for its most frequent token, 0 for most."""
     usual = float(np.median(counts))
-    over = np.maximum(counts - usual - 6 * np.sqrt(usual), 0)
-    return np.where(over > FREQUENT, over, 0).astype(np.int64)
+    return np.maximum(counts - usual - 3 * np.sqrt(usual), 0).astype(np.int64)
 
 
 def index_keys(tokens: np.ndarray, over: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +110,7 @@ def index_keys(tokens: np.ndarray, over: np.ndarray, percent: int) -> tuple[np.n
     if c.any():
         o = np.lexsort((tokens, c))
         tokens, c = tokens[o], c[o]
-    rare = int(np.searchsorted(c, 1))
+    rare = int(np.searchsorted(c, FREQUENT, "right"))
     singles = p if 100 * n >= percent * COMBINED else min(p, rare)
     keys, place = tokens[:singles], np.arange(singles)
     if percent * n <= 100 * COMBINED and rare < min(n, p + 1):
@@ -136,6 +135,12 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def signature(bits: bytes) -> int:
+    """A bitmap folded to 64 bits, as a signed number."""
+    x = np.frombuffer(bits, np.uint64)
+    return int(np.bitwise_xor.reduce(x).view(np.int64))
+
+
 def bits_apart(a: np.ndarray, b: np.ndarray) -> int:
     """In how many bits two bitmaps differ; the wider one is folded, which keeps its parities."""
     while len(a) > len(b):
@@ -146,7 +151,7 @@ def bits_apart(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _sizes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, node (id of its set; null if empty), n_shingles and, for the first of a task, the parity bitmap."""
+    """doc_id, node (id of its set; null if empty), n_shingles, the parity bitmap and its 64-bit fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,12 +159,13 @@ def _sizes(docs: DataFrame, n: int) -> DataFrame:
             for lo, hi in slices(off):
                 h, at = sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
                 parts = [h[at[r] : at[r + 1]] for r in range(hi - lo)]
+                maps = [bitmap(t) if len(t) else None for t in parts]
                 yield pa.record_batch(
-                    [b.column(0).slice(lo, hi - lo), pa.array([int(set_id(t).view(np.int64)) if len(t) else None for t in parts], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array([bitmap(t) if len(t) else None for t in parts], pa.binary())],
-                    names=["doc_id", "node", "n_shingles", "bits"],
+                    [b.column(0).slice(lo, hi - lo), pa.array([int(set_id(t).view(np.int64)) if len(t) else None for t in parts], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(maps, pa.binary()), pa.array([signature(m) if m else None for m in maps], pa.int64())],
+                    names=["doc_id", "node", "n_shingles", "bits", "sig"],
                 )
 
-    return _text(docs).mapInArrow(run, "doc_id bigint, node bigint, n_shingles bigint, bits binary")
+    return _text(docs).mapInArrow(run, "doc_id bigint, node bigint, n_shingles bigint, bits binary, sig bigint")
 
 
 def _postings(docs: DataFrame, n: int, percent: int, over) -> DataFrame:
@@ -299,7 +305,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
     sizes = saved(_sizes(docs, n), "set-sizes")
-    nodes = saved(sizes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").cast("int").alias("size"), F.first("bits").alias("bits")), "nodes")
+    nodes = saved(sizes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").cast("int").alias("size"), F.first("bits").alias("bits"), F.first("sig").alias("sig")), "nodes")
     over = spark.sparkContext.broadcast(excess(sketch(docs, n)))
     posts = saved(_postings(docs, n, percent, over).groupBy("key", "node").agg(F.first("size").alias("size"), F.min("place").alias("place")), "postings")
     hubs = posts.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("place", "size", "node")).alias("hub")).where("m > 1").select("key", "hub")
@@ -314,14 +320,17 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     comp = saved(components(links), "components")
 
     # Nodes of different components that share a list, other than those that met the hub.
-    labelled = lists.join(comp, "node", "left").select("key", "node", "size", "place", F.coalesce("root", "node").alias("c"))
+    known = nodes.select("node", "sig").join(comp, "node", "left").select("node", "sig", F.coalesce("root", "node").alias("c"))
+    labelled = lists.join(known, "node").select("key", "node", "size", "place", "sig", "c")
     centre = labelled.groupBy("key").agg(F.min(F.struct("place", "size", "node", "c")).alias("h"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key", F.col("h.c").alias("hc"))
     mixed = saved(labelled.join(centre, "key").withColumn("minor", F.col("c") != F.col("hc")), "mixed-lists")
-    x = mixed.where("minor").select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "place", "c")])
-    y = mixed.select("key", "minor", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "place", "c")])
+    both = F.col("x_size").cast("long") + F.col("y_size")
+    x = mixed.where("minor").select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "place", "sig", "c")])
+    y = mixed.select("key", "minor", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "place", "sig", "c")])
     more = (
         x.join(y, "key")
         .where((F.col("x_c") != F.col("y_c")) & (~F.col("minor") | (F.col("x_node") < F.col("y_node"))) & _possible(F.col("x_size"), F.col("x_place"), F.col("y_size"), F.col("y_place"), percent))
+        .where((both - F.bit_count(F.col("x_sig").bitwiseXOR(F.col("y_sig")))) * (100 + percent) >= both * (2 * percent))
         .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
         .distinct()
         .join(star, ["a", "b"], "left_anti")
