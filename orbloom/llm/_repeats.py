@@ -187,27 +187,35 @@ def _hashed(covers: DataFrame, spec: Spec) -> DataFrame:
     but every window counts.
     """
 
-    def rows(step: int) -> DataFrame:
+    def rows(some: DataFrame, step: int) -> DataFrame:
+        """Hashes of the runs of ``step`` windows; runs that a cover's ``known`` has are left out."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for fp, cover, n, w, units in zip(*(b.column(k).to_pylist() for k in ("fp", "cover", "n", "windows", "units"))):
+                skip = b.column("known").to_pylist() if "known" in b.schema.names else [None] * b.num_rows
+                for fp, cover, n, w, units, known in zip(*(b.column(k).to_pylist() for k in ("fp", "cover", "n", "windows", "units")), skip):
                     lo, hi, h1, h2 = _stretches(units, w, spec, step)
+                    if known:
+                        old = np.zeros(w, bool)
+                        for k in known:
+                            old[k["lo"] : k["hi"] + 1] = True
+                        lo, hi, h1, h2 = (x[~old[lo]] for x in (lo, hi, h1, h2))
                     k = len(lo)
                     yield pa.record_batch(
                         [pa.array(np.full(k, fp)), pa.array(np.full(k, cover)), pa.array(np.full(k, n)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
                         names=["fp", "cover", "n", "lo", "hi", "h1", "h2"],
                     )
 
-        return covers.mapInArrow(run, "fp bigint, cover bigint, n bigint, lo int, hi int, h1 bigint, h2 bigint")
+        return some.mapInArrow(run, "fp bigint, cover bigint, n bigint, lo int, hi int, h1 bigint, h2 bigint")
 
     def twice(x: DataFrame) -> DataFrame:
         return x.groupBy("h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").select("h1", "h2")
 
-    runs, single = rows(RUN), rows(1)
+    runs = rows(covers, RUN)
     settled = saved(runs.join(twice(runs), ["h1", "h2"]).select("fp", "cover", "lo", "hi"), "repeated-runs")
     known = settled.groupBy("fp", "cover").agg(F.collect_list(F.struct("lo", "hi")).alias("known"))
-    left = single.join(known, ["fp", "cover"], "left").where(~F.coalesce(F.exists("known", lambda k: (F.col("lo") >= k["lo"]) & (F.col("lo") <= k["hi"])), F.lit(False))).select("fp", "cover", "lo", "hi", "h1", "h2")
-    return settled.unionByName(left.join(twice(single), ["h1", "h2"]).select("fp", "cover", "lo", "hi"))
+    left = rows(covers.join(known, ["fp", "cover"], "left"), 1)
+    return settled.unionByName(left.join(twice(rows(covers, 1)), ["h1", "h2"]).select("fp", "cover", "lo", "hi"))
 
 
 def repeated(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
