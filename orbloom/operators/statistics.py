@@ -37,10 +37,10 @@ def hazen_percentile(df: DataFrame, keys: list[str], value: str, p: float) -> Da
     """Percentile at positions 100 (k - 1/2) / n, linear between them and clamped; only finite values count."""
     w = W.partitionBy(*keys).orderBy(value)
     x = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) != float("inf")))
-    x = x.select(*keys, F.col(value).alias("x"), F.row_number().over(w).alias("k"), F.count("*").over(W.partitionBy(*keys)).alias("n"), F.lead(value).over(w).alias("nx"))
-    at = F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), F.col("n") * p / 100 + 0.5))
-    hit = x.withColumn("at", at).where(F.col("k") == F.floor("at"))
-    return hit.select(*keys, (F.col("x") + (F.col("at") - F.col("k")) * (F.coalesce("nx", "x") - F.col("x"))).alias("percentile"))
+    x = x.select(*keys, F.col(value).alias("_x"), F.row_number().over(w).alias("_k"), F.count("*").over(W.partitionBy(*keys)).alias("_n"), F.lead(value).over(w).alias("_nx"))
+    at = F.greatest(F.lit(1.0), F.least(F.col("_n").cast("double"), F.col("_n") * p / 100 + 0.5))
+    hit = x.withColumn("_at", at).where(F.col("_k") == F.floor("_at"))
+    return hit.select(*keys, (F.col("_x") + (F.col("_at") - F.col("_k")) * (F.coalesce("_nx", "_x") - F.col("_x"))).alias("percentile"))
 
 
 def weighted_agreement(df: DataFrame, keys: list[str], a: str, b: str, w: Column) -> DataFrame:
