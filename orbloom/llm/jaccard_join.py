@@ -33,6 +33,7 @@ SKETCH = 1 << 18
 FREQUENT = 1000  # estimated occurrences beyond which a token is frequent
 COMBINED = 200  # sets up to this size index two-token combinations of frequent tokens
 BITMAP = 1024  # bits of a set's parity bitmap, at least
+FOLD = 8  # 64-bit numbers of a bitmap's fold
 BLOOM_BITS = 1 << 25
 
 
@@ -135,10 +136,9 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
-def signature(bits: bytes) -> int:
-    """A bitmap folded to 64 bits, as a signed number."""
-    x = np.frombuffer(bits, np.uint64)
-    return int(np.bitwise_xor.reduce(x).view(np.int64))
+def signature(bits: bytes) -> list[int]:
+    """A bitmap folded to FOLD signed 64-bit numbers, for comparisons without Python."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.int64).reshape(-1, FOLD)).tolist()
 
 
 def bits_apart(a: np.ndarray, b: np.ndarray) -> int:
@@ -151,7 +151,7 @@ def bits_apart(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _sizes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, node (id of its set; null if empty), n_shingles, the parity bitmap and its 64-bit fold."""
+    """doc_id, node (id of its set; null if empty), n_shingles, the parity bitmap and its fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,11 +161,11 @@ def _sizes(docs: DataFrame, n: int) -> DataFrame:
                 parts = [h[at[r] : at[r + 1]] for r in range(hi - lo)]
                 maps = [bitmap(t) if len(t) else None for t in parts]
                 yield pa.record_batch(
-                    [b.column(0).slice(lo, hi - lo), pa.array([int(set_id(t).view(np.int64)) if len(t) else None for t in parts], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(maps, pa.binary()), pa.array([signature(m) if m else None for m in maps], pa.int64())],
+                    [b.column(0).slice(lo, hi - lo), pa.array([int(set_id(t).view(np.int64)) if len(t) else None for t in parts], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(maps, pa.binary()), pa.array([signature(m) if m else None for m in maps], pa.list_(pa.int64()))],
                     names=["doc_id", "node", "n_shingles", "bits", "sig"],
                 )
 
-    return _text(docs).mapInArrow(run, "doc_id bigint, node bigint, n_shingles bigint, bits binary, sig bigint")
+    return _text(docs).mapInArrow(run, "doc_id bigint, node bigint, n_shingles bigint, bits binary, sig array<bigint>")
 
 
 def _postings(docs: DataFrame, n: int, percent: int, over) -> DataFrame:
@@ -305,7 +305,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
     sizes = saved(_sizes(docs, n), "set-sizes")
-    nodes = saved(sizes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").cast("int").alias("size"), F.first("bits").alias("bits"), F.first("sig").alias("sig")), "nodes")
+    nodes = saved(sizes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").cast("int").alias("size"), F.first("bits").alias("bits"), F.first("sig").alias("sig")).select("node", "least", "size", "bits", *[F.col("sig")[k].alias(f"s{k}") for k in range(FOLD)]), "nodes")
     over = spark.sparkContext.broadcast(excess(sketch(docs, n)))
     posts = saved(_postings(docs, n, percent, over).groupBy("key", "node").agg(F.first("size").alias("size"), F.min("place").alias("place")), "postings")
     hubs = posts.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("place", "size", "node")).alias("hub")).where("m > 1").select("key", "hub")
@@ -320,17 +320,19 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     comp = saved(components(links), "components")
 
     # Nodes of different components that share a list, other than those that met the hub.
-    known = nodes.select("node", "sig").join(comp, "node", "left").select("node", "sig", F.coalesce("root", "node").alias("c"))
-    labelled = lists.join(known, "node").select("key", "node", "size", "place", "sig", "c")
+    sig = [f"s{k}" for k in range(FOLD)]
+    known = nodes.select("node", *sig).join(comp, "node", "left").select("node", *sig, F.coalesce("root", "node").alias("c"))
+    labelled = lists.join(known, "node").select("key", "node", "size", "place", *sig, "c")
     centre = labelled.groupBy("key").agg(F.min(F.struct("place", "size", "node", "c")).alias("h"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key", F.col("h.c").alias("hc"))
     mixed = saved(labelled.join(centre, "key").withColumn("minor", F.col("c") != F.col("hc")), "mixed-lists")
     both = F.col("x_size").cast("long") + F.col("y_size")
-    x = mixed.where("minor").select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "place", "sig", "c")])
-    y = mixed.select("key", "minor", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "place", "sig", "c")])
+    apart = sum((F.bit_count(F.col(f"x_{k}").bitwiseXOR(F.col(f"y_{k}"))) for k in sig), F.lit(0))
+    x = mixed.where("minor").select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "place", *sig, "c")])
+    y = mixed.select("key", "minor", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "place", *sig, "c")])
     more = (
         x.join(y, "key")
         .where((F.col("x_c") != F.col("y_c")) & (~F.col("minor") | (F.col("x_node") < F.col("y_node"))) & _possible(F.col("x_size"), F.col("x_place"), F.col("y_size"), F.col("y_place"), percent))
-        .where((both - F.bit_count(F.col("x_sig").bitwiseXOR(F.col("y_sig")))) * (100 + percent) >= both * (2 * percent))
+        .where((both - apart) * (100 + percent) >= both * (2 * percent))
         .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
         .distinct()
         .join(star, ["a", "b"], "left_anti")
