@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -98,15 +99,19 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return table[data]
 
 
+_private: list[str] = []
+_written: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a private one only where the setting is missing."""
+    """The folder that spark.checkpoint.dir names; a private one only in local mode without that setting."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        d = "file://" + tempfile.mkdtemp(prefix="orbloom-")
+        if not _private:
+            _private.append("file://" + tempfile.mkdtemp(prefix="orbloom-"))
+        d = _private[0]
     return d.rstrip("/")
 
 
@@ -115,9 +120,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def field_names(df: DataFrame, *wanted: str) -> DataFrame:
-    """Only the wanted columns; other columns of the caller, whatever their names, stay out of the way."""
-    return df.select(*[df[c] for c in wanted])
+def discard(spark: SparkSession) -> None:
+    """Deletes all tables that ``saved`` wrote in this process; call it when the results have been stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
