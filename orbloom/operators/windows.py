@@ -62,15 +62,15 @@ def flood_potential(series: DataFrame, keys: list[str], rain: str) -> DataFrame:
 def daily_sigma(series: DataFrame, keys: list[str], window_days: int = 31, min_years: int = 1) -> DataFrame:
     """By day of year: mean, and deviation of residuals pooled over a circular window.
 
-    Each residual goes to the days of its window (at most ``window_days`` of them), so the join is an equi-join.
+    Sums by day are made first (combined before the shuffle); only those at most 365 rows a key go to the days of
+    their window, so raw rows are never multiplied.
     """
     x = series.withColumn("doy", F.least(F.lit(365), 1 + F.floor((F.col("epoch") - F.floor("epoch")) * 365.25)).cast("int"))
-    g = W.partitionBy(*keys, "doy")
-    x = x.withColumn("clim", F.avg("v").over(g)).withColumn("n_day", F.count("v").over(g)).withColumn("r", F.col("v") - F.col("clim"))
+    days = x.groupBy(*keys, "doy").agg(F.avg("v").alias("clim"), F.count("v").alias("n_day"), F.var_pop("v").alias("_var"))
     half = window_days // 2
-    spread = x.select(*keys, "r", F.explode(F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda k: F.pmod(F.col("doy") - 1 + k, F.lit(365)) + 1)).alias("doy"))
-    pooled = spread.groupBy(*keys, "doy").agg(F.stddev_samp("r").alias("sd"), F.count("*").alias("n_pool"))
-    days = x.groupBy(*keys, "doy").agg(F.first("clim").alias("clim"), F.first("n_day").alias("n_day"))
+    spread = days.select(*keys, F.col("n_day").alias("_n"), (F.col("_var") * F.col("n_day")).alias("_ss"), F.explode(F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda k: F.pmod(F.col("doy") - 1 + k, F.lit(365)) + 1)).alias("doy"))
+    # Residuals of a day sum to zero, so squares about the pooled mean are the sum of the days' own.
+    pooled = spread.groupBy(*keys, "doy").agg(F.sqrt(F.sum("_ss") / F.nullif(F.sum("_n") - 1, F.lit(0))).alias("sd"), F.sum("_n").alias("n_pool"))
     n = F.greatest(F.lit(2), F.col("n_day"))
     return days.join(pooled, [*keys, "doy"]).where(F.col("n_day") >= min_years).select(*keys, "doy", "clim", "n_day", "n_pool", (F.col("sd") * F.sqrt(n / (n - 1))).alias("sigma"))
 
