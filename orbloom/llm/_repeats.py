@@ -223,7 +223,9 @@ def repeated(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     rows = keyed(docs)
     found = saved(_anchor_rows(rows, spec), "anchors")
     twice = found.groupBy("fp").agg(F.count("*").alias("n"), F.min("cover").alias("c0"), F.max("cover").alias("c1")).where("n > 1")
-    hits = saved(found.join(twice.select("fp", (F.col("c0") == F.col("c1")).alias("same")), "fp"), "repeated-anchors")
+    # Written first, so that the join shuffles both sides anew and can split a hot fingerprint over tasks.
+    twice = saved(twice.select("fp", (F.col("c0") == F.col("c1")).alias("same")), "repeated-fingerprints")
+    hits = saved(found.join(twice, "fp"), "repeated-anchors")
     sure = hits.where("same").select("id", "tk", F.col("p0").alias("lo"), F.col("p1").alias("hi"))
     open_ = hits.where(~F.col("same"))
     each = open_.groupBy("fp", "cover").agg(F.count("*").alias("n"), F.min(F.struct("id", "tk", "p0", "p1")).alias("at"))

@@ -309,6 +309,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     over = spark.sparkContext.broadcast(excess(sketch(docs, n)))
     posts = saved(_postings(docs, n, percent, over).groupBy("key", "node").agg(F.first("size").alias("size"), F.min("place").alias("place")), "postings")
     hubs = posts.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("place", "size", "node")).alias("hub")).where("m > 1").select("key", "hub")
+    hubs = saved(hubs, "hubs")  # so that the join shuffles both sides anew and can split a hot key over tasks
     lists = saved(posts.join(hubs, "key"), "posting-lists")
     star = (
         lists.where((F.col("node") != F.col("hub.node")) & _possible(F.col("size"), F.col("place"), F.col("hub.size"), F.col("hub.place"), percent))
@@ -324,6 +325,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     known = nodes.select("node", *sig).join(comp, "node", "left").select("node", *sig, F.coalesce("root", "node").alias("c"))
     labelled = lists.join(known, "node").select("key", "node", "size", "place", *sig, "c")
     centre = labelled.groupBy("key").agg(F.min(F.struct("place", "size", "node", "c")).alias("h"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key", F.col("h.c").alias("hc"))
+    centre = saved(centre, "mixed-keys")
     mixed = saved(labelled.join(centre, "key").withColumn("minor", F.col("c") != F.col("hc")), "mixed-lists")
     both = F.col("x_size").cast("long") + F.col("y_size")
     apart = sum((F.bit_count(F.col(f"x_{k}").bitwiseXOR(F.col(f"y_{k}"))) for k in sig), F.lit(0))
