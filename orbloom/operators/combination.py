@@ -87,6 +87,8 @@ def eof(series: DataFrame, time: str, on: list[str], value: str, modes: int = 6,
     times = [r[0] for r in series.select(time).distinct().orderBy(time).limit(most_epochs + 1).collect()]
     if len(times) > most_epochs:
         raise ValueError(f"more than {most_epochs} epochs")
+    if not times:
+        return series.select(*on, F.lit(0).alias("mode"), F.lit(0.0).alias("pattern")), np.zeros((0, 0)), np.zeros(0)
     x = series.select(*on, time, (F.col(value) - F.avg(value).over(W.partitionBy(*on))).alias("_a"))
     at = {t: k for k, t in enumerate(times)}
     g = np.zeros((len(times), len(times)))
@@ -97,7 +99,7 @@ def eof(series: DataFrame, time: str, on: list[str], value: str, modes: int = 6,
     k = min(modes, len(times))
     scale = np.sqrt(np.maximum(lam[:k], 1e-300))
     pcs = (v[:, :k] * scale).T
-    load = spark.createDataFrame(pd.DataFrame([(t, j, float(v[i, j] / scale[j])) for i, t in enumerate(times) for j in range(k)], columns=[time, "mode", "_w"]))
+    load = spark.createDataFrame(pd.DataFrame([(t, j, float(v[i, j] / scale[j])) for i, t in enumerate(times) for j in range(k)], columns=[time, "mode", "_w"]), f"`{time}` {series.schema[time].dataType.simpleString()}, mode int, _w double")
     patterns = x.join(F.broadcast(load), time).groupBy(*on, "mode").agg(F.sum(F.col("_a") * F.col("_w")).alias("pattern"))
     return patterns, pcs, lam[:k] / max(lam.sum(), 1e-300)
 

@@ -17,11 +17,10 @@ from orbloom.operators import regions as B
 from orbloom.operators import regression as R
 from orbloom.operators import sequential as K
 from orbloom.operators import transforms as T
-from orbloom.plans.base import COEF, NMAX, coef, monthly, monthly_sql, query, r, rounded, table
+from orbloom.plans.base import COEF, NMAX, coef, query, r, rounded, table
 from orbloom.plans.coefficient_queries import HN, KN, LN
 
 LAT, LON = [-60.0, -20.0, 20.0, 60.0], [0.0, 90.0, 180.0, 270.0]
-MONTHLY = monthly_sql()
 
 
 # --- filters -------------------------------------------------------------------------------------------------------
@@ -376,14 +375,11 @@ def neq_combine(spark, sf):
 
 @query()
 def eof(spark, sf):
-    """Leading modes over the months of each nation's orders."""
-    from pyspark.sql import Window as W
-
-    x = monthly(spark, sf)
-    full = x.withColumn("c", F.count("*").over(W.partitionBy("epoch"))).where("c >= 24").drop("c")
-    patterns, _, share = M.eof(full, "epoch", ["key"], "v", 3)
+    """Leading modes of one product's sets over its epochs."""
+    x = coef(spark, sf).where("label = 0").select("epoch", "n", "m", "cs", "v")
+    patterns, _, share = M.eof(x, "epoch", ["n", "m", "cs"], "v", 3)
     explained = literal_table(spark, ["mode", "explained"], [(k, float(s)) for k, s in enumerate(share)])
-    return rounded(patterns.join(explained, "mode").withColumn("pattern", F.abs("pattern")), 1, explained=6)
+    return rounded(patterns.join(explained, "mode").withColumn("pattern", F.abs("pattern")))
 
 
 @query()
