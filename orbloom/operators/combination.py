@@ -104,23 +104,28 @@ def eof(series: DataFrame, time: str, on: list[str], value: str, modes: int = 6,
     return patterns, pcs, lam[:k] / max(lam.sum(), 1e-300)
 
 
+def noise_median(ratio: float) -> float:
+    """Median of the eigenvalues that unit noise alone would give for places over epochs = ``ratio``.
+
+    The density is integrated over the angle that maps to 1 + ratio + 2 sqrt(ratio) cos(angle).
+    """
+    angle = np.linspace(np.pi, 0, 2001)
+    x = 1 + ratio + 2 * np.sqrt(ratio) * np.cos(angle)
+    mass = np.sin(angle) ** 2 / np.maximum(x, 1e-12)
+    share = np.concatenate([[0.0], np.cumsum(mass[1:] + mass[:-1])])
+    return float(np.interp(0.5, share / share[-1], x))
+
+
 def separated_modes(lam: np.ndarray, places: int, epochs: int, most: int = 10) -> int:
-    """How many leading eigenvalues stand clear of their neighbours and of the bulk that noise alone would give."""
-    err = lam * np.sqrt(2 / epochs)
-    c = places / epochs
-    lo, hi = (1 - np.sqrt(c)) ** 2, (1 + np.sqrt(c)) ** 2
-    xs = np.linspace(lo, hi, 4000)[1:-1]
-    cdf = np.cumsum(np.sqrt((hi - xs) * (xs - lo)) / xs)
-    edge = np.median(lam) / xs[np.searchsorted(cdf / cdf[-1], 0.5)] * hi
-    kept = i = 0
-    while i < len(lam) - 1:
-        j = i
-        while j < len(lam) - 2 and lam[j] - lam[j + 1] <= err[j]:
-            j += 1
-        if lam[j] - lam[j + 1] <= err[j] or lam[j] <= edge:
-            break
-        kept = i = j + 1
-    return min(kept, most, len(lam))
+    """How many leading modes form groups that stand clear of the next mode and above what noise alone would give.
+
+    A group ends where the step to the next eigenvalue exceeds its sampling error, lam sqrt(2 / epochs).
+    """
+    ratio = places / epochs
+    edge = np.median(lam) / noise_median(ratio) * (1 + np.sqrt(ratio)) ** 2
+    ends = np.flatnonzero(-np.diff(lam) > lam[:-1] * np.sqrt(2 / epochs))
+    good = np.logical_and.accumulate(lam[ends] > edge)
+    return min(int(ends[good][-1]) + 1, most) if good.any() else 0
 
 
 def monte_carlo(coef: DataFrame, transform, keys: list[str], samples: int = 500, seed: int = 1) -> DataFrame:

@@ -148,3 +148,13 @@ def test_polygon_and_mask_table(spark):
     grid = literal_table(spark, ["lat", "lon"], [(0.0, 0.0), (10.0, 10.0), (50.0, 50.0)])
     w = B.polygon_mask(grid, [[(-5.0, -5.0), (20.0, -5.0), (20.0, 20.0), (-5.0, 20.0)]]).orderBy("lat").collect()
     assert [r.w for r in w] == [1.0, 1.0, 0.0]
+
+
+def test_separated_modes_finds_the_planted_signals():
+    rng = np.random.default_rng(7)
+    noise = rng.standard_normal((40, 200))
+    signal = sum(a * np.outer(rng.standard_normal(40), np.sin(f * np.arange(200))) for a, f in ((3.0, 0.1), (1.5, 0.37)))
+    lam = np.linalg.svd(noise + signal, compute_uv=False) ** 2 / 200
+    assert M.separated_modes(lam, 40, 200) == 2
+    assert M.separated_modes(np.linalg.svd(noise, compute_uv=False) ** 2 / 200, 40, 200) == 0
+    assert 0.7 < M.noise_median(0.2) < 1.0
