@@ -33,7 +33,7 @@ SKETCH = 1 << 18
 FREQUENT = 1000  # estimated occurrences beyond which a token is frequent
 COMBINED = 200  # sets up to this size index two-token combinations of frequent tokens
 BITMAP = 1024  # bits of a set's parity bitmap, at least
-FOLD = 8  # 64-bit numbers of a bitmap's fold
+FOLD = 16  # 64-bit numbers of a bitmap's fold
 BLOOM_BITS = 1 << 25
 
 
@@ -322,15 +322,15 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
     # Nodes of different components that share a list, other than those that met the hub.
     sig = [f"s{k}" for k in range(FOLD)]
-    known = nodes.select("node", *sig).join(comp, "node", "left").select("node", *sig, F.coalesce("root", "node").alias("c"))
-    labelled = lists.join(known, "node").select("key", "node", "size", "place", *sig, "c")
+    labelled = lists.join(comp, "node", "left").select("key", "node", "size", "place", F.coalesce("root", "node").alias("c"))
     centre = labelled.groupBy("key").agg(F.min(F.struct("place", "size", "node", "c")).alias("h"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key", F.col("h.c").alias("hc"))
     centre = saved(centre, "mixed-keys")
     mixed = saved(labelled.join(centre, "key").withColumn("minor", F.col("c") != F.col("hc")), "mixed-lists")
+    signed = mixed.join(nodes.select("node", *sig), "node")  # only now, so that lists stay narrow until here
     both = F.col("x_size").cast("long") + F.col("y_size")
     apart = sum((F.bit_count(F.col(f"x_{k}").bitwiseXOR(F.col(f"y_{k}"))) for k in sig), F.lit(0))
-    x = mixed.where("minor").select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "place", *sig, "c")])
-    y = mixed.select("key", "minor", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "place", *sig, "c")])
+    x = signed.where("minor").select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "place", *sig, "c")])
+    y = signed.select("key", "minor", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "place", *sig, "c")])
     more = (
         x.join(y, "key")
         .where((F.col("x_c") != F.col("y_c")) & (~F.col("minor") | (F.col("x_node") < F.col("y_node"))) & _possible(F.col("x_size"), F.col("x_place"), F.col("y_size"), F.col("y_place"), percent))
