@@ -132,8 +132,10 @@ def monte_carlo(coef: DataFrame, transform, keys: list[str], samples: int = 500,
     """Mean and deviation of ``transform`` (DataFrame with ``sample`` and ``v`` to one with keys and ``value``).
 
     Noise comes from hashes of (seed, sample, coefficient) by Box-Muller, so a recomputed task draws the same.
+    Coefficients are dealt by ``keys`` before they are drawn, so that samples need no shuffle.
     """
-    x = coef.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    dealt = coef.repartition(*keys) if set(keys) <= set(coef.columns) else coef
+    x = dealt.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
 
     def u(k: int):
         return (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "sample", "n", "m", "cs"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)

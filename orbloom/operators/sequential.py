@@ -39,10 +39,13 @@ def fit_var(x: np.ndarray, order: int = 1, shrink: float = 0.0, structure: str =
             mask[np.ix_(b, b)] = True
     elif structure != "full":
         raise ValueError(f"unknown structure: {structure}")
-    cov = []
-    for h in range(order + 1):
-        c = x[:, h:] @ x[:, : t - h].T / t * mask
-        cov.append((1 - shrink) * c + shrink * np.diag(np.diag(c)))
+    return _yule_walker([x[:, h:] @ x[:, : t - h].T / t * mask for h in range(order + 1)], shrink)
+
+
+def _yule_walker(products: list[np.ndarray], shrink: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same from the covariances at lags 0 .. order."""
+    order, p = len(products) - 1, len(products[0])
+    cov = [(1 - shrink) * c + shrink * np.diag(np.diag(c)) for c in products]
     big = np.block([[cov[abs(i - j)] if i >= j else cov[j - i].T for j in range(order)] for i in range(order)])
     right = np.hstack(cov[1:])
     phi = np.linalg.solve(big.T + 1e-12 * np.trace(big) / len(big) * np.eye(len(big)), right.T).T
@@ -53,6 +56,43 @@ def fit_var(x: np.ndarray, order: int = 1, shrink: float = 0.0, structure: str =
     return parts, (v * np.maximum(w, 1e-12 * max(w.max(), 1e-300))) @ v.T, cov[0]
 
 
+def fit_var_series(series: DataFrame, time: str, vector: str, shrink: float = 0.0) -> np.ndarray:
+    """First-order coefficients [P, P] of one series of any length, with a vector in each row.
+
+    Ranges of time are summed apart; the driver adds what spans two ranges from their first and last vectors.
+    """
+    means = series.select(F.posexplode(vector).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("v")).orderBy("i").collect()
+    mean = np.array([r.v for r in means])
+    p = len(mean)
+    if not p:
+        return np.zeros((0, 0))
+    kind = series.schema[time].dataType.simpleString()
+
+    def run(batches):
+        first = last = None
+        start, count, zero, one = None, 0, np.zeros((p, p)), np.zeros((p, p))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["x"].to_numpy()) - mean
+            if first is None:
+                start, first = pdf["t"].iloc[0], x[0]
+            else:
+                one += np.outer(x[0], last)
+            zero += x.T @ x
+            one += x[1:].T @ x[:-1]
+            last, count = x[-1], count + len(x)
+        if count:
+            yield pd.DataFrame({"t": [start], "count": [count], "first": [first], "last": [last], "zero": [zero.ravel()], "one": [one.ravel()]})
+
+    ordered = series.select(F.col(time).alias("t"), F.col(vector).alias("x")).repartitionByRange("t").sortWithinPartitions("t")
+    parts = sorted(ordered.mapInPandas(run, f"t {kind}, count long, first array<double>, last array<double>, zero array<double>, one array<double>").collect(), key=lambda r: r.t)
+    t = sum(r["count"] for r in parts)
+    zero, one = (sum(np.array(r[k]).reshape(p, p) for r in parts) for k in ("zero", "one"))
+    one = one + sum((np.outer(b.first, a.last) for a, b in zip(parts, parts[1:])), np.zeros((p, p)))
+    return _yule_walker([zero / t, one / t], shrink)[0][0]
+
+
 def companion(phi: np.ndarray) -> np.ndarray:
     order, p, _ = phi.shape
     f = np.zeros((order * p, order * p))

@@ -66,7 +66,7 @@ def synthesis_points(coef: DataFrame, points: DataFrame, keys: list[str], nmax:
                 out.append(float((v * y * k * (r / row["radius"]) ** (n + power)).sum()))
             yield pdf[[*keys, *names]].assign(value=out)
 
-    return points.join(F.broadcast(packed)).select(*keys, *names, "c").mapInPandas(run, schema)
+    return points.join(packed).select(*keys, *names, "c").mapInPandas(run, schema)
 
 
 def deformation(coef: DataFrame, keys: list[str], nmax: int, lat_deg, lon_deg, kn, hn, ln, r: float = special.R_EARTH, least: int = 1) -> DataFrame:

@@ -107,20 +107,32 @@ def destripe(coef: DataFrame, keys: list[str], min_order: int = 6, poly_order: i
 
 
 def destripe_moving(coef: DataFrame, keys: list[str], min_order: int, poly_order: int, window: int) -> DataFrame:
-    """The same with a moving window of degrees, narrower at the edges but never below poly_order + 1 points."""
+    """The same with a moving window of degrees, narrower at the edges but never below poly_order + 1 points.
+
+    What a window fits at its degree is linear in the values, with weights that only the degrees decide.
+    """
+    weights: dict[bytes, np.ndarray] = {}
+
+    def smoother(x: np.ndarray) -> np.ndarray:
+        if (key := x.tobytes()) not in weights:
+            fit, half = np.zeros((len(x), len(x))), window // 2
+            for i in range(len(x)):
+                lo, hi = max(0, i - half), min(len(x), i + half + 1)
+                while hi - lo < poly_order + 1:
+                    lo, hi = max(0, lo - 1), min(len(x), hi + 1)
+                fit[i, lo:hi] = np.linalg.pinv(np.vander(x[lo:hi] - x[i], poly_order + 1))[-1]
+            weights[key] = fit
+        return weights[key]
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        if pdf["m"].iloc[0] < min_order or len(pdf) <= poly_order + 1:
-            return pdf
-        x, y = pdf["n"].to_numpy(float), pdf["v"].to_numpy()
-        fit, half = np.empty_like(y), window // 2
-        for i in range(len(x)):
-            lo, hi = max(0, i - half), min(len(x), i + half + 1)
-            while hi - lo < poly_order + 1:
-                lo, hi = max(0, lo - 1), min(len(x), hi + 1)
-            fit[i] = np.polyval(np.polyfit(x[lo:hi] - x[i], y[lo:hi], poly_order), 0.0)
-        return pdf.assign(v=y - fit)
-
-    columns = coef.columns
-    return coef.withColumn("_parity", F.col("n") % 2).groupBy(*keys, "m", "cs", "_parity").applyInPandas(lambda p: kernel(p)[columns], coef.schema)
+        n, m, cs = (pdf[c].to_numpy() for c in ("n", "m", "cs"))
+        o = np.lexsort((n, n % 2, cs, m))
+        y = pdf["v"].to_numpy(float)[o]
+        n, m, cs = n[o], m[o], cs[o]
+        edges = np.flatnonzero((np.diff(m) != 0) | (np.diff(cs) != 0) | (np.diff(n % 2) != 0)) + 1
+        for lo, hi in zip([0, *edges], [*edges, len(n)]):
+            if m[lo] >= min_order and hi - lo > poly_order + 1:
+                y[lo:hi] = y[lo:hi] - smoother(n[lo:hi].astype(float)) @ y[lo:hi]
+        return pdf.iloc[o].assign(v=y)
+
+    return coef.groupBy(*keys).applyInPandas(kernel, coef.schema)

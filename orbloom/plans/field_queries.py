@@ -110,7 +110,7 @@ def ocean_rms(spark, sf):
 @query()
 def synthesis_points(spark, sf):
     pts = literal_table(spark, ["point_id", "lat", "lon", "radius"], [(1, 10.0, 20.0, 6.5e6), (2, -45.0, 200.0, 6.8e6)])
-    x = coef(spark, sf).where("set_id < 50").withColumn("v", F.col("v") * 1e-7)
+    x = coef(spark, sf).withColumn("v", F.col("v") * 1e-7)
     return rounded(T.synthesis_points(x, pts, ["set_id"], NMAX))
 
 
@@ -323,15 +323,9 @@ def lag_covariances(spark, sf):
 @query()
 def var_model(spark, sf):
     """First-order autoregression of the sets' low degrees over epochs: coefficients by pair."""
-    n, m, cs = index_arrays(2, 0)
-    x = C.pack(coef(spark, sf).where("n <= 2 AND label < 5"), ["epoch"], 2)
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        phi, _, _ = K.fit_var(np.stack(pdf.sort_values("epoch")["x"].to_numpy()).T, 1, 0.1)
-        i, j = np.meshgrid(range(len(n)), range(len(n)), indexing="ij")
-        return pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "phi": phi[0].ravel()})
-
-    return rounded(x.groupBy(F.lit(0).alias("all")).applyInPandas(lambda p: kernel(p), "i long, j long, phi double"))
+    x = C.pack(coef(spark, sf).where("n <= 2"), ["epoch"], 2)
+    phi = K.fit_var_series(x, "epoch", "x", 0.1)
+    return rounded(spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(phi)], "i long, j long, phi double"))
 
 
 # --- combination -------------------------------------------------------------------------------------------------------
@@ -385,8 +379,7 @@ def eof(spark, sf):
 @query()
 def mc_propagate(spark, sf):
     """Sigma of a degree amplitude from the coefficients' sigmas, by simulation."""
-    x = coef(spark, sf).where("set_id < 10")
-    return rounded(M.monte_carlo(x, lambda d: d.groupBy("sample", "set_id", "n").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("value")), ["set_id", "n"], 200))
+    return rounded(M.monte_carlo(coef(spark, sf), lambda d: d.groupBy("sample", "set_id", "n").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("value")), ["set_id", "n"], 200))
 
 
 @query()

@@ -366,8 +366,7 @@ def destripe_global(spark, sf):
 
 @query()
 def destripe_moving(spark, sf):
-    x = coef(spark, sf).where("label = 0")
-    return rounded(O.destripe_moving(x, ["set_id"], 1, 1, 3).select("set_id", "n", "m", "cs", "v"))
+    return rounded(O.destripe_moving(coef(spark, sf), ["set_id"], 1, 1, 3).select("set_id", "n", "m", "cs", "v"))
 
 
 @query("""WITH e AS (SELECT user_id, epoch(ts) AS t FROM events), g AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 43200 AS new FROM e),
