@@ -65,7 +65,8 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def _text(docs: DataFrame) -> DataFrame:
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    text = docs["text"].cast("string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_id"))
 
 
 def sketch(docs: DataFrame, n: int) -> np.ndarray:
@@ -151,7 +152,7 @@ def bits_apart(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _sizes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, node (id of its set; null if empty), n_shingles, the parity bitmap and its fold."""
+    """doc_id, text_id, node (id of its set; null if empty), n_shingles, the parity bitmap and its fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,11 +162,11 @@ def _sizes(docs: DataFrame, n: int) -> DataFrame:
                 parts = [h[at[r] : at[r + 1]] for r in range(hi - lo)]
                 maps = [bitmap(t) if len(t) else None for t in parts]
                 yield pa.record_batch(
-                    [b.column(0).slice(lo, hi - lo), pa.array([int(set_id(t).view(np.int64)) if len(t) else None for t in parts], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(maps, pa.binary()), pa.array([signature(m) if m else None for m in maps], pa.list_(pa.int64()))],
-                    names=["doc_id", "node", "n_shingles", "bits", "sig"],
+                    [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array([int(set_id(t).view(np.int64)) if len(t) else None for t in parts], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(maps, pa.binary()), pa.array([signature(m) if m else None for m in maps], pa.list_(pa.int64()))],
+                    names=["doc_id", "text_id", "node", "n_shingles", "bits", "sig"],
                 )
 
-    return _text(docs).mapInArrow(run, "doc_id bigint, node bigint, n_shingles bigint, bits binary, sig array<bigint>")
+    return _text(docs).mapInArrow(run, "doc_id bigint, text_id bigint, node bigint, n_shingles bigint, bits binary, sig array<bigint>")
 
 
 def _postings(docs: DataFrame, n: int, percent: int, over) -> DataFrame:
@@ -301,8 +302,8 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
 
 
-def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def _rooted(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``_sizes``, and node, its least doc_id and the root of its component."""
     spark = docs.sparkSession
     sizes = saved(_sizes(docs, n), "set-sizes")
     nodes = saved(sizes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").cast("int").alias("size"), F.first("bits").alias("bits"), F.first("sig").alias("sig")).select("node", "least", "size", "bits", *[F.col("sig")[k].alias(f"s{k}") for k in range(FOLD)]), "nodes")
@@ -343,13 +344,31 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     if not later.isEmpty():
         comp = saved(components(links.union(later)), "components")
 
-    named = nodes.select("node", "least").join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    return sizes, nodes.select("node", "least").join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+
+
+def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    sizes, named = _rooted(docs, n, percent)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = named.join(ids, "root").select("node", "component_id")
     return sizes.join(by_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that link, directly or not, to one with a smaller doc_id; all columns stay."""
-    gone = join(docs, n, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Exactly one row of each component, and all rows with an empty set; all columns stay.
+
+    The row with the smallest doc_id stays (nulls last), then that with the smallest set and text ids, then any one of
+    equal rows.  Rows are told apart by doc_id and text, so one doc_id may stand on several texts.
+    """
+    sizes, named = _rooted(docs, n, percent)
+    rows = saved(sizes.where(F.col("node").isNotNull()).groupBy("doc_id", "text_id", "node").agg(F.count("*").alias("copies")), "distinct-rows")
+    rows = saved(rows.join(named.select("node", "root"), "node"), "rooted-rows")
+    best = saved(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "text_id")).alias("best")), "best-rows")
+    same = (F.col("text_id") == F.col("best.text_id")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
+    drop = saved(rows.join(best, "root").select(F.col("doc_id").alias("__d"), F.col("text_id").alias("__t"), "copies", same.alias("__best")).where("copies > 1 OR NOT __best"), "other-rows")
+    keyed = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__text": F.xxhash64(F.col("text").cast("string"))})
+    on = (F.col("__text") == F.col("__t")) & F.col("__doc").eqNullSafe(F.col("__d"))
+    single = keyed.join(drop.select("__d", "__t"), on, "left_anti")
+    repeated = keyed.join(drop.where("__best").select("__d", "__t"), on, "left_semi").dropDuplicates(["__doc", "__text"])
+    return single.union(repeated).select(*docs.columns)

@@ -345,3 +345,18 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     left = {r.doc_id: r.text for r in d.collect()}
     assert 7 in left and left[7] == corpus[7] and 6 not in left
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == seen[3]
+
+
+def test_pipeline_keeps_one_row_of_repeated_null_and_shared_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    a, b, c, d, e, f = (" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for _ in range(6))
+    given = [(1, a), (1, a), (1, a), (2, b), (None, b), (None, c), (None, c), (3, d), (7, d.upper()), (7, e), (4, f), (4, f.upper()), (9, ""), (9, ""), (None, None)]
+    x = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in given], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.jaccard_stage(spark, x, "")
+    assert out.columns == x.columns
+    kept = sorted((r.doc_id or 0, (r.text or "").lower()) for r in out.collect())
+    assert kept == sorted([(1, a), (2, b), (0, c), (3, d), (7, e), (4, f), (9, ""), (9, ""), (0, "")])
+    left = sorted((r.doc_id or 0, r.text.lower()) for r in corpus_pipeline.suffix_stage(spark, out.where("text <> ''"), "").collect())
+    assert left == sorted([(1, a), (2, b), (0, c), (3, d), (7, e), (4, f)])
