@@ -76,19 +76,50 @@ def gram(series: DataFrame, time: str, on: list[str], value: str) -> DataFrame:
     return x.join(y, on).where("t1 <= t2").groupBy("t1", "t2").agg(F.sum(F.col("a") * F.col("b")).alias("g"))
 
 
-def eof(series: DataFrame, time: str, on: list[str], value: str, modes: int = 6, most_epochs: int = 4096) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """Modes (place, mode, pattern), principal components [modes, T] and explained shares, from the T x T Gram matrix.
-
-    The number of epochs is checked: the Gram matrix goes to the driver.
+def place_gram(series: DataFrame, time: str, place: str, value: str, places: int) -> np.ndarray:
+    """Place-by-place products summed over time: one vector per epoch, a P x P sum for each task."""
+    packed = series.where(F.col(value).isNotNull() & F.col(time).isNotNull()).groupBy(time).agg(F.collect_list(place).alias("p"), F.collect_list(value).alias("a"))
+
+    def run(batches):
+        g = np.zeros((places, places))
+        for pdf in batches:
+            x = np.zeros((len(pdf), places))
+            for k, (p, a) in enumerate(zip(pdf["p"], pdf["a"])):
+                np.add.at(x[k], p, a)
+            g += x.T @ x
+        if g.any():
+            yield pd.DataFrame({"i": range(places), "g": list(g)})
+
+    out = np.zeros((places, places))
+    sums = packed.select("p", "a").mapInPandas(run, "i int, g array<double>").select("i", F.posexplode("g").alias("j", "g"))
+    for r in sums.groupBy("i", "j").agg(F.sum("g").alias("g")).collect():
+        out[r.i, r.j] = r.g
+    return (out + out.T) / 2
+
+
+def eof(series: DataFrame, time: str, on: list[str], value: str, modes: int = 6) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Modes (place, mode, pattern), principal components (time, mode, pc) and explained shares.
+
+    From the Gram matrix over epochs or over places, whichever are fewer; it goes to the driver.
     """
     spark = series.sparkSession
     from pyspark.sql import Window as W
 
-    times = [r[0] for r in series.select(time).distinct().orderBy(time).limit(most_epochs + 1).collect()]
-    if len(times) > most_epochs:
-        raise ValueError(f"more than {most_epochs} epochs")
-    if not times:
-        return series.select(*on, F.lit(0).alias("mode"), F.lit(0.0).alias("pattern")), np.zeros((0, 0)), np.zeros(0)
+    kind = series.schema[time].dataType.simpleString()
+    epochs, places = series.select(time).distinct().count(), series.select(*on).distinct().count()
+    if not epochs:
+        return series.select(*on, F.lit(0).alias("mode"), F.lit(0.0).alias("pattern")), series.select(time, F.lit(0).alias("mode"), F.lit(0.0).alias("pc")), np.zeros(0)
+    if epochs > places:
+        at = series.groupBy(*on).agg(F.avg(value).alias("_mean")).collect()
+        number = spark.createDataFrame([(*[r[c] for c in on], r["_mean"], k) for k, r in enumerate(at)], ", ".join(f"`{c}` {series.schema[c].dataType.simpleString()}" for c in on) + ", _mean double, _p int")
+        x = series.join(F.broadcast(number), on).select(*on, time, "_p", (F.col(value) - F.col("_mean")).alias("_a"))
+        lam, v = np.linalg.eigh(place_gram(x, time, "_p", "_a", places))
+        lam, v = np.maximum(lam[::-1], 0), v[:, ::-1]
+        k = min(modes, places)
+        patterns = spark.createDataFrame([(*[r[c] for c in on], j, float(v[i, j])) for i, r in enumerate(at) for j in range(k)], ", ".join(f"`{c}` {series.schema[c].dataType.simpleString()}" for c in on) + ", mode int, pattern double")
+        pcs = x.join(F.broadcast(patterns), on).groupBy(time, "mode").agg(F.sum(F.col("_a") * F.col("pattern")).alias("pc"))
+        return patterns, pcs, lam[:k] / max(lam.sum(), 1e-300)
+    times = [r[0] for r in series.select(time).distinct().orderBy(time).collect()]
     x = series.select(*on, time, (F.col(value) - F.avg(value).over(W.partitionBy(*on))).alias("_a"))
     at = {t: k for k, t in enumerate(times)}
     g = np.zeros((len(times), len(times)))
@@ -98,10 +129,9 @@ def eof(series: DataFrame, time: str, on: list[str], value: str, modes: int = 6,
     lam, v = np.maximum(lam[::-1], 0), v[:, ::-1]
     k = min(modes, len(times))
     scale = np.sqrt(np.maximum(lam[:k], 1e-300))
-    pcs = (v[:, :k] * scale).T
-    load = spark.createDataFrame(pd.DataFrame([(t, j, float(v[i, j] / scale[j])) for i, t in enumerate(times) for j in range(k)], columns=[time, "mode", "_w"]), f"`{time}` {series.schema[time].dataType.simpleString()}, mode int, _w double")
+    load = spark.createDataFrame([(t, j, float(v[i, j] / scale[j]), float(v[i, j] * scale[j])) for i, t in enumerate(times) for j in range(k)], f"`{time}` {kind}, mode int, _w double, pc double")
     patterns = x.join(F.broadcast(load), time).groupBy(*on, "mode").agg(F.sum(F.col("_a") * F.col("_w")).alias("pattern"))
-    return patterns, pcs, lam[:k] / max(lam.sum(), 1e-300)
+    return patterns, load.select(time, "mode", "pc"), lam[:k] / max(lam.sum(), 1e-300)
 
 
 def noise_median(ratio: float) -> float:

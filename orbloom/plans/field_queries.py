@@ -369,8 +369,8 @@ def neq_combine(spark, sf):
 
 @query()
 def eof(spark, sf):
-    """Leading modes of one product's sets over its epochs."""
-    x = coef(spark, sf).where("label = 0").select("epoch", "n", "m", "cs", "v")
+    """Leading modes of all sets over their epochs."""
+    x = coef(spark, sf).select("epoch", "n", "m", "cs", "v")
     patterns, _, share = M.eof(x, "epoch", ["n", "m", "cs"], "v", 3)
     explained = literal_table(spark, ["mode", "explained"], [(k, float(s)) for k, s in enumerate(share)])
     return rounded(patterns.join(explained, "mode").withColumn("pattern", F.abs("pattern")))

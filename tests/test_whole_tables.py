@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from orbloom.operators import combination as M
 from orbloom.operators import sequential as K
 from orbloom.operators import windows as O
 from orbloom.plans import registry
@@ -41,3 +42,24 @@ def test_moving_destripe_by_polynomials(spark, sf_dir):
                 want[i] -= np.polyval(np.polyfit(n[lo:hi], v[lo:hi], 1), n[i])
         h = got.merge(g[["set_id", "n", "m", "cs"]], on=["set_id", "n", "m", "cs"]).sort_values("n")
         assert np.allclose(h.v, want, atol=1e-9)
+
+
+def test_modes_of_more_epochs_than_places(spark):
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal((4200, 3)) * [3.0, 2.0, 1.0]
+    x = spark.createDataFrame([(t, p, float(v)) for (t, p), v in np.ndenumerate(a)], "t long, p long, v double")
+    patterns, pcs, share = M.eof(x, "t", ["p"], "v", 2)
+    u, s, vt = np.linalg.svd(a - a.mean(axis=0), full_matrices=False)
+    assert np.allclose(share, (s**2 / (s**2).sum())[:2])
+    got = {(r.p, r["mode"]): r.pattern for r in patterns.collect()}
+    assert all(abs(abs(got[p, j]) - abs(vt[j, p])) < 1e-9 for p in range(3) for j in range(2))
+    pc = {(r.t, r["mode"]): r.pc for r in pcs.collect()}
+    assert len(pc) == 8400 and all(abs(abs(pc[t, j]) - abs(u[t, j] * s[j])) < 1e-8 for t in range(4200) for j in range(2))
+
+
+def test_eof_query_takes_all_labels(spark, sf_dir):
+    rows = coef(spark, sf_dir).select("epoch", "n", "m", "cs", "v").toPandas()
+    a = rows.pivot(index="epoch", columns=["n", "m", "cs"], values="v").to_numpy()
+    s = np.linalg.svd(a - a.mean(axis=0), compute_uv=False)
+    explained = {r["mode"]: r.explained for r in QUERIES["eof"](spark, sf_dir).collect()}
+    assert all(abs(explained[j] - s[j] ** 2 / (s**2).sum()) < 2e-6 for j in range(3))
