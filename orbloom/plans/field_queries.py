@@ -476,6 +476,9 @@ def chain_standard(spark, sf):
     """Low degrees replaced, a rate removed, smoothed, then the trend of each coefficient: one plan."""
     from orbloom.operators.pipelines import standard_chain
 
-    t = spark.range(400).select((2002 + F.col("id") / 12.0 + 0.01).alias("epoch"), (F.col("id") * 0.001).alias("c20"), F.when(F.col("id") % 4 != 0, F.col("id") * -0.002).alias("c30"))
-    x = standard_chain(coef(spark, sf), NMAX, low_degrees=t, filter_name="gauss1000")
+    x = coef(spark, sf)
+    span = x.agg(F.floor((F.min("epoch") - 2002) * 12).alias("lo"), F.ceil((F.max("epoch") - 2002) * 12).alias("hi")).first()
+    months = spark.range(span.lo, span.hi + 1) if span.lo is not None else spark.range(0)
+    t = months.select((2002 + F.col("id") / 12.0 + 0.01).alias("epoch"), (F.col("id") * 0.001).alias("c20"), F.when(F.col("id") % 4 != 0, F.col("id") * -0.002).alias("c30"))
+    x = standard_chain(x, NMAX, low_degrees=t, filter_name="gauss1000")
     return rounded(R.fit(x.select("n", "m", "cs", "epoch", "v"), ["n", "m", "cs"], 2010.0).where("term = 'trend'"), 9)

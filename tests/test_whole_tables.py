@@ -63,3 +63,14 @@ def test_eof_query_takes_all_labels(spark, sf_dir):
     s = np.linalg.svd(a - a.mean(axis=0), compute_uv=False)
     explained = {r["mode"]: r.explained for r in QUERIES["eof"](spark, sf_dir).collect()}
     assert all(abs(explained[j] - s[j] ** 2 / (s**2).sum()) < 2e-6 for j in range(3))
+
+
+def test_chain_standard_fits_every_set(spark, sf_dir, monkeypatch):
+    from orbloom.plans import field_queries
+
+    seen = []
+    fit = field_queries.R.fit
+    monkeypatch.setattr(field_queries.R, "fit", lambda x, *a, **b: seen.append(x) or fit(x, *a, **b))
+    assert QUERIES["chain_standard"](spark, sf_dir).count() == 64
+    sets = coef(spark, sf_dir).select("epoch").distinct().count()
+    assert seen[0].select("epoch").distinct().count() == sets
