@@ -1,13 +1,17 @@
-"""Shared helpers: Arrow columns as numpy views, word splitting, rolling hashes, tables in the shared folder."""
+"""Shared helpers: Arrow columns as numpy views, word splitting, hashes, tables in the shared folder."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 # White space that ends a word, and the multipliers of the 64-bit hashes.
@@ -15,6 +19,7 @@ SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX2 = np.uint64(0x94D049BB133111EB)
+LONG_WORD = 512  # bytes beyond which a word is hashed by itself
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACE)] = True
@@ -27,6 +32,55 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs; multiplications and shifts alternate, so no sum of terms can cancel as in a polynomial."""
+    h = a * MIX1 + (b ^ (b >> np.uint64(29))) * MIX2
+    h ^= h >> np.uint64(32)
+    h *= BASE
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end], eight bytes at a time."""
+    n = ends - starts
+    h = n.astype(np.uint64) * BASE
+    if not len(h):
+        return h
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded.tobytes(), strides=(1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    live, at = np.flatnonzero(n <= LONG_WORD), 0
+    while len(live):
+        left = n[live] - at
+        x = lanes[starts[live] + at] & masks[np.minimum(left, 8)]
+        h[live] = joined(h[live], x)
+        live, at = live[left > 8], at + 8
+    for k in np.flatnonzero(n > LONG_WORD).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return mix(h)
+
+
+def window_hashes(values: np.ndarray, *lengths: int) -> list[np.ndarray]:
+    """Hashes of all runs of each length, by doubling: two runs that overlap or touch make a longer one."""
+    h, width, out = mix(values + BASE), 1, {}
+    for length in sorted(set(lengths)):
+        if len(values) < length:
+            out[length] = np.zeros(0, np.uint64)
+            continue
+        while 2 * width <= length:
+            h = joined(h[:-width], h[width:])
+            width *= 2
+        n = len(values) - length + 1
+        out[length] = mix(joined(h[:n], h[length - width : length - width + n]) if width < length else h)
+    return [out[length] for length in lengths]
+
+
+def window_hash(values: np.ndarray, length: int) -> np.ndarray:
+    return window_hashes(values, length)[0]
+
+
 _powers = {"p": np.ones(1, np.uint64), "q": np.ones(1, np.uint64)}
 INV_BASE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -124,9 +178,41 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``saved`` wrote and that no later step reads, and lets the cleaner take their shuffle files."""
+    for t in tables:
+        spark = t.sparkSession
+        for f in t.inputFiles()[:1]:
+            for path in [p for p in _written if f.split("://")[-1].lstrip("/").startswith(p.split("://")[-1].lstrip("/") + "/") or f.startswith(p + "/")]:
+                _written.remove(path)
+                _delete(spark, path)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
 def discard(spark: SparkSession) -> None:
     """Deletes all tables that ``saved`` wrote in this process; call it when the results have been stored."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _written.pop())
+
+
+def tidy(run):
+    """A function over Arrow batches that gives freed memory back to the system when its task ends."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return whole

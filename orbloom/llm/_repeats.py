@@ -1,17 +1,22 @@
 """Where windows of fixed length occur more than once in a corpus, exactly and in a few linear passes.
 
 The units are words or bytes.  Every window of ``length`` units owns one anchor: of the ``width``-unit strings in
-it the one with the smallest rolling hash (the leftmost, if several).  Equal windows own equal anchors at equal
-places, so a window can be repeated only if its anchor's fingerprint occurs twice.  About one anchor in
-``(length - width) / 2`` units leaves a document, not one row per window:
+it the one with the smallest hash (the leftmost, if several).  Equal windows own equal anchors at equal places, so a
+window can be repeated only if its anchor's fingerprint occurs twice.  About one anchor in ``(length - width) / 2``
+units leaves a document, not one row per window:
 
 1. a scan emits the anchors, with a hash of all units that their windows cover;
-2. one aggregate finds fingerprints that occur twice.  Where all their covers agree, all windows are repeated;
-3. only the other covers are brought together, by fingerprint, in shards of bounded size, and an exact kernel
-   says which of their windows occur twice.  Fingerprints with very many different covers never meet in one
-   task: their windows are counted by 128-bit hashes in a distributed aggregate.
+2. one aggregate finds fingerprints that occur twice;
+3. one text of each different cover, with its number, goes to the others of its fingerprint, in shards of bounded
+   size, and an exact kernel says which of its windows occur twice.
 
-Every count is over all documents; windows are judged on the input.
+Anchors only say which stretches meet; every window of every stretch is decided by the kernel.  A fingerprint with
+very many different covers does not go to one shard: its covers are taken as documents again, with anchors half as
+far from the window's length, so they part by what stands around the old anchor.  With anchors as long as the
+window each cover is one window and no fingerprint has two different ones, so this ends.
+
+Hashes are non-linear (see ``_arrow.joined``); two covers count as one if their fingerprints and their hashes, 128
+bits, agree.  Every count is over all documents; windows are judged on the input.
 """
 
 from __future__ import annotations
@@ -24,31 +29,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbloom.llm._arrow import MIX1, MIX2, mix, powers, prefix_hash, saved, slices, span_hash, utf8, words
+from orbloom.llm._arrow import MIX1, joined, mix, saved, slices, tidy, utf8, window_hashes, word_hash, words
 
 CHUNK = 1 << 20  # units of a longer document that are in memory at once
-MANY_COVERS = 2000  # different covers of one fingerprint, beyond which its windows are hashed instead
+MANY_COVERS = 2000  # different covers of one fingerprint, beyond which they get longer anchors
 SHARD_COVERS = 4000  # covers in a shard, on average
-RUN = 16  # windows of such covers that are looked up as one at first
 
 
 @dataclass(frozen=True)
 class Spec:
-    """What a window is, and the kernel: (covers, counts, window counts) -> per cover a mask of repeated windows."""
-
     length: int
     width: int
     by_word: bool
     kernel: Callable[[list[bytes], np.ndarray, np.ndarray, int], list[np.ndarray]]
 
+    def wider(self) -> Spec:
+        return Spec(self.length, self.length - (self.length - self.width) // 2 if self.length - self.width > 1 else self.length, self.by_word, self.kernel)
+
 
 def unit_values(data: np.ndarray, offsets: np.ndarray, by_word: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
     """64-bit values of the units, unit offsets of the rows, and byte starts and ends of words."""
     if not by_word:
-        return mix(data.astype(np.uint64) + np.uint64(1)), offsets, None, None
+        return data.astype(np.uint64), offsets, None, None
     starts, ends, rows = words(data, offsets)
-    h = prefix_hash(data.astype(np.uint64) + np.uint64(1))
-    return span_hash(h, starts, ends), rows, starts, ends
+    return word_hash(data, starts, ends), rows, starts, ends
 
 
 def sliding_min(k: np.ndarray, span: int) -> np.ndarray:
@@ -71,40 +75,48 @@ def anchors(values: np.ndarray, offsets: np.ndarray, length: int, width: int) ->
     if not len(p):
         z = np.zeros(0, np.int64)
         return z, z.view(np.uint64), z.view(np.uint64), z, z
-    h = prefix_hash(values)
-    i = np.arange(len(values) - width + 1)
-    g = mix((h[width:] - h[:-width]) * powers(len(h))[1][: len(i)] + np.uint64(width * int(MIX2) % (1 << 64)))
+    g, whole = window_hashes(values, width, length)
+    i = np.arange(len(g))
     low = np.uint64((1 << int(len(values)).bit_length()) - 1)
     owner = (sliding_min((g & ~low) | i.astype(np.uint64), length - width + 1)[p] & low).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (p[1:] != p[:-1] + 1)]))
     p0, p1, a = p[first], p[np.concatenate([first[1:] - 1, [len(p) - 1]])], owner[first]
     row = np.searchsorted(offsets, p0, "right") - 1
-    cover = mix(span_hash(h, p0, p1 + length) ^ ((a - p0).astype(np.uint64) * MIX1))
+    # The first and the last window have all units of the cover, for they overlap or touch.
+    cover = mix(joined(whole[p0], whole[p1]) ^ ((p1 - p0) * length + a - p0 + 1).astype(np.uint64) * MIX1)
     return row, g[a], cover, p0 - offsets[row], p1 - offsets[row]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, a key that tells rows of one doc_id and different texts apart, and the text (null: empty)."""
+def key_columns(docs: DataFrame) -> tuple:
+    """The key (a, b) that tells rows of one doc_id and different texts apart, and the text (null: empty)."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 62))).alias("id"), F.hash(text).alias("tk"), text.alias("text"))
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 62))), F.xxhash64(text), text
 
 
-def _anchor_rows(rows: DataFrame, spec: Spec) -> DataFrame:
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, a, b and text of every row."""
+    a, b, text = key_columns(docs)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), a.alias("a"), b.alias("b"), text.alias("text"))
+
+
+def _anchor_rows(items: DataFrame, spec: Spec) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, off = utf8(b.column(2))
-            ids, tks = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        for batch in batches:
+            data, off = utf8(batch.column(3))
+            a, b, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             for lo, hi in slices(off, CHUNK):
                 part = data[off[lo] : off[hi]]
                 for v, units, shift in _chunks(part, off[lo : hi + 1] - off[lo], spec):
                     row, fp, cover, p0, p1 = anchors(v, units, spec.length, spec.width)
                     if len(row):
+                        row = lo + row
                         yield pa.record_batch(
-                            [pa.array(fp.view(np.int64)), pa.array(cover.view(np.int64)), pa.array(ids[lo + row]), pa.array(tks[lo + row]), pa.array((p0 + shift).astype(np.int32)), pa.array((p1 + shift).astype(np.int32))],
-                            names=["fp", "cover", "id", "tk", "p0", "p1"],
+                            [pa.array(fp.view(np.int64)), pa.array(cover.view(np.int64)), pa.array(a[row]), pa.array(b[row]), pa.array(n[row]), pa.array((p0 + shift).astype(np.int32)), pa.array((p1 + shift).astype(np.int32))],
+                            names=["fp", "cover", "a", "b", "n", "p0", "p1"],
                         )
 
-    return rows.select("id", "tk", "text").mapInArrow(run, "fp bigint, cover bigint, id bigint, tk int, p0 int, p1 int")
+    return items.select("a", "b", "n", "text").mapInArrow(run, "fp bigint, cover bigint, a bigint, b bigint, n bigint, p0 int, p1 int")
 
 
 def _chunks(data: np.ndarray, off: np.ndarray, spec: Spec):
@@ -118,33 +130,34 @@ def _chunks(data: np.ndarray, off: np.ndarray, spec: Spec):
         yield part, np.array([0, len(part)]), lo
 
 
-def _covers(rows: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
-    """The units, as bytes, that the wanted anchors' windows cover."""
-    lists = wanted.groupBy("id", "tk").agg(F.collect_list(F.struct("p0", "p1", "fp", "cover", "n", "many")).alias("a"))
-    joined = rows.join(lists, ["id", "tk"]).select("text", "a")
+def _covers(items: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
+    """The text that the wanted anchors' windows cover, as items of their own: a is the fingerprint, b the cover."""
+    lists = wanted.groupBy("a", "b").agg(F.collect_list(F.struct("p0", "p1", "fp", "cover", "n", "many")).alias("x"))
+    pairs = items.select("a", "b", "text").join(lists, ["a", "b"]).select("text", "x")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, off = utf8(b.column(0))
-            lst = b.column(1)
+        for batch in batches:
+            data, off = utf8(batch.column(0))
+            lst = batch.column(1)
             flat, lo_off = lst.flatten(), lst.offsets.to_numpy() - lst.offsets[0].as_py()
             p0, p1, fp, cover, n, many = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(6))
-            for r in range(b.num_rows):
+            for r in range(batch.num_rows):
                 lo, hi = int(lo_off[r]), int(lo_off[r + 1])
                 part = data[off[r] : off[r + 1]]
-                _, _, starts, ends = unit_values(part, np.array([0, len(part)]), True) if spec.by_word else (0, 0, None, None)
                 first, last = p0[lo:hi], p1[lo:hi] + spec.length - 1
                 if spec.by_word:
+                    starts, ends, _ = words(part, np.array([0, len(part)]))
                     first, last = starts[first], ends[last]
                 else:
                     last = last + 1
                 raw = part.tobytes()
                 yield pa.record_batch(
                     [pa.array(fp[lo:hi]), pa.array(cover[lo:hi]), pa.array(n[lo:hi]), pa.array(many[lo:hi]), pa.array((p1[lo:hi] - p0[lo:hi] + 1).astype(np.int32)), pa.array([raw[x:y] for x, y in zip(first.tolist(), last.tolist())], pa.binary())],
-                    names=["fp", "cover", "n", "many", "windows", "units"],
+                    names=["a", "b", "n", "many", "windows", "text"],
                 )
 
-    return joined.mapInArrow(run, "fp bigint, cover bigint, n bigint, many boolean, windows int, units binary")
+    return pairs.mapInArrow(run, "a bigint, b bigint, n bigint, many boolean, windows int, text binary")
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -152,91 +165,45 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))
 
 
-RUNS = "fp bigint, cover bigint, lo int, hi int"
-
-
 def _exact(covers: DataFrame, spec: Spec, shards: int) -> DataFrame:
     """Runs of repeated windows (by window number in the cover), shard by shard."""
 
     def run(table: pa.Table) -> pa.Table:
-        masks = spec.kernel(table["units"].to_pylist(), table["n"].to_numpy(), table["windows"].to_numpy(), spec.length)
-        out: list[tuple] = [(f, c, lo, hi) for f, c, m in zip(table["fp"].to_pylist(), table["cover"].to_pylist(), masks) for lo, hi in _runs(m)]
+        masks = spec.kernel(table["text"].to_pylist(), table["n"].to_numpy(), table["windows"].to_numpy(), spec.length)
+        out: list[tuple] = [(a, b, lo, hi) for a, b, m in zip(table["a"].to_pylist(), table["b"].to_pylist(), masks) for lo, hi in _runs(m)]
         cols = list(zip(*out)) if out else [[], [], [], []]
-        return pa.table([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["fp", "cover", "lo", "hi"])
-
-    return covers.withColumn("shard", F.pmod(F.xxhash64("fp"), F.lit(shards))).groupBy("shard").applyInArrow(run, RUNS)
-
-
-def _stretches(units: bytes, w: int, spec: Spec, step: int):
-    """First and last windows of runs of ``step`` windows, in step with the cover's anchor, and their 128-bit hashes."""
-    data = np.frombuffer(units, np.uint8)
-    v = unit_values(data, np.array([0, len(data)]), spec.by_word)[0]
-    h, twin = prefix_hash(v), prefix_hash(mix(v ^ MIX2))
-    i = np.arange(spec.length - spec.width + 1)
-    anchor = int(np.argmin(span_hash(h, i, i + spec.width) >> np.uint64(24))) if step > 1 else 0
-    p = np.arange(w)
-    first = np.flatnonzero(np.concatenate([[True], np.diff((p - anchor) // step) != 0]))
-    last = np.append(first[1:] - 1, w - 1)
-    return first, last, span_hash(h, first, last + spec.length), span_hash(twin, first, last + spec.length)
-
-
-def _hashed(covers: DataFrame, spec: Spec) -> DataFrame:
-    """The same for fingerprints with very many covers, by 128-bit hashes, wherever the covers are.
-
-    Runs of windows that occur twice as a whole are settled first; only windows of other runs are looked up singly,
-    but every window counts.
-    """
-
-    def rows(some: DataFrame, step: int) -> DataFrame:
-        """Hashes of the runs of ``step`` windows; runs that a cover's ``known`` has are left out."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                skip = b.column("known").to_pylist() if "known" in b.schema.names else [None] * b.num_rows
-                for fp, cover, n, w, units, known in zip(*(b.column(k).to_pylist() for k in ("fp", "cover", "n", "windows", "units")), skip):
-                    lo, hi, h1, h2 = _stretches(units, w, spec, step)
-                    if known:
-                        old = np.zeros(w, bool)
-                        for k in known:
-                            old[k["lo"] : k["hi"] + 1] = True
-                        lo, hi, h1, h2 = (x[~old[lo]] for x in (lo, hi, h1, h2))
-                    k = len(lo)
-                    yield pa.record_batch(
-                        [pa.array(np.full(k, fp)), pa.array(np.full(k, cover)), pa.array(np.full(k, n)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
-                        names=["fp", "cover", "n", "lo", "hi", "h1", "h2"],
-                    )
-
-        return some.mapInArrow(run, "fp bigint, cover bigint, n bigint, lo int, hi int, h1 bigint, h2 bigint")
-
-    def twice(x: DataFrame) -> DataFrame:
-        return x.groupBy("h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").select("h1", "h2")
-
-    runs = rows(covers, RUN)
-    settled = saved(runs.join(twice(runs), ["h1", "h2"]).select("fp", "cover", "lo", "hi"), "repeated-runs")
-    known = settled.groupBy("fp", "cover").agg(F.collect_list(F.struct("lo", "hi")).alias("known"))
-    left = rows(covers.join(known, ["fp", "cover"], "left"), 1)
-    return settled.unionByName(left.join(twice(rows(covers, 1)), ["h1", "h2"]).select("fp", "cover", "lo", "hi"))
+        return pa.table([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["a", "b", "lo", "hi"])
 
+    return covers.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))).groupBy("shard").applyInArrow(run, "a bigint, b bigint, lo int, hi int")
 
-def repeated(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
-    """The keyed documents, and by (id, tk) the ranges of window starts that are repeated."""
-    rows = keyed(docs)
-    found = saved(_anchor_rows(rows, spec), "anchors")
-    twice = found.groupBy("fp").agg(F.count("*").alias("n"), F.min("cover").alias("c0"), F.max("cover").alias("c1")).where("n > 1")
+
+def _decided(items: DataFrame, spec: Spec) -> DataFrame:
+    """a, b, lo, hi: ranges of window starts that are repeated, of items with a key (a, b), a number n and a text."""
+    found = saved(_anchor_rows(items, spec), "anchors")
+    twice = found.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1")
     # Written first, so that the join shuffles both sides anew and can split a hot fingerprint over tasks.
-    twice = saved(twice.select("fp", (F.col("c0") == F.col("c1")).alias("same")), "repeated-fingerprints")
+    twice = saved(twice.select("fp"), "repeated-fingerprints")
     hits = saved(found.join(twice, "fp"), "repeated-anchors")
-    sure = hits.where("same").select("id", "tk", F.col("p0").alias("lo"), F.col("p1").alias("hi"))
-    open_ = hits.where(~F.col("same"))
-    each = open_.groupBy("fp", "cover").agg(F.count("*").alias("n"), F.min(F.struct("id", "tk", "p0", "p1")).alias("at"))
-    many = each.groupBy("fp").agg((F.count("*") > MANY_COVERS).alias("many"))
-    wanted = saved(each.join(many, "fp").select("fp", "cover", "n", "many", "at.*"), "covers-wanted")
-    covers = saved(_covers(rows, wanted, spec), "covers")
-    shards = max(8, -(-wanted.where(~F.col("many")).count() // SHARD_COVERS))
-    checked = saved(_exact(covers.where(~F.col("many")), spec, shards).unionByName(_hashed(covers.where("many"), spec)), "repeated-windows")
-    checked = open_.join(checked, ["fp", "cover"]).select("id", "tk", (F.col("p0") + F.col("lo")).alias("lo"), (F.col("p0") + F.col("hi")).alias("hi"))
-    ranges = sure.unionByName(checked).groupBy("id", "tk").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    return rows, ranges
+    each = hits.groupBy("fp", "cover").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b", "p0", "p1")).alias("at"))
+    each = saved(each.select("fp", "cover", "n", "at.*"), "different-covers")
+    many = each.groupBy("fp").agg((F.count("*") > MANY_COVERS).alias("many")) if spec.width < spec.length else twice.withColumn("many", F.lit(False))
+    wanted = saved(each.join(many, "fp").select("fp", "cover", "n", "many", "a", "b", "p0", "p1"), "covers-wanted")
+    covers = saved(_covers(items, wanted, spec), "covers")
+    sums = wanted.groupBy("many").count().collect()  # two rows
+    counts = {r["many"]: r["count"] for r in sums}
+    shards = max(8, -(-counts.get(False, 0) // SHARD_COVERS))
+    checked = _exact(covers.where(~F.col("many")), spec, shards)
+    if counts.get(True):
+        checked = checked.unionByName(_decided(covers.where("many").select("a", "b", "n", "text"), spec.wider()))
+    checked = saved(checked, "repeated-windows").withColumnsRenamed({"a": "fp", "b": "cover"})
+    return hits.join(checked, ["fp", "cover"]).select("a", "b", (F.col("p0") + F.col("lo")).alias("lo"), (F.col("p0") + F.col("hi")).alias("hi"))
+
+
+def repeated(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
+    """The keyed documents, and by (a, b) the ranges of window starts that are repeated."""
+    rows = keyed(docs)
+    ranges = _decided(rows.withColumn("n", F.lit(1).cast("long")), spec)
+    return rows, ranges.groupBy("a", "b").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
 
 def covered(ranges: pa.Scalar, n: int, length: int) -> np.ndarray:

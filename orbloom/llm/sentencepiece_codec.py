@@ -1,14 +1,17 @@
 """SentencePiece encoding and decoding: batched numpy Viterbi over the pieces and scores of a public model.
 
 Words that are new to a worker are segmented together: words of equal length advance one end position at a time,
-hashes of their substrings probe the sorted piece keys, and a vectorised maximum over the starts stores the
-backpointers.  The segmentation with the largest sum of scores wins; equal sums go to the longer last piece.
+hashes of their substrings, grown by one character at each step, probe the sorted piece keys, and a vectorised
+maximum over the starts stores the backpointers.  The pieces found are compared with the text.  Very long words, of
+which there are not enough of one length to fill a batch, go through the same recursion one position at a time.
+The segmentation with the largest sum of scores wins; equal sums go to the longer last piece.
 No piece of the vocabulary continues over a space after a letter, so words are independent of each other.
 Characters without a piece become byte pieces.  The model's pieces and scores are used as they are; for a file of
 merge ranks this is the best segmentation by rank, not the merge order of its own encoder.
 
 Defined results: a null or empty text has no ids; all other texts get one leading space, as the model asks;
-U+2581 in a text reads as a space; equal texts get equal ids; decoding ids of a text gives the text back.
+U+2581 in a text reads as a space; equal texts get equal ids; decoding ids of a text gives the text back; repeated
+rows stay repeated; an empty table gives an empty result; further columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +28,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from orbloom.llm._arrow import MIX2, mix, powers, span_hash
+from orbloom.llm._arrow import BASE, joined, mix, tidy
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types of the file format
 UNKNOWN_PENALTY = 10.0
-CACHE = 300_000
+CACHE = 24_000_000  # bytes of words and their ids that a worker keeps
+LONG, FEW = 2000, 8  # letters of a long word, and how many such words are too few for a batch
 CELLS = 1 << 18
 TEXTS = 1000
 
@@ -96,6 +100,8 @@ class Codec:
         self.keys, self.ids, self.scores = keys[order], usable[order], score[usable[order]]
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces share a hash")
+        self.texts = pieces.text
+        self.by_text = {pieces.text[i]: (i, float(score[i])) for i in usable.tolist()}
         self.byte_id = np.zeros(256, np.uint32)
         table: list[bytes] = []
         for i, (t, k) in enumerate(zip(pieces.text, pieces.kind)):
@@ -108,19 +114,21 @@ class Codec:
         inner = any(SPACE in t.lstrip(SPACE) for t in pieces.text)
         self.split = re.compile("(?s).+" if inner else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     @staticmethod
     def _key(piece: str) -> np.uint64:
-        c = np.frombuffer(piece.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
-        h = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * powers(len(c))[0], dtype=np.uint64)])
-        return span_hash(h, np.array([0]), np.array([len(c)]))[0]
+        h = np.full(1, BASE)
+        for c in np.frombuffer(piece.encode("utf-32-le"), "<u4").astype(np.uint64):
+            h = joined(h, np.full(1, c))
+        return mix(h)[0]
 
     def _batch(self, words: list[str], length: int) -> list[bytes]:
         """Viterbi for words of one length, all at once."""
         n = len(words)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, length)
-        prefix = np.zeros((n, length + 1), np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers(length)[0], axis=1, out=prefix[:, 1:])
+        codes = codes.astype(np.uint64)
+        grown = np.empty((n, 0), np.uint64)  # hashes of the substrings that end here, the longest first
         best = np.full((n, length + 1), -np.inf)
         best[:, 0] = 0
         start = np.zeros((n, length + 1), np.int32)
@@ -129,7 +137,9 @@ class Codec:
         for end in range(1, length + 1):
             lo = max(0, end - self.longest)
             starts = np.arange(lo, end)
-            h = span_hash_rows(prefix, starts, end)
+            grown = np.column_stack([grown[:, max(0, grown.shape[1] + 1 - self.longest) :], np.full(n, BASE)])
+            grown = joined(grown, codes[:, end - 1 : end])
+            h = mix(grown)
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             hit = self.keys[at] == h
             s = np.where(hit, self.scores[at], -np.inf)
@@ -147,31 +157,54 @@ class Codec:
             while e:
                 p = piece_l[r][e]
                 s = start_l[r][e]
+                if p >= 0 and self.texts[p] != w[s:e]:
+                    ids = self._single(w)[::-1]
+                    break
                 ids.extend([p] if p >= 0 else self.byte_id[list(w[s:e].encode("utf-8", "replace"))][::-1].tolist())
                 e = s
             out.append(struct.pack(f"<{len(ids)}I", *reversed(ids)))
         return out
 
+    def _single(self, word: str) -> list[int]:
+        """Viterbi for one word by the pieces' texts."""
+        get, best, back = self.by_text.get, [0.0], [(0, -1)]
+        for end in range(1, len(word) + 1):
+            top = (-np.inf, 0, -1)
+            for s in range(max(0, end - self.longest), end):
+                p, score = get(word[s:end]) or (-1, self.unknown_score if end - s == 1 else -np.inf)
+                if best[s] + score > top[0]:
+                    top = (best[s] + score, s, p)
+            best.append(top[0])
+            back.append(top[1:])
+        ids, e = [], len(word)
+        while e:
+            s, p = back[e]
+            ids.extend([p] if p >= 0 else self.byte_id[list(word[s:e].encode("utf-8", "replace"))][::-1].tolist())
+            e = s
+        return ids[::-1]
+
     def learn(self, words: set[str]) -> None:
         by_length = defaultdict(list)
         for w in words:
             by_length[len(w)].append(w)
         for length, ws in by_length.items():
+            if length > LONG and len(ws) < FEW:
+                self.known.update((w, struct.pack(f"<{len(ids)}I", *ids)) for w in ws for ids in [self._single(w)])
+                continue
             step = max(1, CELLS // (length * min(length, self.longest)))
             for lo in range(0, len(ws), step):
                 part = ws[lo : lo + step]
                 self.known.update(zip(part, self._batch(part, length)))
+        self.held += sum(160 + 2 * len(w) + len(self.known[w]) for w in words)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of many texts; their new words are learned together."""
+        if self.held > CACHE:
+            self.known.clear()
+            self.held = 0
         known = self.known
         split = [self.split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        words = set().union(*split)
-        new = words.difference(known)
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = words
-        self.learn(new)
+        self.learn(set().union(*split).difference(known))
         return [np.frombuffer(b"".join([known[w] for w in ws]), "<u4") for ws in split]
 
     def encode(self, text: str) -> np.ndarray:
@@ -183,12 +216,6 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
-def span_hash_rows(prefix: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
-    """As ``span_hash``, for many rows of equal length and one common end."""
-    q = powers(prefix.shape[1])[1]
-    return mix((prefix[:, end : end + 1] - prefix[:, starts]) * q[starts] + (end - starts).astype(np.uint64) * MIX2)
-
-
 _codecs: dict[str, Codec] = {}
 
 
@@ -202,6 +229,7 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id and the ids of its whole text."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for whole in batches:
@@ -216,6 +244,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id and the text of its ids; null ids give the empty text."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for b in batches:
@@ -228,6 +257,7 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
     """Encodes and decodes every whole text: count and CRC-32 of the ids, hash of the decoded text, and whether it is the text."""
     schema = "doc_id bigint, n_ids bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for b in (w.slice(lo, TEXTS) for w in batches for lo in range(0, w.num_rows, TEXTS)):

@@ -4,7 +4,8 @@ Word sequences of ``length`` words that start at more than one place of the corp
 Which stretches of text can match is found by anchors (see ``_repeats``); those stretches, each only once, are the
 reference.  It is cut into shards by fingerprint, each small enough for one task.  A shard's suffix automaton
 is built there and its stretches stream through it: the state of the last ``length`` words counts how often that
-sequence was met, and windows whose state was met twice form the maximal spans to remove.
+sequence was met, and windows whose state was met twice form the maximal spans to remove.  Anchors only say which
+stretches meet: every removed word comes from matching statistics.
 
 An automaton of the whole corpus has no proven size, so shards go to the stretches that can match them instead of
 to every task.  A reference of bounded size (a benchmark) does go to every task: see ``remove_reference``.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbloom.llm import _repeats
-from orbloom.llm._arrow import utf8, words
+from orbloom.llm._arrow import tidy, utf8
 
 LENGTH = 35
 WIDTH = 8
@@ -124,6 +125,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spec = _repeats.Spec(length, min(WIDTH, length), True, repeated_windows)
     rows, ranges = _repeats.repeated(docs, spec)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = utf8(b.column(1))
@@ -140,7 +142,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
             )
 
-    return rows.join(ranges, ["id", "tk"], "left").select("doc_id", "text", "ranges").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    return rows.join(ranges, ["a", "b"], "left").select("doc_id", "text", "ranges").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
 
 
 def remove_reference(docs: DataFrame, reference: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -154,6 +156,7 @@ def remove_reference(docs: DataFrame, reference: DataFrame, length: int = LENGTH
         raise ValueError(f"a reference of {size} bytes is too large to broadcast; the limit is {REFERENCE_LIMIT}")
     texts = spark.sparkContext.broadcast([(r.text or "").encode() for r in reference.select("text").collect()])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, held = [SuffixAutomaton()], 0
         for t in texts.value:

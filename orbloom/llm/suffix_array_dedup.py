@@ -24,9 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from orbloom.llm import _repeats
-from orbloom.llm._arrow import prefix_hash, span_hash, utf8
+from orbloom.llm._arrow import tidy, utf8, window_hash
 
 LENGTH = 200
 WIDTH = 64
@@ -34,14 +35,19 @@ TRIGGER = 8  # bytes of a trigger string
 MODULUS = 32  # one trigger string in so many
 
 
-def ranks_by_doubling(symbols: np.ndarray, limit: int | None = None) -> np.ndarray:
-    """Ranks of all suffixes of ``symbols`` (ends count as smallest); equal only if equal for ``limit`` symbols."""
+def ranks_by_doubling(symbols: np.ndarray, limit: int | None = None, stop: np.ndarray | None = None) -> np.ndarray:
+    """Ranks of all suffixes of ``symbols`` (ends count as smallest); equal only if equal for ``limit`` symbols.
+
+    With ``stop``, the last place of each suffix, what stands behind does not count: equal suffixes get equal ranks.
+    """
     n = len(symbols)
     rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
     width = 1
     while width < (limit or n) and n > 1:
         key = rank * (n + 1)
-        key[: n - width] += rank[width:] + 1
+        if width < n:
+            after = rank[width:] + 1
+            key[: n - width] += after if stop is None else np.where(np.arange(width, n) <= stop[: n - width], after, 0)
         if width >= n:
             break
         new = np.unique(key, return_inverse=True)[1].astype(np.int64)
@@ -54,9 +60,7 @@ def ranks_by_doubling(symbols: np.ndarray, limit: int | None = None) -> np.ndarr
 def parse(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Phrase starts and ends (with the trigger string they share with the next phrase); pieces end at ``ends``."""
     n = len(text)
-    h = prefix_hash(text.astype(np.uint64) + np.uint64(1))
-    at = np.arange(max(0, n - TRIGGER + 1))
-    trigger = at[span_hash(h, at, at + TRIGGER) % np.uint64(MODULUS) == 0]
+    trigger = np.flatnonzero(window_hash(text.astype(np.uint64), TRIGGER) % np.uint64(MODULUS) == 0)
     begin = np.concatenate([[0], ends[:-1]])
     piece = np.searchsorted(ends, trigger, "right")
     inside = (trigger + TRIGGER <= ends[piece]) & (trigger > begin[piece])
@@ -69,19 +73,14 @@ def parse(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def corpus_order(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All places of the text in suffix order up to piece ends, and their sort keys (equal for equal suffixes)."""
     starts, stops = parse(text, ends)
-    h = prefix_hash(text.astype(np.uint64) + np.uint64(1))
-    phrase_hash = span_hash(h, starts, stops)
-    _, sample, which = np.unique(phrase_hash, return_index=True, return_inverse=True)
+    raw, ids = text.tobytes(), {}
+    which = np.array([ids.setdefault(raw[a:b], len(ids)) for a, b in zip(starts.tolist(), stops.tolist())])
     # The dictionary: every different phrase once, each closed by a symbol smaller than any byte.
-    d0, d1 = starts[sample], stops[sample]
-    size = d1 - d0 + 1
+    size = np.array([len(p) + 1 for p in ids])
     base = np.concatenate([[0], np.cumsum(size)[:-1]])
-    place = np.repeat(d0 - base, size) + np.arange(int(size.sum()))
-    closing = np.zeros(len(place), bool)
-    closing[base + size - 1] = True
-    symbols = np.where(closing, 0, text[np.minimum(place, len(text) - 1)].astype(np.int64) + 1)
-    suffix_rank = ranks_by_doubling(symbols, int(size.max()))
-    # Symbols after a closing one must not count; phrases are prefix-free, so only equal suffixes need care.
+    symbols = np.frombuffer(b"".join(p + b"\0" for p in ids), np.uint8).astype(np.int64) + 1
+    symbols[base + size - 1] = 0
+    suffix_rank = ranks_by_doubling(symbols, int(size.max()), np.repeat(base + size - 1, size))
     order = np.unique(suffix_rank[base], return_inverse=True)[1]
     last = np.isin(stops, ends)
     # The parse: phrase ranks, with a smallest symbol after each piece, so that order ends there.
@@ -95,21 +94,25 @@ def corpus_order(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     span = np.append(starts[1:], len(text)) - starts
     owner = np.repeat(np.arange(m), span)
     offset = np.arange(len(text)) - starts[owner]
-    first = _suffix_classes(suffix_rank, symbols, base, size)[base[which[owner]] + offset]
-    key = first * (len(seq) + 1) + after[owner]
+    key = suffix_rank[base[which[owner]] + offset] * (len(seq) + 1) + after[owner]
     return np.argsort(key, kind="stable"), key
 
 
-def _suffix_classes(rank: np.ndarray, symbols: np.ndarray, base: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Ranks of phrase suffixes that are equal exactly when the suffixes are; what follows a phrase is ignored."""
-    h = prefix_hash(symbols.astype(np.uint64) + np.uint64(1))
-    end = np.repeat(base + size, size)
-    same = span_hash(h, np.arange(len(symbols)), end)
-    order = np.argsort(rank, kind="stable")
-    new = np.concatenate([[0], np.cumsum(same[order][1:] != same[order][:-1])])
-    out = np.empty(len(rank), np.int64)
-    out[order] = new
-    return out
+def agree(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes at each place of an order are those at the place before, by comparing them."""
+    same = np.zeros(len(order), bool)
+    if len(order) < 2:
+        return same
+    padded = text.tobytes() + bytes(8)
+    lanes = np.ndarray((len(text) + 1,), "<u8", padded, strides=(1,))
+    live = np.arange(1, len(order))
+    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 and length > 8 else [])]:
+        live = live[lanes[order[live] + at] == lanes[order[live - 1] + at]]
+    if length < 8:
+        bits = np.uint64((1 << 8 * length) - 1)
+        live = live[(lanes[order[live]] & bits) == (lanes[order[live - 1]] & bits)]
+    same[live] = True
+    return same
 
 
 def repeated_windows(covers: list[bytes], counts: np.ndarray, windows: np.ndarray, length: int) -> list[np.ndarray]:
@@ -124,9 +127,7 @@ def repeated_windows(covers: list[bytes], counts: np.ndarray, windows: np.ndarra
     piece = np.searchsorted(ends, order, "right")
     keep = order - begin[piece] < windows[piece]
     order, piece = order[keep], piece[keep]
-    h = prefix_hash(text.astype(np.uint64) + np.uint64(1))
-    window = span_hash(h, order, order + length)
-    group = np.concatenate([[0], np.cumsum(window[1:] != window[:-1])])
+    group = np.cumsum(~agree(text, order, length)) - 1
     twice = np.bincount(group, weights=counts[piece])[group] > 1
     mask = np.zeros(len(text), bool)
     mask[order] = twice
@@ -139,12 +140,13 @@ SPEC = _repeats.Spec(LENGTH, WIDTH, False, repeated_windows)
 def _marked(docs: DataFrame, length: int) -> DataFrame:
     spec = _repeats.Spec(length, min(WIDTH, length), False, repeated_windows)
     rows, ranges = _repeats.repeated(docs, spec)
-    return rows.join(ranges, ["id", "tk"], "left")
+    return rows.join(ranges, ["a", "b"], "left")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every document."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = utf8(b.column(1))
@@ -176,35 +178,35 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Documents of which nothing but white space is left go; those that lose nothing stay as they are.  All other columns
     are kept.
     """
-    from pyspark.sql import functions as F
-
     columns, schema = docs.columns, docs.schema
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))).withColumn("__tk", F.hash(F.coalesce(F.col("text"), F.lit(""))))
+    # Everything but keys and text travels as one struct, so no name of the documents can clash.
+    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), *[c.alias(n) for c, n in zip(_repeats.key_columns(docs), ("a", "b"))])
     ranges = _repeats.repeated(docs, _repeats.Spec(length, min(WIDTH, length), False, repeated_windows))[1]
-    ranges = ranges.select(F.col("id").alias("__id"), F.col("tk").alias("__tk"), F.col("ranges").alias("__ranges"))
-    joined = keyed.join(ranges, ["__id", "__tk"], "left").select(*columns, "__ranges")
+    joined = rows.join(ranges, ["a", "b"], "left").select("row", "ranges")
     at = columns.index("text")
     count_at = columns.index("n_chars") if "n_chars" in columns else None
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(at).to_pylist()
-            data, off = utf8(b.column(at))
+            given, ranges = b.column(0).flatten(), b.column(1)
+            texts = given[at].to_pylist()
+            data, off = utf8(given[at])
             keep = []
-            counts = b.column(count_at).to_pylist() if count_at is not None else []
+            counts = given[count_at].to_pylist() if count_at is not None else []
             for r in range(b.num_rows):
                 part = data[off[r] : off[r + 1]]
-                out = _repeats.covered(b.column(len(columns))[r], len(part), length)
+                out = _repeats.covered(ranges[r], len(part), length)
                 if out.any():
                     out = whole_characters(out, part)
                     texts[r] = part[~out].tobytes().decode()
                     if count_at is not None:
                         counts[r] = len(texts[r])
                 keep.append(not out.any() or bool(texts[r].strip()))
-            cols = [b.column(i) for i in range(len(columns))]
-            cols[at] = pa.array(texts, b.schema.field(at).type)
+            cols = list(given)
+            cols[at] = pa.array(texts, cols[at].type)
             if count_at is not None:
-                cols[count_at] = pa.array(counts, b.schema.field(count_at).type)
+                cols[count_at] = pa.array(counts, cols[count_at].type)
             yield pa.RecordBatch.from_arrays(cols, names=columns).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, schema)
