@@ -6,23 +6,26 @@ carved out.  ``store`` writes a payload as 8-bit samples (mono WAV) and reads it
 
 Defined results: null content sniffs as ``empty``; content without a confirmed object at its start keeps its
 declared type only if that type has no validator, else becomes ``unknown``; of objects found at one place the
-longest counts, and objects inside a carved one are not carved again; equal contents get equal values.
+longest counts, and objects inside a carved one are not carved again; equal contents get equal values; repeated
+rows stay repeated; an empty table gives an empty result; further columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from orbloom.llm._arrow import utf8
+from orbloom.llm._arrow import tidy, utf8
 
 UNIT = 64
 SAMPLE_RATE = 8000
@@ -122,9 +125,53 @@ def _bmp(b: bytes, at: int) -> int:
     return at + size if ok else -1
 
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.rfind(b"%%EOF", at)
-    return end + 5 if end > 0 and b.find(b"startxref", at, end) > 0 and b[at + 5 : at + 6].isdigit() else -1
+class Content(bytes):
+    """Bytes with the places that several validators ask for, each looked up once."""
+
+    @cached_property
+    def pdf_ends(self) -> list[tuple[int, int, int]]:
+        """Place of each ``startxref``, the offset that it gives, and the end of the %%EOF behind it."""
+        return [(m.start(), int(m[1]), m.end()) for m in _STARTXREF.finditer(self)]
+
+    @cached_property
+    def pdf_heads(self) -> list[int]:
+        return [m.start() for m in re.finditer(rb"%PDF-\d", self)]
+
+    @cached_property
+    def zip_ends(self) -> dict[int, int]:
+        """Start of an archive, as its end record tells it, and its end."""
+        out: dict[int, int] = {}
+        at = self.find(b"PK\x05\x06")
+        while at >= 0 and at + 22 <= len(self):
+            size, first, note = struct.unpack_from("<IIH", self, at + 12)
+            directory = at - size
+            if directory - first >= 0 and self[directory : directory + 4] in (b"PK\x01\x02", b"PK\x05\x06") and at + 22 + note <= len(self):
+                out.setdefault(directory - first, at + 22 + note)
+            at = self.find(b"PK\x05\x06", at + 1)
+        return out
+
+
+_STARTXREF = re.compile(rb"startxref\s{1,8}(\d{1,18})\s{1,8}%%EOF")
+_XREF = re.compile(rb"\s{0,8}(?:xref\b|\d{1,10}\s{1,8}\d{1,5}\s{1,8}obj\b)")
+
+
+def _pdf(b: Content, at: int) -> int:
+    """Ends at the first %%EOF whose cross-reference table is where it says, or at that of a later update."""
+    if not b[at + 5 : at + 6].isdigit():
+        return -1
+    following = bisect_right(b.pdf_heads, at)
+    limit = b.pdf_heads[following] if following < len(b.pdf_heads) else len(b)
+    end = -1
+    for k in range(bisect_left(b.pdf_ends, (at,)), len(b.pdf_ends)):
+        place, offset, stop = b.pdf_ends[k]
+        if place >= limit:
+            break
+        fits = at + offset < place and _XREF.match(b, at + offset)
+        if end < 0 and fits or end >= 0 and fits and at + offset >= end:
+            end = stop
+        elif end >= 0:
+            break
+    return end
 
 
 def _gzip(b: bytes, at: int) -> int:
@@ -143,28 +190,71 @@ def _gzip(b: bytes, at: int) -> int:
     return min(p, len(b)) - len(d.unused_data) if d.eof else -1
 
 
-def _zip(b: bytes, at: int) -> int:
-    if len(b) < at + 30:
-        return -1
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(b):
-        size, first, note = struct.unpack_from("<IIH", b, end + 12)
-        if end - size - first == at and b[end - size : end - size + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(b):
-            return end + 22 + note
-        end = b.find(b"PK\x05\x06", end + 1)
-    return -1
+def _zip(b: Content, at: int) -> int:
+    return b.zip_ends.get(at, -1) if len(b) >= at + 30 else -1
+
+
+@lru_cache(maxsize=2)
+def _crc_table(bits: int, polynomial: int) -> list[int]:
+    top, out = 1 << (bits - 1), []
+    for c in range(256):
+        c <<= bits - 8
+        for _ in range(8):
+            c = (c << 1 ^ polynomial) if c & top else c << 1
+        out.append(c & ((1 << bits) - 1))
+    return out
+
+
+def _flac_frame(b: bytes, p: int) -> tuple[int, int]:
+    """Bytes of the frame header at p and samples of its block; 0, 0 if its checksum or a field is wrong."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] & 0xFE != 0xF8 or b[p + 3] & 1:
+        return 0, 0
+    size, rate = b[p + 2] >> 4, b[p + 2] & 15
+    if not size or rate == 15:
+        return 0, 0
+    first, q = b[p + 4], p + 5
+    while first & 0x80 and first & 0x40:  # the number is coded as in UTF-8
+        first, q = first << 1, q + 1
+    n = 192 if size == 1 else 576 << (size - 2) if size < 6 else 256 << max(0, size - 8)
+    if size in (6, 7):
+        wide = size - 5
+        n, q = int.from_bytes(b[q : q + wide], "big") + 1, q + wide
+    q += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if q >= len(b):
+        return 0, 0
+    crc, table = 0, _crc_table(8, 0x07)
+    for x in b[p:q]:
+        crc = table[crc ^ x]
+    return (q + 1 - p, n) if crc == b[q] else (0, 0)
 
 
 def _flac(b: bytes, at: int) -> int:
+    """Ends behind the last frame whose checksum holds, once all samples that the stream promises are there."""
     p = at + 4
-    if len(b) < p + 4 or b[p] & 0x7F or int.from_bytes(b[p + 1 : p + 4], "big") != 34:
+    if len(b) < p + 38 or b[p] & 0x7F or int.from_bytes(b[p + 1 : p + 4], "big") != 34:
         return -1
-    while p + 4 <= len(b):
-        last, size = b[p] >> 7, int.from_bytes(b[p + 1 : p + 4], "big")
-        p += 4 + size
-        if last:
-            return len(b) if p + 2 <= len(b) and b[p] == 0xFF and b[p + 1] & 0xFC == 0xF8 else -1
-    return -1
+    promised = int.from_bytes(b[p + 17 : p + 22], "big") & ((1 << 36) - 1)
+    last = 0
+    while not last:
+        if p + 4 > len(b):
+            return -1
+        last, p = b[p] >> 7, p + 4 + int.from_bytes(b[p + 1 : p + 4], "big")
+    samples, table = 0, _crc_table(16, 0x8005)
+    head, n = _flac_frame(b, p)
+    while head:
+        samples += n
+        crc, q, following = 0, p, (0, 0)
+        for x in memoryview(b)[p:]:
+            crc = (crc << 8 & 0xFFFF) ^ table[crc >> 8 ^ x]
+            q += 1
+            if not crc and q - p > head:
+                following = _flac_frame(b, q)
+                if following[0] or samples >= promised:
+                    break
+        else:
+            return -1
+        p, (head, n) = q, following
+    return p if samples else -1
 
 
 def _ogg(b: bytes, at: int) -> int:
@@ -224,18 +314,20 @@ def _automaton():
 
 def confirmed(content: bytes) -> list[tuple[int, int, str]]:
     """(start, end, type) of all objects whose validators agree, outermost only, in order."""
-    found = []
-    for last, magic in _automaton().iter(content.decode("latin-1")):
-        kind, shift, check = SIGNATURES[magic]
-        at = last + 1 - len(magic)
-        end = check(content, at)
-        if end > at:
-            found.append((at - shift, end, kind))
-    found.sort(key=lambda x: (x[0], -x[1], x[2]))
+    content = Content(content)
+    places = sorted((last + 1 - len(magic) - SIGNATURES[magic][1], magic) for last, magic in _automaton().iter(content.decode("latin-1")))
     out: list[tuple[int, int, str]] = []
-    for f in found:
-        if not out or f[0] >= out[-1][1]:
-            out.append(f)
+    for start, magic in places:
+        if start < 0 or out and out[-1][0] < start < out[-1][1]:
+            continue
+        kind, shift, check = SIGNATURES[magic]
+        end = check(content, start + shift)
+        if end <= start:
+            continue
+        if not out or start >= out[-1][1]:
+            out.append((start, end, kind))
+        elif (end, out[-1][2]) > (out[-1][1], kind):
+            out[-1] = (start, end, kind)
     return out
 
 
@@ -256,6 +348,7 @@ def carve(df: DataFrame, key: str, content: str, declared: str | None = None) ->
     schema = f"{key} {df.schema[key].dataType.simpleString()}, declared string, sniffed string, object int, start bigint, length bigint, media_type string, media binary"
     cols = [df[key].alias(key), df[content].cast("binary").alias("content"), (df[declared] if declared else df[key].cast("string")).alias("declared")]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -299,7 +392,7 @@ def padded(content: bytes) -> bytes:
 
 def describe(stored: bytes, declared: str) -> tuple[bytes, str]:
     """Reads a stored form back: its payload, and its features as text."""
-    kind, _ = ("audio/wav", []) if _wav(stored, 0) == len(stored) else sniff(stored, declared)
+    kind, _ = sniff(stored, declared)
     payload = from_samples(stored)
     x = np.frombuffer(payload, np.uint8)
     level = x.astype(np.float32) - 128
@@ -315,6 +408,7 @@ def store(docs: DataFrame, declared: str = "text/plain") -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = utf8(b.column(1))
