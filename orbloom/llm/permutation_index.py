@@ -1,9 +1,10 @@
 """Approximate nearest neighbours with a permutation index.
 
-Vectors are represented by the order of their nearest pivots.  Each pivot's inverted file holds, for every vector
-of a shard, the place of the pivot in that vector's order (``PREFIX`` stands for any place beyond the prefix).  A
-query reads the files of its own nearest pivots, sums the footrule distance of the two orders, takes the nearest
-share of the shard as candidates and reranks them with exact inner products.
+Vectors are represented by the order of their ``PREFIX`` nearest pivots.  A vector is posted in the inverted files of
+these pivots only, in the order of the pivot's place.  A query reads the files of its own nearest pivots, and of
+these only the postings at most ``REACH`` places from its own; each posting lowers the footrule distance of the two
+orders, in which a pivot that one of them lacks counts as ``PREFIX`` places away.  The ``SHARE`` of a shard that is
+nearest by footrule is reranked with exact inner products.
 
 Nearness is the largest inner product, so all vectors are lifted to one length first: a coordinate
 sqrt(M**2 - |x|**2) is added, M the largest norm, and queries get a zero there.
@@ -27,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orbloom.llm._arrow import saved
+from orbloom.llm._arrow import saved, tidy
 
 PIVOTS = 256
-PREFIX = 128
-SHARE = 0.2  # of a shard's vectors that are reranked
-LEAST = 1000  # vectors of a shard that are reranked at least
+PREFIX = 64
+REACH = 48
+SHARE = 0.25  # of a shard's vectors that are reranked
 SHARD = 8192
 QUERY_BLOCK = 64
 
@@ -52,7 +53,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 class Shard:
-    """Inverted files of one shard: row p holds the place of pivot p in every vector's order."""
+    """Inverted files of one shard, one behind the other: rows and places, sorted by pivot, place and row."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, top: float):
         o = np.argsort(ids, kind="stable")
@@ -60,34 +61,38 @@ class Shard:
         self.prefix = min(PREFIX, len(pivots))
         lift = np.sqrt(np.maximum(top * top - (self.x * self.x).sum(axis=1), 0))
         order = self._order(np.column_stack([self.x, lift]))
-        places = np.full((len(ids), len(pivots)), self.prefix, np.int16)
-        np.put_along_axis(places, order, np.arange(self.prefix, dtype=np.int16)[None, :], axis=1)
-        self.files = np.ascontiguousarray(places.T)
+        slot = (order * self.prefix + np.arange(self.prefix)).ravel()  # (pivot, place)
+        by_slot = np.argsort(slot, kind="stable")
+        self.rows = (by_slot // self.prefix).astype(np.int32)
+        self.places = (by_slot % self.prefix).astype(np.int32)
+        self.starts = np.searchsorted(slot[by_slot], np.arange(len(pivots) * self.prefix + 1))
 
     def _order(self, lifted: np.ndarray) -> np.ndarray:
         return np.argsort(-(lifted @ self.pivots.T), axis=1, kind="stable")[:, : self.prefix]
 
+    def near(self, order: np.ndarray, take: int) -> tuple[np.ndarray, int]:
+        """The ``take`` rows nearest to an order by footrule, ties to smaller ids, and how many postings were read."""
+        gain, read = np.zeros(len(self.ids), np.int32), 0
+        for place, pivot in enumerate(order.tolist()):
+            lo = self.starts[pivot * self.prefix + max(0, place - REACH)]
+            hi = self.starts[pivot * self.prefix + min(self.prefix, place + REACH + 1)]
+            gain[self.rows[lo:hi]] += self.prefix - np.abs(self.places[lo:hi] - place)
+            read += int(hi - lo)
+        if take >= len(gain):
+            return np.arange(len(gain)), read
+        edge = np.partition(gain, len(gain) - take)[len(gain) - take]
+        above = np.flatnonzero(gain > edge)
+        return np.concatenate([above, np.flatnonzero(gain == edge)[: take - len(above)]]), read
+
     def search(self, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query ids, vector ids and scores of the k best candidates of each query in this shard."""
         n = len(self.ids)
         norms = np.sqrt((q * q).sum(axis=1, keepdims=True))
         orders = self._order(np.column_stack([q / norms * self.top, np.zeros(len(q))]))
-        take = min(n, max(LEAST, int(np.ceil(SHARE * n)), k + 1))
+        take = min(n, max(int(np.ceil(SHARE * n)), k + 1))
         out_q, out_v, out_s = [], [], []
-        distance, term = np.empty(n, np.int32), np.empty(n, np.int16)
         for i in range(len(q)):
-            if take < n:
-                distance[:] = 0
-                for place, p in enumerate(orders[i]):
-                    np.subtract(self.files[p], np.int16(place), out=term)
-                    np.abs(term, out=term)
-                    np.add(distance, term, out=distance)
-                # Ties at the edge go to smaller ids: rows are in the order of ids.
-                edge = np.partition(distance, take - 1)[take - 1]
-                near = np.flatnonzero(distance < edge)
-                near = np.concatenate([near, np.flatnonzero(distance == edge)[: take - len(near)]])
-            else:
-                near = np.arange(n)
+            near, _ = self.near(orders[i], take)
             near = near[self.ids[near] != ids[i]]
             s = self.x[near] @ q[i]
             if len(near) > k:
@@ -119,6 +124,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "v")
     rows = index.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "vec_id")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piv, m = shared.value
         shard, parts, built = None, [], None
