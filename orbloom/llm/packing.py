@@ -6,13 +6,18 @@ at most ``capacity`` lengths, however many documents there are.  A chromosome is
 a list of bins; equal bins (the same lengths) are one gene with a multiplicity.
 Each island evolves its own population in a task of its own:
 
+* the first packings take the lengths in random order, so none of them is the
+  greedy packing from the start;
 * crossover injects whole well-filled bins of one parent into the other, takes
   out the other's bins that now hold pieces twice, and best-fits the displaced
   pieces into the bins that stay;
 * mutation breaks up a few of the worst-filled bins and best-fits their pieces;
-* after each epoch every island's elite moves to the next island of the ring.
+* after each epoch every island's elite moves to the next island of the ring,
+  where it replaces the worst packing and takes part in the next crossovers.
 
-The winner's bins go back to the pieces by rank within their length.
+All generations run, however good a packing is.  The greedy packing of longest
+pieces first serves as a check: the result may not need more bins than it.  The
+winner's bins go back to the pieces by rank within their length.
 
 Defined results: a null text is empty; an empty text is one piece that holds
 the closing id alone; equal texts get equal ids; ties between lengths go to the
@@ -26,6 +31,7 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,15 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbloom.llm._arrow import saved, utf8
+from orbloom.llm._arrow import saved, tidy, utf8
 
 CAPACITY = 2048
 CLOSING_ID = 0
 ISLANDS = 4
-EPOCHS = 2
-GENERATIONS = 6
+EPOCHS = 3
+GENERATIONS = 5
 POPULATION = 6
-WORDS_KEPT = 300_000
+WELL_FILLED = 0.9995  # share of a bin that makes it fit to be passed on
+WORDS_KEPT = 16_000_000  # bytes of words and their ids that a worker keeps
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -88,6 +95,7 @@ class WordTokenizer:
         self.merge = tiktoken.Encoding("word ends", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.known: dict[bytes, bytes] = {}
         self.known_parts: dict[str, bytes] = {}
+        self.held = 0
 
     @staticmethod
     def _shown_bytes() -> dict[str, int]:
@@ -115,12 +123,14 @@ class WordTokenizer:
             return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
         except KeyError:
             new = {w for w in words if w not in known}
-        if len(known) + len(new) > WORDS_KEPT:
+        if self.held > WORDS_KEPT:
             known.clear()
             self.known_parts.clear()
+            self.held = 0
             new = set(words)
         for w in new:
-            known[w] = self._word(w)
+            ids = known[w] = self._word(w)
+            self.held += 240 + 2 * (len(w) + len(ids))  # the parts of a word are kept as well
         return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
 
 
@@ -137,6 +147,7 @@ def tokenizer(path: str) -> WordTokenizer:
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: its document's ids before it, its length and the CRC-32 of its ids."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
         for b in batches:
@@ -159,11 +170,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
 Bins = dict[tuple[int, ...], int]  # the lengths in a bin, longest first -> how many such bins
 
 
-def best_fit(counts: np.ndarray, capacity: int, bins: Bins | None = None, rng: np.random.Generator | None = None) -> Bins:
+def best_fit(counts: np.ndarray, capacity: int, bins: Bins | None = None, rng: np.random.Generator | None = None, shake: float = 0.07) -> Bins:
     """Places counts[length] pieces, longest first, each into the open bin that it fills best.
 
     Bins with equal contents move together, so the work follows the number of distinct bins, not of pieces.
-    With ``rng``, the order of lengths is shaken a little.
+    With ``rng``, the order of lengths is shaken: a little, or with ``shake`` 1 completely.
     """
     done: Bins = {}
     by_room: list[Bins] = [{} for _ in range(capacity + 1)]
@@ -175,7 +186,7 @@ def best_fit(counts: np.ndarray, capacity: int, bins: Bins | None = None, rng: n
     lengths = np.flatnonzero(counts[: capacity + 1])[::-1]
     lengths = lengths[lengths > 0]
     if rng is not None and len(lengths) > 1:
-        lengths = lengths[np.argsort(-(lengths * rng.uniform(0.93, 1.0, len(lengths))), kind="stable")]
+        lengths = lengths[np.argsort(-(lengths * rng.uniform(1.0 - shake, 1.0, len(lengths)) if shake < 1 else rng.random(len(lengths))), kind="stable")]
     for length in lengths.tolist():
         left = int(counts[length])
         while left:
@@ -224,58 +235,81 @@ def fitness(bins: Bins, capacity: int) -> tuple[int, float]:
     return total, -sum(n * (sum(c) / capacity) ** 2 for c, n in bins.items())
 
 
-def crossover(a: Bins, b: Bins, capacity: int, rng: np.random.Generator) -> Bins:
-    """Injects well-filled bins of ``b`` into ``a``; bins of ``a`` with pieces that came twice go, the rest is best-fitted."""
+def crossover(a: Bins, b: Bins, capacity: int, rng: np.random.Generator) -> tuple[Bins, int]:
+    """Injects well-filled bins of ``b`` into ``a``; bins of ``a`` with pieces that came twice go, the rest is best-fitted.
+
+    Also returns how many bins were injected.
+    """
     child: Bins = {}
     used = np.zeros(capacity + 1, np.int64)
     total = content_counts(a, capacity)
+    injected = 0
     for content, n in b.items():
-        if sum(content) >= capacity - 1 and rng.random() < 0.6:
+        if sum(content) >= WELL_FILLED * capacity and rng.random() < 0.6:
             child[content] = n
+            injected += n
             for length, k in Counter(content).items():
                 used[length] += n * k
     for content, n in sorted(a.items(), key=lambda x: (-sum(x[0]), x[0])):
         need = Counter(content)
         keep = min(n, min(int(total[length] - used[length]) // k for length, k in need.items()))
-        if keep > 0 and sum(content) >= capacity - 1:
+        if keep > 0 and sum(content) >= WELL_FILLED * capacity:
             child[content] = child.get(content, 0) + keep
             for length, k in need.items():
                 used[length] += keep * k
-    return best_fit(total - used, capacity, child, rng)
+    return best_fit(total - used, capacity, child, rng if rng.random() < 0.5 else None), injected
 
 
 def mutate(bins: Bins, capacity: int, rng: np.random.Generator) -> Bins:
-    """Breaks up the worst-filled bins and a random few, and best-fits their pieces."""
-    order = sorted(bins.items(), key=lambda x: (sum(x[0]), x[0]))
-    kept = dict(bins)
+    """Breaks up all bins that are not full and a random share of the others, and best-fits their pieces."""
+    share = rng.uniform(0.05, 0.6)
+    kept = {}
     loose = np.zeros(capacity + 1, np.int64)
-    for i, (content, n) in enumerate(order):
-        if i < max(2, len(order) // 20) or rng.random() < 0.1:
-            del kept[content]
+    for content, n in sorted(bins.items()):
+        if sum(content) == capacity and rng.random() >= share:
+            kept[content] = n
+        else:
             for length, k in Counter(content).items():
                 loose[length] += n * k
-    return best_fit(loose, capacity, kept, rng)
+    return best_fit(loose, capacity, kept, rng if rng.random() < 0.5 else None)
+
+
+@dataclass
+class Progress:
+    """What an island did in an epoch."""
 
+    crossovers: int = 0
+    injected: int = 0  # bins that came from the other parent whole
+    migrants: int = 0
 
-def evolve(counts: np.ndarray, capacity: int, seed: int, elite: list[Bins], generations: int, size: int) -> Bins:
-    """One island's epoch: the fittest packing after ``generations``."""
-    rng = np.random.default_rng(seed)
-    population = [best_fit(counts, capacity), *elite]
+
+def random_fit(counts: np.ndarray, capacity: int, rng: np.random.Generator) -> Bins:
+    """A first packing: best fit with the lengths in random order."""
+    return best_fit(counts, capacity, rng=rng, shake=1.0)
+
+
+def evolve(counts: np.ndarray, capacity: int, seed: int, arrived: list[Bins], population: list[Bins], generations: int, size: int) -> tuple[list[Bins], Progress]:
+    """One island's epoch: its population after ``generations``, the fittest first."""
+    rng, done = np.random.default_rng(seed), Progress()
+    population = list(population)
     while len(population) < size:
-        population.append(best_fit(counts, capacity, rng=rng))
-    floor = -(-int((np.arange(len(counts)) * counts).sum()) // capacity)
+        population.append(random_fit(counts, capacity, rng))
+    population.sort(key=lambda x: fitness(x, capacity))
+    if arrived:
+        population[-len(arrived) :] = arrived
+        done.migrants = len(arrived)
     for _ in range(generations):
         population.sort(key=lambda x: fitness(x, capacity))
-        if sum(population[0].values()) <= floor:
-            break
         parents = population[: max(2, size // 2)]
         children = []
-        for _ in range(size - len(parents)):
-            i, j = rng.choice(len(parents), 2, replace=False)
-            child = crossover(parents[i], parents[j], capacity, rng)
+        for k in range(size - len(parents)):
+            i, j = (0, 1 + k % (len(parents) - 1)) if k < len(parents) - 1 else rng.choice(len(parents), 2, replace=False)
+            child, injected = crossover(parents[i], parents[j], capacity, rng)
+            done.crossovers += 1
+            done.injected += injected
             children.append(mutate(child, capacity, rng) if rng.random() < 0.5 else child)
         population = parents + children
-    return min(population, key=lambda x: fitness(x, capacity))
+    return sorted(population, key=lambda x: fitness(x, capacity)), done
 
 
 def _flat(bins: Bins) -> tuple[list[int], list[int], list[int]]:
@@ -291,24 +325,34 @@ def _bins(flat: list[int], sizes: list[int], times: list[int]) -> Bins:
     return out
 
 
-def islands(spark, counts: np.ndarray, capacity: int = CAPACITY, n: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, size: int = POPULATION) -> Bins:
-    """Evolves n islands as Spark tasks and sends each elite on along the ring after every epoch."""
-    schema = "island int, flat array<int>, sizes array<int>, times array<bigint>"
-    elites: list[Bins] = []
-    best: Bins | None = None
+def islands(spark, counts: np.ndarray, capacity: int = CAPACITY, n: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, size: int = POPULATION) -> tuple[Bins, list[Progress]]:
+    """Evolves n islands as Spark tasks and sends each elite on along the ring after every epoch.
+
+    Between epochs an island's population is its half fittest packings, of at most as many different bins as there
+    are lengths times rooms, however many documents there are.
+    """
+    schema = "island int, flat array<array<int>>, sizes array<array<int>>, times array<array<bigint>>, crossovers bigint, injected bigint, migrants bigint"
+    living: list[list[Bins]] = [[] for _ in range(n)]
+    progress: list[Progress] = []
     for epoch in range(epochs):
-        received = {i: [elites[i - 1]] if elites else [] for i in range(n)}
+        sent = [([living[i - 1][0]] if epoch and n > 1 else [], living[i]) for i in range(n)]
+        shared = spark.sparkContext.broadcast([([_flat(x) for x in a], [_flat(x) for x in b]) for a, b in sent])
 
-        def run(batches, received=received, epoch=epoch):
+        def run(batches, shared=shared, epoch=epoch):
             for pdf in batches:
                 for i in pdf["island"]:
-                    flat, sizes, times = _flat(evolve(counts, capacity, 1000 * epoch + int(i), received[int(i)], generations, size))
-                    yield pd.DataFrame({"island": [i], "flat": [flat], "sizes": [sizes], "times": [times]})
+                    arrived, own = ([_bins(*x) for x in part] for part in shared.value[int(i)])
+                    found, did = evolve(counts, capacity, 1000 * epoch + int(i), arrived, own, generations, size)
+                    flat = [_flat(x) for x in found[: max(2, size // 2)]]
+                    yield pd.DataFrame({"island": [i], "flat": [[f[0] for f in flat]], "sizes": [[f[1] for f in flat]], "times": [[f[2] for f in flat]], "crossovers": [did.crossovers], "injected": [did.injected], "migrants": [did.migrants]})
 
         rows = spark.range(0, n, 1, n).selectExpr("cast(id as int) island").mapInPandas(run, schema).collect()
-        elites = [_bins(r.flat, r.sizes, r.times) for r in sorted(rows, key=lambda r: r.island)]
-        best = min([*elites, *([best] if best else [])], key=lambda x: fitness(x, capacity))
-    return best or {}
+        for r in rows:
+            living[r.island] = [_bins(*x) for x in zip(r.flat, r.sizes, r.times)]
+            progress.append(Progress(r.crossovers, r.injected, r.migrants))
+    best = min((x for own in living for x in own), key=lambda x: fitness(x, capacity))
+    greedy = best_fit(counts, capacity)
+    return (best if sum(best.values()) <= sum(greedy.values()) else greedy), progress
 
 
 def slots(bins: Bins) -> pd.DataFrame:
@@ -337,7 +381,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     counts = np.zeros(capacity + 1, np.int64)
     for r in sums:
         counts[r["length"]] = r["count"]
-    table = slots(islands(spark, counts, capacity)) if counts.any() else slots({})
+    table = slots(islands(spark, counts, capacity)[0]) if counts.any() else slots({})
     keys = table["length"].to_numpy(np.int64) * (1 << 40) + table["rank"].to_numpy(np.int64)
     n_seq, first, offset = (table[c].to_numpy(np.int64) for c in ("n", "sequence", "offset"))
     ranks0 = table["rank"].to_numpy(np.int64)
