@@ -3,8 +3,9 @@
 Character 1- to 3-grams of the whole lower-cased text are hashed to ``BUCKETS`` features.  A feature's value is
 its share of the text's n-grams times its inverse document frequency, which is counted over *all* documents that
 may be learned from.  The weights are trained by follow-the-regularised-leader (FTRL-proximal) with an elastic-net
-penalty on a bounded sample of ``SAMPLE`` labelled documents (those with the smallest hashes of doc_id); a
-temperature is then fitted on documents of the sample that training did not use.
+penalty on a bounded sample of ``SAMPLE`` labelled documents of each language (those with the smallest hashes of
+doc_id and text), so that no labelled language is missing; a temperature is then fitted on documents of the sample
+that training did not use.
 
 Learned from: text and non-null lang of documents whose crc32(doc_id as text) mod 5 is not 0.
 
@@ -20,14 +21,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbloom.llm._arrow import tidy
+
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-SAMPLE = 3000
+SAMPLE = 800  # documents of each language
 CALIBRATION = 5  # every fifth document of the sample is kept for the temperature
 PASSES = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
@@ -104,14 +106,20 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, k: int, passe
 
 
 def temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature with the smallest mean log loss, by golden-section search."""
+    """The temperature with the smallest mean log loss, by golden-section search.
+
+    Targets are smoothed by one wrong label in all documents and one more: where all are told right, no temperature
+    but zero would be best otherwise, and every score would be one.
+    """
     if not len(y):
         return 1.0
 
     def loss(t: float) -> float:
         z = logits / t
         z = z - z.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]).mean())
+        logp = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        wrong = 1 / (len(y) + 1)
+        return float(-((1 - wrong) * logp[np.arange(len(y)), y] + wrong * logp.mean(axis=1)).mean())
 
     lo, hi, r = np.log(0.05), np.log(20.0), (5**0.5 - 1) / 2
     for _ in range(40):
@@ -156,33 +164,43 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df, max((r.docs for r in rows), default=0)
 
 
-def sample(docs: DataFrame, size: int = SAMPLE) -> pd.DataFrame:
-    """The ``size`` labelled documents with the smallest hashes of doc_id; only ids are sorted."""
-    h = F.xxhash64(F.col("doc_id"))
-    smallest = docs.select(h.alias("h")).orderBy("h").limit(size).agg(F.max("h")).first()[0]
-    if smallest is None:
-        return pd.DataFrame({"doc_id": [], "text": [], "lang": []})
-    rows = docs.where(h <= smallest).select("doc_id", "text", "lang").limit(2 * size).toPandas()
-    return rows.sort_values("doc_id").reset_index(drop=True)
+def sample(docs: DataFrame, size: int = SAMPLE) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """Language, features and their counts of ``size`` labelled documents of each language, in a fixed order.
+
+    Those with the smallest hashes of doc_id and text; rows that repeat count once.  Features are counted where the texts
+    are, so the driver gets ``size`` rows of at most BUCKETS numbers for a language.
+    """
+    keyed = docs.select("lang", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
+    chosen = keyed.select("lang", "h", "t").distinct().withColumn("r", rank).where(F.col("r") <= size)
+    edges = chosen.groupBy("lang").agg(F.max(F.struct("h", "t")).alias("edge"))
+    near = keyed.join(edges, "lang").where(F.struct("h", "t") <= F.col("edge")).dropDuplicates(["lang", "h", "t"]).select("lang", "h", "t", "text")
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, n, keep = [], [], []
+            for text in b.column(3).to_pylist():
+                x, c = np.unique(features(text), return_counts=True)
+                at.append(x.astype(np.int32))
+                n.append(c.astype(np.int32))
+                keep.append(has_letter(text))
+            yield pa.record_batch([*b.columns[:3], pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["lang", "h", "t", "at", "n"]).filter(pa.array(keep, pa.bool_()))
+
+    rows = near.mapInArrow(run, "lang string, h bigint, t bigint, at array<int>, n array<int>").toArrow().sort_by([("h", "ascending"), ("t", "ascending"), ("lang", "ascending")])
+    return [(lang, np.array(at.as_py()), np.array(n.as_py())) for lang, at, n in zip(rows["lang"].to_pylist(), rows["at"], rows["n"])]
 
 
 def fit(docs: DataFrame, size: int = SAMPLE) -> Model:
     docs = learnable(docs.select(*[docs[c] for c in ("doc_id", "text", "lang")]))
     df, n = document_frequencies(docs)
     rows = sample(docs, size)
-    rows = rows[[has_letter(t) for t in rows["text"]]].reset_index(drop=True) if len(rows) else rows
-    langs = sorted(set(rows["lang"]))
+    langs = sorted({lang for lang, _, _ in rows})
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     idf = np.log((1 + n) / (1 + df)) + 1.0
-    y = rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
-    sparse = []
-    for t in rows["text"]:
-        f = features(t)
-        c = np.bincount(f, minlength=BUCKETS)
-        at = np.flatnonzero(c)
-        x = c[at] / len(f) * idf[at]
-        sparse.append((at, x * 10))
+    y = np.array([langs.index(lang) for lang, _, _ in rows])
+    sparse = [(at, c / c.sum() * idf[at] * 10) for _, at, c in rows]
     held = np.arange(len(rows)) % CALIBRATION == 0
     if held.all():
         held[:] = False
@@ -197,6 +215,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or fit(docs)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = broadcast.value
         for b in batches:
@@ -208,16 +227,26 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose language is determined with a score of ``least`` or more, with all their columns."""
+def keep_identified(docs: DataFrame, least: float = 0.2) -> DataFrame:
+    """The documents whose language is determined, with all their columns; a null lang becomes the one predicted.
+
+    A score must be ``least`` of the way from chance (one in the number of languages) to certainty: texts in languages
+    that were not learned, and junk, score close to chance.  Null texts and those without a letter go; repeated rows
+    stay repeated; an empty table stays empty.
+    """
     model = fit(docs)
+    chance = 1 / max(1, len(model.langs))
+    edge = chance + least * (1 - chance)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = broadcast.value
         for b in batches:
-            found = (m.predict(t.as_py()) for t in b.column(at))
-            yield b.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in found], pa.bool_()))
+            found = [m.predict(t.as_py()) for t in b.column(text)]
+            cols = list(b.columns)
+            cols[lang] = pa.array([old if old is not None else new for old, (new, _) in zip(b.column(lang).to_pylist(), found)], cols[lang].type)
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names).filter(pa.array([x != UNDETERMINED and score >= edge for x, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
