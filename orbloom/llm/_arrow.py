@@ -81,34 +81,6 @@ def window_hash(values: np.ndarray, length: int) -> np.ndarray:
     return window_hashes(values, length)[0]
 
 
-_powers = {"p": np.ones(1, np.uint64), "q": np.ones(1, np.uint64)}
-INV_BASE = np.uint64(pow(int(BASE), -1, 1 << 64))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**0 .. BASE**(n-1) and their inverses modulo 2**64."""
-    if len(_powers["p"]) < n:
-        m = max(n, 1 << 16)
-        for key, base in (("p", BASE), ("q", INV_BASE)):
-            x = np.full(m, base, np.uint64)
-            x[0] = 1
-            _powers[key] = np.multiply.accumulate(x)
-    return _powers["p"][:n], _powers["q"][:n]
-
-
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values[j] * BASE**j, with a leading zero."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values))[0], out=out[1:])
-    return out
-
-
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Mixed 64-bit hashes of values[start:end], equal for equal sequences wherever they stand."""
-    q = powers(len(prefix))[1]
-    return mix((prefix[end] - prefix[start]) * q[start] + (end - start).astype(np.uint64) * MIX2)
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column and its row offsets; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -175,7 +147,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.__dict__["_saved_at"] = path
+    return table
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -187,11 +161,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that ``saved`` wrote and that no later step reads, and lets the cleaner take their shuffle files."""
     for t in tables:
-        spark = t.sparkSession
-        for f in t.inputFiles()[:1]:
-            for path in [p for p in _written if f.split("://")[-1].lstrip("/").startswith(p.split("://")[-1].lstrip("/") + "/") or f.startswith(p + "/")]:
-                _written.remove(path)
-                _delete(spark, path)
+        if (path := t.__dict__.get("_saved_at")) in _written:
+            _written.remove(path)
+            _delete(t.sparkSession, path)
     if tables:
         gc.collect()
         tables[0].sparkSession.sparkContext._jvm.System.gc()

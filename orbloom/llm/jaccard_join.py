@@ -2,24 +2,26 @@
 
 A document's set holds the 64-bit hashes of its distinct word shingles.  Documents with equal sets are one node.
 
-* A count sketch of fixed size over all shingles of the corpus splits tokens into rare and frequent ones and gives
-  a total order by estimated count, so rare ones come first.  The order is a function of the token alone, so any error of
-  the sketch costs speed, never a link.
-* Sets that link share a token in their prefixes, and two tokens in prefixes longer by one.  If the first shared
-  token is rare, the index of single rare tokens finds the pair; if not, all tokens they share are frequent, so the
-  index of two-token combinations of frequent tokens finds it.  Sets of more than ``COMBINED`` tokens would have
-  too many combinations and index their frequent tokens singly; sets near the limit do both.
+* Prefixes are extended first: of its tokens, in the order of their hashes, a node keeps as many as make sure that
+  two nodes that link share not one token of them but ``depth`` (about half as many as a plain prefix has).
+* All extended prefixes are counted, so how many nodes have each of their tokens is known exactly.  A node drops the
+  tokens that no other node has and, since it must share ``depth`` of them, its ``depth - 1`` most frequent ones.
+  What is left is the index: tokens by themselves where they are rare, two-token combinations where they are frequent
+  (for which one of the dropped tokens comes back).  Sets of more than ``COMBINED`` tokens would have too many
+  combinations and index their frequent tokens singly; sets near the limit do both.
 * Within a posting list every node meets the list's hub first (linear in the list).  Then only nodes of different
   components meet, if their sizes and places in the prefix still allow a link.  Parity bitmaps, which bound the
   symmetric difference from below, and at last the whole sets decide.
 
 Defined results: a null text or one without words has an empty set, links with nothing and is its own component;
 fewer words than a shingle are one shingle; equal texts link; a component's id is its smallest doc_id that is not
-null; rows without a doc_id that link with no other have a null component; repeated rows stay repeated.
+null; rows without a doc_id that link with no other have a null component; repeated rows stay repeated; an empty
+table gives an empty result; further columns of the input are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbloom.llm._arrow import MIX1, MIX2, lower_ascii, mix, prefix_hash, saved, slices, span_hash, utf8, words
+from orbloom.llm._arrow import MIX1, MIX2, dropped, joined, lower_ascii, mix, saved, slices, tidy, utf8, word_hash, words
 
-SKETCH = 1 << 18
-FREQUENT = 1000  # estimated occurrences beyond which a token is frequent
+FREQUENT = 64  # nodes with a token beyond which it is frequent
 COMBINED = 200  # sets up to this size index two-token combinations of frequent tokens
+DEPTH = 8  # tokens that nodes must share, if their plain prefixes are short
 BITMAP = 1024  # bits of a set's parity bitmap, at least
 FOLD = 16  # 64-bit numbers of a bitmap's fold
 BLOOM_BITS = 1 << 25
@@ -41,12 +43,17 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     """Shingle hashes of all rows, with repeats, and the row of each."""
     data = lower_ascii(data)
     starts, ends, rows = words(data, offsets)
-    w = prefix_hash(span_hash(prefix_hash(data.astype(np.uint64) + np.uint64(1)), starts, ends))
+    w = word_hash(data, starts, ends)
     count = np.diff(rows)
     k = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     row = np.repeat(np.arange(len(k)), k)
     begin = np.repeat(rows[:-1] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(len(row))
-    return span_hash(w, begin, np.minimum(begin + n, rows[1:][row])), row
+    size = np.minimum(n, count)[row]
+    h = size.astype(np.uint64)
+    for i in range(n):
+        more = np.flatnonzero(size > i) if (size <= i).any() else slice(None)
+        h[more] = joined(h[more], w[begin[more] + i])
+    return mix(h), row
 
 
 def sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,70 +71,54 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def _text(docs: DataFrame) -> DataFrame:
-    text = docs["text"].cast("string")
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_id"))
-
-
-def sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """Occurrences of all shingles by hash bucket; SKETCH numbers however large the corpus."""
-    blocks = 16
-    width = SKETCH // blocks
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
-        for b in batches:
-            data, off = utf8(b.column(0))
-            for lo, hi in slices(off):
-                h, _ = shingles(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
-                total += np.bincount((h >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
-        if total.any():
-            yield pa.record_batch([pa.array(range(blocks), pa.int32()), pa.array([total[i * width : (i + 1) * width].tobytes() for i in range(blocks)], pa.binary())], names=["block", "counts"])
-
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.int64)
-        for b in batches:
-            for x in b.column("counts").to_pylist():
-                total += np.frombuffer(x, np.int64)
-        yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
+def depth(n: int, percent: int) -> int:
+    """How many tokens two nodes share in their extended prefixes, if the smaller has n tokens; never falls with n."""
+    return min(-(-n * percent // 100), max(DEPTH, prefix_size(n, percent) // 2))
 
-    schema = "block int, counts binary"
-    out = np.zeros(SKETCH, np.int64)
-    for r in docs.select("text").mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema).collect():
-        out[r.block * width : (r.block + 1) * width] = np.frombuffer(r.counts, np.int64)
-    return out
 
+def extended_prefix(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """The first tokens of a set, of which a linked set shares ``depth``; the tokens are in the order of their hashes."""
+    n = len(tokens)
+    return tokens[: prefix_size(n, percent) - 1 + depth(n, percent)]
 
-def excess(counts: np.ndarray) -> np.ndarray:
-    """Occurrences of a bucket beyond what chance gives it: an estimate for its most frequent token, 0 for most."""
-    usual = float(np.median(counts))
-    return np.maximum(counts - usual - 3 * np.sqrt(usual), 0).astype(np.int64)
 
+def index_keys(keys: np.ndarray, counts: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index keys of a set of n tokens, from its extended prefix, the places of their (first) tokens and what is before.
 
-def index_keys(tokens: np.ndarray, over: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of one set in the index and the places of their (first) tokens in its prefix order."""
-    n = len(tokens)
-    p = prefix_size(n, percent)
-    c = over[(tokens >> np.uint64(46)).astype(np.int64)]
-    if c.any():
-        o = np.lexsort((tokens, c))
-        tokens, c = tokens[o], c[o]
+    ``counts`` says how many nodes have each token of the prefix in theirs.  The last two results are, for each key, the
+    set's token before its first one and, for combinations, the one before its second, if it is not the first (0: none).
+    Two sets that agree in one of them share an earlier key.
+    """
+    shared = depth(-(-n * percent // 100), percent)  # with the smallest set that can link
+    o = np.lexsort((keys, counts))
+    o = o[: len(keys) - shared + min(shared, 2)]
+    single, c = o[: len(keys) - shared + 1], counts[o]
     rare = int(np.searchsorted(c, FREQUENT, "right"))
-    singles = p if 100 * n >= percent * COMBINED else min(p, rare)
-    keys, place = tokens[:singles], np.arange(singles)
-    if percent * n <= 100 * COMBINED and rare < min(n, p + 1):
-        f = np.arange(rare, min(n, p + 1))
+    singles = single if 100 * n >= percent * COMBINED or shared < 2 else single[:rare]
+    singles = singles[counts[singles] > 1]
+    out, place = keys[singles], singles
+    first = np.concatenate([np.zeros(min(1, len(out)), out.dtype), out[:-1]])
+    second = np.zeros(len(out), out.dtype)
+    if percent * n <= 100 * COMBINED and rare < len(o) and shared >= 2:
+        f = o[rare:]
         i, j = np.triu_indices(len(f), 1)
-        keys = np.concatenate([keys, mix(tokens[f[i]] * MIX1 ^ mix(tokens[f[j]] + MIX2))])
-        place = np.concatenate([place, f[i]])
-        if n == 1 or prefix_size(n, percent) >= n:
-            # With one token in all, or where one shared token could be enough, two need not be shared.
-            keys, place = np.concatenate([keys, tokens[f]]), np.concatenate([place, f])
-    return keys, place
+        out = np.concatenate([out, mix(joined(np.minimum(keys[f[i]], keys[f[j]]), np.maximum(keys[f[i]], keys[f[j]])) ^ MIX1)])
+        place = np.concatenate([place, np.minimum(f[i], f[j])])
+        none = np.uint64(0)
+        first = np.concatenate([first, np.where(i > 0, keys[f[i - 1]], none)])
+        second = np.concatenate([second, np.where(j > i + 1, keys[f[j - 1]], none)])
+    return out, place, first, second
+
+
+def _text(docs: DataFrame) -> DataFrame:
+    text = docs["text"].cast("string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_id"))
 
 
-def set_id(tokens: np.ndarray) -> np.uint64:
-    return span_hash(prefix_hash(tokens), np.array([0]), np.array([len(tokens)]))[0]
+def set_ids(parts: list[np.ndarray]) -> np.ndarray:
+    """128-bit digests of sorted token sets, as two columns; 0, 0 for an empty set."""
+    raw = b"".join(hashlib.blake2b(t.tobytes(), digest_size=16).digest() if len(t) else bytes(16) for t in parts)
+    return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -151,45 +142,77 @@ def bits_apart(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def _by_row(b: pa.RecordBatch, text: int, n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of a batch with the distinct shingle hashes of their rows."""
+    data, off = utf8(b.column(text))
+    for lo, hi in slices(off):
+        h, at = sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
+        yield b.slice(lo, hi - lo), [h[at[r] : at[r + 1]] for r in range(hi - lo)]
+
+
 def _sizes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, text_id, node (id of its set; null if empty), n_shingles, the parity bitmap and its fold."""
+    """doc_id, text_id, d1 and d2 (digest of the set; null if empty) and n_shingles of every row."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, found in _by_row(b, 1, n):
+                ids, none = set_ids(found), np.array([not len(t) for t in found], bool)
+                yield pa.record_batch([part.column(0), part.column(2), pa.array(ids[:, 0], mask=none), pa.array(ids[:, 1], mask=none), pa.array([len(t) for t in found], pa.int64())], names=["doc_id", "text_id", "d1", "d2", "n_shingles"])
 
+    return _text(docs).mapInArrow(run, "doc_id bigint, text_id bigint, d1 bigint, d2 bigint, n_shingles bigint")
+
+
+def _nodes(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """One row per distinct set that is not empty: node (a number), d1, d2, least doc_id, size, bitmap and its fold, extended prefix."""
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = utf8(b.column(1))
-            for lo, hi in slices(off):
-                h, at = sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
-                parts = [h[at[r] : at[r + 1]] for r in range(hi - lo)]
-                maps = [bitmap(t) if len(t) else None for t in parts]
+            for part, found in _by_row(b, 1, n):
+                ids, keep = set_ids(found), np.array([bool(len(t)) for t in found], bool)
+                found = [t for t in found if len(t)]
+                maps = [bitmap(t) for t in found]
+                ids = ids[keep]
                 yield pa.record_batch(
-                    [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array([int(set_id(t).view(np.int64)) if len(t) else None for t in parts], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(maps, pa.binary()), pa.array([signature(m) if m else None for m in maps], pa.list_(pa.int64()))],
-                    names=["doc_id", "text_id", "node", "n_shingles", "bits", "sig"],
+                    [part.column(0).filter(pa.array(keep)), pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array([len(t) for t in found], pa.int32()), pa.array(maps, pa.binary()), pa.array([signature(m) for m in maps], pa.list_(pa.int64())), pa.array([extended_prefix(t, percent).view(np.int64) for t in found], pa.list_(pa.int64()))],
+                    names=["doc_id", "d1", "d2", "size", "bits", "sig", "keys"],
                 )
 
-    return _text(docs).mapInArrow(run, "doc_id bigint, text_id bigint, node bigint, n_shingles bigint, bits binary, sig array<bigint>")
+    rows = _text(docs).mapInArrow(run, "doc_id bigint, d1 bigint, d2 bigint, size int, bits binary, sig array<bigint>, keys array<bigint>")
+    one = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.first(F.struct("size", "bits", "sig", "keys")).alias("x"))
+    return one.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "least", "x.size", "x.bits", *[F.col("x.sig")[k].alias(f"s{k}") for k in range(FOLD)], "x.keys")
+
 
+def _postings(nodes: DataFrame, percent: int) -> DataFrame:
+    """What each node has in the index: key, node, size, place, the tokens before (see ``index_keys``) and ``own``.
 
-def _postings(docs: DataFrame, n: int, percent: int, over) -> DataFrame:
+    ``own`` is how many thousandths of its prefix no other node has.
+    """
+    each = nodes.select("node", "size", F.size("keys").alias("m"), F.posexplode("keys").alias("place", "key"))
+    live = saved(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "live-tokens")
+    found = each.join(live, "key").groupBy("node").agg(F.first("size").alias("size"), F.first("m").alias("m"), F.collect_list(F.struct("place", "key", "n")).alias("x"))
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limits = over.value
         for b in batches:
-            data, off = utf8(b.column(0))
-            for lo, hi in slices(off):
-                h, at = sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
-                seen, keys, places, nodes, size = set(), [], [], [], []
-                for r in range(hi - lo):
-                    t = h[at[r] : at[r + 1]]
-                    if len(t) and (node := int(set_id(t).view(np.int64))) not in seen:
-                        seen.add(node)
-                        k, p = index_keys(t, limits, percent)
-                        keys.append(k)
-                        places.append(p)
-                        nodes.append(np.full(len(k), node))
-                        size.append(np.full(len(k), len(t)))
-                if keys:
-                    yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(size).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32))], names=["key", "node", "size", "place"])
-
-    return docs.select("text").mapInArrow(run, "key bigint, node bigint, size int, place int")
+            flat, off = b.column(3).flatten(), b.column(3).offsets.to_numpy()
+            off = off - off[0]
+            place, key, count = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            cols: list[list] = [[] for _ in range(7)]
+            for r, (node, size, m) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)))):
+                at = place[off[r] : off[r + 1]]
+                # Tokens that no other node has keep their places in the order, with a key that is never posted.
+                keys, counts = np.zeros(m, np.int64), np.ones(m, np.int64)
+                keys[at], counts[at] = key[off[r] : off[r + 1]], count[off[r] : off[r + 1]]
+                k, p, first, second = index_keys(keys.view(np.uint64), counts, size, percent)
+                own = 1000 * (m - len(at)) // m
+                for c, v in zip(cols, (k.view(np.int64), np.full(len(k), node), np.full(len(k), size, np.int32), p.astype(np.int32), first.view(np.int64), second.view(np.int64), np.full(len(k), own, np.int32))):
+                    c.append(v)
+            if cols[0]:
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in cols], names=["key", "node", "size", "place", "before", "between", "own"])
+
+    return found.select("node", "size", "m", "x").mapInArrow(run, "key bigint, node bigint, size int, place int, before bigint, between bigint, own int")
 
 
 def _possible(sa: Column, ia: Column, sb: Column, ib: Column, percent: int) -> Column:
@@ -204,6 +227,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
     a = nodes.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("ba"))
     b = nodes.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("bb"))
 
+    @tidy
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if not x.num_rows:
@@ -218,10 +242,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
 
     near = saved(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "ba", "sb", "bb").mapInArrow(close, "a bigint, b bigint"), "near-pairs")
     members = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    whole = _whole_sets(docs, members, n)
+    whole = _whole_sets(docs, saved(nodes.select("node", "d1", "d2").join(members, "node"), "members"), n)
     sa = whole.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     sb = whole.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
 
+    @tidy
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             keep = []
@@ -238,7 +263,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
 def _whole_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """Each member's sorted tokens, once. A Bloom filter of fixed size keeps most other sets out of the shuffle."""
     rows = (
-        members.select(F.pmod(F.col("node"), F.lit(BLOOM_BITS)).cast("long").alias("bit"))
+        members.select(F.pmod(F.col("d1"), F.lit(BLOOM_BITS)).cast("long").alias("bit"))
         .select(F.shiftright("bit", 15).cast("int").alias("block"), (F.col("bit") % (1 << 15)).cast("int").alias("at"))
         .groupBy("block")
         .agg(F.collect_set("at").alias("at"))
@@ -258,26 +283,19 @@ def _whole_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
         table[r.block] = np.frombuffer(r.bits, np.uint8)
     bloom = docs.sparkSession.sparkContext.broadcast(table.ravel())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value
         for b in batches:
-            data, off = utf8(b.column(0))
-            for lo, hi in slices(off):
-                h, at = sets(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], n)
-                ids, tokens = [], []
-                for r in range(hi - lo):
-                    t = h[at[r] : at[r + 1]]
-                    if len(t):
-                        node = int(set_id(t).view(np.int64))
-                        k = node % BLOOM_BITS
-                        if bits[k >> 3] >> (7 - (k & 7)) & 1:
-                            ids.append(node)
-                            tokens.append(t.tobytes())
-                if ids:
-                    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(tokens, pa.binary())], names=["node", "tokens"])
-
-    found = docs.select("text").mapInArrow(run, "node bigint, tokens binary")
-    return saved(found.groupBy("node").agg(F.first("tokens").alias("tokens")).join(members, "node", "left_semi"), "whole-sets")
+            for _, found in _by_row(b, 0, n):
+                ids = set_ids(found)
+                k = ids[:, 0] % BLOOM_BITS
+                hit = np.flatnonzero((bits[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool) & np.array([bool(len(t)) for t in found], bool))
+                if len(hit):
+                    yield pa.record_batch([pa.array(ids[hit, 0]), pa.array(ids[hit, 1]), pa.array([found[i].tobytes() for i in hit.tolist()], pa.binary())], names=["d1", "d2", "tokens"])
+
+    found = docs.select("text").mapInArrow(run, "d1 bigint, d2 bigint, tokens binary")
+    return saved(found.groupBy("d1", "d2").agg(F.first("tokens").alias("tokens")).join(members, ["d1", "d2"]).select("node", "tokens"), "whole-sets")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -303,15 +321,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _rooted(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``_sizes``, and node, its least doc_id and the root of its component."""
-    spark = docs.sparkSession
-    sizes = saved(_sizes(docs, n), "set-sizes")
-    nodes = saved(sizes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").cast("int").alias("size"), F.first("bits").alias("bits"), F.first("sig").alias("sig")).select("node", "least", "size", "bits", *[F.col("sig")[k].alias(f"s{k}") for k in range(FOLD)]), "nodes")
-    over = spark.sparkContext.broadcast(excess(sketch(docs, n)))
-    posts = saved(_postings(docs, n, percent, over).groupBy("key", "node").agg(F.first("size").alias("size"), F.min("place").alias("place")), "postings")
-    hubs = posts.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("place", "size", "node")).alias("hub")).where("m > 1").select("key", "hub")
+    """The rows of ``_sizes`` with their nodes, and node, its least doc_id and the root of its component."""
+    nodes = saved(_nodes(docs, n, percent), "nodes")
+    posts = saved(_postings(nodes, percent), "postings")
+    # The hub is the node that has least of its own: among near copies, the one that the others were made from.
+    hubs = posts.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("own", "size", "place", "node")).alias("hub")).where("m > 1").select("key", "hub")
     hubs = saved(hubs, "hubs")  # so that the join shuffles both sides anew and can split a hot key over tasks
     lists = saved(posts.join(hubs, "key"), "posting-lists")
+    dropped(posts, hubs)
     star = (
         lists.where((F.col("node") != F.col("hub.node")) & _possible(F.col("size"), F.col("place"), F.col("hub.size"), F.col("hub.place"), percent))
         .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
@@ -323,17 +340,20 @@ def _rooted(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
 
     # Nodes of different components that share a list, other than those that met the hub.
     sig = [f"s{k}" for k in range(FOLD)]
-    labelled = lists.join(comp, "node", "left").select("key", "node", "size", "place", F.coalesce("root", "node").alias("c"))
-    centre = labelled.groupBy("key").agg(F.min(F.struct("place", "size", "node", "c")).alias("h"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key", F.col("h.c").alias("hc"))
+    labelled = lists.join(comp, "node", "left").select("key", "node", "size", "place", "before", "between", "own", F.coalesce("root", "node").alias("c"))
+    centre = labelled.groupBy("key").agg(F.min(F.struct("own", "size", "place", "node", "c")).alias("h"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key", F.col("h.c").alias("hc"))
     centre = saved(centre, "mixed-keys")
     mixed = saved(labelled.join(centre, "key").withColumn("minor", F.col("c") != F.col("hc")), "mixed-lists")
     signed = mixed.join(nodes.select("node", *sig), "node")  # only now, so that lists stay narrow until here
     both = F.col("x_size").cast("long") + F.col("y_size")
     apart = sum((F.bit_count(F.col(f"x_{k}").bitwiseXOR(F.col(f"y_{k}"))) for k in sig), F.lit(0))
-    x = signed.where("minor").select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "place", *sig, "c")])
-    y = signed.select("key", "minor", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "place", *sig, "c")])
+    x = signed.where("minor").select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "place", "before", "between", *sig, "c")])
+    y = signed.select("key", "minor", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "place", "before", "between", *sig, "c")])
+    # Nodes that agree in a token before share an earlier key and meet in its list.
+    first = ((F.col("x_before") != F.col("y_before")) | (F.col("x_before") == 0)) & ((F.col("x_between") != F.col("y_between")) | (F.col("x_between") == 0))
     more = (
         x.join(y, "key")
+        .where(first)
         .where((F.col("x_c") != F.col("y_c")) & (~F.col("minor") | (F.col("x_node") < F.col("y_node"))) & _possible(F.col("x_size"), F.col("x_place"), F.col("y_size"), F.col("y_place"), percent))
         .where((both - apart) * (100 + percent) >= both * (2 * percent))
         .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
@@ -344,15 +364,17 @@ def _rooted(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     if not later.isEmpty():
         comp = saved(components(links.union(later)), "components")
 
-    return sizes, nodes.select("node", "least").join(comp, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = saved(nodes.select("node", "d1", "d2", "least").join(comp, "node", "left").select("node", "d1", "d2", "least", F.coalesce("root", "node").alias("root")), "rooted-nodes")
+    dropped(lists, mixed, nodes)
+    return _sizes(docs, n), named
 
 
 def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     sizes, named = _rooted(docs, n, percent)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = named.join(ids, "root").select("node", "component_id")
-    return sizes.join(by_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_node = named.join(ids, "root").select("d1", "d2", "component_id")
+    return sizes.join(by_node, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -362,8 +384,8 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     equal rows.  Rows are told apart by doc_id and text, so one doc_id may stand on several texts.
     """
     sizes, named = _rooted(docs, n, percent)
-    rows = saved(sizes.where(F.col("node").isNotNull()).groupBy("doc_id", "text_id", "node").agg(F.count("*").alias("copies")), "distinct-rows")
-    rows = saved(rows.join(named.select("node", "root"), "node"), "rooted-rows")
+    rows = saved(sizes.where(F.col("d1").isNotNull()).groupBy("doc_id", "text_id", "d1", "d2").agg(F.count("*").alias("copies")), "distinct-rows")
+    rows = saved(rows.join(named.select("d1", "d2", "node", "root"), ["d1", "d2"]), "rooted-rows")
     best = saved(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "text_id")).alias("best")), "best-rows")
     same = (F.col("text_id") == F.col("best.text_id")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
     drop = saved(rows.join(best, "root").select(F.col("doc_id").alias("__d"), F.col("text_id").alias("__t"), "copies", same.alias("__best")).where("copies > 1 OR NOT __best"), "other-rows")

@@ -136,7 +136,7 @@ def components(texts, n, percent):
     return [(len(s), find(k)) for k, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("n,percent,frequent", [(3, 90, 1000), (3, 90, 0), (5, 80, 0), (2, 60, 0)])
+@pytest.mark.parametrize("n,percent,frequent", [(3, 90, 64), (3, 90, 0), (5, 80, 0), (2, 60, 0), (5, 80, 10**9)])
 def test_jaccard_join_is_exact(spark, corpus, n, percent, frequent, monkeypatch):
     """With ``frequent`` 0 most shared tokens count as frequent, so two-token combinations carry the join."""
     monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
@@ -145,19 +145,43 @@ def test_jaccard_join_is_exact(spark, corpus, n, percent, frequent, monkeypatch)
     assert got == dict(enumerate(components(texts, n, percent)))
 
 
-def test_index_finds_all_pairs_with_any_order():
-    """Random sets and arbitrary token classes: linked sets always share a key."""
+def test_index_finds_all_pairs_with_any_counts(monkeypatch):
+    """Random sets and arbitrary counts: linked sets always share a key, with combinations and without."""
     rng = np.random.default_rng(3)
-    for percent in (60, 80, 90):
+    linked = 0
+    for percent, combined in [(p, c) for p in (60, 80, 90) for c in (1, 30, 200)]:
+        monkeypatch.setattr(jaccard_join, "COMBINED", combined)
         for _ in range(150):
-            size = int(rng.integers(1, 60))
+            size = int(rng.integers(1, 120))
             a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
-            b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.95], rng.integers(0, 2**63, int(rng.integers(0, 4))).astype(np.uint64)]))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.95], rng.integers(0, 2**63, int(rng.integers(0, 8))).astype(np.uint64)]))
             common = len(np.intersect1d(a, b))
             if not len(b) or 100 * common < percent * (len(a) + len(b) - common):
                 continue
-            over = np.where(rng.random(jaccard_join.SKETCH) < rng.random(), 5000, 0) + rng.integers(0, 900, jaccard_join.SKETCH)
-            assert set(jaccard_join.index_keys(a, over, percent)[0].tolist()) & set(jaccard_join.index_keys(b, over, percent)[0].tolist())
+            linked += 1
+            x, y = (jaccard_join.extended_prefix(t, percent) for t in (a, b))
+            share = rng.random()
+            count = {t: (2 if t in set(x.tolist()) & set(y.tolist()) else 1) + (int(rng.integers(0, 500)) if rng.random() < share else 0) for t in {*x.tolist(), *y.tolist()}}
+            rows = [{r[0]: r[2:] for r in zip(*(c.tolist() for c in jaccard_join.index_keys(t, np.array([count[v] for v in t.tolist()]), n, percent)))} for t, n in ((x, len(a)), (y, len(b)))]
+            both = rows[0].keys() & rows[1].keys()
+            assert both and any(all(u != v or u == 0 for u, v in zip(rows[0][k], rows[1][k])) for k in both)
+    assert linked > 300
+
+
+def thue_morse(n, inverted=False):
+    return "".join("ab"[(k.bit_count() + inverted) & 1] for k in range(n))
+
+
+def test_thue_morse_words_differ(spark):
+    """Words on which polynomial hashes modulo a power of two agree."""
+    p, q = thue_morse(1024), thue_morse(1024, True)
+    rest = " ".join(f"w{k}" for k in range(34))
+    words = [f"{p} {rest}", f"{q} {rest}"]
+    assert [r.n_removed for r in substring_dedup.dedup(docs(spark, words)).collect()] == [0, 0]
+    assert {r.doc_id: r.component_id for r in jaccard_join.join(docs(spark, [p, q, p])).collect()} == {0: 0, 1: 1, 2: 0}
+    texts = [p, q, p[:300] + "x" + q[:300], " ".join(thue_morse(512).replace("a", "no ").replace("b", "yes ") for _ in range(2))]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_array_dedup.dedup(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(removed_bytes(texts, 200)))
 
 
 def test_bitmaps_never_overstate():
@@ -202,10 +226,47 @@ def test_crossover_keeps_all_pieces():
     rng = np.random.default_rng(5)
     counts = np.zeros(101, np.int64)
     counts[rng.integers(1, 101, 400)] += rng.integers(1, 9, 400)
-    a, b = packing.best_fit(counts, 100), packing.best_fit(counts, 100, rng=rng)
-    for child in (packing.crossover(a, b, 100, rng), packing.mutate(a, 100, rng), packing.evolve(counts, 100, 1, [b], 4, 6)):
+    a, b = packing.best_fit(counts, 100), packing.random_fit(counts, 100, rng)
+    crossed, injected = packing.crossover(a, b, 100, rng)
+    population, did = packing.evolve(counts, 100, 1, [b], [], 4, 6)
+    assert injected > 0 and did.crossovers == 4 * 3 and did.injected > 0 and did.migrants == 1
+    for child in (crossed, packing.mutate(a, 100, rng), *population):
         assert (packing.content_counts(child, 100) == counts).all() and all(sum(c) <= 100 for c in child)
-    assert sum(packing.evolve(counts, 100, 1, [], 4, 6).values()) <= sum(a.values())
+
+
+def test_islands_evolve_and_exchange_elites(spark):
+    """The result comes from crossover: no island starts from the greedy packing, and all generations run."""
+    rng = np.random.default_rng(8)
+    counts = np.bincount(np.clip(rng.lognormal(6, 0.9, 3000).astype(int), 1, 2047), minlength=2049)
+    best, progress = packing.islands(spark, counts)
+    assert (packing.content_counts(best, 2048) == counts).all()
+    assert len(progress) == packing.ISLANDS * packing.EPOCHS
+    assert all(p.crossovers == packing.GENERATIONS * (packing.POPULATION - packing.POPULATION // 2) and p.injected > 100 for p in progress)
+    assert sum(p.migrants for p in progress) == packing.ISLANDS * (packing.EPOCHS - 1)
+    first = min(sum(packing.random_fit(counts, 2048, np.random.default_rng(k)).values()) for k in range(6))
+    assert sum(best.values()) < first and sum(best.values()) <= sum(packing.best_fit(counts, 2048).values())
+
+
+def test_language_sample_has_all_languages(spark):
+    """Rare languages are learned, repeated rows count once, and what is no learned language scores low."""
+    rng = random.Random(3)
+    sounds = {"aa": "aeiou", "bb": "bcdfg", "cc": "xyzwq"}
+
+    def say(lang, n=60):
+        return " ".join("".join(rng.choice(sounds[lang]) for _ in range(rng.randint(2, 6))) for _ in range(n))
+
+    rows = [(k, say("aa"), "aa") for k in range(300)] + [(k, say("bb"), "bb") for k in range(300, 330)] + [(k, say("cc"), "cc") for k in range(330, 342)]
+    rows += [(400, "same row", "aa")] * 500 + [(None, "no id here", "aa"), (401, None, "bb"), (402, "12 34", "cc")]
+    d = spark.createDataFrame([(k, t, x, "s", len(t or "")) for k, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x for x, _, _ in language_id.sample(language_id.learnable(d), 20)} == {"aa", "bb", "cc"}
+    assert len(language_id.sample(language_id.learnable(d), 20)) <= 60
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(d).collect()}
+    assert sum(got[k] == "cc" for k in range(330, 342)) >= 11 and got[401] == got[402] == "und"
+    more = [(500, say("bb"), None, "s", 1), (501, "Это русский текст, который никто не учил, и он довольно длинный.", "aa", "s", 1), (502, "これは日本語です。とても長い文章です", "bb", "s", 1)]
+    kept = language_id.keep_identified(d.unionByName(spark.createDataFrame(more, d.schema)))
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == d.columns and {401, 402}.isdisjoint(ids) and ids.count(400) == 500 and set(range(342)) <= set(ids)
+    assert kept.where("doc_id = 500").first().lang == "bb"
 
 
 def test_language_id_held_out_accuracy_and_no_leak(spark, sf_dir):
@@ -227,11 +288,10 @@ def test_language_id_of_nothing(spark):
 
 def unigram_best(codec, word):
     """Best score by plain dynamic programming."""
-    pieces = dict(zip(codec.keys.tolist(), codec.scores.tolist()))
     best = [0.0] + [-1e300] * len(word)
     for e in range(1, len(word) + 1):
         for s in range(max(0, e - codec.longest), e):
-            v = pieces.get(int(codec._key(word[s:e])), codec.unknown_score if e - s == 1 else None)
+            v = codec.by_text[word[s:e]][1] if word[s:e] in codec.by_text else codec.unknown_score if e - s == 1 else None
             if v is not None:
                 best[e] = max(best[e], best[s] + v)
     return best[-1]
@@ -244,7 +304,10 @@ def test_sentencepiece_round_trip_and_optimality(spark, corpus):
     for w in ("theation", "internationalisation", "xyzzy", "a", "été", "aaaaaaaaaaaaaaaaaaaaaaa", "::;;"):
         ids = c.encode(w)
         assert sum(score[i] for i in ids.tolist()) == pytest.approx(unigram_best(c, "▁" + w))
-    texts = [*corpus, "tabs\tand\nlines", "  two  spaces ", "日本語 😀", "x" * 5000]
+    for w in ("x" * 3000, thue_morse(3000)):
+        assert c._single("▁" + w) == np.frombuffer(c._batch(["▁" + w], len(w) + 1)[0], "<u4").tolist()
+    texts = [*corpus, "tabs\tand\nlines", "  two  spaces ", "日本語 😀", "x" * 5000, thue_morse(1024), thue_morse(1024, True)]
+    assert sentencepiece_codec.encode(docs(spark, []), path).count() == 0
     enc = sentencepiece_codec.encode(docs(spark, texts), path)
     back = {r.doc_id: r.text for r in sentencepiece_codec.decode(enc, path).collect()}
     assert back == {k: t or "" for k, t in enumerate(texts)}
@@ -258,7 +321,10 @@ def test_media_payloads_and_features(spark, corpus):
         pay = raw + b"\0" * (max(1, -(-len(raw) // 64)) * 64 - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]))
         wav = media.to_samples(pay)
-        assert (r.media_bytes, r.media_sha256) == (len(wav), hashlib.sha256(wav).hexdigest()) and "type=audio/wav" in r.feature
+        assert (r.media_bytes, r.media_sha256) == (len(wav), hashlib.sha256(wav).hexdigest())
+        mean, rms = sum(pay) / len(pay), (sum((x - 128) ** 2 for x in pay) / len(pay)) ** 0.5
+        crossings = sum((x >= 128) != (y >= 128) for x, y in zip(pay, pay[1:]))
+        assert r.feature == f"type=audio/wav;samples={len(pay)};min={min(pay)};max={max(pay)};mean={mean:.4f};rms={rms:.4f};crossings={crossings};embedded=none"
     assert media.store(docs(spark, [])).count() == 0
 
 
@@ -269,13 +335,59 @@ def png():
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
 
 
+def pdf(update=False):
+    head = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\n"
+    out = head + b"xref\n0 1\ntrailer <<>>\nstartxref\n%d\n%%%%EOF" % len(head)
+    return out + b"\n2 0 obj\n<<>>\nendobj\nxref\n0 1\ntrailer <<>>\nstartxref\n%d\n%%%%EOF" % (len(out) + 21) if update else out
+
+
+def crc(data, bits, polynomial):
+    c = 0
+    for x in data:
+        c ^= x << (bits - 8)
+        for _ in range(8):
+            c = (c << 1 ^ polynomial) & ((1 << bits) - 1) if c >> (bits - 1) else c << 1
+    return c
+
+
+def flac(values, block=16):
+    """Blocks of constant 8-bit mono samples."""
+    info = struct.pack(">HH", block, block) + bytes(6) + ((8000 << 44) | (7 << 36) | block * len(values)).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC" + b"\x80" + len(info).to_bytes(3, "big") + info
+    for k, v in enumerate(values):
+        head = bytes([0xFF, 0xF8, 0x60, 0x02, k, block - 1])
+        frame = head + bytes([crc(head, 8, 0x07)]) + bytes([0x00, v])
+        out += frame + crc(frame, 16, 0x8005).to_bytes(2, "big")
+    return out
+
+
+def test_carving_ends_objects_where_they_end():
+    sound, image = media.to_samples(b"abcd" * 16), png()
+    content = pdf() + b" text " + image + pdf(True) + flac([1, 2, 255, 7]) + sound + b"tail"
+    want, at = [], 0
+    for part, kind in ((pdf(), "application/pdf"), (b" text ", None), (image, "image/png"), (pdf(True), "application/pdf"), (flac([1, 2, 255, 7]), "audio/flac"), (sound, "audio/wav")):
+        want += [(at, at + len(part), kind)] if kind else []
+        at += len(part)
+    assert media.confirmed(content) == want
+    assert media.confirmed(flac([1, 2])[:-1]) == [] and media.confirmed(b"%PDF-1.4 startxref\n9\n%%EOF") == []
+
+
+def test_sniffing_is_linear():
+    import time
+
+    began = time.time()
+    for junk in (b"%PDF-1", b"PK\x03\x04" + bytes(30), b"%PDF-1 startxref\n5\n%%EOF "):
+        assert media.confirmed(junk * 40_000) == []
+    assert time.time() - began < 20
+
+
 def test_sniffing_corrects_types_and_carves(spark):
     import gzip
 
     image, sound, packed = png(), media.to_samples(b"abcd" * 16), gzip.compress(b"x" * 100)
     assert media.sniff(image, "image/jpeg") == ("image/png", [])
     assert media.sniff(image[:-3], "image/png")[0] == "unknown"
-    rows = [(1, b"junk" + image + b"--" + sound + packed, "text/plain"), (2, None, "image/png"), (3, b"BM", "image/bmp")]
+    rows = [(1, b"junk" + image + b"--" + sound + packed, "text/plain"), (2, None, "image/png"), (3, b"BM", "image/bmp"), (4, b"", None)]
     got = media.carve(spark.createDataFrame(rows, "k long, c binary, t string"), "k", "c", "t").orderBy("k", "object").collect()
     assert [(r.k, r.sniffed, r.media_type, bytes(r.media)) for r in got] == [(1, "text/plain", "image/png", image), (1, "text/plain", "audio/wav", sound), (1, "text/plain", "application/gzip", packed)]
 
@@ -312,6 +424,31 @@ def test_permutation_index_recall(spark):
     assert permutation_index.nearest(v.where("vec_id < 0"), v.where("vec_id < 0"), 20).count() == 0
 
 
+def test_permutation_index_touches_few_postings():
+    """10,000 directions without clusters, the hardest case: recall, and postings read against the 256 places of each vector."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((10_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    lifted = np.column_stack([x[rng.choice(len(x), permutation_index.PIVOTS, replace=False)], np.zeros(permutation_index.PIVOTS)])
+    halves = [permutation_index.Shard(np.arange(lo, lo + 5000), x[lo : lo + 5000], lifted, 1.0) for lo in (0, 5000)]
+    hit = read = 0
+    for q in range(0, 10_000, 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        found = [h.search(np.array([q]), x[q : q + 1], 20) for h in halves]
+        ids, scores = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
+        hit += len(set(np.argsort(-s)[:20]) & set(ids[np.argsort(-scores)[:20]]))
+        read += sum(h.near(h._order(np.append(x[q], 0)[None])[0], 1)[1] for h in halves)
+    assert hit / 2000 >= 0.9 and read / (100 * len(x)) < 0.08 * permutation_index.PIVOTS
+
+
+def test_permutation_index_repeated_ids_and_extra_columns(spark):
+    rows = [(k % 6, [float(k), 1.0, -float(k * k)], "x", k) for k in range(12)]
+    v = permutation_index.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string, shard int"))
+    got = permutation_index.nearest(v, v.where("vec_id = 3"), 20).collect()
+    assert got and all(r.query_id == 3 and r.vec_id != 3 for r in got)
+
+
 def test_html_blocks():
     page = "<html><head><title>t</title><script>var a='<p>x</p>'</script></head><body><ul class='nav'><li><a href=x>M</a></ul><article><h1>A &amp; B</h1><p><b>one\n two<br><p>three &lt;four&gt;</article><footer>f</footer>"
     assert [b.text for b in html_text.blocks(page)] == ["M", "A & B", "one two", "three <four>", "f"]
