@@ -30,6 +30,7 @@ from orbloom.llm._arrow import tidy
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SAMPLE = 800  # documents of each language
+SALTS = 64
 CALIBRATION = 5  # every fifth document of the sample is kept for the temperature
 PASSES = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
@@ -171,10 +172,16 @@ def sample(docs: DataFrame, size: int = SAMPLE) -> list[tuple[str, np.ndarray, n
     are, so the driver gets ``size`` rows of at most BUCKETS numbers for a language.
     """
     keyed = docs.select("lang", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
-    chosen = keyed.select("lang", "h", "t").distinct().withColumn("r", rank).where(F.col("r") <= size)
-    edges = chosen.groupBy("lang").agg(F.max(F.struct("h", "t")).alias("edge"))
-    near = keyed.join(edges, "lang").where(F.struct("h", "t") <= F.col("edge")).dropDuplicates(["lang", "h", "t"]).select("lang", "h", "t", "text")
+    part = F.pmod("t", F.lit(SALTS))
+    # First within parts of a language, so that no task gets more than SALTS * size rows of a common one.
+    rank = F.row_number().over(Window.partitionBy("lang", part).orderBy("h", "t"))
+    some = keyed.select("lang", "h", "t").distinct().withColumn("r", rank).where(F.col("r") <= size)
+    chosen = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("r") <= size)
+    edges = chosen.groupBy("lang").agg(F.max("h").alias("eh"), F.max_by("t", F.struct("h", "t")).alias("et")).collect()
+    # One row a language, as the model has a column for each; so it may go to every task.
+    edges = docs.sparkSession.createDataFrame([tuple(r) for r in edges], "lang string, eh bigint, et bigint")
+    below = (F.col("h") < F.col("eh")) | ((F.col("h") == F.col("eh")) & (F.col("t") <= F.col("et")))
+    near = keyed.join(F.broadcast(edges), "lang").where(below).groupBy("lang", "h", "t").agg(F.first("text").alias("text"))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
