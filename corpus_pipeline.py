@@ -9,31 +9,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from orbloom.llm import jaccard_join, language_id, packing, suffix_array_dedup
-from orbloom.llm._arrow import saved
+from orbloom.llm._arrow import dropped, saved
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
 REPEAT_BYTES = 200
-LEAST_SCORE = 0.3
+LEAST_GAIN = 0.2  # of the way from a chance score to certainty
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no text, no letter, or no language likely enough."""
-    return language_id.keep_identified(docs, LEAST_SCORE)
+    """Drops documents without a language: no text, no letter, or a score near chance (junk, languages not learned)."""
+    return language_id.keep_identified(docs, LEAST_GAIN)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies (word 5-grams, similarity 0.8)."""
+    """Keeps one row, that of the smallest doc_id, of each group of near copies (word 5-grams, similarity 0.8).
+
+    Rows with an empty set all stay; rows of one doc_id and different texts are told apart.
+    """
     return jaccard_join.keep_one(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every string of 200 bytes or more that stands anywhere else; documents left blank go."""
+    """Cuts every string of 200 bytes or more that stands anywhere else; documents left blank go.
+
+    Repeated rows that are still there cut each other; null texts stay as they are.
+    """
     return suffix_array_dedup.strip_repeats(docs, REPEAT_BYTES)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents that are left into sequences of 2048 tokens; one row per piece."""
+    """Packs all documents that are left into sequences of 2048 tokens; one row per piece, a null text being empty."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -51,5 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        before, docs = docs, saved(stage(spark, docs, sf_dir), name)
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
