@@ -161,14 +161,16 @@ def separated_modes(lam: np.ndarray, places: int, epochs: int, most: int = 10) -
 def monte_carlo(coef: DataFrame, transform, keys: list[str], samples: int = 500, seed: int = 1) -> DataFrame:
     """Mean and deviation of ``transform`` (DataFrame with ``sample`` and ``v`` to one with keys and ``value``).
 
-    Noise comes from hashes of (seed, sample, coefficient) by Box-Muller, so a recomputed task draws the same.
+    Noise comes from hashes of (seed, sample, keys, coefficient) by Box-Muller, so a recomputed task draws the same and
+    every set has draws of its own.
     Coefficients are dealt by ``keys`` before they are drawn, so that samples need no shuffle.
     """
     dealt = coef.repartition(*keys) if set(keys) <= set(coef.columns) else coef
     x = dealt.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    own = [k for k in keys if k in coef.columns and k not in ("n", "m", "cs")]
 
     def u(k: int):
-        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "sample", "n", "m", "cs"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "sample", *own, "n", "m", "cs"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
     z = F.sqrt(-2 * F.log(u(1))) * F.cos(6.283185307179586 * u(2))
     drawn = x.withColumn("v", F.col("v") + F.coalesce("s", F.lit(0.0)) * z)

@@ -54,7 +54,7 @@ def r(expr: str, digits: int = 6) -> str:
 
 
 IDX = f"idx(pos, n, m, cs) AS (VALUES {sql_values(sh_index(NMAX, 0))})"
-COEF = f"""{IDX}, coef AS (
+COEF = f"""{IDX}, coef AS MATERIALIZED (
   SELECT vec_id AS set_id, 2002 + vec_id / 12.0::DOUBLE AS epoch, label, n, m, cs,
          CAST(embedding[pos + 1] AS DOUBLE) AS v,
          0.01::DOUBLE * abs(CAST(embedding[pos + 1] AS DOUBLE)) + 0.000001::DOUBLE AS s
