@@ -131,16 +131,16 @@ _GL_X, _GL_W = special.gauss_legendre(NMAX + 1)
 _GL_LAT, _GL_LON = [float(x) for x in np.degrees(np.arcsin(_GL_X))], [float(x) for x in 360 * np.arange(2 * NMAX + 2) / (2 * NMAX + 2)]
 
 
-@query(f"WITH {COEF} SELECT set_id, n, m, cs, {r('v')} AS v FROM coef WHERE set_id < 100")
+@query(f"WITH {COEF} SELECT set_id, n, m, cs, {r('v')} AS v FROM coef")
 def analysis_roundtrip(spark, sf):
     """Coefficients of the field that the coefficients make, by quadrature: the identity."""
-    g = T.synthesis(coef(spark, sf).where("set_id < 100"), ["set_id"], NMAX, _GL_LAT, _GL_LON)
+    g = T.synthesis(coef(spark, sf), ["set_id"], NMAX, _GL_LAT, _GL_LON)
     return rounded(T.analysis_quadrature(g, ["set_id"], NMAX, _GL_LAT, _GL_LON, _GL_W / 2 / len(_GL_LON)))
 
 
-@query(f"WITH {COEF} SELECT set_id, n, m, cs, {r('v')} AS v FROM coef WHERE set_id < 20")
+@query(f"WITH {COEF} SELECT set_id, n, m, cs, {r('v')} AS v FROM coef")
 def analysis_least_squares(spark, sf):
-    g = T.synthesis(coef(spark, sf).where("set_id < 20"), ["set_id"], NMAX, _GL_LAT, _GL_LON)
+    g = T.synthesis(coef(spark, sf), ["set_id"], NMAX, _GL_LAT, _GL_LON)
     return rounded(T.analysis(g, ["set_id"], NMAX))
 
 

@@ -125,14 +125,20 @@ def nearest_allow_missing(spark, sf):
     return rounded(N.add_background(coef(spark, sf), _background(spark, sf), 0.05, True).select("set_id", "n", "m", "cs", "v"))
 
 
-_TN = """t AS (SELECT 2002 + (k * 2) / 12.0::DOUBLE + 0.02::DOUBLE AS epoch, k * 0.001::DOUBLE AS c20, CASE WHEN k % 4 = 0 THEN NULL ELSE k * -0.002::DOUBLE END AS c30 FROM range(0, 200) r(k))"""
+def _records(spark, sf):
+    """Numbers of correction records that span the epochs of the input: one every two months."""
+    last = table(spark, sf, "embeddings").agg(F.coalesce(F.max("vec_id"), F.lit(-2))).first()[0]
+    return spark.range(last // 2 + 1)
+
+
+_TN = """t AS (SELECT 2002 + (k * 2) / 12.0::DOUBLE + 0.02::DOUBLE AS epoch, k * 0.001::DOUBLE AS c20, CASE WHEN k % 4 = 0 THEN NULL ELSE k * -0.002::DOUBLE END AS c30 FROM (SELECT unnest(range(0, (SELECT max(vec_id) // 2 + 1 FROM embeddings))) AS k))"""
 
 
 @query(f"""WITH {COEF}, {_TN}, e AS (SELECT DISTINCT set_id, epoch FROM coef), c AS (SELECT e.set_id, c20, c30, row_number() OVER (PARTITION BY e.set_id ORDER BY abs(e.epoch - t.epoch), t.epoch) AS k FROM e JOIN t ON abs(e.epoch - t.epoch) <= 0.05::DOUBLE)
 SELECT set_id, n, m, cs, {r('CASE WHEN n = 2 AND m = 0 THEN coalesce(c20, v) WHEN n = 3 AND m = 0 THEN coalesce(c30, v) ELSE v END')} AS v FROM coef JOIN c USING (set_id) WHERE k = 1 AND n IN (2, 3)""")
 def tn_replace(spark, sf):
     """C20 and C30 from the nearest record of a table; a missing C30 keeps the old one."""
-    t = spark.range(200).select((2002 + (F.col("id") * 2) / 12.0 + 0.02).alias("epoch"), (F.col("id") * 0.001).alias("c20"), F.when(F.col("id") % 4 != 0, F.col("id") * -0.002).alias("c30"))
+    t = _records(spark, sf).select((2002 + (F.col("id") * 2) / 12.0 + 0.02).alias("epoch"), (F.col("id") * 0.001).alias("c20"), F.when(F.col("id") % 4 != 0, F.col("id") * -0.002).alias("c30"))
     x = N.replace_low_degrees(coef(spark, sf), t, 0.05, {(2, 0, 0): "c20", (3, 0, 0): "c30"})
     return rounded(x.where("n IN (2, 3)").select("set_id", "n", "m", "cs", "v"))
 
@@ -141,7 +147,7 @@ def tn_replace(spark, sf):
 SELECT set_id, m, cs, {r('CASE WHEN m = 0 THEN c20 WHEN cs = 0 THEN c20 * 2 ELSE coalesce(c30, v) END')} AS v FROM coef JOIN c USING (set_id) WHERE k = 1 AND n = 1""")
 def degree1_replace(spark, sf):
     """Degree 1 from the nearest record of a geocentre table."""
-    t = spark.range(200).select((2002 + (F.col("id") * 2) / 12.0 + 0.02).alias("epoch"), (F.col("id") * 0.001).alias("c10"), (F.col("id") * 0.001 * 2).alias("c11"), F.when(F.col("id") % 4 != 0, F.col("id") * -0.002).alias("s11"))
+    t = _records(spark, sf).select((2002 + (F.col("id") * 2) / 12.0 + 0.02).alias("epoch"), (F.col("id") * 0.001).alias("c10"), (F.col("id") * 0.001 * 2).alias("c11"), F.when(F.col("id") % 4 != 0, F.col("id") * -0.002).alias("s11"))
     x = N.replace_low_degrees(coef(spark, sf), t, 0.05, {(1, 0, 0): "c10", (1, 1, 0): "c11", (1, 1, 1): "s11"})
     return rounded(x.where("n = 1").select("set_id", "m", "cs", "v"))
 
