@@ -1,16 +1,20 @@
 """Main text of web pages: a bidirectional LSTM labels the sequence of a page's blocks.
 
 A page is cut into leaf blocks: runs of text between block-level tags.  Each block becomes a vector of its hashed
-tag path, hashed class and id words of its ancestors, hashed words and a few lengths and shares.  A bidirectional
-LSTM in numpy reads the whole sequence in both directions, so every block is classified with the whole page in
-view; blocks labelled as content are joined by line feeds.
+tag path and the hashed class and id words of all its ancestors (once as a set, once weighted by nearness), of all
+its hashed words, and of a few lengths and shares.  A bidirectional LSTM in numpy reads the whole sequence in both
+directions, so every block is classified with the whole page in view; blocks labelled as content are joined by line
+feeds.
 
-The network is trained here, on pages that a small grammar writes: articles in many kinds of containers among
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments, with invented words.
+The network is trained here, on pages that a small grammar writes: articles in many kinds of containers, nested to
+any depth, among menus, headers, footers, sidebars, notices, adverts, forms and reader comments, with invented words
+and, in the parts around articles, words that are usual there.
 
 Defined results: a null or empty page has the empty text; text outside any tag is a block like others; script,
 style, comment and head contents are never text; character references are decoded once, unknown ones stay; an
-unclosed tag lasts to the end of its parent; equal pages get equal texts; repeated rows stay repeated.
+unclosed tag lasts to the end of its parent; formulas, drawings' words and the text inside objects are text like
+any other; equal pages get equal texts; repeated rows stay repeated; an empty table gives an empty table; further
+columns are not read and do not appear.
 """
 
 from __future__ import annotations
@@ -18,25 +22,29 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-PATH, NAMES, WORDS, SCALARS = 64, 128, 8, 8
-WIDTH = PATH + NAMES + WORDS + SCALARS
+TAGS, NAMES, WORDS, SCALARS = 64, 128, 64, 8
+PLACE = 2 * (TAGS + NAMES)
+WIDTH = PLACE + WORDS + SCALARS
+FADE = 0.7  # weight of an ancestor, for each level that it is away, in the half weighted by nearness
+KEPT_EVERY = 32  # every so many levels an open element keeps the vector of its place
 HIDDEN = 24
-TRAIN_PAGES = 900
-TRAIN_STEPS = 420
+TRAIN_PAGES = 1500
+TRAIN_STEPS = 800
 CELLS = 1 << 15  # blocks, padding included, that go through the network at once
 
 # Elements of HTML by how they lay out.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
-HIDDEN_TEXT = frozenset("script style template noscript svg math iframe object canvas".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr object svg g text tspan textpath math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mfenced mstyle mpadded".split())
+HIDDEN_TEXT = frozenset("script style template noscript iframe canvas title desc metadata annotation annotation-xml".split())
 CLOSED_BY = {
     "p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
     "li": frozenset(["li"]),
@@ -54,25 +62,45 @@ _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 _END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in HIDDEN_TEXT}
 
 
-@dataclass
+@dataclass(eq=False, slots=True)
+class Place:
+    """An open element; the vector of its place is worked out when a block needs it."""
+
+    tag: str
+    names: tuple[str, ...] = ()
+    up: Place | None = None
+    depth: int = 0
+    head: bool = False
+    kept: np.ndarray | None = None
+
+    def vector(self) -> np.ndarray:
+        chain, at = [], self
+        while at is not None and at.kept is None:
+            chain.append(at)
+            at = at.up
+        v = np.zeros(PLACE, np.float32) if at is None else at.kept
+        for p in reversed(chain):
+            v = _deeper(v, p.tag, p.names)
+            if p is self or p is self.up or p.depth % KEPT_EVERY == 0:
+                p.kept = v
+        return v
+
+
+@dataclass(slots=True)
 class Block:
-    path: tuple[str, ...]
-    names: tuple[str, ...]
+    place: Place
     text: str
     linked: int = 0
 
 
-@dataclass
-class _Open:
-    tag: str
-    names: tuple[str, ...] = field(default=())
-
-
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[_Open] = []
+    stack: list[Place] = []
+    root = Place("")
+    opened: Counter[str] = Counter()
     parts: list[str] = []
+    unclosed: set[str] = set()  # kinds of hidden elements without an end tag further on
     linked = links = 0
 
     def flush() -> None:
@@ -81,12 +109,13 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append(Block(tuple(o.tag for o in stack if o.tag not in INLINE), tuple(n for o in stack for n in o.names), text, linked))
+                out.append(Block(stack[-1] if stack else root, text, linked))
             linked = 0
 
     def pop_to(i: int) -> None:
         nonlocal links
         for o in stack[i:]:
+            opened[o.tag] -= 1
             links -= o.tag == "a"
         del stack[i:]
 
@@ -112,7 +141,7 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[i].tag == tag:
                     pop_to(i)
                     break
@@ -121,8 +150,11 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in HIDDEN_TEXT:
             if not m[3].rstrip().endswith("/"):
-                e = _END[tag].search(page, at)
-                at = e.end() if e else n
+                e = None if tag in unclosed else _END[tag].search(page, at)
+                if e is None:
+                    unclosed.add(tag)
+                if e or tag in ("script", "style"):
+                    at = e.end() if e else n
             continue
         if tag not in INLINE:
             flush()
@@ -137,44 +169,58 @@ def blocks(page: str) -> list[Block]:
         names: tuple[str, ...] = ()
         if m[3]:
             names = tuple(w for a in _ATTR.findall(m[3]) for w in re.findall(r"[a-z]+", (a[1] or a[2] or a[3]).lower()))
-        stack.append(_Open(tag, names))
+        up = stack[-1] if stack else root
+        stack.append(Place(tag, names, up, up.depth + 1, up.head or tag == "head"))
+        opened[tag] += 1
         links += tag == "a"
     flush()
-    return [b for b in out if "head" not in b.path and "title" not in b.path]
+    return [b for b in out if not b.place.head]
 
 
-def _hashed(word: str, width: int) -> tuple[int, float]:
-    h = zlib.crc32(word.encode())
-    return (h >> 1) % width, 1.0 if h & 1 else -1.0
+def _bucket(word: str, width: int) -> int:
+    return (zlib.crc32(word.encode("utf-8", "replace")) >> 1) % width
 
 
 @lru_cache(maxsize=20_000)
-def _place(path: tuple[str, ...], names: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH + NAMES, np.float32)
-    for k, tag in enumerate(path[-8:]):
-        i, s = _hashed(f"t:{tag}", PATH)
-        v[i] += s
-        if k == len(path[-8:]) - 1:
-            i, s = _hashed(f"leaf:{tag}", PATH)
-            v[i] += s
-    for w in set(names[-24:]):
-        i, s = _hashed(f"n:{w}", NAMES)
-        v[PATH + i] += s
+def _own(tag: str, names: tuple[str, ...]) -> np.ndarray:
+    v = np.zeros(TAGS + NAMES, np.float32)
+    if tag not in INLINE:
+        v[_bucket("t:" + tag, TAGS)] = 1
+    for w in names:
+        v[TAGS + _bucket("n:" + w, NAMES)] = 1
     return v
 
 
-def vectors(bs: list[Block]) -> np.ndarray:
-    x = np.zeros((len(bs), WIDTH), np.float32)
-    for k, b in enumerate(bs):
-        x[k, : PATH + NAMES] = _place(b.path, b.names)
-        ws = b.text.split(" ", 12)
-        for w in ws[:12]:
-            i, s = _hashed(w.lower(), WORDS)
-            x[k, PATH + NAMES + i] += 0.1 * s
+def _deeper(v: np.ndarray, tag: str, names: tuple[str, ...]) -> np.ndarray:
+    """The vector of a place one element below the place of v: what is above it at all, and what is near."""
+    if tag in INLINE and not names:
+        return v
+    own = _own(tag, names) if sum(map(len, names)) < 500 else _own.__wrapped__(tag, names)
+    half = TAGS + NAMES
+    return np.concatenate([np.maximum(v[:half], own), FADE * v[half:] + own])
+
+
+def _word(w: str) -> int:
+    return zlib.crc32(w.encode("utf-8", "replace")) % (2 * WORDS)
+
+
+_cached_word = lru_cache(maxsize=100_000)(_word)
+
+
+def vectors(bs: list[Block], first: int = 0, last: int | None = None) -> np.ndarray:
+    """A row for each of the blocks first to last of a page."""
+    some = bs[first:last]
+    x = np.zeros((len(some), WIDTH), np.float32)
+    for k, b in enumerate(some):
+        x[k, :PLACE] = b.place.vector()
+        ws = b.text.lower().split(" ")
+        counts = np.bincount([_cached_word(w) if len(w) < 40 else _word(w) for w in ws], minlength=2 * WORDS)
+        signed = (counts[:WORDS] - counts[WORDS:]).astype(np.float32)
+        x[k, PLACE : PLACE + WORDS] = signed / max(1.0, np.sqrt(signed @ signed))
         n = len(b.text)
         x[k, -SCALARS:] = (
             np.log1p(n) / 6, np.log1p(len(ws)) / 3, min(1.0, b.linked / n), b.text[-1] in ".!?\"'…:",
-            k / max(1, len(bs) - 1), np.log1p(len(bs)) / 5, b.text[0].isupper(), len(b.path) / 8,
+            (first + k) / max(1, len(bs) - 1), np.log1p(len(bs)) / 5, b.text[0].isupper(), np.log1p(b.place.depth) / 3,
         )
     return x
 
@@ -186,13 +232,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, mask: np.ndarray, keep: bool = False):
-    """x [T, B, D] to hidden states [T, B, H]; padded steps carry the state on."""
-    steps, batch, _ = x.shape
+def _lstm(pre: np.ndarray, u: np.ndarray, mask: np.ndarray, keep: bool = False):
+    """Projected inputs [T, B, 4 H] to hidden states [T, B, H]; padded steps carry the state on."""
+    steps, batch, _ = pre.shape
     hid = u.shape[0]
     h, c = np.zeros((batch, hid), np.float32), np.zeros((batch, hid), np.float32)
-    pre = x.reshape(steps * batch, -1) @ w + b
-    pre = pre.reshape(steps, batch, 4 * hid)
     out, tape = np.empty((steps, batch, hid), np.float32), []
     for t in range(steps):
         z = pre[t] + h @ u
@@ -230,24 +274,30 @@ def _lstm_back(x, w, u, tape, dout):
 Params = dict[str, np.ndarray]
 
 
-def _forward(p: Params, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-    f, tf = _lstm(x, p["wf"], p["uf"], p["bf"], mask, keep)
-    r, tr = _lstm(x[::-1], p["wr"], p["ur"], p["br"], mask[::-1], keep)
+def _project(p: Params, x: np.ndarray) -> np.ndarray:
+    """Rows of blocks to the inputs of the forward and the backward network, side by side."""
+    return np.concatenate([x @ p["wf"] + p["bf"], x @ p["wr"] + p["br"]], axis=-1)
+
+
+def _forward(p: Params, pre: np.ndarray, mask: np.ndarray, keep: bool = False):
+    f, tf = _lstm(pre[:, :, : 4 * HIDDEN], p["uf"], mask, keep)
+    r, tr = _lstm(pre[::-1, :, 4 * HIDDEN :], p["ur"], mask[::-1], keep)
     both = np.concatenate([f, r[::-1]], axis=2)
     return both @ p["v"] + p["c"], both, tf, tr
 
 
 def _padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     t = max(len(s) for s in seqs)
-    x, mask = np.zeros((t, len(seqs), WIDTH), np.float32), np.zeros((t, len(seqs)), bool)
+    x, mask = np.zeros((t, len(seqs), seqs[0].shape[1]), np.float32), np.zeros((t, len(seqs)), bool)
     for k, s in enumerate(seqs):
         x[: len(s), k] = s
         mask[: len(s), k] = True
     return x, mask
 
 
-def label(p: Params, seqs: list[np.ndarray]) -> list[np.ndarray]:
+def label(p: Params, pages: list[list[Block]]) -> list[np.ndarray]:
     """Whether each block of each page is content."""
+    seqs = [np.concatenate([_project(p, vectors(bs, lo, lo + 4096)) for lo in range(0, max(1, len(bs)), 4096)]) for bs in pages]
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(seqs)
     order = sorted((k for k in range(len(seqs)) if len(seqs[k])), key=lambda k: len(seqs[k]))
     lo = 0
@@ -274,6 +324,9 @@ _SIDE = ["<aside>", '<div class="sidebar">', '<aside class="related">', '<div id
 _AD = ['<div class="ad">', '<div class="ads">', '<div class="advert">', '<div class="sponsored promo">', '<div class="banner">', '<aside class="advertisement">', '<div id="ad">']
 _NOTE = ['<div class="cookie notice">', '<div id="cookie">', '<div class="consent">', '<div class="alert">', '<div class="notice">', '<div class="newsletter subscribe">', '<div class="popup modal">', '<div role="alert">']
 _COMMENTS = ['<div class="comments">', '<section id="comments">', '<ol class="comment list">', '<div class="comment">', '<div class="reply discussion">', '<ul class="comments">']
+_NEUTRAL = ["<div>", '<div class="row">', '<div class="col">', '<div class="inner">', '<section>', '<div class="wrap box">', "<span>", '<div class="grid block">', '<div id="c">']
+# Words that are usual around articles.
+_TELLING = "home menu login search contact about privacy cookies cookie policy accept terms copyright rights reserved subscribe newsletter share tweet reply comments posted sponsored advertisement advert buy related popular trending more next previous click follow sign register email".split()
 _INNER = ["p", "p", "p", "p", "h2", "h3", "li", "blockquote", "pre", "td", "dd", "figcaption", "div"]
 
 
@@ -292,9 +345,12 @@ def training_page(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
     """A page of the grammar with its true labels; content words carry a mark that is taken out again."""
     mark = ""
     pool = _invented_words()
+    telling = float(rng.choice([0.0, 0.1, 0.4]))
 
     def words(n: int, dot: bool = True, m: str = "") -> str:
         ws = [pool[i] for i in rng.integers(0, len(pool), max(1, n))]
+        for k in np.flatnonzero(rng.random(len(ws)) < (0.005 if m else telling)):
+            ws[k] = pick(_TELLING)
         return m + " ".join(ws).capitalize() + ("." if dot and rng.random() < 0.9 else "")
 
     def links(n: int) -> str:
@@ -303,9 +359,13 @@ def training_page(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
     def pick(kinds: list[str]) -> str:
         return kinds[rng.integers(len(kinds))]
 
+    def deep(inside: str) -> str:
+        o = "".join(pick(_NEUTRAL) for _ in range(rng.integers(1, 4) if rng.random() < 0.7 else rng.integers(4, 25)))
+        return o + inside + _closing(o)
+
     def wrap(kinds: list[str], inside: str) -> str:
         o = pick(kinds)
-        return o + inside + _closing(o)
+        return o + (deep(inside) if rng.random() < 0.3 else inside) + _closing(o)
 
     def texts(lo: int, hi: int) -> str:
         tag = pick(["p", "p", "li", "span", "div", ""])
@@ -356,7 +416,7 @@ def training_page(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
         body.append(wrap(_NAV, links(rng.integers(1, 9))))
     body += [junk() for _ in range(rng.integers(0, 3))]
     o = pick(_MAIN)
-    inside = article()
+    inside = deep(article()) if rng.random() < 0.3 else article()
     late = comments() if rng.random() < 0.4 else ""
     body.append(o + inside + (late if rng.random() < 0.4 else "") + (_closing(o) if rng.random() < 0.95 else ""))
     body += [late] if late not in body[-1] else []
@@ -392,7 +452,7 @@ def train(seed: int = 5, pages: int = TRAIN_PAGES, steps: int = TRAIN_STEPS, bat
         y = np.zeros(mask.shape, np.float32)
         for k, (_, t) in enumerate(chosen):
             y[: len(t), k] = t
-        z, both, tf, tr = _forward(p, x, mask, True)
+        z, both, tf, tr = _forward(p, _project(p, x), mask, True)
         dz = np.where(mask, _sigmoid(z) - y, 0).astype(np.float32) / mask.sum()
         dboth = dz[:, :, None] * p["v"]
         g: Params = {"v": np.einsum("tb,tbh->h", dz, both), "c": dz.sum()}
@@ -413,14 +473,14 @@ def model() -> dict:
 
 def extract(pages: DataFrame, params: Params | None = None) -> DataFrame:
     """page_id, url, the main text and its length in code points."""
-    weights = pages.sparkSession.sparkContext.broadcast(params or model())  # about 40,000 numbers
+    weights = pages.sparkSession.sparkContext.broadcast(params or model())  # about 95,000 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
                 found = [blocks(h.as_py() or "") for h in b.column(2)]
-                marks = label(weights.value, [vectors(x) for x in found])
+                marks = label(weights.value, found)
                 texts = ["\n".join(x.text for x, m in zip(bs, ms) if m) for bs, ms in zip(found, marks)]
                 yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

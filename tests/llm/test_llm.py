@@ -458,13 +458,56 @@ def test_html_blocks():
 def test_html_extraction_held_out(spark, sf_dir):
     rng = np.random.default_rng(123)
     pages = [html_text.training_page(rng) for _ in range(100)]
-    got = html_text.label(html_text.model(), [html_text.vectors(b) for b, _ in pages])
+    got = html_text.label(html_text.model(), [b for b, _ in pages])
     assert np.concatenate([g == y for g, (_, y) in zip(got, pages)]).mean() > 0.98
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<body><nav><a>m</a></nav><article><h1>Title here</h1><p>Some text of the article, long enough.</p></article></body>")]
     out = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert out[1] == out[2] == ("", 0) and out[3][0] == "Title here\nSome text of the article, long enough."
 
 
+def _nested(k: int, inside: str) -> str:
+    return '<div class="row">' * k + inside + "</div>" * k
+
+
+_SAID = "The harbour council met on Tuesday to weigh a plan for the old pier, and heard from forty residents."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><div class="site-nav">' + _nested(12, "<a href=1>Home</a><p><a href=2>Contact us</a></p>") + '</div><div class="post-content">' + _nested(15, f"<h1>KEEP plan</h1><p>KEEP {_SAID}</p><p>KEEP {_SAID}</p>") + '</div><div class="site-footer">' + _nested(10, "<p>Copyright 2024 All rights reserved</p>") + "</div></body>",
+        "<body><header>" + _nested(11, "<p>Daily News</p>") + "</header><main>" + _nested(30, f"<h1>KEEP Title</h1><p>KEEP {_SAID}</p><p>KEEP Mass <math><mi>m</mi></math> here grows.</p>") + "<aside>" + _nested(14, "<p>Related: more popular stories to read next.</p>") + '</aside></main><section class="comments">' + _nested(9, "<p>I do not agree with the council at all.</p><p>Reply</p>") + "</section><footer>" + _nested(9, "<p>Privacy policy</p>") + "</footer></body>",
+        "<body><nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav><article><h1>KEEP One</h1>" + "".join(f"<p>KEEP {_SAID} {i}</p>" for i in range(40)) + '<div class="ad">' + _nested(10, "<p>Buy now, sponsored offer.</p>") + f"</div><p>KEEP {_SAID}</p></article><form><label>Email</label><button>Subscribe</button></form></body>",
+        '<body><div id="cookie">' + _nested(9, "<p>We use cookies to improve the site. Accept.</p>") + f"</div><article><table><tr><td>KEEP cell one<td>KEEP cell two</table><ul><li>KEEP first</li><li>KEEP second</li></ul><blockquote>KEEP {_SAID}</blockquote></article></body>",
+    ],
+)
+def test_html_pages_by_hand(page):
+    found = html_text.blocks(page)
+    marks = html_text.label(html_text.model(), [found])[0]
+    assert [(b.text, bool(m)) for b, m in zip(found, marks)] == [(b.text, b.text.startswith("KEEP")) for b in found]
+
+
+def test_html_places_and_words_are_whole():
+    """The farthest ancestor, the last word and the true number of words are in a block's vector."""
+    near, far = (html_text.blocks(f"<{t}>" + "<div>" * 300 + "<p>x")[0] for t in ("nav", "section"))
+    assert (html_text.vectors([near]) != html_text.vectors([far])).any()
+    a, b = (html_text.vectors(html_text.blocks("<p>" + "word " * 500 + w)) for w in ("cookies", "pier"))
+    assert (a[0, html_text.PLACE : -html_text.SCALARS] != b[0, html_text.PLACE : -html_text.SCALARS]).any()
+    assert a[0, -html_text.SCALARS + 1] == np.float32(np.log1p(501) / 3)
+    deep = html_text.blocks("<div>" * 30_000 + "<p>a</p><p>b</p>" * 2_000)
+    assert len(deep) == 4_000 and html_text.vectors(deep).shape == (4_000, html_text.WIDTH)
+    assert [x.text for x in html_text.blocks("<svg><title>t</title><text>in it</text></svg> <noscript>n")] == ["in it n"]
+
+
+def test_html_tables(spark):
+    page = f"<body><article><p>{_SAID}</p></article></body>"
+    rows = spark.createDataFrame([(1, "u", page, "z"), (1, "u", page, "z"), (None, None, None, None)], "page_id long, url string, html string, text string")
+    out = html_text.extract(rows)
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, "u", _SAID, len(_SAID))] * 2 + [(None, None, "", 0)]
+    assert html_text.extract(rows.limit(0)).count() == 0
+
+
 def test_pipeline_stages(spark, corpus, tmp_path):
     tokenizers_path("word_bpe_49k.json")
     import corpus_pipeline
