@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from orbloom.llm._arrow import MIX1, joined, mix, saved, slices, tidy, utf8, window_hashes, word_hash, words
 
-CHUNK = 1 << 20  # units of a longer document that are in memory at once
+CHUNK = 1 << 18  # units of a longer document that are in memory at once
 MANY_COVERS = 2000  # different covers of one fingerprint, beyond which they get longer anchors
 SHARD_COVERS = 4000  # covers in a shard, on average
 
