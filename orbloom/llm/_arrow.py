@@ -147,6 +147,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
+    tidied(spark)
     table = spark.read.schema(df.schema).parquet(path)
     table.__dict__["_saved_at"] = path
     return table
@@ -165,8 +166,7 @@ def dropped(*tables: DataFrame) -> None:
             _written.remove(path)
             _delete(t.sparkSession, path)
     if tables:
-        gc.collect()
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        tidied(tables[0].sparkSession)
 
 
 def discard(spark: SparkSession) -> None:
@@ -175,6 +175,20 @@ def discard(spark: SparkSession) -> None:
         _delete(spark, _written.pop())
 
 
+def released() -> None:
+    """Gives memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidied(spark: SparkSession) -> None:
+    """Lets go of what the driver holds of steps that are over: plans, broadcasts, collected rows, shuffle files."""
+    gc.collect()
+    released()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tidy(run):
     """A function over Arrow batches that gives freed memory back to the system when its task ends."""
 
@@ -183,8 +197,6 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
+            released()
 
     return whole

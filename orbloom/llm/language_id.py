@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbloom.llm._arrow import tidy
+from orbloom.llm._arrow import tidied, tidy
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -195,7 +195,7 @@ def sample(docs: DataFrame, size: int = SAMPLE) -> list[tuple[str, np.ndarray, n
             yield pa.record_batch([*b.columns[:3], pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))], names=["lang", "h", "t", "at", "n"]).filter(pa.array(keep, pa.bool_()))
 
     rows = near.mapInArrow(run, "lang string, h bigint, t bigint, at array<int>, n array<int>").toArrow().sort_by([("h", "ascending"), ("t", "ascending"), ("lang", "ascending")])
-    return [(lang, np.array(at.as_py()), np.array(n.as_py())) for lang, at, n in zip(rows["lang"].to_pylist(), rows["at"], rows["n"])]
+    return [(lang, at.values.to_numpy().copy(), n.values.to_numpy().copy()) for lang, at, n in zip(rows["lang"].to_pylist(), rows["at"], rows["n"])]
 
 
 def fit(docs: DataFrame, size: int = SAMPLE) -> Model:
@@ -214,7 +214,10 @@ def fit(docs: DataFrame, size: int = SAMPLE) -> Model:
     train = [s for s, h in zip(sparse, held) if not h]
     w, b = ftrl(train, y[~held], len(langs))
     logits = np.array([x @ w[at] + b for (at, x), h in zip(sparse, held) if h]).reshape(-1, len(langs))
-    return Model(langs, w * idf[:, None] * 10, b, temperature(logits, y[held]))
+    model = Model(langs, w * idf[:, None] * 10, b, temperature(logits, y[held]))
+    del rows, sparse, train
+    tidied(docs.sparkSession)
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
