@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbloom.llm._arrow import MIX1, joined, mix, saved, slices, tidy, utf8, window_hashes, word_hash, words
+from orbloom.llm._arrow import MIX1, joined, mix, released, saved, slices, tidy, utf8, window_hashes, word_hash, words
 
 CHUNK = 1 << 18  # units of a longer document that are in memory at once
 MANY_COVERS = 2000  # different covers of one fingerprint, beyond which they get longer anchors
-SHARD_COVERS = 4000  # covers in a shard, on average
+SHARD_COVERS = 1000  # covers in a shard, on average
 
 
 @dataclass(frozen=True)
@@ -172,6 +172,8 @@ def _exact(covers: DataFrame, spec: Spec, shards: int) -> DataFrame:
         masks = spec.kernel(table["text"].to_pylist(), table["n"].to_numpy(), table["windows"].to_numpy(), spec.length)
         out: list[tuple] = [(a, b, lo, hi) for a, b, m in zip(table["a"].to_pylist(), table["b"].to_pylist(), masks) for lo, hi in _runs(m)]
         cols = list(zip(*out)) if out else [[], [], [], []]
+        del masks, out
+        released()
         return pa.table([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["a", "b", "lo", "hi"])
 
     return covers.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))).groupBy("shard").applyInArrow(run, "a bigint, b bigint, lo int, hi int")
