@@ -83,6 +83,25 @@ def op4_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("pair_id", "prompt_turns", "prompt", "chosen", "rejected", shown("chosen_spans"), shown("rejected_spans"))
 
 
+def op11_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back from them; ``fault`` is null where all checks hold."""
+    from orbloom.llm import warc
+
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbloom.llm import vector_codes
+
+    return vector_codes.report(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from orbloom.llm import merkle
+
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
 OP4_SQL = """
 WITH m AS (
   SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn, role, text) AS ms
@@ -113,7 +132,7 @@ FROM s
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_permutation_index, op2_substring_dedup, op3_suffix_array_dedup, op4_preference_formatting, op5_sentencepiece, op6_best_fit_packing, op7_html_extraction, op8_language_id, op9_ngram_jaccard_join, op10_media_columns)}
+    return {f.__name__: f for f in (op1_permutation_index, op2_substring_dedup, op3_suffix_array_dedup, op4_preference_formatting, op5_sentencepiece, op6_best_fit_packing, op7_html_extraction, op8_language_id, op9_ngram_jaccard_join, op10_media_columns, op11_warc_reader, op12_vector_codes, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
