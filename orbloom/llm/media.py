@@ -34,18 +34,99 @@ SAMPLE_RATE = 8000
 # --- validators: (content, start) -> end of the object, or -1 -----------------------------------------------------
 
 
-def _wav(b: bytes, at: int) -> int:
+class Content(bytes):
+    """Bytes with what several validators ask for, each looked up once.
+
+    Formats that are chains of sized parts (boxes, pages, blocks, segments) are walked through ``walk``: what stands
+    behind a place is the same for all objects that reach it, so no place is walked twice.
+    """
+
+    @cached_property
+    def walked(self) -> dict:
+        return {}
+
+    def walk(self, name: str, p: int, step: Callable[[int], tuple], join: Callable):
+        """The result of place p: ``step`` gives (value, None) at an end, else (own part, next place); ``join`` adds a part to the result behind it."""
+        memo, way = self.walked.setdefault(name, {}), []
+        while p not in memo:
+            value, following = step(p)
+            if following is None:
+                memo[p] = value
+                break
+            way.append((p, value))
+            p = following
+        out = memo[p]
+        for place, value in reversed(way):
+            out = memo[place] = join(value, out)
+        return out
+
+    @cached_property
+    def riff_chunks(self) -> dict[int, tuple[int, int, int, int]]:
+        """By place of a chunk that follows a RIFF head, directly or later: the span of its numbers in a depth-first walk, and where the next fmt and data chunks are."""
+        nxt: dict[int, int] = {}
+        for m in re.finditer(b"RIFF", self):
+            p = m.start() + 12
+            while p not in nxt and p + 8 <= len(self):
+                size = struct.unpack_from("<I", self, p + 4)[0]
+                nxt[p] = p = p + 8 + size + (size & 1)
+        before: dict[int, list[int]] = {}
+        for q, p in nxt.items():
+            before.setdefault(p, []).append(q)
+        out: dict[int, tuple[int, int, int, int]] = {}
+        far, number = len(self) + 1, 0
+        for end in [p for p in before if p not in nxt]:
+            stack = [(end, far, far, False)]
+            first: dict[int, tuple[int, int, int]] = {}
+            while stack:
+                p, fmt, data, done = stack.pop()
+                if done:
+                    out[p] = (first[p][0], number, *first[p][1:])
+                    continue
+                kind = self[p : p + 4] if p in nxt else b""
+                fmt, data = (p if kind == b"fmt " else fmt), (p if kind == b"data" else data)
+                number += 1
+                first[p] = (number, fmt, data)
+                stack.append((p, fmt, data, True))
+                stack.extend((q, fmt, data, False) for q in before.get(p, ()))
+        return out
+
+    @cached_property
+    def jpeg_marks(self) -> list[int]:
+        """Places of markers that end coded data."""
+        return [m.start() for m in re.finditer(rb"\xff(?=[^\x00\xd0-\xd7])", self, re.DOTALL)]
+
+    @cached_property
+    def pdf_ends(self) -> list[tuple[int, int, int]]:
+        """Place of each ``startxref``, the offset that it gives, and the end of the %%EOF behind it."""
+        return [(m.start(), int(m[1]), m.end()) for m in _STARTXREF.finditer(self)]
+
+    @cached_property
+    def pdf_heads(self) -> list[int]:
+        return [m.start() for m in re.finditer(rb"%PDF-\d", self)]
+
+    @cached_property
+    def zip_ends(self) -> dict[int, int]:
+        """Start of an archive, as its end record tells it, and its end."""
+        out: dict[int, int] = {}
+        at = self.find(b"PK\x05\x06")
+        while at >= 0 and at + 22 <= len(self):
+            size, first, note = struct.unpack_from("<IIH", self, at + 12)
+            directory = at - size
+            if directory - first >= 0 and self[directory : directory + 4] in (b"PK\x01\x02", b"PK\x05\x06") and at + 22 + note <= len(self):
+                out.setdefault(directory - first, at + 22 + note)
+            at = self.find(b"PK\x05\x06", at + 1)
+        return out
+
+
+def _wav(b: Content, at: int) -> int:
     if len(b) < at + 12 or b[at + 8 : at + 12] != b"WAVE":
         return -1
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
     if end > len(b):
         return -1
-    p, seen = at + 12, set()
-    while p + 8 <= end:
-        size = struct.unpack_from("<I", b, p + 4)[0]
-        seen.add(b[p : p + 4])
-        p += 8 + size + (size & 1)
-    return end if p == end and {b"fmt ", b"data"} <= seen else -1
+    head, tail = b.riff_chunks.get(at + 12), b.riff_chunks.get(end)
+    # The chunks lead to the end if its numbers hold that of the first one; both kinds stand before it.
+    return end if head and tail and tail[0] <= head[0] <= tail[1] and max(head[2:]) < end else -1
 
 
 def _png(b: bytes, at: int) -> int:
@@ -63,58 +144,56 @@ def _png(b: bytes, at: int) -> int:
     return -1
 
 
-def _gif(b: bytes, at: int) -> int:
+def _gif(b: Content, at: int) -> int:
     if len(b) < at + 13:
         return -1
-    flags = b[at + 10]
-    p = at + 13 + (3 << ((flags & 7) + 1) if flags & 128 else 0)
+
+    def block(p: int) -> tuple:
+        if p >= len(b) or p < 0:
+            return -1, None
+        return (p + 1, None) if not b[p] else (0, p + 1 + b[p])
 
     def blocks(p: int) -> int:
-        while p < len(b) and b[p]:
-            p += 1 + b[p]
-        return p + 1 if p < len(b) else -1
+        return b.walk("gif blocks", p, block, lambda _, end: end)
 
-    images = 0
-    while 0 <= p < len(b):
+    def part(p: int) -> tuple:
+        if not 0 <= p < len(b):
+            return (-1, False), None
         if b[p] == 0x3B:
-            return p + 1 if images else -1
+            return (p + 1, False), None
         if b[p] == 0x21:
-            p = blocks(p + 2)
-        elif b[p] == 0x2C and p + 10 < len(b):
-            local = b[p + 9]
-            p = blocks(p + 11 + (3 << ((local & 7) + 1) if local & 128 else 0))
-            images += 1
-        else:
-            return -1
-    return -1
+            return False, blocks(p + 2)
+        if b[p] == 0x2C and p + 10 < len(b):
+            return True, blocks(p + 11 + (3 << ((b[p + 9] & 7) + 1) if b[p + 9] & 128 else 0))
+        return (-1, False), None
 
+    flags = b[at + 10]
+    end, image = b.walk("gif", at + 13 + (3 << ((flags & 7) + 1) if flags & 128 else 0), part, lambda own, rest: (rest[0], own or rest[1]))
+    return end if image else -1
 
-def _jpeg(b: bytes, at: int) -> int:
-    p, frames = at + 2, 0
-    while p + 4 <= len(b):
-        if b[p] != 0xFF:
-            return -1
+
+def _jpeg(b: Content, at: int) -> int:
+    def segment(p: int) -> tuple:
+        if p + 4 > len(b) or b[p] != 0xFF:
+            return (-1, False), None
         m = b[p + 1]
         if m == 0xFF:
-            p += 1
-            continue
+            return False, p + 1
         size = struct.unpack_from(">H", b, p + 2)[0]
         if size < 2 or p + 2 + size > len(b):
-            return -1
-        frames += 0xC0 <= m <= 0xCF and m not in (0xC4, 0xC8, 0xCC)
-        p += 2 + size
+            return (-1, False), None
+        q = p + 2 + size
         if m == 0xDA:
-            while True:
-                p = b.find(b"\xff", p)
-                if p < 0 or p + 1 >= len(b):
-                    return -1
-                if b[p + 1] == 0xD9:
-                    return p + 2 if frames else -1
-                if b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7:
-                    p += 2
-                else:
-                    break
-    return -1
+            k = bisect_left(b.jpeg_marks, q)
+            if k == len(b.jpeg_marks):
+                return (-1, False), None
+            q = b.jpeg_marks[k]
+            if b[q + 1] == 0xD9:
+                return (q + 2, False), None
+        return 0xC0 <= m <= 0xCF and m not in (0xC4, 0xC8, 0xCC), q
+
+    end, frame = b.walk("jpeg", at + 2, segment, lambda own, rest: (rest[0], own or rest[1]))
+    return end if frame else -1
 
 
 def _bmp(b: bytes, at: int) -> int:
@@ -125,32 +204,6 @@ def _bmp(b: bytes, at: int) -> int:
     return at + size if ok else -1
 
 
-class Content(bytes):
-    """Bytes with the places that several validators ask for, each looked up once."""
-
-    @cached_property
-    def pdf_ends(self) -> list[tuple[int, int, int]]:
-        """Place of each ``startxref``, the offset that it gives, and the end of the %%EOF behind it."""
-        return [(m.start(), int(m[1]), m.end()) for m in _STARTXREF.finditer(self)]
-
-    @cached_property
-    def pdf_heads(self) -> list[int]:
-        return [m.start() for m in re.finditer(rb"%PDF-\d", self)]
-
-    @cached_property
-    def zip_ends(self) -> dict[int, int]:
-        """Start of an archive, as its end record tells it, and its end."""
-        out: dict[int, int] = {}
-        at = self.find(b"PK\x05\x06")
-        while at >= 0 and at + 22 <= len(self):
-            size, first, note = struct.unpack_from("<IIH", self, at + 12)
-            directory = at - size
-            if directory - first >= 0 and self[directory : directory + 4] in (b"PK\x01\x02", b"PK\x05\x06") and at + 22 + note <= len(self):
-                out.setdefault(directory - first, at + 22 + note)
-            at = self.find(b"PK\x05\x06", at + 1)
-        return out
-
-
 _STARTXREF = re.compile(rb"startxref\s{1,8}(\d{1,18})\s{1,8}%%EOF")
 _XREF = re.compile(rb"\s{0,8}(?:xref\b|\d{1,10}\s{1,8}\d{1,5}\s{1,8}obj\b)")
 
@@ -228,17 +281,22 @@ def _flac_frame(b: bytes, p: int) -> tuple[int, int]:
     return (q + 1 - p, n) if crc == b[q] else (0, 0)
 
 
-def _flac(b: bytes, at: int) -> int:
+def _flac(b: Content, at: int) -> int:
     """Ends behind the last frame whose checksum holds, once all samples that the stream promises are there."""
     p = at + 4
     if len(b) < p + 38 or b[p] & 0x7F or int.from_bytes(b[p + 1 : p + 4], "big") != 34:
         return -1
     promised = int.from_bytes(b[p + 17 : p + 22], "big") & ((1 << 36) - 1)
-    last = 0
-    while not last:
+
+    def block(p: int) -> tuple:
         if p + 4 > len(b):
-            return -1
-        last, p = b[p] >> 7, p + 4 + int.from_bytes(b[p + 1 : p + 4], "big")
+            return -1, None
+        following = p + 4 + int.from_bytes(b[p + 1 : p + 4], "big")
+        return (following, None) if b[p] >> 7 else (0, following)
+
+    p = b.walk("flac", p, block, lambda _, end: end)
+    if p < 0:
+        return -1
     samples, table = 0, _crc_table(16, 0x8005)
     head, n = _flac_frame(b, p)
     while head:
@@ -257,31 +315,31 @@ def _flac(b: bytes, at: int) -> int:
     return p if samples else -1
 
 
-def _ogg(b: bytes, at: int) -> int:
-    p, pages = at, 0
-    while b[p : p + 4] == b"OggS" and p + 27 <= len(b) and b[p + 4] == 0:
-        n = b[p + 26]
-        size = 27 + n + sum(b[p + 27 : p + 27 + n])
+def _ogg(b: Content, at: int) -> int:
+    def page(p: int) -> tuple:
+        if b[p : p + 4] != b"OggS" or p + 27 > len(b) or b[p + 4]:
+            return p, None
+        size = 27 + b[p + 26] + sum(b[p + 27 : p + 27 + b[p + 26]])
         if p + size > len(b):
-            return -1
-        p, pages, last = p + size, pages + 1, b[p + 5] & 4
-        if last:
-            return p
-    return p if pages else -1
+            return -1, None
+        return (p + size, None) if b[p + 5] & 4 else (0, p + size)
 
+    end = b.walk("ogg", at, page, lambda _, end: end)
+    return end if end > at else -1
 
-def _mp4(b: bytes, at: int) -> int:
-    p = at - 4
-    if p < 0:
+
+def _mp4(b: Content, at: int) -> int:
+    if at < 4:
         return -1
-    seen = set()
-    while p + 8 <= len(b):
-        size, kind = struct.unpack_from(">I", b, p)[0], b[p + 4 : p + 8]
+
+    def box(p: int) -> tuple:
+        size, kind = (struct.unpack_from(">I", b, p)[0], b[p + 4 : p + 8]) if p + 8 <= len(b) else (0, b"")
         if size < 8 or p + size > len(b) or not kind.isalnum():
-            break
-        seen.add(kind)
-        p += size
-    return p if b"ftyp" in seen and seen & {b"moov", b"mdat", b"meta"} else -1
+            return (p, False, False), None
+        return (kind == b"ftyp", kind in (b"moov", b"mdat", b"meta")), p + size
+
+    end, typed, filled = b.walk("mp4", at - 4, box, lambda own, rest: (rest[0], own[0] or rest[1], own[1] or rest[2]))
+    return end if typed and filled else -1
 
 
 # Magic bytes, where in the object they stand, and media types.
