@@ -125,6 +125,17 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return table[data]
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of this session hold ``BATCH_BYTES`` at most, however long the texts are; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 _private: list[str] = []
 _written: list[str] = []
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbloom.llm._arrow import MIX1, joined, mix, released, saved, slices, tidy, utf8, window_hashes, word_hash, words
+from orbloom.llm._arrow import MIX1, bounded_batches, dropped, joined, mix, released, saved, slices, tidy, utf8, window_hashes, word_hash, words
 
 CHUNK = 1 << 18  # units of a longer document that are in memory at once
 MANY_COVERS = 2000  # different covers of one fingerprint, beyond which they get longer anchors
@@ -133,7 +133,9 @@ def _chunks(data: np.ndarray, off: np.ndarray, spec: Spec):
 def _covers(items: DataFrame, wanted: DataFrame, spec: Spec) -> DataFrame:
     """The text that the wanted anchors' windows cover, as items of their own: a is the fingerprint, b the cover."""
     lists = wanted.groupBy("a", "b").agg(F.collect_list(F.struct("p0", "p1", "fp", "cover", "n", "many")).alias("x"))
-    pairs = items.select("a", "b", "text").join(lists, ["a", "b"]).select("text", "x")
+    # Of equal rows one is read; tasks merge theirs before the shuffle, so a row that stands very often is no hot key.
+    single = items.groupBy("a", "b").agg(F.first("text").alias("text"))
+    pairs = single.join(lists, ["a", "b"]).select("text", "x")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,33 +181,44 @@ def _exact(covers: DataFrame, spec: Spec, shards: int) -> DataFrame:
     return covers.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))).groupBy("shard").applyInArrow(run, "a bigint, b bigint, lo int, hi int")
 
 
-def _decided(items: DataFrame, spec: Spec) -> DataFrame:
-    """a, b, lo, hi: ranges of window starts that are repeated, of items with a key (a, b), a number n and a text."""
+def _decided(items: DataFrame, spec: Spec) -> tuple[DataFrame, list[DataFrame]]:
+    """a, b, lo, hi: ranges of window starts that are repeated, of items with a key (a, b), a number n and a text.
+
+    Also the written tables that the ranges are read from.
+    """
     found = saved(_anchor_rows(items, spec), "anchors")
     twice = found.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1")
     # Written first, so that the join shuffles both sides anew and can split a hot fingerprint over tasks.
     twice = saved(twice.select("fp"), "repeated-fingerprints")
     hits = saved(found.join(twice, "fp"), "repeated-anchors")
+    dropped(found)
     each = hits.groupBy("fp", "cover").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b", "p0", "p1")).alias("at"))
     each = saved(each.select("fp", "cover", "n", "at.*"), "different-covers")
     many = each.groupBy("fp").agg((F.count("*") > MANY_COVERS).alias("many")) if spec.width < spec.length else twice.withColumn("many", F.lit(False))
     wanted = saved(each.join(many, "fp").select("fp", "cover", "n", "many", "a", "b", "p0", "p1"), "covers-wanted")
+    dropped(each, twice)
     covers = saved(_covers(items, wanted, spec), "covers")
     sums = wanted.groupBy("many").count().collect()  # two rows
+    dropped(wanted)
     counts = {r["many"]: r["count"] for r in sums}
     shards = max(8, -(-counts.get(False, 0) // SHARD_COVERS))
-    checked = _exact(covers.where(~F.col("many")), spec, shards)
+    checked, inner = _exact(covers.where(~F.col("many")), spec, shards), []
     if counts.get(True):
-        checked = checked.unionByName(_decided(covers.where("many").select("a", "b", "n", "text"), spec.wider()))
-    checked = saved(checked, "repeated-windows").withColumnsRenamed({"a": "fp", "b": "cover"})
-    return hits.join(checked, ["fp", "cover"]).select("a", "b", (F.col("p0") + F.col("lo")).alias("lo"), (F.col("p0") + F.col("hi")).alias("hi"))
+        longer, inner = _decided(covers.where("many").select("a", "b", "n", "text"), spec.wider())
+        checked = checked.unionByName(longer)
+    checked = saved(checked, "repeated-windows")
+    dropped(covers, *inner)
+    return hits.join(checked.withColumnsRenamed({"a": "fp", "b": "cover"}), ["fp", "cover"]).select("a", "b", (F.col("p0") + F.col("lo")).alias("lo"), (F.col("p0") + F.col("hi")).alias("hi")), [hits, checked]
 
 
 def repeated(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
     """The keyed documents, and by (a, b) the ranges of window starts that are repeated."""
+    bounded_batches(docs.sparkSession)
     rows = keyed(docs)
-    ranges = _decided(rows.withColumn("n", F.lit(1).cast("long")), spec)
-    return rows, ranges.groupBy("a", "b").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    ranges, tables = _decided(rows.withColumn("n", F.lit(1).cast("long")), spec)
+    ranges = saved(ranges.groupBy("a", "b").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "repeated-ranges")
+    dropped(*tables)
+    return rows, ranges
 
 
 def covered(ranges: pa.Scalar, n: int, length: int) -> np.ndarray:
