@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbloom.llm._arrow import MIX1, MIX2, dropped, joined, lower_ascii, mix, saved, slices, tidy, utf8, word_hash, words
+from orbloom.llm._arrow import bounded_batches, MIX1, MIX2, dropped, joined, lower_ascii, mix, saved, slices, tidy, utf8, word_hash, words
 
 FREQUENT = 64  # nodes with a token beyond which it is frequent
 COMBINED = 200  # sets up to this size index two-token combinations of frequent tokens
@@ -322,6 +322,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _rooted(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows of ``_sizes`` with their nodes, and node, its least doc_id and the root of its component."""
+    bounded_batches(docs.sparkSession)
     nodes = saved(_nodes(docs, n, percent), "nodes")
     posts = saved(_postings(nodes, percent), "postings")
     # The hub is the node that has least of its own: among near copies, the one that the others were made from.
@@ -388,9 +389,12 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rows = saved(rows.join(named.select("d1", "d2", "node", "root"), ["d1", "d2"]), "rooted-rows")
     best = saved(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "text_id")).alias("best")), "best-rows")
     same = (F.col("text_id") == F.col("best.text_id")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
-    drop = saved(rows.join(best, "root").select(F.col("doc_id").alias("__d"), F.col("text_id").alias("__t"), "copies", same.alias("__best")).where("copies > 1 OR NOT __best"), "other-rows")
-    keyed = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__text": F.xxhash64(F.col("text").cast("string"))})
-    on = (F.col("__text") == F.col("__t")) & F.col("__doc").eqNullSafe(F.col("__d"))
-    single = keyed.join(drop.select("__d", "__t"), on, "left_anti")
-    repeated = keyed.join(drop.where("__best").select("__d", "__t"), on, "left_semi").dropDuplicates(["__doc", "__text"])
-    return single.union(repeated).select(*docs.columns)
+    drop = saved(rows.join(best, "root").select("doc_id", "text_id", "copies", same.alias("best")).where("copies > 1 OR NOT best"), "other-rows")
+    dropped(rows, best)
+    # The documents travel as one struct, so no name of theirs can clash.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("t"))
+    other = drop.select(F.col("doc_id").alias("of_d"), F.col("text_id").alias("of_t"), "best")
+    on = (F.col("t") == F.col("of_t")) & F.col("d").eqNullSafe(F.col("of_d"))
+    single = keyed.join(other, on, "left_anti").select("row")
+    repeated = keyed.join(other.where("best"), on, "left_semi").groupBy("d", "t").agg(F.first("row").alias("row")).select("row")
+    return single.union(repeated).select("row.*")
