@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orbloom.llm._arrow import saved, tidy
 
@@ -198,7 +199,7 @@ def decompress(codes: DataFrame, books: list[Codebook]) -> DataFrame:
             v = np.hstack([e[c[:, p]] for p, e in enumerate(shared.value)]) / SCALE
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(v), pa.list_(pa.float64()))], names=[*batch.schema.names, "vector"])
 
-    return codes.mapInArrow(run, codes.schema.add("vector", "array<double>"))
+    return codes.mapInArrow(run, T.StructType([*codes.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))]))
 
 
 def report(vectors: DataFrame) -> DataFrame:
