@@ -432,7 +432,7 @@ def to_samples(payload: bytes) -> bytes:
 
 def from_samples(stored: bytes) -> bytes:
     """The samples of a WAV that the sniffer confirms."""
-    end = _wav(stored, 0) if stored[:4] == b"RIFF" else -1
+    end = _wav(Content(stored), 0) if stored[:4] == b"RIFF" else -1
     if end < 0:
         raise ValueError("not a complete WAV")
     p = 12
