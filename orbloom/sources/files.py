@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbloom.functions.index import literal_table
 from orbloom.functions.scalars import date_code_epoch, file_name_epoch, product_of
 from orbloom.functions.special import GM_EARTH, R_EARTH
 
@@ -234,8 +235,11 @@ def parse_sinex(path: str, raw: bytes, only: str | None = None) -> Iterator[dict
         if not block or line.startswith("*") or (only and only not in block):
             continue
         w = line.split()
-        if block == "SOLUTION/ESTIMATE" and len(w) >= 7 and w[1] in ("CN", "SN"):
-            yield {"path": path, "block": "estimate", "i": int(w[0]) - 1, "cs": int(w[1] == "SN"), "n": int(w[2]), "m": int(w[4]), "value": number(w[-2]), "sigma": number(w[-1])}
+        if block == "SOLUTION/ESTIMATE" and len(w) >= 6 and w[1] in ("CN", "SN"):
+            # Producers put the order in different columns: it is the first whole number behind the degree that does not exceed it.
+            whole = [int(t) for t in w[2:-2] if t.isdigit()]
+            m = next((k for k in whole[1:] if k <= whole[0]), None)
+            yield {"path": path, "block": "estimate" if m is not None else "bad", "i": int(w[0]) - 1, "cs": int(w[1] == "SN"), "n": whole[0] if whole else None, "m": m, "value": number(w[-2]), "sigma": number(w[-1])}
         elif "MATRIX" in block and len(w) >= 3:
             i, j = int(w[0]) - 1, int(w[1]) - 1
             for k, t in enumerate(w[2:]):
@@ -252,6 +256,34 @@ def read_sinex(spark: SparkSession, path: str, pattern: str | None = None, only:
     return _parsed(spark, path, pattern, lambda p, raw: parse_sinex(p, raw, only), SINEX)
 
 
+def sinex_covariance(spark: SparkSession, path: str, order: list[tuple[int, int, int]] | None = None, size: int = 256) -> tuple[DataFrame, DataFrame]:
+    """Estimates (i, n, m, cs, value, sigma) and covariance entries (row, col, value) of one file, in the given order of (n, m, cs).
+
+    Normal equations are inverted tile by tile, so the matrix is never in one place; a covariance is taken as it is.
+    """
+    from orbloom.operators import tiles
+
+    rows = read_sinex(spark, path)
+    est = rows.where("block = 'estimate'").select("i", "n", "m", "cs", "value", "sigma")
+    count = est.count()
+    kinds = {r.block for r in rows.where("block IN ('normal', 'covariance')").select("block").distinct().collect()}
+    if not count or not kinds:
+        raise ValueError(f"{path}: no estimates or no matrix")
+    e = rows.where(F.col("block") == ("normal" if "normal" in kinds else "covariance")).select(F.col("i").alias("row"), F.col("j").alias("col"), "value")
+    if e.where((F.col("row") >= count) | (F.col("col") >= count)).limit(1).count():
+        raise ValueError(f"{path}: the matrix has more parameters than the {count} estimates")
+    if "normal" in kinds:
+        e = tiles.entries(tiles.mirrored(tiles.inverse(tiles.from_entries(e.where("row >= col"), count, size), count, size)), size)
+    if order is None:
+        return est, e
+    places = literal_table(spark, ["new", "n", "m", "cs"], [(k, *o) for k, o in enumerate(order)])
+    missing = places.join(est, ["n", "m", "cs"], "left_anti").first()
+    if missing:
+        raise ValueError(f"{path}: coefficient {missing.n}, {missing.m}, {'CS'[missing.cs]} is not in the file")
+    moved = est.join(places, ["n", "m", "cs"])
+    return moved.select(F.col("new").alias("i"), "n", "m", "cs", "value", "sigma"), tiles.reordered(e, moved.select(F.col("i").alias("old"), "new"))
+
+
 def sinex_year(token: str) -> float:
     """yy:doy:seconds to a decimal year; yy below 80 is 20yy."""
     y, d, s = (int(x) for x in token.split(":"))
