@@ -22,7 +22,7 @@ from orbloom.functions.scalars import date_code_epoch, file_name_epoch, product_
 from orbloom.functions.special import GM_EARTH, R_EARTH
 
 ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
-WBD_MARK = 18754  # fixed value: byte-order mark of binary block-diagonal matrices
+PACKED_MARK = b"ORBK"  # of our own packing of block matrices; the published form is read by block_matrix
 
 
 def _content(raw: bytes) -> bytes:
@@ -296,8 +296,8 @@ BLOCKS = "path string, m int, cs int, n_row int, n_col int, w double"
 
 
 def parse_blocks(path: str, raw: bytes) -> Iterator[dict]:
-    """Filter matrices: 'block m cs n1 n2' and its rows as text, or the packed binary form."""
-    if len(raw) >= 2 and WBD_MARK in (struct.unpack("<H", raw[:2])[0], struct.unpack(">H", raw[:2])[0]):
+    """Filter matrices: 'block m cs n1 n2' and its rows as text, or our own packed form."""
+    if raw[:4] == PACKED_MARK:
         yield from _binary_blocks(path, raw)
         return
     head, row = None, 0
@@ -317,13 +317,12 @@ def parse_blocks(path: str, raw: bytes) -> Iterator[dict]:
 
 
 def _binary_blocks(path: str, raw: bytes) -> Iterator[dict]:
-    """Our own packing: mark, count, then (m, cs, n1, n2) and column-major doubles for every block."""
-    e = "<" if struct.unpack("<H", raw[:2])[0] == WBD_MARK else ">"
+    """Our own packing, little-endian: mark, count, then (m, cs, n1, n2) and column-major doubles for every block."""
     at = 8
-    for _ in range(struct.unpack_from(f"{e}I", raw, 4)[0]):
-        m, cs, n1, n2 = struct.unpack_from(f"{e}4i", raw, at)
+    for _ in range(struct.unpack_from("<I", raw, 4)[0]):
+        m, cs, n1, n2 = struct.unpack_from("<4i", raw, at)
         k = n2 - n1 + 1
-        w = np.frombuffer(raw, f"{e}f8", k * k, at + 16).reshape(k, k, order="F")
+        w = np.frombuffer(raw, "<f8", k * k, at + 16).reshape(k, k, order="F")
         at += 16 + 8 * k * k
         for i in range(k):
             for j in range(k):
@@ -331,7 +330,7 @@ def _binary_blocks(path: str, raw: bytes) -> Iterator[dict]:
 
 
 def pack_blocks(blocks: list[tuple[int, int, int, int, np.ndarray]]) -> bytes:
-    out = struct.pack("<HHI", WBD_MARK, 0, len(blocks))
+    out = PACKED_MARK + struct.pack("<I", len(blocks))
     for m, cs, n1, n2, w in blocks:
         out += struct.pack("<4i", m, cs, n1, n2) + np.asarray(w, "<f8").tobytes(order="F")
     return out
