@@ -43,16 +43,44 @@ def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
-def shrink(grid: DataFrame, buffer_km: float) -> DataFrame:
-    """Cells of the mask (w > 0.5) farther than the buffer from every cell outside it.
+def _cells(lat: Column, lon: Column, band: Column, degrees: float) -> Column:
+    """The longitude cell of a place within a latitude band, and how many cells the band has, as a struct.
 
-    Outside cells meet inside cells by latitude bands of the buffer's width, an equi-join, then by distance.
+    A cell is at least as wide as the longitudes that ``degrees`` of distance can span anywhere in the band, so places
+    that close lie in neighbouring cells; a band that reaches as near to a pole is one cell.
     """
-    band = buffer_km / (EARTH_KM * np.pi / 180)
-    a = grid.where("w > 0.5").withColumn("_b", F.floor(F.col("lat") / band))
-    b = grid.where("w <= 0.5").select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.explode(F.array(*[F.floor(F.col("lat") / band) + k for k in (-1, 0, 1)])).alias("_b"))
-    close = a.join(b, "_b").where(distance_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) <= buffer_km).select("lat", "lon").distinct()
-    return grid.where("w > 0.5").join(close, ["lat", "lon"], "left_anti")
+    far = F.greatest(F.abs(band * degrees), F.abs((band + 1) * degrees))
+    reach = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(degrees))) / F.greatest(F.cos(F.radians(far)), F.lit(1e-12)))))
+    count = F.when(far + degrees >= 90, F.lit(1.0)).otherwise(F.greatest(F.floor(360 / reach), F.lit(1.0))).cast("int")
+    return F.struct(F.floor(F.pmod(lon, F.lit(360.0)) / 360 * count).cast("int").alias("at"), count.alias("count"))
+
+
+def near(places: DataFrame, others: DataFrame, within_km: float, keys: list[str] | None = None) -> DataFrame:
+    """Places (keys, lat, lon) with at least one of the others at most that far away.
+
+    An equi-join on latitude bands and longitude cells, in which the others stand in all cells around theirs, over the
+    date line and the poles; then the distance.
+    """
+    keys = keys or []
+    if not within_km:
+        return places.select(*keys, "lat", "lon").join(others.select(*keys, "lat", "lon").distinct(), [*keys, "lat", "lon"], "left_semi").distinct()
+    degrees = float(np.degrees(min(within_km / EARTH_KM, np.pi)))
+    a = places.select(*keys, "lat", "lon").withColumn("_b", F.floor(F.col("lat") / degrees))
+    a = a.withColumn("_c", _cells(F.col("lat"), F.col("lon"), F.col("_b"), degrees)["at"])
+    b = others.select(*keys, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    b = b.withColumn("_b", F.explode(F.array(*[F.floor(F.col("_lat") / degrees) + k for k in (-1, 0, 1)])))
+    cell = _cells(F.col("_lat"), F.col("_lon"), F.col("_b"), degrees)
+    around = F.array_distinct(F.array(*[F.pmod(cell["at"] + k, cell["count"]).cast("int") for k in (-1, 0, 1)]))
+    b = b.withColumn("_c", F.explode(around))
+    close = distance_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) <= within_km
+    return a.join(b, [*keys, "_b", "_c"]).where(close).select(*keys, "lat", "lon").distinct()
+
+
+def shrink(grid: DataFrame, buffer_km: float, keys: list[str] | None = None) -> DataFrame:
+    """Cells of each mask (w > 0.5) farther than the buffer from every cell outside it."""
+    keys = keys or []
+    inside = grid.where("w > 0.5")
+    return inside.join(near(inside, grid.where("w <= 0.5"), buffer_km, keys), [*keys, "lat", "lon"], "left_anti")
 
 
 def basin_kernel(mask, nmax: int, min_degree: int = 2, taper_km: float = 0.0) -> np.ndarray:
@@ -108,36 +136,113 @@ def project(coef: DataFrame, basis: DataFrame, keys: list[str]) -> DataFrame:
     return coef.join(F.broadcast(basis), ["n", "m", "cs"]).groupBy(*keys, "mode").agg(F.sum(F.col("g") * F.col("v")).alias("a"))
 
 
-def leakage_iterate(observed: np.ndarray, forward, mask: np.ndarray, gain: float = 1.0, noise: float = 0.0, tau: float = 1.2, most: int = 200, tol: float = 1e-4) -> tuple[np.ndarray, int]:
-    """Landweber iteration m += gain (obs - F m) on the mask, stopped by discrepancy, step size or count."""
-    m, last = np.where(mask, observed, 0.0), np.inf
+class Sphere:
+    """Analysis and synthesis of fields [lat, lon] on a Gauss-Legendre grid, order by order."""
+
+    def __init__(self, nmax: int, n_lat: int | None = None, n_lon: int | None = None):
+        self.nmax, self.n_lat, self.n_lon = nmax, n_lat or nmax + 1, n_lon or 2 * nmax + 2
+        lat, lon, w = special.quadrature(nmax, self.n_lat, self.n_lon)
+        self.lat, self.lon = lat[:: self.n_lon], lon[: self.n_lon]
+        self.w = w.reshape(self.n_lat, self.n_lon)
+        self.p = special.legendre(nmax, self.lat)
+        arg = np.arange(nmax + 1)[:, None] * self.lon[None, :]
+        self.trig = np.stack([np.cos(arg), np.sin(arg)])
+
+    def degrees(self) -> tuple[list[float], list[float]]:
+        return np.degrees(self.lat).tolist(), np.degrees(self.lon).tolist()
+
+    def analysis(self, field: np.ndarray) -> np.ndarray:
+        """Coefficients [C or S, n, m]."""
+        return np.einsum("nmi,cmi->cnm", self.p, np.einsum("il,cml->cmi", self.w * field, self.trig))
+
+    def synthesis(self, x: np.ndarray) -> np.ndarray:
+        return np.einsum("cmi,cml->il", np.einsum("cnm,nmi->cmi", x, self.p), self.trig)
+
+
+def leakage_iterate(observed: np.ndarray, forward, mask: np.ndarray | None = None, gain: float = 1.0, noise: float = 0.0, tau: float = 1.2, most: int = 200, tol: float = 1e-4) -> tuple[np.ndarray, int, str, float]:
+    """Landweber iteration m += gain (obs - F m), kept to the mask; the field, rounds, what ended them, and the residual's RMS.
+
+    With a noise level it ends when the residual is down to it (discrepancy), else when the field hardly changes.
+    """
+    on = np.ones(observed.shape, bool) if mask is None else mask
+    if not on.any() or not np.isfinite(observed[on]).all():
+        raise ValueError("the mask is empty or the field has gaps in it")
+    scale = np.abs(observed).max()
+    if scale == 0:
+        return observed.copy(), 0, "zero", 0.0
+    m, first = np.where(on, observed, 0.0), None
     for it in range(1, most + 1):
         r = observed - forward(m)
-        rms = float(np.sqrt(np.mean(r[mask] ** 2)))
+        size = np.abs(r).max() / scale
+        first = size if first is None else first
+        new = np.where(on, m + gain * r, 0.0)
+        rms, step = float(np.sqrt((r[on] ** 2).mean())), np.abs(new - m).max() / max(np.abs(new).max(), 1e-300)
+        m = new
         if noise and rms <= tau * noise:
-            return m, it
-        if rms > 10 * last:
+            return m, it, "discrepancy", rms
+        if not np.isfinite(size) or it > 2 and size > 10 * first:
             raise ArithmeticError("the iteration diverges; lower the gain")
-        step = np.where(mask, gain * r, 0.0)
-        m, last = m + step, min(last, rms)
-        if np.linalg.norm(step) <= tol * max(np.linalg.norm(m), 1e-300):
-            return m, it
-    return m, most
+        if not noise and step < tol:
+            return m, it, "step", rms
+    return m, most, "rounds", rms
 
 
-def sea_level_fingerprint(load: np.ndarray, ocean: np.ndarray, nmax: int, kn, hn, rho_water: float = special.RHO_WATER, rho_earth: float = special.RHO_EARTH, most: int = 50, tol: float = 1e-10) -> np.ndarray:
-    """Relative sea level of a load (water height on the quadrature grid), with mass closed exactly in every step."""
-    n, m, cs = index_arrays(nmax, 0)
-    lat, lon, w = special.quadrature(nmax, 2 * (nmax + 1), 4 * nmax + 4)
-    y = special.ylm(lat, lon, n, m, cs)
-    response = (3 * rho_water / rho_earth / (2 * np.arange(nmax + 1) + 1) * (1 + np.asarray(kn)[: nmax + 1] - np.asarray(hn)[: nmax + 1]))[n]
-    area = (w * ocean).sum()
-    s = np.full(len(w), -(w * load).sum() / area) * ocean
-    for _ in range(most):
-        raw = y @ (response * (y.T @ (w * (load + s)))) * ocean
-        new = raw + (-(w * load).sum() - (w * raw).sum()) / area * ocean
-        change = np.abs(new - s).max()
-        s = new
+def _fields(pdf: pd.DataFrame, sphere: Sphere, columns: list[str]) -> list[np.ndarray]:
+    if len(pdf) != sphere.w.size:
+        raise ValueError(f"a field has {len(pdf)} of {sphere.w.size} places")
+    return [pdf[c].to_numpy(float).reshape(sphere.n_lat, sphere.n_lon) for c in columns]
+
+
+def leakage_correct(fields: DataFrame, keys: list[str], nmax: int, weights, n_lat: int | None = None, n_lon: int | None = None, **how) -> DataFrame:
+    """Fields (keys, lat, lon, value, inside, noise) on the Gauss-Legendre grid, with the smoothing of degree ``weights`` undone inside.
+
+    Any number of regions and epochs go at once: a field is a group, as large as the grid; the transform of a round
+    is separable, so a round needs (nmax x grid) numbers.  Adds corrected, rounds, ended and residual.
+    """
+    shared = fields.sparkSession.sparkContext.broadcast(np.asarray(weights, float))  # nmax + 1 numbers
+    names = [c for c in fields.columns if c not in ("value", "inside", "noise", *keys, "lat", "lon")]
+    keep = [*keys, "lat", "lon", "value", "inside", *names]
+    schema = ", ".join([f"`{c}` {fields.schema[c].dataType.simpleString()}" for c in keep] + ["corrected double, rounds int, ended string, residual double"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sphere = Sphere(nmax, n_lat, n_lon)
+        pdf = pdf.sort_values(["lat", "lon"])
+        value, inside = _fields(pdf, sphere, ["value", "inside"])
+        w = shared.value[None, :, None]
+        out, rounds, ended, rms = leakage_iterate(value, lambda x: sphere.synthesis(w * sphere.analysis(x)), inside > 0.5, noise=float(pdf["noise"].iloc[0] or 0.0) if "noise" in pdf else 0.0, **how)
+        return pdf[keep].assign(corrected=out.ravel(), rounds=np.int32(rounds), ended=ended, residual=rms)
+
+    return fields.groupBy(*keys).applyInPandas(run, schema)
+
+
+def sea_level(load: np.ndarray, ocean: np.ndarray, sphere: Sphere, kn, hn, rho_water: float = special.RHO_WATER, rho_earth: float = special.RHO_EARTH, most: int = 50, tol: float = 1e-10) -> tuple[np.ndarray, int, float]:
+    """Relative sea level of a load (water height), the rounds it took, and the eustatic level; mass is closed exactly in every round."""
+    n = np.arange(sphere.nmax + 1)
+    response = (3 * rho_water / rho_earth / (2 * n + 1) * (1 + np.asarray(kn)[n] - np.asarray(hn)[n]))[None, :, None]
+    area, total = (sphere.w * ocean).sum(), (sphere.w * load).sum()
+    if area <= 0:
+        raise ValueError("there is no ocean")
+    s = -total / area * ocean
+    for it in range(1, most + 1):
+        raw = sphere.synthesis(response * sphere.analysis(load + s)) * ocean
+        new = raw + (-total - (sphere.w * raw).sum()) / area * ocean
+        change, s = np.abs(new - s).max(), new
         if change <= tol * max(np.abs(s).max(), 1e-300):
             break
-    return s
+    return s, it, -total / area
+
+
+def sea_level_fingerprints(loads: DataFrame, keys: list[str], nmax: int, kn, hn, n_lat: int | None = None, n_lon: int | None = None) -> DataFrame:
+    """Sea level of every load (keys, lat, lon, load, ocean) on the Gauss-Legendre grid: adds level, rounds and eustatic."""
+    shared = loads.sparkSession.sparkContext.broadcast((np.asarray(kn, float), np.asarray(hn, float)))  # 2 (nmax + 1) numbers
+    keep = [*keys, "lat", "lon", "load", "ocean"]
+    schema = ", ".join([f"`{c}` {loads.schema[c].dataType.simpleString()}" for c in keep] + ["level double, rounds int, eustatic double"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sphere = Sphere(nmax, n_lat, n_lon)
+        pdf = pdf.sort_values(["lat", "lon"])
+        load, ocean = _fields(pdf, sphere, ["load", "ocean"])
+        level, rounds, flat = sea_level(load * (1 - ocean), ocean, sphere, *shared.value)
+        return pdf[keep].assign(level=level.ravel(), rounds=np.int32(rounds), eustatic=flat)
+
+    return loads.groupBy(*keys).applyInPandas(run, schema)

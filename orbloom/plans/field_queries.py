@@ -204,39 +204,49 @@ def polygon_mean(spark, sf):
     return rounded(g.where("w > 0.5").groupBy("set_id").agg(F.avg("value").alias("mean")))
 
 
-@query("""WITH g AS (SELECT a * 10.0::DOUBLE AS lat, b * 15.0::DOUBLE AS lon FROM range(-8, 9) x(a), range(0, 24) y(b)), m AS (SELECT *, CASE WHEN abs(lat) <= 40 AND lon BETWEEN 60 AND 240 THEN 1 ELSE 0 END AS w FROM g)
-SELECT lat, lon FROM m i WHERE w = 1 AND NOT EXISTS (SELECT 1 FROM m o WHERE o.w = 0 AND 2 * 6378.1363::DOUBLE * asin(least(1, sqrt(pow(sin(radians(o.lat - i.lat)/2), 2) + cos(radians(i.lat)) * cos(radians(o.lat)) * pow(sin(radians(o.lon - i.lon)/2), 2)))) <= 1700)""")
+_MLAT, _MLON = [float(x) for x in range(-80, 81, 20)], [float(x) for x in range(0, 360, 30)]
+
+
+@query(f"""WITH {COEF}, c AS (SELECT label, n, m, cs, avg(v) AS v FROM coef GROUP BY 1, 2, 3, 4), p(lat, pn, pm, p) AS (VALUES {sql_values(T.legendre_rows(NMAX, _MLAT))}), t(lon, tm, tcs, f) AS (VALUES {sql_values(T.longitude_rows(NMAX, _MLON))}),
+ring AS (SELECT label, lat, m, cs, sum(v * p) AS a FROM c JOIN p ON n = pn AND m = pm GROUP BY ALL), g AS MATERIALIZED (SELECT label, lat, lon, CASE WHEN sum(a * f) > 0 THEN 1 ELSE 0 END AS w FROM ring JOIN t ON m = tm AND cs = tcs GROUP BY ALL)
+SELECT label, lat, lon FROM g i WHERE w = 1 AND NOT EXISTS (SELECT 1 FROM g o WHERE o.label = i.label AND o.w = 0 AND 2 * 6378.1363::DOUBLE * asin(least(1, sqrt(pow(sin(radians(o.lat - i.lat)/2), 2) + cos(radians(i.lat)) * cos(radians(o.lat)) * pow(sin(radians(o.lon - i.lon)/2), 2)))) <= 1700)""")
 def mask_erosion(spark, sf):
-    lat, lon = (F.col("id") % 17 - 8) * 10.0, F.floor(F.col("id") / 17) * 15.0
-    g = spark.range(17 * 24).select(lat.alias("lat"), lon.alias("lon"))
-    g = g.withColumn("w", F.when((F.abs("lat") <= 40) & F.col("lon").between(60, 240), 1.0).otherwise(0.0))
-    return B.shrink(g, 1700.0).select("lat", "lon")
+    """Where the mean field of each product is positive, and nowhere within 1700 km is it not."""
+    mean = coef(spark, sf).groupBy("label", "n", "m", "cs").agg(F.avg("v").alias("v"))
+    g = T.synthesis(mean, ["label"], NMAX, _MLAT, _MLON).withColumn("w", F.when(F.col("value") > 0, 1.0).otherwise(0.0))
+    return B.shrink(g.select("label", "lat", "lon", "w"), 1700.0, ["label"]).select("label", "lat", "lon")
+
+
+_SPHERE = B.Sphere(NMAX)
+_SLAT, _SLON = _SPHERE.degrees()
+_W800 = special.gaussian_weights(NMAX, 800.0)
+_DISCS = [(name, float(lat), float(lon), float(_cap(*disc)(np.array([lat]), np.array([lon]))[0])) for name, disc in (("a", (15, 300, 40)), ("b", (-30, 80, 50))) for lat in _SLAT for lon in _SLON]
 
 
 @query()
 def leakage_iterate(spark, sf):
-    """Recovers a disc from its smoothed image, one row per grid ring."""
-    lat, lon, w = special.quadrature(24)
-    truth = _cap(15, 300, 12)(np.degrees(lat), np.degrees(lon))
-    n, m, cs = index_arrays(24, 0)
-    y = special.ylm(lat, lon, n, m, cs)
-    smooth = special.gaussian_weights(24, 500.0)[n]
+    """Every set's field in two discs, smoothed and recovered there: share of the discs' mean before and after, rounds, residual."""
+    g = T.synthesis(coef(spark, sf), ["set_id"], NMAX, _SLAT, _SLON)
+    fields = g.join(F.broadcast(literal_table(spark, ["region", "lat", "lon", "inside"], _DISCS)), ["lat", "lon"])
+    fields = fields.select("region", "set_id", "lat", "lon", (F.col("value") * F.col("inside")).alias("truth"), "inside")
+    back = T.analysis_quadrature(fields.withColumnRenamed("truth", "value"), ["region", "set_id"], NMAX, _SLAT, _SLON, _SPHERE.w.sum(axis=1) / _SPHERE.n_lon)
+    smooth = T.synthesis(back, ["region", "set_id"], NMAX, _SLAT, _SLON, _W800)
+    out = B.leakage_correct(smooth.join(fields, ["region", "set_id", "lat", "lon"]), ["region", "set_id"], NMAX, _W800, most=60, tol=1e-3)
+    w = F.col("inside") * F.cos(F.radians("lat"))
+    sums = out.groupBy("region", "set_id", "rounds", "ended", "residual").agg(*[(F.sum(w * F.col(c)) / F.sum(w)).alias(n) for n, c in (("truth", "truth"), ("smoothed", "value"), ("recovered", "corrected"))])
+    return rounded(sums, 5)
 
-    def forward(x):
-        return y @ (smooth * (y.T @ (w * x)))
 
-    got, steps = B.leakage_iterate(forward(truth), forward, truth > 0)
-    rows = pd.DataFrame({"lat": np.degrees(lat), "truth": truth, "got": got, "w": w, "steps": steps})
-    return rounded(spark.createDataFrame(rows).groupBy("lat", "steps").agg(F.sum(F.col("w") * F.col("truth")).alias("truth"), F.sum(F.col("w") * F.col("got")).alias("recovered")))
+_OCEAN = _cap(-20, 160, 100)
 
 
 @query()
 def sea_level_fingerprint(spark, sf):
-    lat, lon, _ = special.quadrature(NMAX, 2 * (NMAX + 1), 4 * NMAX + 4)
-    load = -_cap(75, 320, 12)(np.degrees(lat), np.degrees(lon))
-    ocean = _cap(-20, 160, 100)(np.degrees(lat), np.degrees(lon)) * (load == 0)
-    s = B.sea_level_fingerprint(load, ocean, NMAX, KN, HN)
-    return rounded(spark.createDataFrame(pd.DataFrame({"lat": np.degrees(lat), "lon": np.degrees(lon), "level": s})))
+    """Sea level that follows from every set's field on land, ring by ring, with the ocean's mean and the rounds."""
+    g = T.synthesis(coef(spark, sf), ["set_id"], NMAX, _SLAT, _SLON).withColumnRenamed("value", "load")
+    ocean = literal_table(spark, ["lat", "lon", "ocean"], [(float(a), float(b), float(_OCEAN(np.array([a]), np.array([b]))[0])) for a in _SLAT for b in _SLON])
+    s = B.sea_level_fingerprints(g.join(F.broadcast(ocean), ["lat", "lon"]), ["set_id"], NMAX, KN, HN)
+    return rounded(s.groupBy("set_id", "rounds", "eustatic", "lat").agg(F.avg("level").alias("level")))
 
 
 # --- covariance and the Wiener filter --------------------------------------------------------------------------------
@@ -465,10 +475,11 @@ def month_list(spark, sf):
     return G.month_list(t.distinct(), "t")
 
 
-@query(f"SELECT CAST(k AS BIGINT) AS attempt, {r('least(2 * pow(2.0::DOUBLE, k - 1) * (1 + 0.05::DOUBLE * (k % 5)), 60.0::DOUBLE)')} AS wait FROM range(1, 9) t(k)")
+@query(f"SELECT event_id, CAST(1 + user_id % 8 AS BIGINT) AS attempt, {r('least(2 * pow(2.0::DOUBLE, user_id % 8) * (1 + 0.05::DOUBLE * (event_id % 5)), 60.0::DOUBLE)')} AS wait FROM events")
 def retry_delay(spark, sf):
-    a = spark.range(1, 9).withColumnRenamed("id", "attempt")
-    return rounded(a.withColumn("wait", scalars.retry_delay(F.col("attempt"), 0.05 * (F.col("attempt") % 5))))
+    """Waiting times of attempts, one to each event."""
+    e = table(spark, sf, "events").select("event_id", (1 + F.col("user_id") % 8).alias("attempt"))
+    return rounded(e.withColumn("wait", scalars.retry_delay(F.col("attempt"), 0.05 * (F.col("event_id") % 5))))
 
 
 @query()

@@ -140,7 +140,8 @@ def test_leakage_iteration_improves(spark):
     k = np.exp(-0.5 * ((np.arange(50)[:, None] - np.arange(50)) / 3) ** 2)
     k /= k.sum(axis=1, keepdims=True)
     truth = mask.astype(float)
-    got, _ = B.leakage_iterate(k @ truth, lambda x: k @ x, mask)
+    got, _, ended, _ = B.leakage_iterate(k @ truth, lambda x: k @ x, mask)
+    assert ended == "step"
     assert np.abs(got - truth).max() < np.abs(np.where(mask, k @ truth, 0) - truth).max() / 4
 
 
