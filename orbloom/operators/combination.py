@@ -158,9 +158,52 @@ def separated_modes(lam: np.ndarray, places: int, epochs: int, most: int = 10) -
     return min(int(ends[good][-1]) + 1, most) if good.any() else 0
 
 
-def monte_carlo(coef: DataFrame, transform, keys: list[str], samples: int = 500, seed: int = 1) -> DataFrame:
+def separate(series: DataFrame, time: str, on: list[str], value: str, weight: str | None = None, keep: int | None = None, most: int = 10) -> tuple[DataFrame, int, float]:
+    """The field (time, place, separated, noise) of the modes that stand clear, their number, and the noise's weighted RMS.
+
+    separated + noise is the input less its mean over time at each place; ``weight`` (a column of the place, positive)
+    scales what the modes are judged by.
+    """
+    from pyspark.sql import Window as W
+
+    x = series.select(time, *on, F.col(value).alias("_v"), (F.col(weight) if weight else F.lit(1.0)).alias("_w"))
+    x = x.withColumn("_c", F.col("_v") - F.avg("_v").over(W.partitionBy(*on))).withColumn("_s", F.sqrt("_w") * F.col("_c"))
+    epochs, places = x.select(time).distinct().count(), x.select(*on).distinct().count()
+    patterns, pcs, share = eof(x.select(time, *on, "_s"), time, on, "_s", min(epochs, places))
+    n = min(separated_modes(share, places, epochs, most) if keep is None else keep, most, len(share))
+    modes = patterns.where(F.col("mode") < n).join(pcs.where(F.col("mode") < n), "mode")
+    back = modes.groupBy(time, *on).agg(F.sum(F.col("pattern") * F.col("pc")).alias("_b"))
+    out = x.join(back, [time, *on], "left").withColumn("separated", F.coalesce(F.col("_b") / F.sqrt("_w"), F.lit(0.0)))
+    out = out.select(time, *on, "separated", (F.col("_c") - F.col("separated")).alias("noise"), "_w")
+    rms = out.agg(F.sqrt(F.sum(F.col("_w") * F.col("noise") ** 2) / F.sum("_w"))).first()[0]
+    return out.drop("_w"), n, rms
+
+
+def block_factors(covariance: DataFrame) -> DataFrame:
+    """Cholesky factors (m, cs, n_row, n, l) of covariance rows (m, cs, n1 <= n2, cov); a block that is not positive definite is an error."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        degrees = np.unique(np.concatenate([pdf["n1"], pdf["n2"]]))
+        at = {int(n): k for k, n in enumerate(degrees)}
+        c = np.zeros((len(at), len(at)))
+        for a, b, x in zip(pdf["n1"], pdf["n2"], pdf["cov"]):
+            c[at[int(a)], at[int(b)]] = c[at[int(b)], at[int(a)]] = x
+        try:
+            low = np.linalg.cholesky(c)
+        except np.linalg.LinAlgError:
+            raise ValueError(f"the covariance of order {pdf['m'].iloc[0]} is not positive definite") from None
+        i, j = np.tril_indices(len(degrees))
+        return pd.DataFrame({"m": pdf["m"].iloc[0], "cs": pdf["cs"].iloc[0], "n_row": degrees[i], "n": degrees[j], "l": low[i, j]})
+
+    return covariance.groupBy("m", "cs").applyInPandas(run, "m int, cs int, n_row int, n int, l double")
+
+
+def monte_carlo(coef: DataFrame, transform, keys: list[str], samples: int = 500, seed: int = 1, covariance: DataFrame | None = None) -> DataFrame:
     """Mean and deviation of ``transform`` (DataFrame with ``sample`` and ``v`` to one with keys and ``value``).
 
+    Coefficients vary by their sigmas ``s``, or together by a block ``covariance`` (m, cs, n1 <= n2, cov): draws of a
+    block are joined to its Cholesky factor and summed.  A coefficient without a block keeps its value then.
+
     Noise comes from hashes of (seed, sample, keys, coefficient) by Box-Muller, so a recomputed task draws the same and
     every set has draws of its own.
     Coefficients are dealt by ``keys`` before they are drawn, so that samples need no shuffle.
@@ -173,5 +216,11 @@ def monte_carlo(coef: DataFrame, transform, keys: list[str], samples: int = 500,
         return (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "sample", *own, "n", "m", "cs"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
     z = F.sqrt(-2 * F.log(u(1))) * F.cos(6.283185307179586 * u(2))
-    drawn = x.withColumn("v", F.col("v") + F.coalesce("s", F.lit(0.0)) * z)
+    if covariance is None:
+        drawn = x.withColumn("v", F.col("v") + F.coalesce("s", F.lit(0.0)) * z)
+    else:
+        # The factor's size is set by the largest degree; the join leaves its kind to the planner.
+        part = x.withColumn("_z", z).select("sample", *own, "m", "cs", "n", "_z").join(block_factors(covariance), ["m", "cs", "n"])
+        moved = part.groupBy("sample", *own, "m", "cs", F.col("n_row").alias("n")).agg(F.sum(F.col("l") * F.col("_z")).alias("_d"))
+        drawn = x.join(moved, ["sample", *own, "m", "cs", "n"], "left").withColumn("v", F.col("v") + F.coalesce("_d", F.lit(0.0))).drop("_d")
     return transform(drawn).groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sigma"), F.count("*").alias("samples"))

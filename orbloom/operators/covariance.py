@@ -5,12 +5,11 @@ Blocks are (order, C/S, degree parity): independent of each other, so they are t
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbloom.functions.special import CHI2_1_MEDIAN
+from orbloom.operators import month_filter
 
 BLOCK = ["m", "cs", "parity"]
 
@@ -50,37 +49,14 @@ def wiener_diagonal(resid: DataFrame, noise: DataFrame, signal: DataFrame) -> Da
 
 
 def wiener_blocks(resid: DataFrame, factors: DataFrame | None = None, shrinkage: float = 0.1, iterations: int = 3) -> DataFrame:
-    """Wiener filter with full block covariances and a noise factor by epoch; one block is one group.
+    """Wiener filter with full block covariances and a noise factor by epoch: filtered residuals with posterior sigmas.
 
-    Per block: noise N and signal S share eigenvectors of the pair (S, N); an epoch with factor s keeps
-    lam / (lam + s) of each. Returns filtered residuals with posterior sigmas.
+    Covariances are sums in Spark, a block's operator comes from its covariance alone, and sets meet operators by block.
     """
-    x = with_block(resid).select("epoch", "n", *BLOCK, "residual")
-    x = x.join(F.broadcast(factors.select("epoch", "factor")), "epoch", "left") if factors is not None else x.withColumn("factor", F.lit(1.0))
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="n", columns="epoch", values="residual", aggfunc="mean").fillna(0.0)
-        factor = pdf.groupby("epoch")["factor"].first().reindex(wide.columns).fillna(1.0).to_numpy()
-        r = wide.to_numpy()
-        total = np.atleast_2d(np.cov(r)) if r.shape[1] > 1 else np.eye(len(r))
-        diag = np.diag(np.diag(total))
-        total = (1 - shrinkage) * total + shrinkage * diag + np.eye(len(r)) * 1e-10 * max(np.diag(total).min(), 1e-300)
-        signal = 0.5 * diag
-        for _ in range(iterations):
-            noise = total - signal
-            noise = noise + np.eye(len(r)) * max(0.0, 1e-8 * np.trace(total) - np.linalg.eigvalsh(noise).min())
-            g = signal @ np.linalg.inv(signal + noise)
-            signal = np.diag(np.maximum((g @ total @ g.T + (np.eye(len(r)) - g) @ signal).diagonal(), 1e-12 * np.trace(total)))
-        root = np.linalg.cholesky(noise)
-        inv = np.linalg.inv(root)
-        lam, v = np.linalg.eigh(inv @ signal @ inv.T)
-        lam = np.maximum(lam, 0)
-        back = root @ v
-        keep = lam[:, None] / (lam[:, None] + factor[None, :])
-        out = back @ (keep * (v.T @ inv @ r))
-        sigma = np.sqrt(np.maximum((back**2) @ (keep * factor[None, :]), 0))
-        n, e = np.meshgrid(wide.index.to_numpy(), wide.columns.to_numpy(), indexing="ij")
-        k = pdf[BLOCK].iloc[0]
-        return pd.DataFrame({"epoch": e.ravel(), "n": n.ravel().astype("int32"), "m": int(k["m"]), "cs": int(k["cs"]), "filtered": out.ravel(), "sigma": sigma.ravel()})
-
-    return x.groupBy(*BLOCK).applyInPandas(kernel, "epoch double, n int, m int, cs int, filtered double, sigma double")
+    x = resid.select("epoch", "n", "m", "cs", "residual")
+    operator = month_filter.operator_table(block_covariance(x), shrinkage, iterations)
+    x = x.withColumnRenamed("residual", "v")
+    if factors is not None:
+        x = x.join(factors.select("epoch", "factor"), "epoch", "left")
+    out = month_filter.apply(operator, x, ["epoch"], "factor" if factors is not None else None)
+    return out.select("epoch", "n", "m", "cs", F.col("v").alias("filtered"), "sigma")

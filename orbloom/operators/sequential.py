@@ -6,6 +6,7 @@ streaming form (``orbloom.streaming.kalman``) keeps the same state between micro
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbloom.functions.special import chi2_quantile
+from orbloom.operators.kalman import companion, yule_walker
 
 
 def lag_covariances(series: DataFrame, keys: list[str], value: str, lags: int, step: float) -> DataFrame:
@@ -35,25 +37,24 @@ def fit_var(x: np.ndarray, order: int = 1, shrink: float = 0.0, structure: str =
         mask = np.eye(p, dtype=bool)
     elif structure == "blocks":
         mask = np.zeros((p, p), bool)
-        for b in blocks or []:
+        if sorted(np.concatenate([np.asarray(b) for b in blocks or [[]]]).tolist()) != list(range(p)):
+            raise ValueError(f"blocks must part 0 .. {p - 1}")
+        for b in blocks:
             mask[np.ix_(b, b)] = True
     elif structure != "full":
         raise ValueError(f"unknown structure: {structure}")
-    return _yule_walker([x[:, h:] @ x[:, : t - h].T / t * mask for h in range(order + 1)], shrink)
+    return _yule_walker([x[:, h:] @ x[:, : t - h].T / (t - h) * mask for h in range(order + 1)], shrink)
 
 
 def _yule_walker(products: list[np.ndarray], shrink: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same from the covariances at lags 0 .. order."""
-    order, p = len(products) - 1, len(products[0])
-    cov = [(1 - shrink) * c + shrink * np.diag(np.diag(c)) for c in products]
-    big = np.block([[cov[abs(i - j)] if i >= j else cov[j - i].T for j in range(order)] for i in range(order)])
-    right = np.hstack(cov[1:])
-    phi = np.linalg.solve(big.T + 1e-12 * np.trace(big) / len(big) * np.eye(len(big)), right.T).T
-    parts = phi.reshape(p, order, p).transpose(1, 0, 2)
-    q = cov[0] - sum(a @ c.T for a, c in zip(parts, cov[1:]))
-    q = (q + q.T) / 2
+    """The same from the covariances at lags 0 .. order; ``shrink`` times the mean variance is added to the diagonal at lag 0."""
+    p = len(products[0])
+    cov = [products[0] + shrink * np.trace(products[0]) / p * np.eye(p), *products[1:]]
+    parts, q, stationary, radius = yule_walker(cov)
+    if radius >= 1:
+        warnings.warn(f"the process is not stationary: spectral radius {radius:.4f}", stacklevel=3)
     w, v = np.linalg.eigh(q)
-    return parts, (v * np.maximum(w, 1e-12 * max(w.max(), 1e-300))) @ v.T, cov[0]
+    return parts, (v * np.maximum(w, 1e-12 * max(w.max(), 1e-300))) @ v.T, stationary
 
 
 def fit_var_series(series: DataFrame, time: str, vector: str, shrink: float = 0.0) -> np.ndarray:
@@ -90,15 +91,7 @@ def fit_var_series(series: DataFrame, time: str, vector: str, shrink: float = 0.
     t = sum(r["count"] for r in parts)
     zero, one = (sum(np.array(r[k]).reshape(p, p) for r in parts) for k in ("zero", "one"))
     one = one + sum((np.outer(b.first, a.last) for a, b in zip(parts, parts[1:])), np.zeros((p, p)))
-    return _yule_walker([zero / t, one / t], shrink)[0][0]
-
-
-def companion(phi: np.ndarray) -> np.ndarray:
-    order, p, _ = phi.shape
-    f = np.zeros((order * p, order * p))
-    f[:p] = phi.transpose(1, 0, 2).reshape(p, order * p)
-    f[p:, :-p] = np.eye((order - 1) * p)
-    return f
+    return _yule_walker([zero / t, one / max(t - 1, 1)], shrink)[0][0]
 
 
 @dataclass

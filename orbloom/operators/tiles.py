@@ -265,3 +265,34 @@ def condition(tiles: DataFrame, conditioner: Conditioner, size: int = SIZE) -> D
     high = tiles.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(strips - 1)))).groupBy("a", "j").applyInPandas(heights, TILE)
     weak = high.groupBy("i").applyInPandas(weakened, TILE)
     return weak.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).where("o >= j").groupBy("o", "j").applyInPandas(gathered, TILE)
+
+
+def error_map(tiles: DataFrame, nmax: int, lat_deg, lon_deg, factors=None, min_degree: int = 0, size: int = SIZE, points: int = 1024) -> DataFrame:
+    """(lat, lon, sigma) of a field whose coefficients have the covariance of the tiles (all of them): the diagonal of B C B'.
+
+    Every tile meets every strip of points and gives each point a share; shares add up by point.
+    """
+    n, m, cs = index_arrays(nmax, min_degree)
+    factor = (np.ones(nmax + 1) if factors is None else np.asarray(factors, float))[n]
+    lat, lon = np.repeat(np.asarray(lat_deg, float), len(lon_deg)), np.tile(np.asarray(lon_deg, float), len(lat_deg))
+    shared = tiles.sparkSession.sparkContext.broadcast((n, m, cs, factor, lat, lon))  # grid and index, set by nmax
+    strips = -(-len(lat) // points)
+
+    def run(batches):
+        n, m, cs, factor, lat, lon = shared.value
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                at = np.arange(r["strip"] * points, min((r["strip"] + 1) * points, len(lat)))
+                i, j = (slice(r[k] * size, r[k] * size + r[s]) for k, s in (("i", "h"), ("j", "w")))
+                one, two = (special.ylm(np.radians(lat[at]), np.radians(lon[at]), n[c], m[c], cs[c]) * factor[c] for c in (i, j))
+                yield pd.DataFrame({"point": at, "share": ((one @ _matrix(r)) * two).sum(axis=1)})
+
+    shares = tiles.withColumn("strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1)))).mapInPandas(run, "point bigint, share double")
+    sums = shares.groupBy("point").agg(F.sqrt(F.greatest(F.sum("share"), F.lit(0.0))).alias("sigma"))
+
+    def placed(batches):
+        *_, lat, lon = shared.value
+        for pdf in batches:
+            yield pd.DataFrame({"lat": lat[pdf["point"]], "lon": lon[pdf["point"]], "sigma": pdf["sigma"]})
+
+    return sums.mapInPandas(placed, "lat double, lon double, sigma double")

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from orbloom.functions import special
+from orbloom.functions.index import index_arrays, sql_values
+from orbloom.operators import combination as C
+from orbloom.operators import covariance as V
 from orbloom.operators import kalman as K
+from orbloom.operators import month_filter as M
+from orbloom.operators import tiles as T
 from orbloom.operators.stored import numbered, stored
-from orbloom.plans.base import COEF, coef, query, r, rounded
+from orbloom.plans.base import COEF, NMAX, coef, query, r, rounded, table
+from orbloom.plans.coefficient_queries import KN
 
 NOISE = 0.02 + 0.5 * F.abs("v")
 T0 = 2010.0
@@ -78,3 +86,108 @@ def kalman_fixed_lag(spark, sf):
     model = stored(K.fit_var(x, ["n", "m", "cs"], "x", shrink=0.1, within=["n"]), "autoregressions")
     out = K.smooth_series(K.filter_series(x, model, ["n", "m", "cs"]), model, ["n", "m", "cs"], lag=3)
     return rounded(out.select("n", "m", "cs", "epoch", F.col("x")[0].alias("x"), F.col("sigma")[0].alias("sigma")))
+
+
+# --- conditioning, error maps, month operators, correlated draws -----------------------------------------------------
+
+
+
+def _hemispheres(lat, lon):
+    return np.asarray(lat) >= 0
+
+
+_COND = T.Conditioner(NMAX, KN, 2000.0, _hemispheres)
+_ALL = np.arange(len(_COND.lat))
+_FORWARD, _BACK = _COND.forward(_ALL), _COND.back(_ALL)
+
+
+def _covariance(spark, sf):
+    """Products of all sets' coefficients over their number, as entries (row, col, value) in the order of the index."""
+    x = table(spark, sf, "embeddings").select(F.lit(0).alias("series"), F.col("vec_id").alias("t"), F.col("embedding").cast("array<double>").alias("x"))
+    p = (NMAX + 1) ** 2
+    sums = K.lag_products(x, ["series"], "x", 0).where("h = 0")
+    return sums.select(F.floor(F.col("i") / p).cast("int").alias("row"), (F.col("i") % p).alias("col"), (F.col("value") / F.col("epochs")).alias("value"))
+
+
+_COV = f"{COEF}, cov AS MATERIALIZED (SELECT i.pos AS i, j.pos AS j, sum(a.v * b.v) / count(*) AS c FROM coef a JOIN idx i ON a.n = i.n AND a.m = i.m AND a.cs = i.cs JOIN coef b ON a.set_id = b.set_id JOIN idx j ON b.n = j.n AND b.m = j.m AND b.cs = j.cs GROUP BY 1, 2)"
+_PLACES = [(k, float(np.degrees(a)), float(np.degrees(b)), float(c)) for k, (a, b, c) in enumerate(zip(_COND.lat, _COND.lon, _COND.region))]
+
+
+@query(f"""WITH {_COV}, g(a, i, g) AS (VALUES {sql_values([(k, j, float(x)) for (k, j), x in np.ndenumerate(_FORWARD)])}), f(i, a, f) AS (VALUES {sql_values([(k, j, float(x)) for (k, j), x in np.ndenumerate(_BACK)])}),
+pl(a, lat, lon, region) AS (VALUES {sql_values(_PLACES)}),
+h AS MATERIALIZED (SELECT a, j, sum(g * c) AS h FROM g JOIN cov USING (i) GROUP BY 1, 2),
+s AS MATERIALIZED (SELECT h.a, g.a AS b, sum(h * g) AS s FROM h JOIN g ON h.j = g.i GROUP BY 1, 2),
+w AS MATERIALIZED (SELECT s.a, s.b, s * CASE WHEN p.region <> q.region THEN 0 WHEN s.a = s.b THEN 1 ELSE exp(-acos(greatest(-1, least(1, sin(radians(p.lat)) * sin(radians(q.lat)) + cos(radians(p.lat)) * cos(radians(q.lat)) * cos(radians(p.lon - q.lon))))) * 6378.1363::DOUBLE / 2000) END AS s FROM s JOIN pl p ON p.a = s.a JOIN pl q ON q.a = s.b),
+k AS MATERIALIZED (SELECT f.i, w.b, sum(f * s) AS k FROM f JOIN w USING (a) GROUP BY 1, 2)
+SELECT k.i AS row, f.i AS col, {r('sum(k * f)', 8)} AS value FROM k JOIN f ON k.b = f.a WHERE k.i >= f.i GROUP BY 1, 2""")
+def covariance_conditioning(spark, sf):
+    """The sets' covariance with correlations weakened over distance and cut between hemispheres, tile by tile."""
+    tiles = stored(T.from_entries(_covariance(spark, sf), (NMAX + 1) ** 2, 24), "covariance-tiles")
+    out = T.entries(T.condition(tiles, _COND, 24), 24).where("row >= col")
+    return rounded(out.select("row", F.col("col").cast("int").alias("col"), "value"), 8)
+
+
+_ELAT, _ELON = [-75.0, -30.0, 0.0, 20.0, 60.0], [0.0, 45.0, 120.0, 300.0]
+_B = special.ylm(np.repeat(np.radians(_ELAT), len(_ELON)), np.tile(np.radians(_ELON), len(_ELAT)), *index_arrays(NMAX, 0))
+_POINTS = [(_ELAT[k // len(_ELON)], _ELON[k % len(_ELON)], j, float(x)) for (k, j), x in np.ndenumerate(_B)]
+
+
+@query(f"WITH {_COV}, b(lat, lon, i, b) AS (VALUES {sql_values(_POINTS)}), h AS MATERIALIZED (SELECT lat, lon, j, sum(b * c) AS h FROM b JOIN cov USING (i) GROUP BY 1, 2, 3) SELECT h.lat, h.lon, {r('sqrt(sum(h * b))')} AS sigma FROM h JOIN b ON h.j = b.i AND h.lat = b.lat AND h.lon = b.lon GROUP BY 1, 2")
+def error_map(spark, sf):
+    """Deviation of the field from the full covariance of its coefficients."""
+    tiles = stored(T.from_entries(_covariance(spark, sf), (NMAX + 1) ** 2, 24), "covariance-tiles")
+    return rounded(T.error_map(tiles, NMAX, _ELAT, _ELON, size=24, points=8))
+
+
+@query()
+def normal_inverse(spark, sf):
+    """The inverse of the sets' loaded product matrix, from a tiled Cholesky factor."""
+    e = _covariance(spark, sf).withColumn("value", F.col("value") + F.when(F.col("row") == F.col("col"), 0.02).otherwise(0.0))
+    order = (NMAX + 1) ** 2
+    out = T.entries(T.inverse(T.from_entries(e, order, 24), order, 24), 24).where("row >= col")
+    return rounded(out.select("row", F.col("col").cast("int").alias("col"), "value"))
+
+
+def _month_operator(spark, sf):
+    x = coef(spark, sf)
+    mean = x.groupBy("n", "m", "cs").agg(F.avg("v").alias("mv"))
+    resid = x.join(mean, ["n", "m", "cs"]).select("set_id", "epoch", "label", "n", "m", "cs", (F.col("v") - F.col("mv")).alias("residual"))
+    return resid, stored(M.operator_table(V.block_covariance(resid)), "month-operator")
+
+
+@query()
+def month_operator_transposed(spark, sf):
+    """The filter of each set's epoch (its factor grows with the label) applied forward and transposed."""
+    resid, op = _month_operator(spark, sf)
+    x = resid.withColumnRenamed("residual", "v").withColumn("factor", 0.5 + F.col("label") / 4.0)
+    on = ["set_id", "n", "m", "cs"]
+    back = M.apply(op, x, ["set_id"], "factor", transpose=True).select(*on, F.col("v").alias("transposed"))
+    return rounded(M.apply(op, x, ["set_id"], "factor").join(back, on).select(*on, "v", "sigma", "transposed"))
+
+
+@query()
+def resolution_map(spark, sf):
+    """How far each set's filter smears a place of its own."""
+    _, op = _month_operator(spark, sf)
+    e = table(spark, sf, "embeddings").select("vec_id", ((F.col("vec_id") * 37 % 161) - 80.0).alias("lat"), (F.col("vec_id") * 73 % 360 * 1.0).alias("lon"), (0.5 + F.col("label") / 4.0).alias("factor"))
+    out = M.resolution_map(op, e, "factor", reach=60.0)
+    return rounded(out.select("vec_id", "km_mean", "km_min", "km_max", "anisotropy"), 3)
+
+
+@query()
+def mc_correlated(spark, sf):
+    """Sigma of every product's degree amplitude when coefficients of an order vary together."""
+    x = coef(spark, sf)
+    mean = x.groupBy("label", "n", "m", "cs").agg(F.avg("v").alias("v"), F.lit(0.0).alias("s"))
+    both = x.alias("a").join(x.alias("b"), ["set_id", "m", "cs"]).where("a.n <= b.n").groupBy("m", "cs", F.col("a.n").alias("n1"), F.col("b.n").alias("n2")).agg(F.covar_samp("a.v", "b.v").alias("cov"))
+    both = stored(both.withColumn("cov", F.col("cov") + F.when(F.col("n1") == F.col("n2"), 1e-6).otherwise(0.0)), "order-covariance")
+    return rounded(C.monte_carlo(mean, lambda d: d.groupBy("sample", "label", "n").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("value")), ["label", "n"], 300, covariance=both))
+
+
+@query()
+def eof_separated(spark, sf):
+    """The modes of the coefficients that stand clear of noise, and what is left of each set without them."""
+    x = coef(spark, sf).select("epoch", "n", "m", "cs", "v", (1.0 + F.col("n")).alias("w"))
+    out, modes, rms = C.separate(x, "epoch", ["n", "m", "cs"], "v", "w")
+    sums = out.groupBy("epoch").agg(F.sum(F.col("separated") ** 2).alias("separated"), F.sum(F.col("noise") ** 2).alias("noise"))
+    return rounded(sums.select("epoch", "separated", "noise", F.lit(modes).alias("modes"), F.lit(rms).alias("rms")))
