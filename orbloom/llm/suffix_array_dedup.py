@@ -38,22 +38,40 @@ MODULUS = 32  # one trigger string in so many
 def ranks_by_doubling(symbols: np.ndarray, limit: int | None = None, stop: np.ndarray | None = None) -> np.ndarray:
     """Ranks of all suffixes of ``symbols`` (ends count as smallest); equal only if equal for ``limit`` symbols.
 
+    A rank is the number of smaller suffixes.  The first ranks come from as many symbols as fit in a 64-bit number; then
+    the compared length doubles, and only suffixes that are still tied are sorted again.
     With ``stop``, the last place of each suffix, what stands behind does not count: equal suffixes get equal ranks.
     """
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    width = 1
-    while width < (limit or n) and n > 1:
-        key = rank * (n + 1)
-        if width < n:
-            after = rank[width:] + 1
-            key[: n - width] += after if stop is None else np.where(np.arange(width, n) <= stop[: n - width], after, 0)
-        if width >= n:
-            break
-        new = np.unique(key, return_inverse=True)[1].astype(np.int64)
-        if new.max() == n - 1 or np.array_equal(new, rank):
-            return new
-        rank, width = new, 2 * width
+    if not n:
+        return np.zeros(0, np.int64)
+    last = np.full(n, n - 1) if stop is None else stop
+    bits = int(symbols.max() + 1).bit_length()
+    width, place = max(1, 63 // bits), np.arange(n)
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        key <<= bits
+        key[: max(n - k, 0)] |= np.where(place[k:] <= last[: max(n - k, 0)], symbols[k:] + 1, 0)
+    order = np.argsort(key)
+    head = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+    size = np.diff(np.append(head, n))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(head, size)
+    tied = order[np.repeat(size > 1, size)]
+    while len(tied) and width < (limit or n):
+        ahead = tied + width
+        after = np.where(ahead <= last[tied], rank[np.minimum(ahead, n - 1)] + 1, 0)
+        key = rank[tied] * (n + 1) + after
+        order = np.argsort(key)
+        key, tied = key[order], tied[order]
+        old = rank[tied]
+        head = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
+        group = np.flatnonzero(np.concatenate([[True], np.diff(old) != 0]))
+        size = np.diff(np.append(head, len(tied)))
+        # A part's rank is its group's, and the members of the group before it.
+        rank[tied] = old + np.repeat(head, size) - np.repeat(group, np.diff(np.append(group, len(tied))))
+        tied = tied[np.repeat(size > 1, size)]
+        width *= 2
     return rank
 
 
