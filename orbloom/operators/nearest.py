@@ -59,15 +59,20 @@ def covered(df: DataFrame, table: DataFrame, tolerance: float, time: str = "epoc
     return df.join(F.broadcast(span), F.col(time).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
-def evaluate_terms(epochs: DataFrame, terms: DataFrame) -> DataFrame:
+def evaluate_terms(epochs: DataFrame, terms: DataFrame, bucket: float = 1.0) -> DataFrame:
     """Value of time-variable terms at epochs: pieces with t0 <= t < t1, trends and harmonics.
 
-    ``terms``: key, kind (const, trnd, acos, asin), value, t0, t1, period. An interval join of a small table.
+    ``terms``: key, kind (const, trnd, acos, asin), value, t0, t1, period.  Epochs and terms meet by an equi-join on
+    buckets of time; a term stands in those buckets of its interval that lie within the epochs' span.
     """
     t = F.col("epoch") - F.col("t0")
     arg = F.lit(6.283185307179586) * t / F.nullif(F.col("period"), F.lit(0.0))
     part = F.when(F.col("kind") == "trnd", t).when(F.col("kind") == "acos", F.cos(arg)).when(F.col("kind") == "asin", F.sin(arg)).otherwise(F.lit(1.0))
-    j = epochs.join(F.broadcast(terms), (F.col("epoch") >= F.col("t0")) & (F.col("epoch") < F.col("t1")))
+    e = epochs.withColumn("_b", F.floor(F.col("epoch") / bucket))
+    span = e.agg(F.min("_b").alias("_lo"), F.max("_b").alias("_hi"))  # one row
+    x = terms.join(F.broadcast(span)).withColumn("_lo", F.greatest(F.floor(F.col("t0") / bucket), "_lo")).withColumn("_hi", F.least(F.floor(F.col("t1") / bucket), "_hi"))
+    x = x.where("_lo <= _hi").withColumn("_b", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
+    j = e.join(x, "_b").where((F.col("epoch") >= F.col("t0")) & (F.col("epoch") < F.col("t1")))
     return j.groupBy("epoch", "key").agg(F.sum(F.col("value") * part).alias("value"))
 
 

@@ -37,6 +37,39 @@ def polygon_mask(grid: DataFrame, rings: list[list[tuple[float, float]]]) -> Dat
     return grid.withColumn("w", w("lat", "lon"))
 
 
+BAND = 5.0  # degrees of latitude in which edges and places meet
+
+
+def edges(rings: DataFrame, names: list[str], band: float = BAND) -> DataFrame:
+    """Edges of polygon parts, by latitude band: names, b, c, y1, x1, y2, x2.
+
+    ``rings`` has a row (names, part, ring array<struct<lat, lon>>) for each outer ring and each hole, all alike: a place is
+    inside a polygon if a line to the east crosses an odd number of its edges.  Longitudes x count from c, the mean
+    direction of the part's vertices, so parts may lie across the date line.
+    """
+    bad = rings.where(F.exists("ring", lambda p: F.abs(p["lat"]) > 90)).first()
+    if bad:
+        raise ValueError("a vertex has a latitude beyond 90: vertices are (lat, lon)")
+    sin, cos = (F.aggregate(F.transform("ring", part), F.lit(0.0), lambda a, v: a + v) for part in (lambda p: F.sin(F.radians(p["lon"])), lambda p: F.cos(F.radians(p["lon"]))))
+    x = rings.withColumn("c", F.degrees(F.atan2(sin, cos)))
+    flat = F.transform("ring", lambda p: F.struct(p["lat"].alias("y"), (F.pmod(p["lon"] - F.col("c") + 180, F.lit(360.0)) - 180).alias("x")))
+    x = x.withColumn("p", flat).withColumn("q", F.concat(F.slice("p", 2, F.size("p")), F.slice("p", 1, 1)))
+    e = x.select(*names, "c", F.explode(F.arrays_zip("p", "q")).alias("e")).select(*names, "c", F.col("e.p.y").alias("y1"), F.col("e.p.x").alias("x1"), F.col("e.q.y").alias("y2"), F.col("e.q.x").alias("x2"))
+    e = e.where("y1 <> y2")  # a level edge is never crossed
+    return e.withColumn("b", F.explode(F.sequence(F.floor(F.least("y1", "y2") / band), F.floor(F.greatest("y1", "y2") / band))))
+
+
+def inside(places: DataFrame, rings: DataFrame, names: list[str], band: float = BAND) -> DataFrame:
+    """(lat, lon, names) of the places (lat, lon) inside each polygon, with parts and holes.
+
+    Places meet the edges of their latitude band by an equi-join; the count of crossed edges is one grouped sum.
+    """
+    at = places.select("lat", "lon").distinct().withColumn("b", F.floor(F.col("lat") / band))
+    x = F.pmod(F.col("lon") - F.col("c") + 180, F.lit(360.0)) - 180
+    crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (x < F.col("x1") + (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1")))
+    return at.join(edges(rings, names, band), "b").where(crosses).groupBy("lat", "lon", *names).count().where("count % 2 = 1").drop("count")
+
+
 def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance, haversine form."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
@@ -83,6 +116,14 @@ def shrink(grid: DataFrame, buffer_km: float, keys: list[str] | None = None) ->
     return inside.join(near(inside, grid.where("w <= 0.5"), buffer_km, keys), [*keys, "lat", "lon"], "left_anti")
 
 
+def grow(grid: DataFrame, buffer_km: float, keys: list[str] | None = None) -> DataFrame:
+    """Cells of the grid that are in a mask (w > 0.5) or at most the buffer away from it, with w = 1."""
+    keys = keys or []
+    outside = grid.where("w <= 0.5")
+    close = near(outside, grid.where("w > 0.5"), buffer_km, keys)
+    return grid.where("w > 0.5").withColumn("w", F.lit(1.0)).unionByName(outside.join(close, [*keys, "lat", "lon"], "left_semi").withColumn("w", F.lit(1.0)))
+
+
 def basin_kernel(mask, nmax: int, min_degree: int = 2, taper_km: float = 0.0) -> np.ndarray:
     """Band-limited kernel b = Y'(w mask) of a mask function of (lat, lon) in degrees, on the quadrature grid."""
     n, m, cs = index_arrays(nmax, min_degree)
@@ -101,8 +142,8 @@ def sensitivity_kernel(b: np.ndarray, n: np.ndarray, alpha: float = 1.0, noise:
 
 
 def basin_average(coef: DataFrame, kernels: DataFrame, keys: list[str], normalised: bool = True) -> DataFrame:
-    """sum(b v) / sum(b b) by basin and key (or the bare sum); kernels (basin, n, m, cs, b) are broadcast."""
-    j = coef.join(F.broadcast(kernels), ["n", "m", "cs"])
+    """sum(b v) / sum(b b) by basin and key (or the bare sum), from kernels (basin, n, m, cs, b)."""
+    j = coef.join(kernels, ["n", "m", "cs"])
     top = F.sum(F.col("b") * F.col("v"))
     return j.groupBy("basin", *keys).agg((top / F.nullif(F.sum(F.col("b") * F.col("b")), F.lit(0.0)) if normalised else top).alias("average"))
 
@@ -133,7 +174,7 @@ def slepian(mask, nmax: int, min_degree: int = 0, keep: int | None = None) -> tu
 
 def project(coef: DataFrame, basis: DataFrame, keys: list[str]) -> DataFrame:
     """Coordinates in a basis (mode, n, m, cs, g): a grouped sum."""
-    return coef.join(F.broadcast(basis), ["n", "m", "cs"]).groupBy(*keys, "mode").agg(F.sum(F.col("g") * F.col("v")).alias("a"))
+    return coef.join(basis, ["n", "m", "cs"]).groupBy(*keys, "mode").agg(F.sum(F.col("g") * F.col("v")).alias("a"))
 
 
 class Sphere:

@@ -97,8 +97,7 @@ def harmonic_residuals(series: DataFrame, keys: list[str], t0: float, terms: int
 
 def remove_rate(coef: DataFrame, rate: DataFrame, t0: float, on: list[str]) -> DataFrame:
     """v - rate * (epoch - t0); a coefficient without a rate stays."""
-    r = F.broadcast(rate.select(*on, F.col("rate")))
-    return coef.join(r, on, "left").withColumn("v", F.col("v") - F.coalesce("rate", F.lit(0.0)) * (F.col("epoch") - t0)).drop("rate")
+    return coef.join(rate.select(*on, "rate"), on, "left").withColumn("v", F.col("v") - F.coalesce("rate", F.lit(0.0)) * (F.col("epoch") - t0)).drop("rate")
 
 
 def ar1_inflation(resid: DataFrame, keys: list[str], n_terms: int) -> DataFrame:

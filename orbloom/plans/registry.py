@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orbloom.plans import base, coefficient_queries, field_queries, sequential_queries, series_queries
+from orbloom.plans import base, chain_queries, coefficient_queries, field_queries, sequential_queries, series_queries
 
-MODULES = (coefficient_queries, series_queries, field_queries, sequential_queries)
+MODULES = (coefficient_queries, series_queries, field_queries, sequential_queries, chain_queries)
 
 
 def queries() -> dict:

@@ -357,11 +357,18 @@ def read_grid(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """Rings of a GeoJSON file: (name, ring array<struct<lat, lon>>)."""
-    schema = "struct<features:array<struct<properties:struct<name:string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>>"
-    x = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema)["features"]).alias("f"))
-    x = x.select(F.col("f.properties.name").alias("name"), F.explode("f.geometry.coordinates").alias("r"))
-    return x.select("name", F.transform("r", lambda p: F.struct(p[1].alias("lat"), p[0].alias("lon"))).alias("ring"))
+    """Rings of a GeoJSON file's polygons and multi-part polygons: (name, part, hole, ring array<struct<lat, lon>>).
+
+    The first ring of a part is its outline, the others are holes; a repeated last vertex goes.
+    """
+    schema = "struct<features:array<struct<properties:struct<name:string>,geometry:struct<type:string,coordinates:string>>>>"
+    x = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema)["features"]).alias("f")).select(F.col("f.properties.name").alias("name"), "f.geometry.*")
+    ring = "array<array<double>>"
+    parts = F.when(F.col("type") == "Polygon", F.array(F.from_json("coordinates", f"array<{ring}>"))).when(F.col("type") == "MultiPolygon", F.from_json("coordinates", f"array<array<{ring}>>"))
+    x = x.select("name", F.posexplode(parts).alias("part", "rings")).select("name", "part", F.posexplode("rings").alias("k", "r"))
+    points = F.transform("r", lambda p: F.struct(p[1].alias("lat"), p[0].alias("lon")))
+    closed = (F.size("r") > 1) & (F.element_at("r", 1) == F.element_at("r", -1))
+    return x.select("name", F.col("part").cast("int").alias("part"), (F.col("k") > 0).alias("hole"), F.when(closed, F.slice(points, 1, F.size("r") - 1)).otherwise(points).alias("ring"))
 
 
 def parse_classic_netcdf(raw: bytes) -> dict:
