@@ -148,10 +148,17 @@ def basin_average(coef: DataFrame, kernels: DataFrame, keys: list[str], normalis
     return j.groupBy("basin", *keys).agg((top / F.nullif(F.sum(F.col("b") * F.col("b")), F.lit(0.0)) if normalised else top).alias("average"))
 
 
-def deconvolve(averages: np.ndarray, kernels: np.ndarray, operator: np.ndarray, ridge: float = 0.0) -> np.ndarray:
-    """Basin values c with (B' W B) c = B' x: undoes what the filter W mixed between basins."""
+def deconvolution(kernels: np.ndarray, operator: np.ndarray, ridge: float = 0.0) -> np.ndarray:
+    """The matrix that gives basin values c from averages B' x, where (B' W B) c = B' x: undoes what the filter W mixed between basins."""
     a = kernels.T @ operator @ kernels
-    return np.linalg.solve(a + ridge * np.trace(a) / len(a) * np.eye(len(a)), averages)
+    return np.linalg.inv(a + ridge * np.trace(a) / len(a) * np.eye(len(a)))
+
+
+def deconvolve(averages: DataFrame, keys: list[str], names: list[str], matrix: np.ndarray) -> DataFrame:
+    """Separated values of basins (keys, basin, average), a column for each of the named basins."""
+    value = {n: F.max(F.when(F.col("basin") == n, F.col("average"))) for n in names}
+    p = averages.groupBy(*keys).agg(*[v.alias(f"_{n}") for n, v in value.items()])
+    return p.select(*keys, *[sum((float(matrix[i, j]) * F.col(f"_{o}") for j, o in enumerate(names)), F.lit(0.0)).alias(f"basin_{n}") for i, n in enumerate(names)])
 
 
 def scaling_factor(pairs: DataFrame, keys: list[str], truth: str, filtered: str) -> DataFrame:

@@ -49,24 +49,25 @@ def synthesis_dense(vectors: DataFrame, nmax: int, lat_deg, lon_deg, factors=Non
 
 
 def synthesis_points(coef: DataFrame, points: DataFrame, keys: list[str], nmax: int, quantity: str = "potential", gm: float = special.GM_EARTH, r: float = special.R_EARTH, min_degree: int = 2) -> DataFrame:
-    """Potential, disturbance or anomaly at scattered points (point_id, lat, lon, radius), one pass over points."""
-    packed = coef.where(F.col("n") >= min_degree).groupBy(*keys).agg(F.collect_list(F.struct("n", "m", "cs", "v")).alias("c"))
+    """Potential, disturbance or anomaly of every set at scattered points (point_id, lat, lon, radius).
+
+    A point's basis is made once, batch by batch, whatever the number of sets; sets meet it by an equi-join on the
+    coefficient and one grouped sum, combined before the shuffle.
+    """
+    n, m, cs = index_arrays(nmax, min_degree)
     power = {"potential": 1, "gravity_disturbance": 2, "gravity_anomaly": 2}[quantity]
+    factor = special.kernel_factors(quantity, nmax, gm, r)[n]
     names = [f.name for f in points.schema]
-    schema = ", ".join([f"`{k}` {coef.schema[k].dataType.simpleString()}" for k in keys] + [f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema] + ["value double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema] + ["n int, m int, cs int, y double"])
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for _, row in pdf.iterrows():
-                c = row["c"]
-                n, m, cs, v = (np.array([x[f] for x in c]) for f in ("n", "m", "cs", "v"))
-                y = special.ylm(np.radians([row["lat"]]), np.radians([row["lon"]]), n.astype(int), m.astype(int), cs.astype(int))[0]
-                k = special.kernel_factors(quantity, int(n.max()), gm, r)[n.astype(int)]
-                out.append(float((v * y * k * (r / row["radius"]) ** (n + power)).sum()))
-            yield pdf[[*keys, *names]].assign(value=out)
-
-    return points.join(packed).select(*keys, *names, "c").mapInPandas(run, schema)
+            y = special.ylm(np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy()), n, m, cs) * factor * (r / pdf["radius"].to_numpy()[:, None]) ** (n + power)
+            k = np.repeat(np.arange(len(pdf)), len(n))
+            yield pdf[names].iloc[k].reset_index(drop=True).assign(n=np.tile(n, len(pdf)), m=np.tile(m, len(pdf)), cs=np.tile(cs, len(pdf)), y=y.ravel())
+
+    basis = points.mapInPandas(run, schema)
+    return coef.where(F.col("n") >= min_degree).join(basis, ["n", "m", "cs"]).groupBy(*keys, *names).agg(F.sum(F.col("v") * F.col("y")).alias("value"))
 
 
 def deformation(coef: DataFrame, keys: list[str], nmax: int, lat_deg, lon_deg, kn, hn, ln, r: float = special.R_EARTH, least: int = 1) -> DataFrame:

@@ -8,8 +8,9 @@ from orbloom.functions import special
 from orbloom.functions.index import literal_table, sql_values
 from orbloom.operators import pipelines as P
 from orbloom.operators import regions as B
+from orbloom.operators import regression
 from orbloom.operators import transforms as T
-from orbloom.plans.base import COEF, NMAX, coef, query, r, rounded
+from orbloom.plans.base import COEF, NMAX, coef, monthly, monthly_sql, query, r, rounded
 from orbloom.plans.coefficient_queries import KN
 
 LAT, LON = [float(x) for x in range(-80, 81, 20)], [float(x) for x in range(10, 360, 20)]
@@ -128,3 +129,31 @@ def polygon_parts_and_holes(spark, sf):
     places = literal_table(spark, ["lat", "lon"], [(a, b) for a in LAT for b in LON])
     j = g.join(B.inside(places, _rings(spark), ["region"]), ["lat", "lon"])
     return rounded(j.groupBy("set_id", "region").agg(F.count("*").alias("places"), F.avg("value").alias("mean"), F.max("value").alias("high")))
+
+
+_W1000 = special.gaussian_weights(NMAX, 1000.0).tolist()
+
+
+@query(f"""WITH {COEF}, w(wn, w) AS (VALUES {sql_values(list(enumerate(_W1000)))}),
+s AS (SELECT n, m, cs, n || ' ' || m || ' ' || cs AS key, epoch, w * CASE WHEN n = 2 AND m = 0 THEN 0.001::DOUBLE * set_id WHEN n = 3 AND m = 0 AND set_id % 4 <> 0 THEN -0.002::DOUBLE * set_id ELSE v END AS v FROM coef JOIN w ON n = wn),
+{fitted_sql('s', 'key', ('trend',), 'm')}, i AS (SELECT DISTINCT key, n, m, cs FROM s)
+SELECT n, m, cs, 'trend' AS term, {r('trend', 9)} AS coef, {r('sqrt(rr / (t - 6) / qq)', 9)} AS sigma, {r('rr / (t - 6)', 9)} AS res_var, CAST(t AS BIGINT) AS n_epochs FROM m JOIN i USING (key)""")
+def chain_standard(spark, sf):
+    """Low degrees replaced, a rate removed, smoothed, then the trend of each coefficient: one plan."""
+    x = coef(spark, sf)
+    span = x.agg(F.floor((F.min("epoch") - 2002) * 12).alias("lo"), F.ceil((F.max("epoch") - 2002) * 12).alias("hi")).first()
+    months = spark.range(span.lo, span.hi + 1) if span.lo is not None else spark.range(0)
+    t = months.select((2002 + F.col("id") / 12.0 + 0.01).alias("epoch"), (F.col("id") * 0.001).alias("c20"), F.when(F.col("id") % 4 != 0, F.col("id") * -0.002).alias("c30"))
+    x = P.standard_chain(x, NMAX, low_degrees=t, filter_name="gauss1000")
+    return rounded(regression.fit(x.select("n", "m", "cs", "epoch", "v"), ["n", "m", "cs"], 2010.0).where("term = 'trend'"), 9)
+
+
+_ALL_TERMS = tuple(_TERMS)
+_NAMES = dict(zip(_ALL_TERMS, regression.STANDARD))
+
+
+@query(f"""WITH {monthly_sql().replace('monthly AS', 'mo AS')}, s AS (SELECT key, epoch, v FROM mo), {', '.join(fitted_sql('s', 'key', (w,), f'f{k}') for k, w in enumerate(_ALL_TERMS))}
+{' UNION ALL '.join(f"SELECT key, '{_NAMES[w]}' AS term, {r(w, 2)} AS coef, {r('CASE WHEN t > 6 THEN sqrt(rr / (t - 6) / qq) END', 2)} AS sigma, {r('CASE WHEN t > 6 THEN rr / (t - 6) END', 2)} AS res_var, CAST(t AS BIGINT) AS n_epochs FROM f{k}" for k, w in enumerate(_ALL_TERMS))}""")
+def climatology_terms(spark, sf):
+    """All terms with sigmas."""
+    return rounded(regression.fit(monthly(spark, sf), ["key"], T0), 2)

@@ -54,12 +54,15 @@ def design_diagonal(spark, sf):
     return rounded(L.design_diagonal(coef(spark, sf).where("n >= 2"), kaula=0.05).select("set_id", "n", "m", "cs", "w"))
 
 
-@query()
+_NORMAL = np.diag(1.0 + 0.1 * index_arrays(NMAX, 0)[0]) + 0.01
+_PENALTY = np.maximum(index_arrays(NMAX, 0)[0], 1.0) ** 2
+_REG = [(i, j, float(x)) for (i, j), x in np.ndenumerate(np.linalg.solve(_NORMAL + np.diag(_PENALTY), _NORMAL))]
+
+
+@query(f"WITH {COEF}, w(i, j, w) AS (VALUES {sql_values(_REG)}) SELECT set_id, CAST(i AS INTEGER) AS pos, {r('sum(w * v)')} AS v FROM coef JOIN idx USING (n, m, cs) JOIN w ON j = pos GROUP BY 1, 2")
 def regularised_filter(spark, sf):
-    n, _, _ = index_arrays(NMAX, 0)
-    normal = np.diag(1.0 + 0.1 * n) + 0.01
     x = C.pack(coef(spark, sf), ["set_id"], NMAX)
-    y = L.regularised(x, normal, np.maximum(n, 1.0) ** 2)
+    y = L.regularised(x, _NORMAL, _PENALTY)
     return rounded(y.select("set_id", F.posexplode("x").alias("pos", "v")))
 
 
@@ -107,11 +110,14 @@ def ocean_rms(spark, sf):
     return rounded(area_rms(g.where("lon < 180"), ["set_id"]))
 
 
-@query()
+_PTS = [(1, 10.0, 20.0, 6.5e6), (2, -45.0, 200.0, 6.8e6)]
+_PY = [(k, int(n), int(m), int(cs), float(y)) for k, lat, lon, radius in _PTS for n, m, cs, y in zip(*index_arrays(NMAX, 0), special.ylm(np.radians([lat]), np.radians([lon]), *index_arrays(NMAX, 0))[0] * special.GM_EARTH / special.R_EARTH * (special.R_EARTH / radius) ** (index_arrays(NMAX, 0)[0] + 1))]
+
+
+@query(f"WITH {COEF}, y(point_id, yn, ym, ycs, y) AS (VALUES {sql_values(_PY)}), pt(point_id, lat, lon, radius) AS (VALUES {sql_values(_PTS)}) SELECT set_id, point_id, lat, lon, radius, {r('sum(1e-7 * v * y)')} AS value FROM coef JOIN y ON n = yn AND m = ym AND cs = ycs JOIN pt USING (point_id) WHERE n >= 2 GROUP BY ALL")
 def synthesis_points(spark, sf):
-    pts = literal_table(spark, ["point_id", "lat", "lon", "radius"], [(1, 10.0, 20.0, 6.5e6), (2, -45.0, 200.0, 6.8e6)])
     x = coef(spark, sf).withColumn("v", F.col("v") * 1e-7)
-    return rounded(T.synthesis_points(x, pts, ["set_id"], NMAX))
+    return rounded(T.synthesis_points(x, literal_table(spark, ["point_id", "lat", "lon", "radius"], _PTS), ["set_id"], NMAX))
 
 
 @query()
@@ -319,7 +325,13 @@ def kalman_scalar_batch(spark, sf):
     return rounded(K.kalman_series(_hourly(spark, sf), ["event_type"], 0.8, 0.3, 0.5, 1.0).select("event_type", "epoch", "filtered", "filtered_var"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_HOUR}, f AS (
+SELECT event_type, epoch, k, v / (1.0::DOUBLE + 0.5::DOUBLE) * 1.0::DOUBLE AS x, 1.0::DOUBLE * 0.5::DOUBLE / 1.5::DOUBLE AS p FROM c WHERE k = 1
+UNION ALL SELECT c.event_type, c.epoch, c.k, 0.8::DOUBLE * x + (0.64::DOUBLE * p + 0.3::DOUBLE) / (0.64::DOUBLE * p + 0.3::DOUBLE + 0.5::DOUBLE) * (c.v - 0.8::DOUBLE * x), (0.64::DOUBLE * p + 0.3::DOUBLE) * 0.5::DOUBLE / (0.64::DOUBLE * p + 0.3::DOUBLE + 0.5::DOUBLE)
+FROM f JOIN c ON c.event_type = f.event_type AND c.k = f.k + 1), bk AS MATERIALIZED (SELECT *, max(k) OVER (PARTITION BY event_type) AS last, 0.8::DOUBLE * p / (0.64::DOUBLE * p + 0.3::DOUBLE) AS g FROM f),
+s AS (SELECT event_type, epoch, k, x AS xs, p AS ps FROM bk WHERE k = last
+UNION ALL SELECT bk.event_type, bk.epoch, bk.k, bk.x + bk.g * (xs - 0.8::DOUBLE * bk.x), bk.p + bk.g * bk.g * (ps - (0.64::DOUBLE * bk.p + 0.3::DOUBLE)) FROM s JOIN bk ON bk.event_type = s.event_type AND bk.k = s.k - 1)
+SELECT event_type, epoch, {r('xs')} AS smoothed, {r('ps')} AS smoothed_var FROM s""")
 def rts_scalar(spark, sf):
     return rounded(K.kalman_series(_hourly(spark, sf), ["event_type"], 0.8, 0.3, 0.5, 1.0).select("event_type", "epoch", "smoothed", "smoothed_var"))
 
@@ -392,15 +404,18 @@ def mc_propagate(spark, sf):
     return rounded(M.monte_carlo(coef(spark, sf), lambda d: d.groupBy("sample", "set_id", "n").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("value")), ["set_id", "n"], 200))
 
 
-@query()
+_K2 = np.column_stack([[x[4] for x in _BASINS if x[0] == b] for b in "ab"])
+_W500 = special.gaussian_weights(NMAX, 500.0)
+_UNMIX = B.deconvolution(_K2, np.diag(_W500[_N]))
+
+
+@query(f"""WITH {COEF}, k(basin, bn, bm, bcs, b) AS (VALUES {sql_values(_BASINS)}), g(gn, g) AS (VALUES {sql_values(list(enumerate(_W500.tolist())))}),
+x AS (SELECT set_id, sum(CASE WHEN basin = 'a' THEN b * g * v END) AS a, sum(CASE WHEN basin = 'b' THEN b * g * v END) AS b FROM coef JOIN k ON n = bn AND m = bm AND cs = bcs JOIN g ON n = gn GROUP BY 1)
+SELECT set_id, {r(f'{float(_UNMIX[0, 0])!r}::DOUBLE * a + {float(_UNMIX[0, 1])!r}::DOUBLE * b')} AS basin_a, {r(f'{float(_UNMIX[1, 0])!r}::DOUBLE * a + {float(_UNMIX[1, 1])!r}::DOUBLE * b')} AS basin_b FROM x""")
 def deconvolve(spark, sf):
     """Two overlapping basins separated again after a Gaussian filter."""
-    k = np.column_stack([[x[4] for x in _BASINS if x[0] == b] for b in "ab"])
-    w = np.diag(special.gaussian_weights(NMAX, 500.0)[_N])
     bare = B.basin_average(L.gaussian(coef(spark, sf), 500.0, NMAX), literal_table(spark, ["basin", "n", "m", "cs", "b"], _BASINS), ["set_id"], False)
-    inv = np.linalg.inv(k.T @ w @ k)
-    p = bare.groupBy("set_id").agg(F.max(F.when(F.col("basin") == "a", F.col("average"))).alias("a"), F.max(F.when(F.col("basin") == "b", F.col("average"))).alias("b"))
-    return rounded(p.select("set_id", *[(float(inv[i, 0]) * F.col("a") + float(inv[i, 1]) * F.col("b")).alias(f"basin_{n}") for i, n in enumerate("ab")]))
+    return rounded(B.deconvolve(bare, ["set_id"], ["a", "b"], _UNMIX))
 
 
 # --- scalars, catalogues, text -----------------------------------------------------------------------------------------
@@ -480,16 +495,3 @@ def retry_delay(spark, sf):
     """Waiting times of attempts, one to each event."""
     e = table(spark, sf, "events").select("event_id", (1 + F.col("user_id") % 8).alias("attempt"))
     return rounded(e.withColumn("wait", scalars.retry_delay(F.col("attempt"), 0.05 * (F.col("event_id") % 5))))
-
-
-@query()
-def chain_standard(spark, sf):
-    """Low degrees replaced, a rate removed, smoothed, then the trend of each coefficient: one plan."""
-    from orbloom.operators.pipelines import standard_chain
-
-    x = coef(spark, sf)
-    span = x.agg(F.floor((F.min("epoch") - 2002) * 12).alias("lo"), F.ceil((F.max("epoch") - 2002) * 12).alias("hi")).first()
-    months = spark.range(span.lo, span.hi + 1) if span.lo is not None else spark.range(0)
-    t = months.select((2002 + F.col("id") / 12.0 + 0.01).alias("epoch"), (F.col("id") * 0.001).alias("c20"), F.when(F.col("id") % 4 != 0, F.col("id") * -0.002).alias("c30"))
-    x = standard_chain(x, NMAX, low_degrees=t, filter_name="gauss1000")
-    return rounded(R.fit(x.select("n", "m", "cs", "epoch", "v"), ["n", "m", "cs"], 2010.0).where("term = 'trend'"), 9)

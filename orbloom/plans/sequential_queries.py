@@ -9,9 +9,12 @@ from orbloom.functions import special
 from orbloom.functions.index import index_arrays, sql_values
 from orbloom.operators import combination as C
 from orbloom.operators import covariance as V
+from orbloom.operators import filters as L
 from orbloom.operators import kalman as K
 from orbloom.operators import month_filter as M
+from orbloom.operators import signal_model as G
 from orbloom.operators import tiles as T
+from orbloom.operators import transforms as X
 from orbloom.operators.stored import numbered, stored
 from orbloom.plans.base import COEF, NMAX, coef, query, r, rounded, table
 from orbloom.plans.coefficient_queries import KN
@@ -28,11 +31,11 @@ def _series(spark, sf):
     return x.select("n", "m", "cs", "t", "epoch", F.array("v").alias("x"), F.when(F.col("seen"), F.array("v")).alias("l"), F.when(F.col("seen"), F.array(NOISE**2)).alias("r"))
 
 
-_SCALAR = f"""WITH RECURSIVE {COEF}, z AS MATERIALIZED (
+_FILTER = f"""WITH RECURSIVE {COEF}, z AS MATERIALIZED (
   SELECT n, m, cs, epoch, row_number() OVER (PARTITION BY n, m, cs ORDER BY epoch) - 1 AS t, v, label <> 0 AS seen, pow(0.02::DOUBLE + 0.5::DOUBLE * abs(v), 2) AS rr FROM coef),
 c AS (SELECT a.n, a.m, a.cs, sum(a.v * a.v) / count(*) AS c0, count(*) AS t, sum(a.v * b.v) / (count(*) - 1) AS c1
   FROM z a LEFT JOIN z b ON a.n = b.n AND a.m = b.m AND a.cs = b.cs AND b.t = a.t - 1 GROUP BY 1, 2, 3),
-g AS MATERIALIZED (SELECT n, m, cs, t - 1 AS last, c0, c1 / c0 AS phi, c0 - c1 / c0 * c1 AS q FROM c),
+g AS MATERIALIZED (SELECT n, m, cs, t - 1 AS last, c0, c1 / c0 AS phi, c0 - c1 / c0 * c1 AS q FROM (SELECT n, m, cs, t, c1, c0 + SHRINK * avg(c0) OVER (PARTITION BY n) AS c0 FROM c)),
 y AS MATERIALIZED (SELECT * FROM z JOIN g USING (n, m, cs)),
 f AS (
   SELECT n, m, cs, epoch, t, last, phi, CAST(0 AS DOUBLE) AS xp, phi * phi * c0 + q AS pp,
@@ -43,7 +46,9 @@ f AS (
     CASE WHEN seen THEN y.phi * f.x + (y.phi * y.phi * f.p + q) / (y.phi * y.phi * f.p + q + rr) * (v - y.phi * f.x) ELSE y.phi * f.x END,
     CASE WHEN seen THEN (y.phi * y.phi * f.p + q) * rr / (y.phi * y.phi * f.p + q + rr) ELSE y.phi * y.phi * f.p + q END
   FROM f JOIN y ON y.n = f.n AND y.m = f.m AND y.cs = f.cs AND y.t = f.t + 1),
-h AS MATERIALIZED (SELECT * FROM f),
+h AS MATERIALIZED (SELECT * FROM f)"""
+
+_SMOOTHED = f""",
 s AS (
   SELECT n, m, cs, epoch, t, x, p, xp, pp FROM h WHERE t = last
   UNION ALL
@@ -51,8 +56,11 @@ s AS (
   FROM s JOIN h ON h.n = s.n AND h.m = s.m AND h.cs = s.cs AND h.t = s.t - 1)
 SELECT n, m, cs, {r('epoch')} AS epoch, {r('x')} AS x, {r('sqrt(p)')} AS sigma FROM s"""
 
+# Smoothed from k later epochs: one step from what the next epoch has from k - 1.
+_LAGGED = "".join(f", l{k} AS (SELECT *, coalesce(x + p * phi / lead(pp) OVER w * (lead(x{k - 1}) OVER w - lead(xp) OVER w), x) AS x{k}, coalesce(p + pow(p * phi / lead(pp) OVER w, 2) * (lead(p{k - 1}) OVER w - lead(pp) OVER w), p) AS p{k} FROM {'l' + str(k - 1) if k > 1 else '(SELECT *, x AS x0, p AS p0 FROM h)'} WINDOW w AS (PARTITION BY n, m, cs ORDER BY t))" for k in (1, 2, 3))
+
 
-@query(_SCALAR)
+@query(_FILTER.replace("SHRINK", "0.0::DOUBLE") + _SMOOTHED)
 def kalman_vector_scalar_limit(spark, sf):
     """The vector chain with one coefficient in each state: first-order process, filter over gaps, smoother."""
     x = stored(_series(spark, sf), "coefficient-series")
@@ -79,7 +87,7 @@ def kalman_chain_report(spark, sf):
     return rounded(K.chain(obs, x, T0, shrink=0.05, grid=x.select("epoch").distinct(), qc="reject", alpha=0.05, smoother=False)[1])
 
 
-@query()
+@query(_FILTER.replace("SHRINK", "0.1::DOUBLE") + _LAGGED + f" SELECT n, m, cs, {r('epoch')} AS epoch, {r('x3')} AS x, {r('sqrt(p3)')} AS sigma FROM l3")
 def kalman_fixed_lag(spark, sf):
     """The coefficients of each degree-and-order pair, smoothed from at most three later epochs."""
     x = stored(_series(spark, sf), "coefficient-series")
@@ -191,3 +199,52 @@ def eof_separated(spark, sf):
     out, modes, rms = C.separate(x, "epoch", ["n", "m", "cs"], "v", "w")
     sums = out.groupBy("epoch").agg(F.sum(F.col("separated") ** 2).alias("separated"), F.sum(F.col("noise") ** 2).alias("noise"))
     return rounded(sums.select("epoch", "separated", "noise", F.lit(modes).alias("modes"), F.lit(rms).alias("rms")))
+
+
+_VM = [(float(a), float(w)) for a, w in zip(np.degrees(special.quadrature(NMAX)[0][:: 2 * NMAX + 2]), special.quadrature(NMAX)[2][:: 2 * NMAX + 2])]
+_VLON = np.degrees(special.quadrature(NMAX)[1][: 2 * NMAX + 2]).tolist()
+
+
+def _round(k: int) -> str:
+    return f"""w{k} AS (SELECT n, m, cs, c, v, d, v / (v + d) AS w FROM mom JOIN nd USING (n, m, cs) JOIN v{k} USING (n)),
+u{k} AS (SELECT n, sum(w * w * c) / (2 * n + 1) AS v FROM w{k} GROUP BY n), v{k + 1} AS (SELECT n, greatest(v, 1e-8 * max(v) OVER ()) AS v FROM u{k})"""
+
+
+_SIGNAL = f"""{COEF}, res AS MATERIALIZED (SELECT set_id, epoch, n, m, cs, v - avg(v) OVER (PARTITION BY n, m, cs) AS x FROM coef), nd AS (SELECT n, m, cs, 0.2::DOUBLE * var_samp(v) AS d FROM coef GROUP BY 1, 2, 3),
+mom AS (SELECT n, m, cs, avg(x * x) AS c FROM res GROUP BY 1, 2, 3), u AS (SELECT n, sum(c) / (2 * n + 1) AS v FROM mom GROUP BY n), v0 AS (SELECT n, greatest(v, 1e-8 * max(v) OVER ()) AS v FROM u), {_round(0)}, {_round(1)}, {_round(2)}"""
+
+
+def _signal(spark, sf):
+    x = coef(spark, sf)
+    mean = x.groupBy("n", "m", "cs").agg(F.avg("v").alias("mv"), (0.2 * F.var_samp("v")).alias("cov"))
+    resid = x.join(mean, ["n", "m", "cs"]).select("epoch", "n", "m", "cs", (F.col("v") - F.col("mv")).alias("residual"))
+    noise = mean.select("m", "cs", F.col("n").alias("n1"), F.col("n").alias("n2"), "cov")
+    return resid, *G.iterate(resid, noise, 3)
+
+
+@query(f"""WITH {_SIGNAL}, p(lat, pn, pm, p) AS (VALUES {sql_values(X.legendre_rows(NMAX, [a for a, _ in _VM]))}), t(lon, tm, tcs, f) AS (VALUES {sql_values(X.longitude_rows(NMAX, _VLON))}), wt(wlat, q) AS (VALUES {sql_values(_VM)}),
+ring AS (SELECT epoch, lat, m, cs, sum(w * x * p) AS a FROM res JOIN w2 USING (n, m, cs) JOIN p ON n = pn AND m = pm GROUP BY ALL), g AS (SELECT epoch, lat, lon, sum(a * f) AS value FROM ring JOIN t ON m = tm AND cs = tcs GROUP BY ALL),
+d0 AS MATERIALIZED (SELECT lat, lon, avg(value * value) AS d, any_value(q) AS q FROM g JOIN wt ON lat = wlat GROUP BY 1, 2), d1 AS (SELECT lat, lon, q, least(greatest(d / (SELECT sum(q * d) FROM d0), 0.1::DOUBLE), 10.0::DOUBLE) AS d FROM d0)
+SELECT {r('lat')} AS lat, {r('lon')} AS lon, {r('d / (SELECT sum(q * d) FROM d1)')} AS d FROM d1""")
+def signal_variance_map(spark, sf):
+    """Where the filtered sets are strong, after three rounds of filter and degree variances."""
+    resid, _, f = _signal(spark, sf)
+    filtered = L.block_filter(resid.select("epoch", "n", "m", "cs", F.col("residual").alias("v"), F.lit(0.0).alias("s")), f, ["epoch"])
+    return rounded(G.variance_map(filtered, NMAX))
+
+
+@query(f"WITH {_SIGNAL} SELECT CAST(n AS INTEGER) AS n, {r('v', 9)} AS variance FROM v3")
+def signal_rounds(spark, sf):
+    from orbloom.functions.index import literal_table
+
+    _, v, _ = _signal(spark, sf)
+    return rounded(literal_table(spark, ["n", "variance"], list(v.items())), 9)
+
+
+@query(f"""WITH {COEF}, b(bn, bias) AS (VALUES {sql_values([(n, float(special.log_chi2_bias(2 * n + 1))) for n in range(1, NMAX + 1)])}), g AS (SELECT epoch, n, sum(v * v) AS a FROM coef WHERE n >= 1 GROUP BY 1, 2),
+y AS (SELECT epoch, ln(n::DOUBLE) AS x, 0.5::DOUBLE * ln(a) - bias AS y FROM g JOIN b ON n = bn), f AS (SELECT epoch, exp(regr_intercept(y, x)) AS a, regr_slope(y, x) AS b FROM y GROUP BY 1),
+mo AS (SELECT greatest(1, least(12, 1 + CAST(floor((epoch - floor(epoch)) * 12) AS INTEGER))) AS month, median(a) AS a, median(b) AS b, count(*) AS epochs FROM f GROUP BY 1)
+SELECT CAST(k AS INTEGER) AS month, {r('coalesce(a, (SELECT median(a) FROM f))')} AS a, {r('coalesce(b, (SELECT median(b) FROM f))')} AS b, CAST(coalesce(epochs, 0) AS BIGINT) AS epochs FROM range(1, 13) t(k) LEFT JOIN mo ON month = k""")
+def power_law_by_month(spark, sf):
+    spectrum = coef(spark, sf).groupBy("epoch", "n").agg(F.sum(F.col("v") ** 2).alias("variance"))
+    return rounded(G.monthly_power_law(spectrum))

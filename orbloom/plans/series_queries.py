@@ -218,12 +218,6 @@ def climatology_fit(spark, sf):
     return rounded(m.select("key", F.sqrt("res_var").alias("res_std"), "n_epochs"), 2)
 
 
-@query()
-def climatology_terms(spark, sf):
-    """All terms with sigmas."""
-    return rounded(R.fit(monthly(spark, sf), ["key"], T0), 2)
-
-
 @query(f"{_chain()} SELECT key, {r('epoch')} AS epoch, {r('v - res', 2)} AS model FROM g6")
 def climatology_eval(spark, sf):
     x = monthly(spark, sf)
