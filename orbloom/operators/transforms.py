@@ -48,6 +48,33 @@ def synthesis_dense(vectors: DataFrame, nmax: int, lat_deg, lon_deg, factors=Non
     return vectors.withColumn("grid", run("x"))
 
 
+def synthesis_rings(vectors: DataFrame, keys: list[str], nmax: int, lat_deg, lon_deg, factors=None, min_degree: int = 0) -> DataFrame:
+    """Fields of large degree: (keys, lat, field array over the longitudes), a row for each ring, from one vector per row.
+
+    Sums over the degree by latitude and order, then over the order by longitude, as matrix products in the tasks: a set
+    costs (nmax x grid) operations, and a task holds one set's grid and Legendre functions, not a dense basis.
+    """
+    n, m, cs = index_arrays(nmax, min_degree)
+    factor = (np.ones(nmax + 1) if factors is None else np.asarray(factors, float))[n]
+    shared = vectors.sparkSession.sparkContext.broadcast((n, m, cs, factor, np.asarray(lat_deg, float), np.asarray(lon_deg, float)))  # index and grid axes
+    schema = "".join(f"`{k}` {vectors.schema[k].dataType.simpleString()}, " for k in keys) + "lat double, field array<double>"
+
+    def run(batches):
+        n, m, cs, factor, lat, lon = shared.value
+        p = special.legendre(nmax, np.radians(lat)).transpose(1, 2, 0).copy()  # order, latitude, degree
+        arg = np.arange(nmax + 1)[:, None] * np.radians(lon)[None, :]
+        trig = np.concatenate([np.cos(arg), np.sin(arg)])
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                c = np.zeros((nmax + 1, nmax + 1, 2))
+                c[m, n, cs] = factor * r["x"]
+                rings = p @ c  # order, latitude, C and S
+                field = np.concatenate([rings[..., 0], rings[..., 1]]).T @ trig
+                yield pd.DataFrame({**{k: [r[k]] * len(lat) for k in keys}, "lat": lat, "field": list(field)})
+
+    return vectors.select(*keys, "x").mapInPandas(run, schema)
+
+
 def synthesis_points(coef: DataFrame, points: DataFrame, keys: list[str], nmax: int, quantity: str = "potential", gm: float = special.GM_EARTH, r: float = special.R_EARTH, min_degree: int = 2) -> DataFrame:
     """Potential, disturbance or anomaly of every set at scattered points (point_id, lat, lon, radius).
 

@@ -7,6 +7,7 @@ tasks that read them.  Gzip is recognised by its first bytes.  Broken records ar
 from __future__ import annotations
 
 import gzip
+import io
 import json
 import struct
 from collections.abc import Callable, Iterator
@@ -37,7 +38,12 @@ def _parsed(spark: SparkSession, path: str, pattern: str | None, parse: Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p, raw in zip(b.column(0), b.column(1)):
-                rows = list(parse(p.as_py(), _content(raw.as_py())))
+                rows = []
+                for r in parse(p.as_py(), _content(raw.as_py())):
+                    if isinstance(r, pa.Table):  # parsed in bulk
+                        yield from r.select(arrow.names).cast(arrow).to_batches(max_chunksize=100_000)
+                    else:
+                        rows.append(r)
                 yield from pa.Table.from_pylist(rows, schema=arrow).to_batches(max_chunksize=100_000)
 
     return files.mapInArrow(run, schema)
@@ -58,8 +64,27 @@ GFC = "path string, kind string, n int, m int, c double, s double, sigma_c doubl
 KINDS = {"gfc": "gfc", "gfct": "gfct", "trnd": "trnd", "dot": "trnd", "acos": "acos", "asin": "asin"}
 
 
-def parse_gfc(path: str, raw: bytes) -> Iterator[dict]:
+def _static_gfc(path: str, body: bytes) -> pa.Table | None:
+    """Records of static coefficients in one pass; None if there is anything else among them."""
+    try:
+        x = pd.read_csv(io.BytesIO(body.replace(b"D", b"E")), sep=r"\s+", header=None)
+    except (ValueError, pd.errors.ParserError):
+        return None
+    if len(x.columns) not in (5, 7) or not (x[0] == "gfc").all() or any(x[k].dtype.kind not in "if" for k in x.columns[1:]) or x[[1, 2, 3, 4]].isna().any(axis=None):
+        return None
+    n = len(x)
+    sigma = {f"sigma_{c}": pa.array(x[k].astype(float), from_pandas=True) if k in x.columns else pa.nulls(n, pa.float64()) for c, k in (("c", 5), ("s", 6))}
+    empty = {c: pa.nulls(n, pa.float64()) for c in ("t0", "t1", "period")}
+    return pa.table({"path": pa.array([path]).take(pa.array(np.zeros(n, np.int32))), "kind": pa.array(["gfc"]).take(pa.array(np.zeros(n, np.int32))), "n": x[1].astype(int), "m": x[2].astype(int), "c": x[3].astype(float), "s": x[4].astype(float), **sigma, **empty, "text": pa.nulls(n, pa.string())})
+
+
+def parse_gfc(path: str, raw: bytes) -> Iterator[dict | pa.Table]:
     """Header lines as kind 'header' (key and value in text), then the records."""
+    at = raw.find(b"end_of_head")
+    start = raw.find(b"\n", at) + 1 if at >= 0 else 0
+    if (start or at < 0) and raw[start : start + 4].strip() == b"gfc" and (table := _static_gfc(path, raw[start:])) is not None:
+        yield table
+        raw = raw[:start]
     lines = raw.decode("utf-8", "replace").splitlines()
     end = next((i for i, x in enumerate(lines) if x.strip().startswith("end_of_head")), -1)
     for x in lines[:end] if end >= 0 else []:

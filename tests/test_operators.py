@@ -159,3 +159,17 @@ def test_separated_modes_finds_the_planted_signals():
     assert M.separated_modes(lam, 40, 200) == 2
     assert M.separated_modes(np.linalg.svd(noise, compute_uv=False) ** 2 / 200, 40, 200) == 0
     assert 0.7 < M.noise_median(0.2) < 1.0
+
+
+def test_rings_equal_the_relational_synthesis(spark, sf_dir):
+    from orbloom.operators import coefficients as CO
+    from orbloom.plans.base import NMAX, coef
+
+    lat, lon = [-50.0, 0.0, 33.0], [0.0, 45.0, 200.0, 310.0]
+    factors = np.arange(NMAX + 1) + 1.0
+    x = coef(spark, sf_dir).where("set_id < 5")
+    want = {(r.set_id, r.lat, r.lon): r.value for r in T.synthesis(x, ["set_id"], NMAX, lat, lon, factors).collect()}
+    rows = T.synthesis_rings(CO.pack(x, ["set_id"], NMAX), ["set_id"], NMAX, lat, lon, factors).collect()
+    assert len(rows) == 15
+    for r in rows:
+        assert np.allclose(r.field, [want[r.set_id, r.lat, b] for b in lon])

@@ -100,3 +100,23 @@ def test_classic_netcdf(spark, tmp_path):
     (tmp_path / "m.nc").write_bytes(head + struct.pack(">II", 11, len(vs)) + defs + body)
     x = S.read_netcdf_grid(spark, f"{tmp_path}/m.nc").orderBy("lat", "lon").collect()
     assert [r.value for r in x] == [0.0, 1.0, 2.0, 3.0] and x[0].epoch == pytest.approx(2003.0)
+
+
+def test_static_files_in_bulk_and_line_by_line(spark, tmp_path):
+    head = "modelname x\nradius 6.4E+06\nend_of_head ===\n"
+    rows = [(n, m, 1e-6 * n, -1e-7 * m, 1e-12, 2e-12) for n in range(30) for m in range(n + 1)]
+    body = "".join("gfc %d %d %.12e %.12e %.3e %.3e\n" % r for r in rows)
+    (tmp_path / "bulk.gfc").write_text(head + body.replace("e-06", "D-06"))
+    (tmp_path / "mixed.gfc").write_text(head + body + "trnd 2 0 1.0e-11 0.0 0 0\n")
+    (tmp_path / "bare.gfc").write_text(head + "gfc 2 0 1.0 0.0\ngfc 2 1 2.0 3.0\n")
+    (tmp_path / "nan.gfc").write_text(head + "gfc 2 0 1.0 0.0 NaN NaN\ngfc 2 1 2.0 3.0 0.1 0.2\n")
+    x = S.read_gfc(spark, str(tmp_path)).toPandas()
+    x["file"] = x.path.str.split("/").str[-1]
+    cols = ["n", "m", "c", "s", "sigma_c", "sigma_s"]
+    bulk, mixed = (x[(x.file == f) & (x.kind == "gfc")].sort_values(["n", "m"])[cols].to_numpy(float) for f in ("bulk.gfc", "mixed.gfc"))
+    assert np.array_equal(bulk, mixed) and len(bulk) == len(rows) and (x[x.file == "mixed.gfc"].kind == "trnd").sum() == 1
+    assert (x[x.file == "bulk.gfc"].kind == "header").sum() == 2
+    bare = x[(x.file == "bare.gfc") & (x.kind == "gfc")].sort_values("m")
+    assert bare.sigma_c.isna().all() and bare.s.tolist() == [0.0, 3.0]
+    nan = x[(x.file == "nan.gfc") & (x.kind == "gfc")].sort_values("m")
+    assert np.isnan(nan.sigma_c.iloc[0]) and nan.sigma_s.iloc[1] == 0.2
