@@ -29,13 +29,14 @@ def nearest(left: DataFrame, right: DataFrame, tolerance: float, left_time: str
     return left.join(best, "row_key", how)
 
 
-def add_background(coef: DataFrame, background: DataFrame, tolerance: float, allow_missing: bool = False) -> DataFrame:
+def add_background(coef: DataFrame, background: DataFrame, tolerance: float, allow_missing: bool = False, sets: DataFrame | None = None, back: DataFrame | None = None) -> DataFrame:
     """Adds the background set nearest in epoch to every set; without one the set goes, or stays as it is.
 
-    Epochs are matched first, on one row per set, so the wide coefficient rows join once, on equal keys.
+    Epochs are matched first, on one row per set, so the wide coefficient rows join once, on equal keys.  ``sets`` and
+    ``back`` (set_id, epoch) name the sets of both sides where that is known without looking through the coefficients.
     """
-    sets = coef.select(F.col("set_id").alias("row_key"), "epoch").distinct()
-    back = background.select("set_id", "epoch").distinct()
+    sets = (coef.select("set_id", "epoch").distinct() if sets is None else sets.select("set_id", "epoch")).withColumnRenamed("set_id", "row_key")
+    back = background.select("set_id", "epoch").distinct() if back is None else back.select("set_id", "epoch")
     match = nearest(sets, back, tolerance).select(F.col("row_key").alias("set_id"), F.col("r_set_id").alias("b_id"))
     x = coef.join(match, "set_id", "left" if allow_missing else "inner")
     b = background.select(F.col("set_id").alias("b_id"), "n", "m", "cs", F.col("v").alias("bv"))

@@ -27,24 +27,34 @@ def design(t: Column, t0: float, periods: tuple[float, ...] = (), breaks: tuple[
     return out | {f"hinge_{k}": F.greatest(t - b, F.lit(0.0)) for k, b in enumerate(breaks, 1)}
 
 
-def fit(series: DataFrame, keys: list[str], t0: float, periods: tuple[float, ...] = (), breaks: tuple[float, ...] = (), weight: str | None = None) -> DataFrame:
-    """term, coef and sigma by key, with residual variance and the number of epochs; sigma is null without freedom."""
+def _products(series: DataFrame, keys: list[str], t0: float, periods: tuple[float, ...], breaks: tuple[float, ...], weight: str | None = None) -> DataFrame:
+    """Sums of products of all terms (a0_0, a0_1, ...) and of terms and data (b0, ...) by key, sum of squares yy, n_epochs."""
     d = design(F.col("epoch"), t0, periods, breaks)
-    names = list(d)
     w = F.col(weight) if weight else F.lit(1.0)
     x = series.where(F.col("v").isNotNull()).select(*keys, "v", w.alias("_w"), *[c.alias(f"x{i}") for i, c in enumerate(d.values())])
-    k = len(names)
+    k = len(d)
     sums = [F.sum(F.col("_w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
     sums += [F.sum(F.col("_w") * F.col(f"x{i}") * F.col("v")).alias(f"b{i}") for i in range(k)]
-    g = x.groupBy(*keys).agg(*sums, F.sum(F.col("_w") * F.col("v") ** 2).alias("yy"), F.count("*").alias("n_epochs"))
+    return x.groupBy(*keys).agg(*sums, F.sum(F.col("_w") * F.col("v") ** 2).alias("yy"), F.count("*").alias("n_epochs"))
+
+
+def _normals(r: dict, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Normal matrix and right side of the first k terms from a row of ``_products``."""
+    return np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]), np.array([r[f"b{i}"] for i in range(k)])
+
+
+def fit(series: DataFrame, keys: list[str], t0: float, periods: tuple[float, ...] = (), breaks: tuple[float, ...] = (), weight: str | None = None) -> DataFrame:
+    """term, coef and sigma by key, with residual variance and the number of epochs; sigma is null without freedom."""
+    names = list(design(F.col("epoch"), t0, periods, breaks))
+    k = len(names)
+    g = _products(series, keys, t0, periods, breaks, weight)
     schema = ", ".join([f"`{c}` {g.schema[c].dataType.simpleString()}" for c in keys] + ["term string, coef double, sigma double, res_var double, n_epochs bigint"])
 
     def solve(batches):
         for pdf in batches:
             out = []
             for r in pdf.to_dict("records"):
-                a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-                b = np.array([r[f"b{i}"] for i in range(k)])
+                a, b = _normals(r, k)
                 c = np.linalg.lstsq(a, b, rcond=1e-13)[0]
                 free = r["n_epochs"] - k
                 var = max(r["yy"] - 2 * c @ b + c @ a @ c, 0.0) / free if free > 0 else None
@@ -111,21 +121,29 @@ def ar1_inflation(resid: DataFrame, keys: list[str], n_terms: int) -> DataFrame:
 
 
 def trend_breaks(series: DataFrame, keys: list[str], t0: float, breaks: tuple[float, ...], periods: tuple[float, ...] = ()) -> DataFrame:
-    """F statistic and p value of hinges at the breaks against the model without them."""
-    def sse(model: DataFrame, k: int, name: str) -> DataFrame:
-        return model.where("term = 'bias'").select(*keys, (F.col("res_var") * (F.col("n_epochs") - k)).alias(name), "n_epochs")
+    """F statistic and p value of hinges at the breaks against the model without them.
 
+    One aggregate of products serves both models: that without hinges is the leading part of the normal equations.
+    """
     k0 = 6 + 2 * len(periods)
     k1 = k0 + len(breaks)
-    a = sse(fit(series, keys, t0, periods), k0, "sse0")
-    b = sse(fit(series, keys, t0, periods, breaks), k1, "sse1").drop("n_epochs")
-    f = ((F.col("sse0") - F.col("sse1")) / len(breaks)) / F.nullif(F.col("sse1") / (F.col("n_epochs") - k1), F.lit(0.0))
-
-    @F.pandas_udf("double")
-    def p(x: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([f_test_p(v, len(breaks), m - k1) if v == v else None for v, m in zip(x, n)])
+    sums = _products(series, keys, t0, periods, breaks)
+    schema = "".join(f"`{c}` {sums.schema[c].dataType.simpleString()}, " for c in keys) + "sse0 double, n_epochs bigint, sse1 double, f_stat double, p_value double"
 
-    return a.join(b, keys).withColumn("f_stat", f).withColumn("p_value", p("f_stat", "n_epochs"))
+    def test(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                n, sse = r["n_epochs"], []
+                for k in (k0, k1):
+                    a, b = _normals(r, k)
+                    c = np.linalg.lstsq(a, b, rcond=1e-13)[0]
+                    sse.append(max(r["yy"] - 2 * c @ b + c @ a @ c, 0.0) if n > k else None)
+                f = (sse[0] - sse[1]) / len(breaks) / (sse[1] / (n - k1)) if sse[1] else None
+                out.append((*[r[c] for c in keys], sse[0], n, sse[1], f, f_test_p(f, len(breaks), n - k1) if f is not None else None))
+            yield pd.DataFrame(out, columns=[*keys, "sse0", "n_epochs", "sse1", "f_stat", "p_value"])
+
+    return sums.mapInPandas(test, schema)
 
 
 def remove_alias(series: DataFrame, keys: list[str], t0: float, period: float = 161 / 365.25, phase_deg: float = 100.0, split: float = 2018.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orbloom.functions.index import index_table
 from orbloom.functions.special import R_EARTH
 
 
@@ -35,11 +36,24 @@ def order_spectrum(coef: DataFrame, keys: list[str], r: float = R_EARTH, least:
     return _spectrum(coef, "m", keys, r, least)
 
 
+def difference_spectrum_packed(a: DataFrame, b: DataFrame, keys: list[str], nmax: int, min_degree: int = 0) -> DataFrame:
+    """The difference spectrum of two sets of vectors (keys, x): they join packed, one row per set, and unpack in their partition.
+
+    The sums by degree need no shuffle of their own, as rows of a key are together already.
+    """
+    index = F.broadcast(index_table(a.sparkSession, nmax, min_degree))
+    j = a.select(*keys, "x").join(b.select(*keys, F.col("x").alias("y")), keys)
+    rows = j.select(*keys, F.posexplode(F.arrays_zip("x", "y")).alias("pos", "z")).select(*keys, "pos", F.col("z.x").cast("double").alias("v"), F.col("z.y").cast("double").alias("w"))
+    return _difference(rows.join(index, "pos"), keys)
+
+
 def difference_spectrum(a: DataFrame, b: DataFrame, on: list[str], keys: list[str]) -> DataFrame:
     """By degree: amplitudes of both sets and of their difference, and the degree correlation."""
-    b = b.select(*on, F.col("v").alias("w"))
-    j = a.join(b, on)
-    return j.groupBy(*keys, "n").agg(
+    return _difference(a.join(b.select(*on, F.col("v").alias("w")), on), keys)
+
+
+def _difference(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    return pairs.groupBy(*keys, "n").agg(
         F.sqrt(F.sum(F.col("v") ** 2)).alias("amp1"),
         F.sqrt(F.sum(F.col("w") ** 2)).alias("amp2"),
         F.sqrt(F.sum((F.col("v") - F.col("w")) ** 2)).alias("diff"),

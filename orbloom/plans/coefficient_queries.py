@@ -177,8 +177,9 @@ FROM coef a JOIN coef b ON b.set_id = a.set_id + 1 AND a.n = b.n AND a.m = b.m A
 
 @query(f"{_DIFF} SELECT set_id, n, {r('amp1')} AS amp1, {r('amp2')} AS amp2, {r('diff')} AS diff, {r('corr')} AS corr FROM d")
 def diff_spectrum(spark, sf):
-    a, b = _pairs(spark, sf)
-    return rounded(S.difference_spectrum(a, b, ["set_id", *C.KEY], ["set_id"]))
+    x = table(spark, sf, "embeddings").select(F.col("vec_id").alias("set_id"), F.col("embedding").alias("x"))
+    odd = x.where("set_id % 2 = 1").select((F.col("set_id") - 1).alias("set_id"), "x")
+    return rounded(S.difference_spectrum_packed(x.where("set_id % 2 = 0"), odd, ["set_id"], NMAX))
 
 
 @query(f"{_DIFF} SELECT set_id, CAST(min(CASE WHEN n >= 2 AND diff > amp1 THEN n END) AS INTEGER) AS first_degree FROM d GROUP BY set_id")

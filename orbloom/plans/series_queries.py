@@ -115,14 +115,20 @@ c AS (SELECT e.set_id, b.set_id AS b_id, row_number() OVER (PARTITION BY e.set_i
 m AS (SELECT set_id, b_id FROM c WHERE k = 1)"""
 
 
+def _sets(spark, sf):
+    """The sets of both sides, from the packed table."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("set_id"), (2002 + F.col("vec_id") / 12.0).alias("epoch"))
+    return {"sets": e, "back": e.where("set_id % 3 = 0").withColumn("epoch", F.col("epoch") + 0.01)}
+
+
 @query(f"{_NEAR} SELECT x.set_id, x.n, x.m, x.cs, {r('x.v + y.v')} AS v FROM coef x JOIN m USING (set_id) JOIN coef y ON y.set_id = b_id AND x.n = y.n AND x.m = y.m AND x.cs = y.cs")
 def nearest_epoch_restore(spark, sf):
-    return rounded(N.add_background(coef(spark, sf), _background(spark, sf), 0.08).select("set_id", "n", "m", "cs", "v"))
+    return rounded(N.add_background(coef(spark, sf), _background(spark, sf), 0.08, **_sets(spark, sf)).select("set_id", "n", "m", "cs", "v"))
 
 
 @query(f"{_NEAR.replace('0.08', '0.05')} SELECT x.set_id, x.n, x.m, x.cs, {r('x.v + coalesce(y.v, 0)')} AS v FROM coef x LEFT JOIN m USING (set_id) LEFT JOIN coef y ON y.set_id = b_id AND x.n = y.n AND x.m = y.m AND x.cs = y.cs")
 def nearest_allow_missing(spark, sf):
-    return rounded(N.add_background(coef(spark, sf), _background(spark, sf), 0.05, True).select("set_id", "n", "m", "cs", "v"))
+    return rounded(N.add_background(coef(spark, sf), _background(spark, sf), 0.05, True, **_sets(spark, sf)).select("set_id", "n", "m", "cs", "v"))
 
 
 def _records(spark, sf):
