@@ -136,4 +136,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_preference_formatting": OP4_SQL}
+    from orbloom.llm import oracles
+
+    return {"op4_preference_formatting": OP4_SQL, "op11_warc_reader": oracles.OP11_SQL, "op12_vector_codes": oracles.OP12_SQL, "op13_merkle_manifest": oracles.OP13_SQL}
