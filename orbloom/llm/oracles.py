@@ -1,4 +1,4 @@
-"""SQL that states the results of operators 11 to 13 over whole tables."""
+"""SQL that states the results of operators 2, 3, 9 and 11 to 13 over whole tables."""
 
 OP11_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -70,3 +70,43 @@ f AS (SELECT t, i, 0 AS k, coalesce(bent, leaf) AS h FROM g UNION ALL SELECT f.t
 z AS (SELECT t, i, arg_max(h, k) AS folded_root FROM f GROUP BY t, i), pr AS (SELECT t, i, sha256(string_agg(l || r, '' ORDER BY k)) AS proof FROM path GROUP BY t, i)
 SELECT doc_id, leaf, sr.h AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified FROM g JOIN sr USING (t) JOIN z USING (t, i) LEFT JOIN pr USING (t, i), root
 """
+
+# Words are those of the operator: separated by space and the five control characters that are white space.
+OP2_SQL = """
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, i, array_to_string(ws[i : i + 34], ' ') AS k FROM w, range(1, len(ws) - 33) r(i)),
+h AS MATERIALIZED (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY md5(k)) AS n FROM p) WHERE n > 1),
+c AS MATERIALIZED (SELECT DISTINCT doc_id, i + j AS i FROM h, range(0, 35) r(j)),
+n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1),
+k AS (SELECT w.doc_id, string_agg(ws[i], ' ' ORDER BY i) AS kept FROM w JOIN n USING (doc_id), range(1, len(ws) + 1) r(i) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = w.doc_id AND c.i = r.i) GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN n.n IS NULL THEN array_to_string(ws, ' ') ELSE coalesce(kept, '') END) AS kept_sha256 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+OP3_SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT doc_id, i, md5(b[i : i + 199]) AS k FROM d, range(1, CAST(n AS BIGINT) - 198) r(i)),
+h AS MATERIALIZED (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c FROM p) WHERE c > 1),
+s AS (SELECT doc_id, i, i - lag(i) OVER w AS gap FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, sum(CASE WHEN gap <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+cut AS MATERIALIZED (SELECT doc_id, run, min(i) AS lo, max(i) + 199 AS hi FROM g GROUP BY 1, 2),
+t AS (SELECT doc_id, count(*) AS spans, sum(hi - lo + 1) AS removed, max(hi) AS last FROM cut GROUP BY 1),
+between_cuts AS (SELECT doc_id, run, hex(b[coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY run), 0) + 1 : lo - 1]) AS x FROM cut JOIN d USING (doc_id)),
+k AS (SELECT doc_id, string_agg(x, '' ORDER BY run) AS x FROM between_cuts GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN spans IS NULL THEN b ELSE unhex(x || hex(b[last + 1 : n])) END) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+OP9_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [hash(ws)] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: hash(ws[i : i + 2]))) END AS t FROM w),
+o AS MATERIALIZED (SELECT doc_id, list_sort(t) AS t FROM s),
+c AS MATERIALIZED (SELECT min(doc_id) AS node, t, len(t) AS m FROM o WHERE len(t) > 0 GROUP BY t),
+e AS MATERIALIZED (SELECT node, m, unnest(t) AS x FROM c),
+l AS MATERIALIZED (SELECT a.node AS a, b.node AS b FROM e a JOIN e b ON a.x = b.x AND a.node < b.node AND 100 * b.m >= 90 * a.m AND 100 * a.m >= 90 * b.m
+  GROUP BY a.node, b.node HAVING 100 * count(*) >= 90 * (any_value(a.m) + any_value(b.m) - count(*))),
+j AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT node AS a, node AS b FROM c UNION SELECT r.a, j.b FROM r JOIN j ON j.a = r.b),
+m AS (SELECT a AS node, min(b) AS root FROM r GROUP BY 1)
+SELECT o.doc_id, CAST(len(o.t) AS BIGINT) AS n_shingles, coalesce(m.root, o.doc_id) AS component_id FROM o LEFT JOIN c ON c.t = o.t LEFT JOIN m ON m.node = c.node
+"""

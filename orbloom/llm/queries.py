@@ -138,4 +138,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from orbloom.llm import oracles
 
-    return {"op4_preference_formatting": OP4_SQL, "op11_warc_reader": oracles.OP11_SQL, "op12_vector_codes": oracles.OP12_SQL, "op13_merkle_manifest": oracles.OP13_SQL}
+    words = {"op2_substring_dedup": oracles.OP2_SQL, "op3_suffix_array_dedup": oracles.OP3_SQL, "op9_ngram_jaccard_join": oracles.OP9_SQL}
+    return words | {"op4_preference_formatting": OP4_SQL, "op11_warc_reader": oracles.OP11_SQL, "op12_vector_codes": oracles.OP12_SQL, "op13_merkle_manifest": oracles.OP13_SQL}
