@@ -304,22 +304,36 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: each node's neighbours turn to its smallest neighbour.
     """
     e = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:
+    while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = saved(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before == now:
-            break
-        before = now
+        new = saved(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        dropped(e)
+        e = new
     roots = e.select("v").distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every node has one edge to a root, which has none itself; then each edge leads to its component's smallest node."""
+    if not e.groupBy("u").count().where("count > 1").isEmpty():
+        return False
+    return e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi").isEmpty()
+
+
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, root) after more links (a, b), which may hold nodes of their own: only roots are linked."""
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    base = saved(comp.union(ends.join(comp, "node", "left_anti").select("node", F.col("node").alias("root"))), "components")
+    one, two = (base.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in ("a", "b"))
+    roots = components(links.join(one, "a").join(two, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    roots = roots.select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return base.join(roots, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+
+
 def _rooted(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows of ``_sizes`` with their nodes, and node, its least doc_id and the root of its component."""
     bounded_batches(docs.sparkSession)
@@ -363,7 +377,7 @@ def _rooted(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     )
     later = _verified(saved(more, "cross-pairs"), nodes, docs, n, percent)
     if not later.isEmpty():
-        comp = saved(components(links.union(later)), "components")
+        comp = saved(merged(comp, later), "components")
 
     named = saved(nodes.select("node", "d1", "d2", "least").join(comp, "node", "left").select("node", "d1", "d2", "least", F.coalesce("root", "node").alias("root")), "rooted-nodes")
     dropped(lists, mixed, nodes)

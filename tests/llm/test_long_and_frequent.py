@@ -161,3 +161,29 @@ def test_awkward_rows_of_other_operators(spark):
     labelled = [(k, f"{w} " * 30, w[:2], "s") for k, w in enumerate(["das ist ein haus", "this is a house", "ceci est une maison"] * 20)]
     d = spark.createDataFrame([*labelled, (900, "das ist ein haus " * 60_000, None, "s")], "doc_id long, text string, lang string, score string")
     assert {r.doc_id: r.lang_pred for r in language_id.identify(d).collect()}[900] == "da"
+
+
+def test_components_and_later_links(spark):
+    rng = random.Random(2)
+    first = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(100 + k, 101 + k) for k in range(40)] + [(7, 7)]
+    later = [(3, 110), (59, 200), (200, 201), (300, 301)]
+
+    def want(edges):
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            if a != b:
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+        return {x: find(x) for x in root}
+
+    frame = lambda e: spark.createDataFrame(e, "a long, b long")
+    comp = jaccard_join.components(frame(first))
+    assert {r.node: r.root for r in comp.collect()} == want(first)
+    assert {r.node: r.root for r in jaccard_join.merged(comp, frame(later)).collect()} == want(first + later)
+    assert jaccard_join.components(frame(first).where("false")).count() == 0
