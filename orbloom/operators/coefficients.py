@@ -112,3 +112,16 @@ def assert_clean(coef: DataFrame, operation: str) -> None:
 
 def with_note(sets: DataFrame, note: str) -> DataFrame:
     return sets.withColumn("history", F.concat(F.coalesce("history", F.array().cast("array<string>")), F.array(F.lit(note))))
+
+
+def assert_same_epochs(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float, what: str = "combination") -> None:
+    """Raises if sets of equal keys are further apart in time than the tolerance; a set without an epoch fits any."""
+    x = a.select(*keys, F.col("epoch").alias("e1")).distinct().join(b.select(*keys, F.col("epoch").alias("e2")).distinct(), keys)
+    apart = x.where(F.abs(F.col("e1") - F.col("e2")) > tolerance).first()
+    if apart:
+        raise ValueError(f"{what}: epochs {apart['e1']:.4f} and {apart['e2']:.4f} differ by more than {tolerance:.3f} years")
+
+
+def by_epoch(df: DataFrame) -> DataFrame:
+    """Rows in the order of their epochs, those without one last."""
+    return df.orderBy(F.col("epoch").asc_nulls_last())

@@ -30,9 +30,9 @@ def fan(coef: DataFrame, degree_km: float, order_km: float, nmax: int) -> DataFr
 def block_filter(coef: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
     """v'(n) = sum over n2 of w(n, n2) v(n2) in each (m, cs) block; rows outside all blocks stay as they are.
 
-    A join with the block table (broadcast: its size is set by nmax) and one grouped sum; C and S are both filtered.
+    A join with the block table (its size is set by nmax) and one grouped sum; C and S are both filtered.
     """
-    b = F.broadcast(blocks.select("m", "cs", "n_row", F.col("n_col").alias("n"), "w"))
+    b = blocks.select("m", "cs", "n_row", F.col("n_col").alias("n"), "w")
     new = coef.join(b, ["m", "cs", "n"]).groupBy(*keys, "m", "cs", F.col("n_row").alias("n")).agg(F.sum(F.col("w") * F.col("v")).alias("_v"))
     on = [*keys, "n", "m", "cs"]
     return coef.join(new, on, "left").withColumn("v", F.coalesce("_v", "v")).withColumn("s", F.when(F.col("_v").isNull(), F.col("s"))).drop("_v")
@@ -69,10 +69,31 @@ def regularised(vectors: DataFrame, normal: np.ndarray, signal_inverse: np.ndarr
     return vectors.withColumn("x", apply("x"))
 
 
+# The published files of the decorrelation filters, from strong (1) to weak (8).
+DDK_FILES = ["Wbd_2-120.a_1d14p_4", "Wbd_2-120.a_1d13p_4", "Wbd_2-120.a_1d12p_4", "Wbd_2-120.a_5d11p_4", "Wbd_2-120.a_1d11p_4", "Wbd_2-120.a_5d10p_4", "Wbd_2-120.a_1d10p_4", "Wbd_2-120.a_5d9p_4"]
+
+
 def parse_filter(name: str, nmax: int) -> np.ndarray:
     """Degree weights of 'none' or 'gauss<km>'."""
     if name == "none":
         return np.ones(nmax + 1)
-    if name.startswith("gauss"):
-        return gaussian_weights(nmax, float(name[5:]))
-    raise ValueError(f"unknown filter: {name}")
+    try:
+        radius = float(name.removeprefix("gauss"))
+    except ValueError:
+        radius = 0.0
+    if not name.startswith("gauss") or not radius > 0:
+        raise ValueError(f"unknown filter: {name}; it is 'none', 'gauss<km>' or 'DDK1' to 'DDK8'")
+    return gaussian_weights(nmax, radius)
+
+
+def filtered(coef: DataFrame, name: str, nmax: int, keys: list[str], folder: str | None = None) -> DataFrame:
+    """The sets behind the filter of that name; DDK filters are read from the folder with the published files."""
+    if not name.startswith("DDK"):
+        return weight(coef, weight_table(coef.sparkSession, parse_filter(name, nmax)), ["n"])
+    from orbloom.sources.block_matrix import read_block_matrix
+
+    if name[3:] not in "12345678" or len(name) != 4:
+        raise ValueError(f"unknown filter: {name}; DDK filters are numbered from 1 to 8")
+    if folder is None:
+        raise ValueError(f"{name} needs the folder that holds {DDK_FILES[int(name[3]) - 1]}")
+    return block_filter(coef, read_block_matrix(coef.sparkSession, f"{folder}/{DDK_FILES[int(name[3]) - 1]}", nmax), keys)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import re
 import struct
 from collections.abc import Callable, Iterator
 
@@ -218,6 +219,26 @@ def read_love_numbers(spark: SparkSession, path: str, columns: tuple[str, ...] =
     return x.where("n IS NOT NULL").dropDuplicates(["n"])
 
 
+def parse_load_column(path: str, raw: bytes, least: int = 100) -> Iterator[dict]:
+    """One column of numbers by degree: a matrix of N x 1 behind a two-line head, or bare, if it is long and all numbers."""
+    lines = [x for x in raw.decode("utf-8", "replace").strip().splitlines() if x.strip()]
+    if len(lines) >= 3 and "groops matrix" in lines[0]:
+        size = re.search(r"Matrix\(\s*(\d+)\s*x\s*(\d+)\s*\)", lines[1])
+        if not size or int(size[2]) != 1:
+            raise ValueError(f"{path}: a matrix of one column is expected, not {lines[1].strip()!r}")
+        lines, least = lines[2 : 2 + int(size[1])], int(size[1])
+    values = [number(x.strip()) for x in lines]
+    if len(values) < least or any(v is None or v in (float("inf"), float("-inf")) for v in values):
+        raise ValueError(f"{path}: neither a matrix file nor a column of at least {least} numbers")
+    for n, v in enumerate(values):
+        yield {"path": path, "n": n, "value": v}
+
+
+def read_load_column(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(path, n, value) of matrix files with one load number for each degree."""
+    return _parsed(spark, path, pattern, parse_load_column, "path string, n int, value double")
+
+
 def love_frame_shift(numbers: DataFrame, offset: float) -> DataFrame:
     """Changes the frame of degree 1 by an offset of k (and of h and l, where present)."""
     cols = [c for c in ("k", "h", "l") if c in numbers.columns]

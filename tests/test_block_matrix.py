@@ -106,3 +106,22 @@ def test_blocks_filter_coefficients(spark, tmp_path):
         new = w @ np.array([old[n, m, cs] for n in range(first, 5)])
         assert all(abs(got[first + i, m, cs] - v) < 1e-12 for i, v in enumerate(new))
     assert got[1, 0, 0] == old[1, 0, 0]
+
+
+def test_filters_by_name(spark, tmp_path):
+    blocks = written(tmp_path / filters.DDK_FILES[2], 4)
+    rng = np.random.default_rng(0)
+    coef = [(0, n, m, cs, float(rng.normal()), 0.1) for n in range(5) for m in range(n + 1) for cs in ((0, 1) if m else (0,))]
+    df = spark.createDataFrame(coef, "set_id long, n int, m int, cs int, v double, s double")
+    old = {(n, m, cs): v for _, n, m, cs, v, _ in coef}
+    got = {(r.n, r.m, r.cs): r.v for r in filters.filtered(df, "DDK3", 4, ["set_id"], str(tmp_path)).collect()}
+    m, cs, first, w = blocks[0]
+    assert np.allclose([got[n, 0, 0] for n in range(first, 5)], w @ [old[n, 0, 0] for n in range(first, 5)])
+    assert {(r.n, r.m, r.cs): r.v for r in filters.filtered(df, "none", 4, ["set_id"]).collect()} == old
+    g = filters.gaussian_weights(4, 300.0)
+    assert all(abs(r.v - old[r.n, r.m, r.cs] * g[r.n]) < 1e-15 for r in filters.filtered(df, "gauss300", 4, ["set_id"]).collect())
+    for bad in ("DDK9", "DDK12", "gauss", "gauss-3", "box"):
+        with pytest.raises(ValueError, match="unknown"):
+            filters.filtered(df, bad, 4, ["set_id"], str(tmp_path))
+    with pytest.raises(ValueError, match="folder"):
+        filters.filtered(df, "DDK1", 4, ["set_id"])

@@ -120,3 +120,23 @@ def test_static_files_in_bulk_and_line_by_line(spark, tmp_path):
     assert bare.sigma_c.isna().all() and bare.s.tolist() == [0.0, 3.0]
     nan = x[(x.file == "nan.gfc") & (x.kind == "gfc")].sort_values("m")
     assert np.isnan(nan.sigma_c.iloc[0]) and nan.sigma_s.iloc[1] == 0.2
+
+
+def test_load_columns(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("groops matrix version=1\nMatrix( 3 x 1 )\n 0.0\n -0.021\n-3.0D-01\n")
+    assert [(r.n, r.value) for r in S.read_load_column(spark, f"{tmp_path}/a.txt").orderBy("n").collect()] == [(0, 0.0), (1, -0.021), (2, -0.3)]
+    assert [r["value"] for r in S.parse_load_column("b", "\n".join(str(k / 10) for k in range(120)).encode())] == [k / 10 for k in range(120)]
+    for bad in (b"groops matrix version=1\nMatrix( 3 x 2 )\n1 2\n3 4\n5 6\n", b"1\n2\n3\n", b"groops matrix version=1\nMatrix( 4 x 1 )\n1\n2\n3\n", b"\n".join([b"1"] * 150 + [b"x"])):
+        with pytest.raises(ValueError):
+            list(S.parse_load_column("x", bad))
+
+
+def test_epochs_of_two_sides(spark):
+    from orbloom.operators import coefficients as C
+
+    a = spark.createDataFrame([(1, 2005.0), (2, 2006.0), (3, None)], "set_id long, epoch double")
+    C.assert_same_epochs(a, a.withColumn("epoch", F.col("epoch") + 0.01), ["set_id"], 0.02)
+    C.assert_same_epochs(a, a.where("set_id = 3").withColumn("epoch", F.lit(1999.0)), ["set_id"], 0.02)
+    with pytest.raises(ValueError, match="minus: epochs 2005.0000 and 2005.1000"):
+        C.assert_same_epochs(a, a.withColumn("epoch", F.col("epoch") + 0.1).where("set_id = 1"), ["set_id"], 0.02, "minus")
+    assert [r.set_id for r in C.by_epoch(a.union(spark.createDataFrame([(4, 2001.0)], a.schema))).collect()] == [4, 1, 2, 3]
