@@ -19,16 +19,19 @@ from orbloom.operators.stored import numbered, stored
 from orbloom.plans.base import COEF, NMAX, coef, query, r, rounded, table
 from orbloom.plans.coefficient_queries import KN
 
-NOISE = 0.02 + 0.5 * F.abs("v")
 T0 = 2010.0
 
 
+def _noise():
+    return 0.02 + 0.5 * F.abs("v")
+
+
 def _series(spark, sf):
     """Every coefficient as a series of its own: (n, m, cs, t, epoch, x); sets of label 0 count as not observed."""
     x = coef(spark, sf)
     steps = numbered(x.select("epoch"))
     x = x.join(steps, "epoch").withColumn("seen", F.col("label") != 0)
-    return x.select("n", "m", "cs", "t", "epoch", F.array("v").alias("x"), F.when(F.col("seen"), F.array("v")).alias("l"), F.when(F.col("seen"), F.array(NOISE**2)).alias("r"))
+    return x.select("n", "m", "cs", "t", "epoch", F.array("v").alias("x"), F.when(F.col("seen"), F.array("v")).alias("l"), F.when(F.col("seen"), F.array(_noise()**2)).alias("r"))
 
 
 _FILTER = f"""WITH RECURSIVE {COEF}, z AS MATERIALIZED (
@@ -73,7 +76,7 @@ def kalman_vector_scalar_limit(spark, sf):
 def kalman_chain(spark, sf):
     """All sets smoothed by order and C/S, second-order process from the sets themselves; label 0 is predicted."""
     x = coef(spark, sf)
-    obs = x.where("label <> 0").withColumn("s", NOISE)
+    obs = x.where("label <> 0").withColumn("s", _noise())
     out, report = K.chain(obs, x, T0, order=2, shrink=0.05, grid=x.select("epoch").distinct(), qc="flag")
     gaps = report.where("block = 0").select("epoch", "gap")
     return rounded(out.join(gaps, "epoch").select("epoch", "n", "m", "cs", "v", "s", "gap"))
@@ -83,7 +86,7 @@ def kalman_chain(spark, sf):
 def kalman_chain_report(spark, sf):
     """Innovation test and mean share of the data for every block and epoch, with the failing epochs kept out."""
     x = coef(spark, sf)
-    obs = x.where("label <> 0").withColumn("s", NOISE)
+    obs = x.where("label <> 0").withColumn("s", _noise())
     return rounded(K.chain(obs, x, T0, shrink=0.05, grid=x.select("epoch").distinct(), qc="reject", alpha=0.05, smoother=False)[1])
 
 
