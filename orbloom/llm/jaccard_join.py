@@ -242,7 +242,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
 
     near = saved(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "ba", "sb", "bb").mapInArrow(close, "a bigint, b bigint"), "near-pairs")
     members = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    whole = _whole_sets(docs, saved(nodes.select("node", "d1", "d2").join(members, "node"), "members"), n)
+    members = saved(nodes.select("node", "d1", "d2").join(members, "node"), "members")
+    whole = _whole_sets(docs, members, n)
     sa = whole.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     sb = whole.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
 
@@ -257,7 +258,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
             yield x.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return saved(near.join(sa, "a").join(sb, "b").select("a", "b", "ta", "tb").mapInArrow(link, "a bigint, b bigint"), "links")
+    links = saved(near.join(sa, "a").join(sb, "b").select("a", "b", "ta", "tb").mapInArrow(link, "a bigint, b bigint"), "links")
+    dropped(near, members, whole)
+    return links
 
 
 def _whole_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
@@ -344,14 +347,25 @@ def _rooted(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     hubs = saved(hubs, "hubs")  # so that the join shuffles both sides anew and can split a hot key over tasks
     lists = saved(posts.join(hubs, "key"), "posting-lists")
     dropped(posts, hubs)
-    star = (
+    shared = (
         lists.where((F.col("node") != F.col("hub.node")) & _possible(F.col("size"), F.col("place"), F.col("hub.size"), F.col("hub.place"), percent))
-        .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        .distinct()
+        .groupBy("node", F.col("hub.node").alias("hub"))
+        .agg(F.count("*").alias("keys"))
     )
-    star = saved(star, "star-pairs")
-    links = _verified(star, nodes, docs, n, percent)
-    comp = saved(components(links), "components")
+    shared = saved(shared, "star-keys")
+    star = saved(shared.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "star-pairs")
+    # A node meets the hub with which it shares most keys first; other hubs only if they are still in different components.
+    best = shared.groupBy("node").agg(F.max(F.struct("keys", "hub")).alias("x")).select(F.least("node", "x.hub").alias("a"), F.greatest("node", "x.hub").alias("b"))
+    best = saved(best.distinct(), "best-pairs")
+    comp = saved(components(_verified(best, nodes, docs, n, percent)), "components")
+    one, two = (comp.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in ("a", "b"))
+    rest = star.join(best, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
+    rest = saved(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "other-pairs")
+    if not rest.isEmpty():
+        links = _verified(rest, nodes, docs, n, percent)
+        if not links.isEmpty():
+            comp = saved(merged(comp, links), "components")
+    dropped(shared, best, rest)
 
     # Nodes of different components that share a list, other than those that met the hub.
     sig = [f"s{k}" for k in range(FOLD)]
