@@ -82,8 +82,8 @@ def epoch_gaps(epochs: DataFrame, keys: list[str], threshold: float) -> DataFram
 
 
 def clusters(epochs: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
-    """Numbers groups of epochs that follow each other within the tolerance."""
-    o = W.partitionBy(*keys).orderBy("epoch")
+    """Numbers groups of epochs that follow each other within the tolerance; rows without an epoch come last."""
+    o = W.partitionBy(*keys).orderBy(F.col("epoch").asc_nulls_last())
     new = (F.col("epoch") - F.lag("epoch").over(o) > tolerance).cast("int")
     return epochs.withColumn("cluster", F.sum(F.coalesce(new, F.lit(0))).over(o.rowsBetween(W.unboundedPreceding, 0)))
 

@@ -379,7 +379,7 @@ def destripe_moving(spark, sf):
 c AS (SELECT user_id, t, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS cluster FROM g)
 SELECT user_id, CAST(cluster AS BIGINT) AS cluster, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY 1, 2""")
 def epoch_clusters(spark, sf):
-    e = table(spark, sf, "events").select("user_id", F.unix_timestamp("ts").cast("double").alias("epoch"))
+    e = table(spark, sf, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("epoch"))
     return O.clusters(e, ["user_id"], 43200.0).groupBy("user_id", "cluster").agg(F.count("*").alias("n"))
 
 

@@ -44,3 +44,12 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_clusters_keep_fractions_of_a_second(spark, tmp_path):
+    """Gaps of 12 hours and a part of a second, and an event without a time."""
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE events AS SELECT * FROM (VALUES (1, TIMESTAMP '2020-01-01 00:00:00.1'), (1, TIMESTAMP '2020-01-01 12:00:00.2'), (1, TIMESTAMP '2020-01-02 00:00:00.2'),
+        (2, TIMESTAMP '2020-01-01 00:00:00.9'), (2, TIMESTAMP '2020-01-01 12:00:01.0'), (2, TIMESTAMP '2020-01-03'), (2, NULL)) t(user_id, ts)""")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    assert canonical(QUERIES["epoch_clusters"](spark, str(tmp_path)).toPandas()) == canonical(con.execute(ORACLE["epoch_clusters"]).df())
