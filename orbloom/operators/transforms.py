@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbloom.functions import special
 from orbloom.functions.index import index_arrays, literal_table
+from orbloom.operators import batches
 
 
 def legendre_rows(nmax: int, lat_deg) -> list[tuple]:
@@ -25,13 +27,39 @@ def longitude_rows(nmax: int, lon_deg) -> list[tuple]:
 
 
 def synthesis(coef: DataFrame, keys: list[str], nmax: int, lat_deg, lon_deg, factors=None) -> DataFrame:
-    """Field values by (keys, lat, lon): sums over degree by latitude and order, then over order by longitude."""
-    spark = coef.sparkSession
-    p = F.broadcast(literal_table(spark, ["lat", "n", "m", "p"], legendre_rows(nmax, lat_deg)))
-    t = F.broadcast(literal_table(spark, ["lon", "m", "cs", "f"], longitude_rows(nmax, lon_deg)))
-    k = F.broadcast(literal_table(spark, ["n", "k"], [(n, float(x)) for n, x in enumerate(np.ones(nmax + 1) if factors is None else factors)]))
-    rings = coef.join(k, "n").join(p, ["n", "m"]).groupBy(*keys, "lat", "m", "cs").agg(F.sum(F.col("k") * F.col("v") * F.col("p")).alias("a"))
-    return rings.join(t, ["m", "cs"]).groupBy(*keys, "lat", "lon").agg(F.sum(F.col("a") * F.col("f")).alias("value"))
+    """Field values by (keys, lat, lon): sums over degree by latitude and order, then over order by longitude.
+
+    Sets are dealt by their keys and met whole, many in a batch; a null coefficient adds nothing, a set of nulls alone is null.
+    """
+    lat, lon = np.atleast_1d(np.asarray(lat_deg, float)), np.atleast_1d(np.asarray(lon_deg, float))
+    k = np.ones(nmax + 1) if factors is None else np.asarray(factors, float)[: nmax + 1]
+    shared = coef.sparkSession.sparkContext.broadcast((lat, lon, k))  # grid axes and factors
+
+    def run(table, at):
+        lat, lon, k = shared.value
+        if "p" not in made:
+            arg = np.arange(nmax + 1)[:, None] * np.radians(lon)
+            made["p"], made["trig"] = special.legendre(nmax, np.radians(lat)) * k[:, None, None], np.concatenate([np.cos(arg), np.sin(arg)])
+        group = np.repeat(np.arange(len(at)), np.diff([*at, table.num_rows]))
+        n, m, cs = (table.column(c).to_numpy() for c in ("n", "m", "cs"))
+        v = batches.floats(table, "v")
+        good = ~np.isnan(v)
+        c = np.zeros((nmax + 1, 2, len(at), nmax + 1))  # order, C or S, set, degree
+        np.add.at(c, (m[good], cs[good], group[good], n[good]), v[good])
+        null = np.bincount(group[good], minlength=len(at)) == 0
+        step = max(1, (1 << 18) // (len(lat) * len(lon)))
+        for lo in range(0, len(at), step):
+            part = c[:, :, lo : lo + step]
+            rings = np.stack([part[o] @ made["p"][:, o] for o in range(nmax + 1)])  # order, C or S, set, latitude
+            field = np.moveaxis(rings, (1, 0), (2, 3)).reshape(part.shape[2], len(lat), -1) @ made["trig"]
+            size, count = part.shape[2], len(lat) * len(lon)
+            mask = np.repeat(null[lo : lo + step], count)
+            columns = {"lat": np.tile(np.repeat(lat, len(lon)), size), "lon": np.tile(lon, len(lat) * size), "value": pa.array(field.ravel(), mask=mask)}
+            yield batches.repeated(table, keys, np.repeat(at[lo : lo + step], count), columns)
+
+    made: dict[str, np.ndarray] = {}
+    rows = coef.where(F.col("n") <= nmax).select(*keys, "n", "m", "cs", F.col("v").cast("double").alias("v"))
+    return batches.map_groups(rows, keys, [], run, batches.types(coef, keys) + "lat double, lon double, value double")
 
 
 def synthesis_dense(vectors: DataFrame, nmax: int, lat_deg, lon_deg, factors=None, min_degree: int = 0) -> DataFrame:
@@ -148,37 +176,76 @@ def gradient_tensor(vectors: DataFrame, nmax: int, lat_deg, lon_deg, height: flo
     return vectors.mapInPandas(run, schema)
 
 
+def _coefficients(table: pa.Table, keys: list[str], at: np.ndarray, index: tuple, x: np.ndarray, null: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row for each set and coefficient, from the sets' vectors."""
+    size = len(index[0])
+    v = pa.array(np.ascontiguousarray(x).ravel(), mask=None if null is None else np.repeat(null, size))
+    return batches.repeated(table, keys, np.repeat(at, size), {c: np.tile(i.astype("int32"), len(at)) for c, i in zip(("n", "m", "cs"), index)} | {"v": v})
+
+
 def analysis(grid: DataFrame, keys: list[str], nmax: int, weights: bool = True, kaula: float = 0.0) -> DataFrame:
-    """Least-squares coefficients of points (lat, lon, value): one group per field, chunked normal equations."""
-    n, m, cs = index_arrays(nmax, 0)
-    schema = ", ".join([f"`{k}` {grid.schema[k].dataType.simpleString()}" for k in keys] + ["n int, m int, cs int, v double"])
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = np.zeros((len(n), len(n))), np.zeros(len(n))
-        for lo in range(0, len(pdf), 2000):
-            part = pdf.iloc[lo : lo + 2000]
-            y = special.ylm(np.radians(part["lat"].to_numpy()), np.radians(part["lon"].to_numpy()), n, m, cs)
-            w = np.cos(np.radians(part["lat"].to_numpy())) if weights else np.ones(len(part))
-            a += (y * w[:, None]).T @ y
-            b += (y * w[:, None]).T @ part["value"].to_numpy()
-        if kaula:
-            a = a + kaula * np.diag(np.maximum(n, 1.0) ** 4)
-        elif np.linalg.matrix_rank(a) < len(n):
-            raise ValueError(f"the points do not determine {len(n)} coefficients")
-        x = np.linalg.solve(a, b)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(n) for k in keys}, "n": n.astype("int32"), "m": m.astype("int32"), "cs": cs.astype("int32"), "v": x})
-
-    return grid.where(F.col("value").isNotNull()).groupBy(*keys).applyInPandas(kernel, schema)
+    """Least-squares coefficients of points (lat, lon, value), by chunked normal equations; fields at equal points share one factor."""
+    index = n, m, cs = index_arrays(nmax, 0)
+
+    def run(table, at):
+        ends = [*at[1:], table.num_rows]
+        lat, lon, value = (batches.floats(table, c) for c in ("lat", "lon", "value"))
+        places: dict[tuple, list[int]] = {}
+        for g, (lo, hi) in enumerate(zip(at, ends)):
+            places.setdefault((lat[lo:hi].tobytes(), lon[lo:hi].tobytes()), []).append(g)
+        x = np.zeros((len(at), len(n)))
+        for groups in places.values():
+            first, size = at[groups[0]], ends[groups[0]] - at[groups[0]]
+            rows = at[groups][:, None] + np.arange(size)
+            a, b = np.zeros((len(n), len(n))), np.zeros((len(groups), len(n)))
+            for lo in range(0, size, 2000):
+                hi = min(size, lo + 2000)
+                part = np.radians(lat[first + lo : first + hi])
+                y = special.ylm(part, np.radians(lon[first + lo : first + hi]), n, m, cs)
+                w = y * np.cos(part)[:, None] if weights else y
+                a += w.T @ y
+                b += value[rows[:, lo:hi]] @ w
+            if kaula:
+                a = a + kaula * np.diag(np.maximum(n, 1.0) ** 4)
+            elif np.linalg.matrix_rank(a) < len(n):
+                raise ValueError(f"the points do not determine {len(n)} coefficients")
+            x[groups] = np.linalg.solve(a, b.T).T
+        yield _coefficients(table, keys, at, index, x)
+
+    rows = grid.where(F.col("value").isNotNull()).select(*keys, *[F.col(c).cast("double").alias(c) for c in ("lat", "lon", "value")])
+    return batches.map_groups(rows, keys, ["lat", "lon"], run, batches.types(grid, keys) + "n int, m int, cs int, v double")
 
 
 def analysis_quadrature(grid: DataFrame, keys: list[str], nmax: int, lat_deg, lon_deg, weights) -> DataFrame:
-    """Coefficients of fields on a Gauss-Legendre grid, as relational sums: ring sums by order, then by degree."""
-    spark = grid.sparkSession
-    p = F.broadcast(literal_table(spark, ["lat", "n", "m", "p"], legendre_rows(nmax, lat_deg)))
-    t = F.broadcast(literal_table(spark, ["lon", "m", "cs", "f"], longitude_rows(nmax, lon_deg)))
-    w = F.broadcast(literal_table(spark, ["lat", "w"], [(float(x), float(y)) for x, y in zip(lat_deg, weights)]))
-    rings = grid.join(t, "lon").groupBy(*keys, "lat", "m", "cs").agg(F.sum(F.col("value") * F.col("f")).alias("a"))
-    return rings.join(w, "lat").join(p, ["lat", "m"]).groupBy(*keys, "n", "m", "cs").agg(F.sum(F.col("w") * F.col("a") * F.col("p")).alias("v"))
+    """Coefficients of fields on a Gauss-Legendre grid: ring sums by order, then by degree; many fields in a batch.
+
+    Places off the grid do not count; a null value adds nothing, a field of nulls alone gives nulls.
+    """
+    index = n, m, cs = tuple(np.array(i) for i in zip(*[(n, m, cs) for n in range(nmax + 1) for m in range(n + 1) for cs in ((0, 1) if m else (0,))]))
+    axes = np.asarray(lat_deg, float), np.asarray(lon_deg, float), np.asarray(weights, float)
+    shared = grid.sparkSession.sparkContext.broadcast(axes)
+    made: dict[str, np.ndarray] = {}
+
+    def run(table, at):
+        lat, lon, w = shared.value
+        if "p" not in made:
+            arg = np.radians(lon)[:, None] * np.arange(nmax + 1)
+            made["p"], made["trig"] = special.legendre(nmax, np.radians(lat)) * w, np.concatenate([np.cos(arg), np.sin(arg)], axis=1)
+        group = np.repeat(np.arange(len(at)), np.diff([*at, table.num_rows]))
+        value = batches.floats(table, "value")
+        i, j = (pd.Index(a).get_indexer(batches.floats(table, c)) for a, c in ((lat, "lat"), (lon, "lon")))
+        on = (i >= 0) & (j >= 0)
+        good = on & ~np.isnan(value)
+        field = np.zeros((len(at), len(lat), len(lon)))
+        np.add.at(field, (group[good], i[good], j[good]), value[good])
+        rings = (field @ made["trig"]).reshape(len(at), len(lat), 2, nmax + 1)
+        c = np.stack([np.einsum("sic,ni->scn", rings[..., o], made["p"][:, o], optimize=True) for o in range(nmax + 1)], axis=-1)  # set, C or S, degree, order
+        keep = np.bincount(group[on], minlength=len(at)) > 0
+        null = np.bincount(group[good], minlength=len(at)) == 0
+        yield _coefficients(table, keys, at[keep], index, c[keep][:, cs, n, m], null[keep])
+
+    rows = grid.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("lat", "lon", "value")])
+    return batches.map_groups(rows, keys, [], run, batches.types(grid, keys) + "n int, m int, cs int, v double")
 
 
 def amplitude_phase(cos_field: DataFrame, sin_field: DataFrame, on: list[str]) -> DataFrame:

@@ -128,3 +128,22 @@ def test_an_empty_reference_period_is_refused(spark):
     ocean = spark.createDataFrame([(a, b, 1.0) for a in lat for b in lon], "lat double, lon double, w double")
     with pytest.raises(ValueError, match="period"):
         pipelines.bottom_pressure_chain(coef, coef, 2, lat, lon, ocean, [-0.3] * 3, 1990.0, 1991.0)
+
+
+def test_synthesis_and_analysis_deal_sets_once(spark, sf_dir):
+    """One shuffle, by the set; no sums kept for all sets of a task."""
+    from orbloom.operators import transforms as T
+    from orbloom.plans.base import NMAX, coef
+
+    g = T.synthesis(coef(spark, sf_dir), ["set_id"], NMAX, [-30.0, 30.0], [0.0, 120.0, 240.0])
+    for df in (g, T.analysis(g, ["set_id"], 1), T.analysis_quadrature(g, ["set_id"], 1, [-30.0, 30.0], [0.0, 120.0, 240.0], [0.1, 0.1])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == (1 if df is g else 2)
+
+
+def test_synthesis_of_nulls(spark):
+    from orbloom.operators import transforms as T
+
+    x = spark.createDataFrame([(1, 0, 0, 0, None), (2, 0, 0, 0, 2.0), (2, 1, 0, 0, None), (2, 5, 0, 0, 9.0), (None, 0, 0, 0, 3.0)], "set_id long, n int, m int, cs int, v double")
+    got = {r.set_id: r.value for r in T.synthesis(x, ["set_id"], 1, [10.0], [20.0]).collect()}
+    assert got[1] is None and abs(got[2] - 2) < 1e-12 and abs(got[None] - 3) < 1e-12
