@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbloom.functions import special
 from orbloom.functions.index import index_arrays
+from orbloom.operators import batches
 
 EARTH_KM = 6378.1363
 
@@ -200,11 +202,18 @@ class Sphere:
         return np.degrees(self.lat).tolist(), np.degrees(self.lon).tolist()
 
     def analysis(self, field: np.ndarray) -> np.ndarray:
-        """Coefficients [C or S, n, m]."""
-        return np.einsum("nmi,cmi->cnm", self.p, np.einsum("il,cml->cmi", self.w * field, self.trig))
+        """Coefficients [..., C or S, n, m] of fields [..., lat, lon]."""
+        k = self.nmax + 1
+        rings = (self.w * field) @ self.trig.reshape(2 * k, -1).T
+        rings = rings.reshape(-1, self.n_lat, 2, k).transpose(3, 0, 2, 1).reshape(k, -1, self.n_lat)  # order, field and C or S, latitude
+        out = (rings @ self.p.transpose(1, 2, 0)).reshape(k, -1, 2, k)
+        return out.transpose(1, 2, 3, 0).reshape(*field.shape[:-2], 2, k, k)
 
     def synthesis(self, x: np.ndarray) -> np.ndarray:
-        return np.einsum("cmi,cml->il", np.einsum("cnm,nmi->cmi", x, self.p), self.trig)
+        k = self.nmax + 1
+        c = x.reshape(-1, 2, k, k).transpose(3, 0, 1, 2).reshape(k, -1, k)
+        rings = (c @ self.p.transpose(1, 0, 2)).reshape(k, -1, 2, self.n_lat).transpose(1, 3, 2, 0).reshape(-1, self.n_lat, 2 * k)
+        return (rings @ self.trig.reshape(2 * k, -1)).reshape(*x.shape[:-3], self.n_lat, self.n_lon)
 
 
 def leakage_iterate(observed: np.ndarray, forward, mask: np.ndarray | None = None, gain: float = 1.0, noise: float = 0.0, tau: float = 1.2, most: int = 200, tol: float = 1e-4) -> tuple[np.ndarray, int, str, float]:
@@ -213,71 +222,100 @@ def leakage_iterate(observed: np.ndarray, forward, mask: np.ndarray | None = Non
     With a noise level it ends when the residual is down to it (discrepancy), else when the field hardly changes.
     """
     on = np.ones(observed.shape, bool) if mask is None else mask
-    if not on.any() or not np.isfinite(observed[on]).all():
+    out, rounds, ended, rms = leakage_iterate_many(observed[None], lambda x: forward(x[0])[None], on[None], np.array([noise]), gain, tau, most, tol)
+    return out[0], int(rounds[0]), str(ended[0]), float(rms[0])
+
+
+def leakage_iterate_many(observed: np.ndarray, forward, on: np.ndarray, noise: np.ndarray, gain: float = 1.0, tau: float = 1.2, most: int = 200, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same for many fields [field, ...] at once; a field leaves the rounds when its own iteration has ended."""
+    count, rest = len(observed), tuple(range(1, observed.ndim))
+    if not on.any(axis=rest).all() or not np.isfinite(observed[on]).all():
         raise ValueError("the mask is empty or the field has gaps in it")
-    scale = np.abs(observed).max()
-    if scale == 0:
-        return observed.copy(), 0, "zero", 0.0
-    m, first = np.where(on, observed, 0.0), None
+    scale = np.abs(observed).max(axis=rest)
+    out, rounds, rms = np.where(on, observed, 0.0), np.full(count, most), np.zeros(count)
+    ended = np.full(count, "rounds", dtype=object)
+    zero = scale == 0
+    out[zero], rounds[zero], ended[zero] = observed[zero], 0, "zero"
+    live = np.flatnonzero(~zero)
+    obs, m, inside, first = observed[live], out[live], on[live], None
     for it in range(1, most + 1):
-        r = observed - forward(m)
-        size = np.abs(r).max() / scale
+        if not len(live):
+            break
+        r = obs - forward(m)
+        size = np.abs(r).max(axis=rest) / scale[live]
         first = size if first is None else first
-        new = np.where(on, m + gain * r, 0.0)
-        rms, step = float(np.sqrt((r[on] ** 2).mean())), np.abs(new - m).max() / max(np.abs(new).max(), 1e-300)
-        m = new
-        if noise and rms <= tau * noise:
-            return m, it, "discrepancy", rms
-        if not np.isfinite(size) or it > 2 and size > 10 * first:
+        new = np.where(inside, m + gain * r, 0.0)
+        level = np.sqrt(np.where(inside, r**2, 0.0).sum(axis=rest) / inside.sum(axis=rest))
+        step = np.abs(new - m).max(axis=rest) / np.maximum(np.abs(new).max(axis=rest), 1e-300)
+        m, given = new, noise[live] != 0
+        down = given & (level <= tau * noise[live])
+        if (~down & (~np.isfinite(size) | ((it > 2) & (size > 10 * first)))).any():
             raise ArithmeticError("the iteration diverges; lower the gain")
-        if not noise and step < tol:
-            return m, it, "step", rms
-    return m, most, "rounds", rms
+        still = ~given & (step < tol)
+        ended[live[down]], ended[live[still]] = "discrepancy", "step"
+        done = down | still
+        if done.any() or it == most:
+            out[live], rms[live], rounds[live[done]] = m, level, it
+            obs, m, inside, first, live = obs[~done], m[~done], inside[~done], first[~done], live[~done]
+    return out, rounds, ended, rms
 
 
-def _fields(pdf: pd.DataFrame, sphere: Sphere, columns: list[str]) -> list[np.ndarray]:
-    if len(pdf) != sphere.w.size:
-        raise ValueError(f"a field has {len(pdf)} of {sphere.w.size} places")
-    return [pdf[c].to_numpy(float).reshape(sphere.n_lat, sphere.n_lon) for c in columns]
+def _fields(table: pa.Table, at: np.ndarray, sphere: Sphere, columns: list[str]) -> list[np.ndarray]:
+    sizes = np.diff([*at, table.num_rows])
+    if (sizes != sphere.w.size).any():
+        raise ValueError(f"a field has {sizes[sizes != sphere.w.size][0]} of {sphere.w.size} places")
+    return [batches.floats(table, c).reshape(-1, sphere.n_lat, sphere.n_lon) for c in columns]
 
 
 def leakage_correct(fields: DataFrame, keys: list[str], nmax: int, weights, n_lat: int | None = None, n_lon: int | None = None, **how) -> DataFrame:
     """Fields (keys, lat, lon, value, inside, noise) on the Gauss-Legendre grid, with the smoothing of degree ``weights`` undone inside.
 
-    Any number of regions and epochs go at once: a field is a group, as large as the grid; the transform of a round
-    is separable, so a round needs (nmax x grid) numbers.  Adds corrected, rounds, ended and residual.
+    Any number of regions and epochs go at once: whole fields come in batches, and a round moves all fields of a batch;
+    the transform of a round is separable, so a round needs (nmax x grid) numbers.  Adds corrected, rounds, ended and residual.
     """
     shared = fields.sparkSession.sparkContext.broadcast(np.asarray(weights, float))  # nmax + 1 numbers
     names = [c for c in fields.columns if c not in ("value", "inside", "noise", *keys, "lat", "lon")]
     keep = [*keys, "lat", "lon", "value", "inside", *names]
     schema = ", ".join([f"`{c}` {fields.schema[c].dataType.simpleString()}" for c in keep] + ["corrected double, rounds int, ended string, residual double"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(table, at):
         sphere = Sphere(nmax, n_lat, n_lon)
-        pdf = pdf.sort_values(["lat", "lon"])
-        value, inside = _fields(pdf, sphere, ["value", "inside"])
-        w = shared.value[None, :, None]
-        out, rounds, ended, rms = leakage_iterate(value, lambda x: sphere.synthesis(w * sphere.analysis(x)), inside > 0.5, noise=float(pdf["noise"].iloc[0] or 0.0) if "noise" in pdf else 0.0, **how)
-        return pdf[keep].assign(corrected=out.ravel(), rounds=np.int32(rounds), ended=ended, residual=rms)
+        value, inside = _fields(table, at, sphere, ["value", "inside"])
+        noise = batches.floats(table, "noise")[at] if "noise" in table.column_names else np.zeros(len(at))
+        w = shared.value[:, None]
+        out, rounds, ended, rms = leakage_iterate_many(value, lambda x: sphere.synthesis(w * sphere.analysis(x)), inside > 0.5, noise, **how)
+        size = sphere.w.size
+        out = table.select(keep).append_column("corrected", pa.array(out.ravel())).append_column("rounds", pa.array(np.repeat(rounds, size).astype("int32")))
+        yield from out.append_column("ended", pa.array(np.repeat(ended, size), pa.string())).append_column("residual", pa.array(np.repeat(rms, size))).to_batches()
 
-    return fields.groupBy(*keys).applyInPandas(run, schema)
+    return batches.map_groups(fields, keys, ["lat", "lon"], run, schema)
 
 
-def sea_level(load: np.ndarray, ocean: np.ndarray, sphere: Sphere, kn, hn, rho_water: float = special.RHO_WATER, rho_earth: float = special.RHO_EARTH, most: int = 50, tol: float = 1e-10) -> tuple[np.ndarray, int, float]:
-    """Relative sea level of a load (water height), the rounds it took, and the eustatic level; mass is closed exactly in every round."""
+def sea_level(load: np.ndarray, ocean: np.ndarray, sphere: Sphere, kn, hn, rho_water: float = special.RHO_WATER, rho_earth: float = special.RHO_EARTH, most: int = 50, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Relative sea level of loads (water height) [..., lat, lon], the rounds each took, and the eustatic level; mass is closed exactly in every round."""
     n = np.arange(sphere.nmax + 1)
-    response = (3 * rho_water / rho_earth / (2 * n + 1) * (1 + np.asarray(kn)[n] - np.asarray(hn)[n]))[None, :, None]
-    area, total = (sphere.w * ocean).sum(), (sphere.w * load).sum()
-    if area <= 0:
+    response = (3 * rho_water / rho_earth / (2 * n + 1) * (1 + np.asarray(kn)[n] - np.asarray(hn)[n]))[:, None]
+    shape = load.shape[:-2]
+    load, ocean = load.reshape(-1, *load.shape[-2:]), ocean.reshape(-1, *ocean.shape[-2:])
+
+    def whole(x: np.ndarray) -> np.ndarray:
+        return (sphere.w * x).sum(axis=(1, 2))[:, None, None]
+
+    area, total = whole(ocean), whole(load)
+    if (area <= 0).any():
         raise ValueError("there is no ocean")
-    s = -total / area * ocean
+    level, rounds = -total / area * ocean, np.full(len(load), most)
+    live, s = np.arange(len(load)), level
     for it in range(1, most + 1):
-        raw = sphere.synthesis(response * sphere.analysis(load + s)) * ocean
-        new = raw + (-total - (sphere.w * raw).sum()) / area * ocean
-        change, s = np.abs(new - s).max(), new
-        if change <= tol * max(np.abs(s).max(), 1e-300):
+        raw = sphere.synthesis(response * sphere.analysis(load[live] + s)) * ocean[live]
+        new = raw + (-total[live] - whole(raw)) / area[live] * ocean[live]
+        change, s = np.abs(new - s).max(axis=(1, 2)), new
+        done = change <= tol * np.maximum(np.abs(s).max(axis=(1, 2)), 1e-300)
+        level[live], rounds[live[done]] = s, it
+        live, s = live[~done], s[~done]
+        if not len(live):
             break
-    return s, it, -total / area
+    return level.reshape(*shape, *level.shape[1:]), rounds.reshape(shape), (-total / area).reshape(shape)
 
 
 def sea_level_fingerprints(loads: DataFrame, keys: list[str], nmax: int, kn, hn, n_lat: int | None = None, n_lon: int | None = None) -> DataFrame:
@@ -286,11 +324,12 @@ def sea_level_fingerprints(loads: DataFrame, keys: list[str], nmax: int, kn, hn,
     keep = [*keys, "lat", "lon", "load", "ocean"]
     schema = ", ".join([f"`{c}` {loads.schema[c].dataType.simpleString()}" for c in keep] + ["level double, rounds int, eustatic double"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(table, at):
         sphere = Sphere(nmax, n_lat, n_lon)
-        pdf = pdf.sort_values(["lat", "lon"])
-        load, ocean = _fields(pdf, sphere, ["load", "ocean"])
+        load, ocean = _fields(table, at, sphere, ["load", "ocean"])
         level, rounds, flat = sea_level(load * (1 - ocean), ocean, sphere, *shared.value)
-        return pdf[keep].assign(level=level.ravel(), rounds=np.int32(rounds), eustatic=flat)
+        size = sphere.w.size
+        out = table.append_column("level", pa.array(level.ravel())).append_column("rounds", pa.array(np.repeat(rounds, size).astype("int32")))
+        yield from out.append_column("eustatic", pa.array(np.repeat(flat, size))).to_batches()
 
-    return loads.groupBy(*keys).applyInPandas(run, schema)
+    return batches.map_groups(loads.select(*keep), keys, ["lat", "lon"], run, schema)

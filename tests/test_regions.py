@@ -99,3 +99,29 @@ def test_sea_level_closes_mass(spark):
             assert north < g.eustatic.iloc[0] < south  # water leaves where the ice was
     with pytest.raises(ValueError, match="ocean"):
         B.sea_level(np.ones(s.w.shape), np.zeros(s.w.shape), s, kn, hn)
+
+
+def test_many_fields_at_once_end_as_they_do_alone():
+    s = B.Sphere(5)
+    rng = np.random.default_rng(4)
+    fields, w = rng.standard_normal((7, s.n_lat, s.n_lon)), np.linspace(1, 0.3, 6)[:, None]
+    fields[3] = 0
+    inside = rng.random(fields.shape) < 0.6
+    noise = np.array([0, 0.2, 0, 0, 0.05, 0, 0.5])
+    smooth = lambda x: s.synthesis(w * s.analysis(x))
+    got = B.leakage_iterate_many(fields, smooth, inside, noise, most=40, tol=1e-3)
+    for k in range(len(fields)):
+        out, rounds, ended, rms = B.leakage_iterate(fields[k], smooth, inside[k], noise=noise[k], most=40, tol=1e-3)
+        assert np.allclose(got[0][k], out) and (got[1][k], got[2][k]) == (rounds, ended) and np.isclose(got[3][k], rms)
+    assert len(set(got[1])) > 2
+
+
+def test_groups_stay_whole_across_batches():
+    import pyarrow as pa
+
+    from orbloom.operators import batches
+
+    key = [0] * 3 + [None] * 5 + [1] * 9 + [2]
+    rows = pa.RecordBatch.from_pydict({"k": pa.array(key, pa.int64()), "v": list(range(len(key)))})
+    seen = [t.column("k").to_pylist()[a:b] for t, at in batches.whole((rows.slice(i, 2) for i in range(0, len(key), 2)), ["k"], 4) for a, b in zip(at, [*at[1:], t.num_rows])]
+    assert [(g[0], len(g)) for g in seen] == [(0, 3), (None, 5), (1, 9), (2, 1)]
