@@ -7,7 +7,8 @@ covariance or as normal equations (N, b), or not at all.  Series are cut into ra
    parallelization of Bayesian smoothers", 2021), on as many tasks as there are ranges;
 2. elements before a range, composed, give the state in which it starts; ranges of ranges are composed the same way,
    so no task meets more than ``FAN`` elements, however long a series is;
-3. every range is filtered from its start, and filtered epochs are written out;
+3. every range is filtered from its start, and filtered epochs are written out; a task moves many ranges of one series
+   at once, so each of its steps is one of arrays;
 4. the same three steps run backward for the smoother: a range's smoothing element maps the smoothed state behind it to
    that of its first epoch.
 
@@ -22,12 +23,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbloom.functions.index import literal_table
 from orbloom.functions.special import chi2_quantile
-from orbloom.operators import nearest, regression
+from orbloom.operators import batches, nearest, regression
 from orbloom.operators.stored import numbered, stored
 
 SPAN = 128
@@ -119,7 +121,19 @@ def fit_var(series: DataFrame, keys: list[str], vector: str = "x", order: int =
     return rows.groupBy(*keys).applyInPandas(run, _types(series, keys) + MODEL)
 
 
-# --- one range ------------------------------------------------------------------------------------------------------
+# --- ranges ---------------------------------------------------------------------------------------------------------
+
+
+def _t(a: np.ndarray) -> np.ndarray:
+    return np.swapaxes(a, -1, -2)
+
+
+def _mv(a: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return (a @ v[..., None])[..., 0]
+
+
+def _sym(a: np.ndarray) -> np.ndarray:
+    return (a + _t(a)) / 2
 
 
 class Process:
@@ -147,83 +161,117 @@ class Process:
         square = np.diag(square) if square.size == self.p and self.p > 1 or square.ndim == 1 and square.size == self.p else square.reshape(self.p, self.p)
         return ("l", values, square) if has[0] else ("n", square, values)
 
-    def element(self, obs: tuple | None) -> tuple:
-        """A, b, C, eta, J of one epoch."""
-        n = self.size
-        info, vec = np.zeros((n, n)), np.zeros(n)
-        if obs is not None:
-            kind, a, b = obs
-            if kind == "l":
-                root = np.linalg.inv(b)
-                info[: self.p, : self.p], vec[: self.p] = root, root @ a
-            else:
-                info[: self.p, : self.p], vec[: self.p] = a, b
+    def all_observed(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for all rows: kind (0 gap, 1 values, 2 normal equations), vectors and matrices."""
+        kind, vec, square = np.zeros(table.num_rows, int), np.zeros((table.num_rows, self.p)), np.zeros((table.num_rows, self.p, self.p))
+        columns = {c: table.column(c).combine_chunks() for c in ("l", "r", "normal", "right")}
+        columns = {c: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for c, x in columns.items()}
+        has = {c: x.is_valid().to_numpy(zero_copy_only=False) for c, x in columns.items()}
+        if (has["l"] & has["normal"]).any():
+            raise ValueError("an epoch has both values and normal equations")
+        for code, a, b in ((1, "l", "r"), (2, "right", "normal")):
+            rows = np.flatnonzero(has["l"] if code == 1 else has["normal"])
+            kind[rows] = code
+            v, m = (columns[c].take(pa.array(rows)) for c in (a, b))
+            sizes = [np.nan_to_num(x.value_lengths().to_numpy(zero_copy_only=False), nan=-1).astype(int) for x in (v, m)]
+            good = (sizes[0] == self.p) & ((sizes[1] == self.p**2) | ((code == 1) & (sizes[1] == self.p)))
+            if not good.all():
+                raise ValueError(f"an epoch has {sizes[0][~good][0]} values and a matrix of {sizes[1][~good][0]} numbers for {self.p} coefficients")
+            vec[rows] = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, self.p)
+            for n in np.unique(sizes[1]):
+                at = np.flatnonzero(sizes[1] == n)
+                x = m.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n)
+                square[rows[at]] = x.reshape(-1, self.p, self.p) if n == self.p**2 else x[:, :, None] * np.eye(self.p)
+        return kind, vec, square
+
+    def elements(self, kind: np.ndarray, vec: np.ndarray, square: np.ndarray) -> tuple:
+        """A, b, C, eta, J of epochs."""
+        n, k = self.size, self.p
+        info, v = np.zeros((len(kind), n, n)), np.zeros((len(kind), n))
+        one, two = kind == 1, kind == 2
+        root = np.linalg.inv(square[one])
+        info[one, :k, :k], v[one, :k] = root, _mv(root, vec[one])
+        info[two, :k, :k], v[two, :k] = square[two], vec[two]
         m = np.linalg.inv(np.eye(n) + self.q @ info)
         c = m @ self.q
-        back = self.f.T @ m.T
-        return m @ self.f, c @ vec, (c + c.T) / 2, back @ vec, back @ info @ self.f
+        back = self.f.T @ _t(m)
+        return m @ self.f, _mv(c, v), _sym(c), _mv(back, v), back @ info @ self.f
+
+    def steps(self, x: np.ndarray, p: np.ndarray, kind: np.ndarray, vec: np.ndarray, square: np.ndarray, skip: np.ndarray) -> tuple:
+        """Filtered states and covariances, mean shares of the data, and statistics and freedoms of the innovations (NaN, -1: none)."""
+        x, p, k, eye = x @ self.f.T, _sym(self.f @ p @ self.f.T + self.q), self.p, np.eye(self.size)
+        share, qc, dof = np.full(len(x), np.nan), np.full(len(x), np.nan), np.full(len(x), -1)
+        at = np.flatnonzero(kind == 1)
+        if len(at):
+            d, s = vec[at] - x[at, :k], p[at, :k, :k] + square[at]
+            qc[at], dof[at] = (d * np.linalg.solve(s, d[..., None])[..., 0]).sum(axis=1), k
+            on = ~skip[at]
+            at, d, s = at[on], d[on], s[on]
+            gain = _t(np.linalg.solve(_t(s), _t(p[at][:, :, :k])))
+            keep = np.tile(eye, (len(at), 1, 1))
+            keep[:, :, :k] -= gain
+            x[at] += _mv(gain, d)
+            p[at] = _sym(keep @ p[at] @ _t(keep) + gain @ square[at] @ _t(gain))
+            share[at] = np.einsum("bii->b", gain[:, :k]) / k
+        at = np.flatnonzero(kind == 2)
+        if len(at):
+            n = square[at]
+            u = vec[at] - _mv(n, x[at, :k])
+            w = n @ p[at][:, :k, :k] @ n + n
+            qc[at], dof[at] = (u * _mv(np.linalg.pinv(_sym(w), hermitian=True), u)).sum(axis=1), np.linalg.matrix_rank(n)
+            on = ~skip[at]
+            at, n, u = at[on], n[on], u[on]
+            # Information form without the inverse of the predicted covariance.
+            grow = np.tile(eye, (len(at), 1, 1))
+            grow[:, :, :k] += p[at][:, :, :k] @ n
+            new = _sym(np.linalg.solve(grow, p[at]))
+            x[at] += _mv(new[:, :, :k], u)
+            p[at] = new
+            share[at] = np.einsum("bii->b", new[:, :k, :k] @ n) / k
+        return x, p, share, qc, dof
 
     def step(self, x: np.ndarray, p: np.ndarray, obs: tuple | None, skip: bool) -> tuple:
-        """Filtered state and covariance, mean share of the data, and statistic and freedom of the innovation."""
-        x, p = self.f @ x, self.f @ p @ self.f.T + self.q
-        p = (p + p.T) / 2
-        if obs is None:
-            return x, p, None, None, None
-        k, kind = self.p, obs[0]
-        if kind == "l":
-            d, s = obs[1] - x[:k], p[:k, :k] + obs[2]
-            qc, dof = float(d @ np.linalg.solve(s, d)), k
-            if skip:
-                return x, p, None, qc, dof
-            gain = np.linalg.solve(s.T, p[:, :k].T).T
-            keep = np.eye(self.size)
-            keep[:, :k] -= gain
-            new = keep @ p @ keep.T + gain @ obs[2] @ gain.T
-            return x + gain @ d, (new + new.T) / 2, float(np.diag(gain[:k]).mean()), qc, dof
-        n, u = obs[1], obs[2] - obs[1] @ x[:k]
-        w = n @ p[:k, :k] @ n + n
-        qc, dof = float(u @ np.linalg.pinv((w + w.T) / 2, hermitian=True) @ u), int(np.linalg.matrix_rank(n))
-        if skip:
-            return x, p, None, qc, dof
-        # Information form without the inverse of the predicted covariance.
-        grow = np.eye(self.size)
-        grow[:, :k] += p[:, :k] @ n
-        new = np.linalg.solve(grow, p)
-        new = (new + new.T) / 2
-        return x + new[:, :k] @ u, new, float(np.diag(new[:k, :k] @ n).mean()), qc, dof
+        """The step of one epoch; share, statistic and freedom are None where there is none."""
+        kind = 0 if obs is None else 1 if obs[0] == "l" else 2
+        vec, square = (np.zeros(self.p), np.zeros((self.p, self.p))) if obs is None else obs[1:] if kind == 1 else obs[:0:-1]
+        x, p, share, qc, dof = (a[0] for a in self.steps(x[None], p[None], np.array([kind]), vec[None], square[None], np.array([skip])))
+        return x, p, None if np.isnan(share) else float(share), float(qc) if kind else None, int(dof) if kind else None
 
 
 def joined(one: tuple, two: tuple) -> tuple:
-    """The composite of two filtering elements, the earlier first."""
+    """The composite of two filtering elements (or of as many pairs), the earlier first."""
     a1, b1, c1, e1, j1 = one
     a2, b2, c2, e2, j2 = two
-    m = np.linalg.inv(np.eye(len(b1)) + c1 @ j2)
-    left, right = a2 @ m, a1.T @ m.T
-    c, j = left @ c1 @ a2.T + c2, right @ j2 @ a1 + j1
-    return left @ a1, left @ (b1 + c1 @ e2) + b2, (c + c.T) / 2, right @ (e2 - j2 @ b1) + e1, (j + j.T) / 2
+    m = np.linalg.inv(np.eye(b1.shape[-1]) + c1 @ j2)
+    left, right = a2 @ m, _t(a1) @ _t(m)
+    c, j = left @ c1 @ _t(a2) + c2, right @ j2 @ a1 + j1
+    return left @ a1, _mv(left, b1 + _mv(c1, e2)) + b2, _sym(c), _mv(right, e2 - _mv(j2, b1)) + e1, _sym(j)
 
 
 def started(element: tuple, x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The state behind an element that begins in (x, p)."""
     a, b, c, e, j = element
-    m = a @ np.linalg.inv(np.eye(len(x)) + p @ j)
-    new = m @ p @ a.T + c
-    return m @ (x + p @ e) + b, (new + new.T) / 2
+    m = a @ np.linalg.inv(np.eye(x.shape[-1]) + p @ j)
+    return _mv(m, x + _mv(p, e)) + b, _sym(m @ p @ _t(a) + c)
 
 
-def backward(process: Process, xf: np.ndarray, pf: np.ndarray, last: bool) -> tuple:
+def backward(process: Process, xf: np.ndarray, pf: np.ndarray, last: np.ndarray) -> tuple:
     """E, g, L: the smoothed state of an epoch is E times that of the next one plus g, its covariance E P E' + L."""
-    if last:
-        return np.zeros_like(pf), xf, pf
-    pp = process.f @ pf @ process.f.T + process.q
-    e = np.linalg.lstsq(pp.T, (pf @ process.f.T).T, rcond=None)[0].T if process.order > 1 else np.linalg.solve(pp.T, (pf @ process.f.T).T).T
-    rest = pf - e @ pp @ e.T
-    return e, xf - e @ (process.f @ xf), (rest + rest.T) / 2
+    pp, cross = process.f @ pf @ process.f.T + process.q, pf @ process.f.T
+    if process.order > 1:
+        pp[last] = np.eye(process.size)
+        e = cross @ np.linalg.pinv(pp, rcond=np.finfo(float).eps * process.size)
+    else:
+        pp[last] = np.eye(process.size)
+        e = _t(np.linalg.solve(_t(pp), _t(cross)))
+    e[last] = 0
+    g, rest = xf - _mv(e, xf @ process.f.T), _sym(pf - e @ pp @ _t(e))
+    return e, g, np.where(last[:, None, None], pf, rest)
 
 
 def behind(one: tuple, two: tuple) -> tuple:
-    """The composite of two smoothing elements, the earlier first."""
-    return one[0] @ two[0], one[0] @ two[1] + one[1], one[0] @ two[2] @ one[0].T + one[2]
+    """The composite of two smoothing elements (or of as many pairs), the earlier first."""
+    return one[0] @ two[0], _mv(one[0], two[1]) + one[1], one[0] @ two[2] @ _t(one[0]) + one[2]
 
 
 def _flat(parts: tuple) -> np.ndarray:
@@ -290,47 +338,118 @@ def _observations(obs: DataFrame, keys: list[str], span: int) -> DataFrame:
     return obs.select(*keys, F.col("t").cast("long").alias("t"), F.col("epoch").cast("double").alias("epoch"), *cols, skip, F.floor(F.col("t") / span).alias("k"))
 
 
-def _by_range(rows: DataFrame, side: DataFrame, keys: list[str], run: Callable, schema: str) -> DataFrame:
-    """``run`` on each range's rows, by t, and its row of ``side`` (which has one for each key and k)."""
+HELD = 1 << 14  # numbers of the state's square that a group of ranges holds for each epoch of a range
 
-    def whole(pdf: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf) or not len(other):
+
+def _width(model: DataFrame) -> int:
+    """How many ranges of a series go together: fewer for larger states."""
+    size = model.agg(F.max(F.col("order") * F.col("p"))).first()[0] or 1
+    return int(max(1, min(256, HELD // size**2)))
+
+
+def _by_range(rows: DataFrame, side: DataFrame, keys: list[str], wide: int, run: Callable, schema: str) -> DataFrame:
+    """``run`` on ``wide`` ranges of a series at once: rows sorted by (k, t), and the rows of ``side`` (one for each key and k) by k."""
+    names = [c.split()[0].strip("`") for c in schema.split(", ")]
+
+    def whole(table: pa.Table, other: pa.Table) -> pa.Table:
+        if table.num_rows and not other.num_rows:
             raise ValueError("a series has no model")
-        return run(pdf.sort_values("t"), other.iloc[0])
+        if not table.num_rows:
+            raise ValueError("a model's range has no rows")
+        out = run(table.sort_by([("k", "ascending"), ("t", "ascending")]).combine_chunks(), other.sort_by("k").combine_chunks())
+        return out.select(names)
+
+    left, right = (x.withColumn("_g", F.floor(F.col("k") / wide)) for x in (rows, side))
+    fresh = right.withColumnsRenamed({c: f"_{c}" for c in right.columns}).select(*[F.col(f"_{c}").alias(c) for c in right.columns])
+    return left.groupBy(*keys, "_g").cogroup(fresh.groupBy(*keys, "_g")).applyInArrow(whole, schema)
+
 
-    return _cogrouped(rows, side, [*keys, "k"]).applyInPandas(whole, schema)
+def _ranges(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and length of every range in rows sorted by k."""
+    begin = batches.starts(table, ["k"])
+    return begin, np.diff([*begin, table.num_rows])
+
+
+def _model(side: pa.Table) -> Process:
+    return Process(side.select(["order", "p", "phi", "q", "sigma0"]).slice(0, 1).to_pylist()[0])
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    """Rows of numbers as lists."""
+    flat = np.ascontiguousarray(x).reshape(len(x), -1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype="int32") * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
+
+
+def _matrix(table: pa.Table, name: str) -> np.ndarray:
+    """Lists of one length as rows of numbers."""
+    x = table.column(name).combine_chunks()
+    return (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+
+
+def _given(side: pa.Table, n: int, shapes: str) -> tuple[np.ndarray, tuple]:
+    """Which rows have an element ``before`` them, and those elements."""
+    has = side.column("before").is_valid().to_numpy()
+    flat = _matrix(side.filter(side.column("before").is_valid()).combine_chunks(), "before") if has.any() else np.zeros((0, sum(n * n if c == "m" else n for c in shapes)))
+    out, at = [], 0
+    for c in shapes:
+        k = n * n if c == "m" else n
+        out.append(flat[:, at : at + k].reshape((-1, n, n) if c == "m" else (-1, n)))
+        at += k
+    return has, tuple(out)
+
+
+def _with_keys(table: pa.Table, keys: list[str], rows: np.ndarray, columns: dict) -> pa.Table:
+    return pa.Table.from_batches([batches.repeated(table, keys, rows, columns)])
 
 
 def filter_once(obs: DataFrame, model: DataFrame, keys: list[str], span: int = SPAN, fan: int = FAN, alpha: float | None = None) -> DataFrame:
     """Filtered epochs (FILTERED) with their range k; ``skip`` says which epochs were kept out, ``rejected`` which fail the test."""
     rows, types = _observations(obs, keys, span), _types(obs, keys)
-    models = rows.select(*keys, "k").distinct().join(model, keys)
-
-    def element(pdf: pd.DataFrame, m: pd.Series) -> pd.DataFrame:
-        process, acc = Process(m), None
-        for r in pdf.to_dict("records"):
-            e = process.element(None if r["skip"] else process.observed(r))
-            acc = e if acc is None else joined(acc, e)
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in keys}, "k": [pdf["k"].iloc[0]], "size": [process.size], "e": [_flat(acc)]})
-
-    elements = stored(_by_range(rows, models, keys, element, f"{types}k bigint, size int, e array<double>"), "kalman-elements")
+    models, wide = rows.select(*keys, "k").distinct().join(model, keys), _width(model)
+
+    def element(table: pa.Table, side: pa.Table) -> pa.Table:
+        process, (begin, length) = _model(side), _ranges(table)
+        kind, vec, square = process.all_observed(table)
+        kind = np.where(table.column("skip").to_numpy(), 0, kind)
+        acc = process.elements(kind[begin], vec[begin], square[begin])
+        for j in range(1, length.max()):
+            on = np.flatnonzero(length > j)
+            at = begin[on] + j
+            new = joined(tuple(x[on] for x in acc), process.elements(kind[at], vec[at], square[at]))
+            for x, y in zip(acc, new):
+                x[on] = y
+        flat = np.concatenate([x.reshape(len(begin), -1) for x in acc], axis=1)
+        return _with_keys(table, [*keys, "k"], begin, {"size": np.full(len(begin), process.size, "int32"), "e": _lists(flat)})
+
+    elements = stored(_by_range(rows, models, keys, wide, element, f"{types}k bigint, size int, e array<double>"), "kalman-elements")
     starts = models.join(_before(elements, keys, "mvmvm", joined, fan=fan), [*keys, "k"])
 
-    def run(pdf: pd.DataFrame, m: pd.Series) -> pd.DataFrame:
-        process = Process(m)
-        x, p = np.zeros(process.size), process.s0
-        if m["before"] is not None:
-            x, p = started(_parts(m["before"], process.size, "mvmvm"), x, p)
-        out = []
-        for r in pdf.to_dict("records"):
-            obs = process.observed(r)
-            x, p, share, qc, dof = process.step(x, p, obs, r["skip"])
-            bad = alpha is not None and qc is not None and qc > chi2_quantile(1 - alpha, dof)
-            out.append((r["t"], r["epoch"], x, p.ravel(), obs is None, share, qc, dof, bad, r["skip"]))
-        cols = [c.split()[0] for c in FILTERED.split(", ")]
-        return pd.DataFrame(out, columns=cols).assign(**{c: pdf[c].iloc[0] for c in [*keys, "k"]})[[*keys, "k", *cols]].astype({"dof": "Int32"})
-
-    return stored(_by_range(rows, starts, keys, run, f"{types}k bigint, {FILTERED}"), "kalman-filtered")
+    def run(table: pa.Table, side: pa.Table) -> pa.Table:
+        process, (begin, length), count = _model(side), _ranges(table), table.num_rows
+        n = process.size
+        kind, vec, square = process.all_observed(table)
+        skip = table.column("skip").to_numpy()
+        x, p = np.zeros((len(begin), n)), np.tile(process.s0, (len(begin), 1, 1))
+        has, given = _given(side, n, "mvmvm")
+        if has.any():
+            x[has], p[has] = started(given, x[has], p[has])
+        xf, pf = np.zeros((count, n)), np.zeros((count, n, n))
+        share, qc, dof = np.full(count, np.nan), np.full(count, np.nan), np.full(count, -1)
+        for j in range(length.max()):
+            on = np.flatnonzero(length > j)
+            at = begin[on] + j
+            x[on], p[on], share[at], qc[at], dof[at] = process.steps(x[on], p[on], kind[at], vec[at], square[at], skip[at])
+            xf[at], pf[at] = x[on], p[on]
+        bad = np.zeros(count, bool)
+        if alpha is not None:
+            for d in np.unique(dof[kind > 0]):
+                bad |= (dof == d) & (kind > 0) & (qc > chi2_quantile(1 - alpha, int(d)))
+        columns = {"t": table.column("t").combine_chunks(), "epoch": table.column("epoch").combine_chunks(), "xf": _lists(xf), "pf": _lists(pf), "gap": kind == 0}
+        columns = {c: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for c, x in columns.items()}
+        columns |= {"share": pa.array(share, mask=(kind == 0) | skip), "qc": pa.array(qc, mask=kind == 0), "dof": pa.array(dof.astype("int32"), mask=kind == 0), "rejected": bad, "skip": skip}
+        return _with_keys(table, [*keys, "k"], np.arange(count), columns)
+
+    return stored(_by_range(rows, starts, keys, wide, run, f"{types}k bigint, {FILTERED}"), "kalman-filtered")
 
 
 def filter_series(obs: DataFrame, model: DataFrame, keys: list[str], qc: str = "none", alpha: float = 1e-3, span: int = SPAN, fan: int = FAN) -> DataFrame:
@@ -351,65 +470,75 @@ def filter_series(obs: DataFrame, model: DataFrame, keys: list[str], qc: str = "
 
 def smooth_series(filtered: DataFrame, model: DataFrame, keys: list[str], lag: int | None = None, fan: int = FAN) -> DataFrame:
     """Smoothed state and sigma of every epoch, from all epochs or from those up to ``lag`` later."""
-    types = _types(filtered, keys)
+    types, wide = _types(filtered, keys), _width(model)
     ends = filtered.groupBy(*keys).agg(F.max("t").alias("end"))
     models = filtered.select(*keys, "k").distinct().join(model.join(ends, keys), keys)
-    cols = [c.split()[0] for c in SMOOTHED.split(", ")]
 
-    def frame(pdf: pd.DataFrame, out: list) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=cols).assign(**{c: pdf[c].iloc[0] for c in keys})[[*keys, *cols]]
+    def state(process: Process, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return _matrix(table, "xf"), _matrix(table, "pf").reshape(-1, process.size, process.size)
 
-    def state(process: Process, r: dict) -> tuple[np.ndarray, np.ndarray]:
-        return np.asarray(r["xf"], float), np.asarray(r["pf"], float).reshape(process.size, process.size)
+    def smoothers(process: Process, table: pa.Table, side: pa.Table) -> tuple:
+        return backward(process, *state(process, table), table.column("t").to_numpy() == side.column("end")[0].as_py())
 
-    def result(process: Process, r: dict, x: np.ndarray, p: np.ndarray) -> tuple:
-        return r["t"], r["epoch"], x[: process.p], np.sqrt(np.maximum(np.diag(p)[: process.p], 0))
+    def result(process: Process, table: pa.Table, rows: np.ndarray, x: np.ndarray, p: np.ndarray) -> pa.Table:
+        sigma = np.sqrt(np.maximum(np.einsum("bii->bi", p)[:, : process.p], 0))
+        return _with_keys(table, [*keys, "t", "epoch"], rows, {"x": _lists(x[:, : process.p]), "sigma": _lists(sigma)})
 
     if lag is not None:
-        # Each range also gets the first ``lag`` epochs behind it, however many ranges they reach into.
-        size = filtered.where("k = 1").agg(F.min("t")).first()[0] or 1 << 62
-        reach = F.transform(F.sequence(F.lit(0), F.lit(-(-lag // size))), lambda d: F.col("k") - d)
-        near = filtered.withColumn("of", F.explode(F.filter(reach, lambda k: (k >= 0) & (F.col("t") < (k + 1) * size + lag))))
-
-        def windows(pdf: pd.DataFrame, m: pd.Series) -> pd.DataFrame:
-            process, out, rows = Process(m), [], pdf.to_dict("records")
-            elements = [backward(process, *state(process, r), r["t"] == m["end"]) for r in rows]
-            for i, r in enumerate(rows):
-                if r["home"] != r["k"]:
-                    continue
-                last = min(len(rows) - 1, i + lag)
-                x, p = state(process, rows[last])
-                for j in range(last - 1, i - 1, -1):
-                    e, g, rest = elements[j]
-                    x, p = e @ x + g, e @ p @ e.T + rest
-                out.append(result(process, r, x, (p + p.T) / 2))
-            return frame(pdf, out)
-
-        return _by_range(near.withColumn("home", F.col("k")).withColumn("k", F.col("of").cast("long")), models, keys, windows, types + SMOOTHED)
-
-    def element(pdf: pd.DataFrame, m: pd.Series) -> pd.DataFrame:
-        process, acc = Process(m), None
-        for r in pdf.to_dict("records"):
-            e = backward(process, *state(process, r), r["t"] == m["end"])
-            acc = e if acc is None else behind(acc, e)
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in keys}, "k": [pdf["k"].iloc[0]], "size": [process.size], "e": [_flat(acc)]})
-
-    elements = stored(_by_range(filtered, models, keys, element, f"{types}k bigint, size int, e array<double>"), "kalman-backward")
+        # Each group of ranges also gets the first ``lag`` epochs behind it, however many groups they reach into.
+        size = filtered.where("k = 1").agg(F.min("t")).first()[0]
+        size = 1 << 62 if size is None else size * wide
+        own = filtered.withColumn("k", F.floor(F.col("k") / wide).cast("long")).withColumn("home", F.col("k"))
+        reach = F.transform(F.sequence(F.lit(0), F.lit(-(-lag // size))), lambda d: F.col("home") - d)
+        near = own.withColumn("k", F.explode(F.filter(reach, lambda k: (k >= 0) & (F.col("t") < (k + 1) * size + lag))))
+
+        def windows(table: pa.Table, side: pa.Table) -> pa.Table:
+            process, (x, p) = _model(side), state(_model(side), table)
+            e, g, rest = smoothers(process, table, side)
+            i = np.flatnonzero(table.column("home").to_numpy() == table.column("k").to_numpy())
+            last = np.minimum(table.num_rows - 1, i + lag)
+            x, p = x[last], p[last]
+            for back in range(1, lag + 1):
+                on = np.flatnonzero(last - back >= i)
+                at = last[on] - back
+                x[on], p[on] = _mv(e[at], x[on]) + g[at], e[at] @ p[on] @ _t(e[at]) + rest[at]
+            return result(process, table, i, x, _sym(p))
+
+        groups = models.withColumn("k", F.floor(F.col("k") / wide).cast("long")).dropDuplicates([*keys, "k"])
+        return _by_range(near, groups, keys, 1, windows, types + SMOOTHED)
+
+    def element(table: pa.Table, side: pa.Table) -> pa.Table:
+        process, (begin, length) = _model(side), _ranges(table)
+        all_of = smoothers(process, table, side)
+        acc = tuple(x[begin] for x in all_of)
+        for j in range(1, length.max()):
+            on = np.flatnonzero(length > j)
+            new = behind(tuple(x[on] for x in acc), tuple(x[begin[on] + j] for x in all_of))
+            for x, y in zip(acc, new):
+                x[on] = y
+        flat = np.concatenate([x.reshape(len(begin), -1) for x in acc], axis=1)
+        return _with_keys(table, [*keys, "k"], begin, {"size": np.full(len(begin), process.size, "int32"), "e": _lists(flat)})
+
+    elements = stored(_by_range(filtered, models, keys, wide, element, f"{types}k bigint, size int, e array<double>"), "kalman-backward")
     starts = models.join(_before(elements, keys, "mvm", behind, reverse=True, fan=fan), [*keys, "k"])
 
-    def run(pdf: pd.DataFrame, m: pd.Series) -> pd.DataFrame:
-        process, out = Process(m), []
-        x = p = None
-        if m["before"] is not None:
-            # What lies behind ends at the last epoch, so its first factor is zero and the rest is the state.
-            _, x, p = _parts(m["before"], process.size, "mvm")
-        for r in reversed(pdf.to_dict("records")):
-            e, g, rest = backward(process, *state(process, r), r["t"] == m["end"])
-            x, p = (g, rest) if r["t"] == m["end"] else (e @ x + g, e @ p @ e.T + rest)
-            out.append(result(process, r, x, (p + p.T) / 2))
-        return frame(pdf, out)
-
-    return _by_range(filtered, starts, keys, run, types + SMOOTHED)
+    def run(table: pa.Table, side: pa.Table) -> pa.Table:
+        process, (begin, length) = _model(side), _ranges(table)
+        n = process.size
+        e, g, rest = smoothers(process, table, side)
+        x, p = np.zeros((len(begin), n)), np.zeros((len(begin), n, n))
+        # What lies behind ends at the last epoch, so its first factor is zero and the rest is the state; so is the last epoch's.
+        has, given = _given(side, n, "mvm")
+        x[has], p[has] = given[1], given[2]
+        xs, ps = np.zeros((table.num_rows, n)), np.zeros((table.num_rows, n, n))
+        for j in range(length.max()):
+            on = np.flatnonzero(length > j)
+            at = begin[on] + length[on] - 1 - j
+            x[on], p[on] = _mv(e[at], x[on]) + g[at], e[at] @ p[on] @ _t(e[at]) + rest[at]
+            xs[at], ps[at] = x[on], p[on]
+        return result(process, table, np.arange(table.num_rows), xs, _sym(ps))
+
+    return _by_range(filtered, starts, keys, wide, run, types + SMOOTHED)
 
 
 # --- coefficient series ---------------------------------------------------------------------------------------------

@@ -257,3 +257,18 @@ def test_chain_beats_its_observations(spark):
         assert gaps == set(range(0, t, 10))
     with pytest.raises(ValueError):
         K.chain(obs.withColumn("s", F.lit(0.0)), obs, 2008.0)
+
+
+def test_many_ranges_step_as_one_does():
+    """Gaps, values, normal equations and epochs kept out, side by side, for a process of second order."""
+    rng = np.random.default_rng(8)
+    process = K.Process({"p": 2, "order": 2, "phi": np.concatenate([0.5 * np.eye(2).ravel(), 0.2 * np.eye(2).ravel()]), "q": np.eye(2).ravel(), "sigma0": 2 * np.eye(2).ravel()})
+    kind, skip = np.array([0, 1, 2, 1, 2]), np.array([False, False, False, True, True])
+    x, vec = rng.standard_normal((5, 4)), rng.standard_normal((5, 2))
+    p, square = (np.stack([(a := rng.standard_normal((n, n))) @ a.T + np.eye(n) for _ in range(5)]) for n in (4, 2))
+    got = process.steps(x, p, kind, vec, square, skip)
+    for i, c in enumerate(kind):
+        obs = None if c == 0 else ("l", vec[i], square[i]) if c == 1 else ("n", square[i], vec[i])
+        one = process.step(x[i], p[i], obs, bool(skip[i]))
+        assert np.allclose(got[0][i], one[0]) and np.allclose(got[1][i], one[1])
+        assert all((b is None and (a == -1 or np.isnan(a))) or np.isclose(a, b) for a, b in zip((y[i] for y in got[2:]), one[2:]))
