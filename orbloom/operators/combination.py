@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbloom.operators import batches
+
 
 def weighted_mean(coef: DataFrame, keys: list[str]) -> DataFrame:
     """Mean over sources by inverse variance, with its sigma."""
@@ -167,18 +173,55 @@ def separate(series: DataFrame, time: str, on: list[str], value: str, weight: st
     from pyspark.sql import Window as W
 
     x = series.select(time, *on, F.col(value).alias("_v"), (F.col(weight) if weight else F.lit(1.0)).alias("_w"))
-    x = x.withColumn("_c", F.col("_v") - F.avg("_v").over(W.partitionBy(*on))).withColumn("_s", F.sqrt("_w") * F.col("_c"))
     epochs, places = x.select(time).distinct().count(), x.select(*on).distinct().count()
+    if many := epochs > places:
+        # Few places: their means and numbers go to every task, and an epoch needs no row of another one.
+        at = x.groupBy(*on).agg(F.avg("_v").alias("_mean")).collect()
+        number = series.sparkSession.createDataFrame([(*[r[c] for c in on], r["_mean"], k) for k, r in enumerate(at)], ", ".join(f"`{c}` {series.schema[c].dataType.simpleString()}" for c in on) + ", _mean double, _p int")
+        same = reduce(and_, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in on])
+        x = x.alias("x").join(F.broadcast(number).alias("y"), same).select(time, *[f"x.{c}" for c in on], "_v", "_w", "_p", (F.col("_v") - F.col("_mean")).alias("_c"))
+    else:
+        x = x.withColumn("_c", F.col("_v") - F.avg("_v").over(W.partitionBy(*on)))
+    x = x.withColumn("_s", F.sqrt("_w") * F.col("_c"))
     patterns, pcs, share = eof(x.select(time, *on, "_s"), time, on, "_s", min(epochs, places))
     n = min(separated_modes(share, places, epochs, most) if keep is None else keep, most, len(share))
-    modes = patterns.where(F.col("mode") < n).join(pcs.where(F.col("mode") < n), "mode")
-    back = modes.groupBy(time, *on).agg(F.sum(F.col("pattern") * F.col("pc")).alias("_b"))
-    out = x.join(back, [time, *on], "left").withColumn("separated", F.coalesce(F.col("_b") / F.sqrt("_w"), F.lit(0.0)))
+    if many:
+        base, row = np.zeros((places, n)), {tuple(r[c] for c in on): k for k, r in enumerate(at)}
+        for r in patterns.where(F.col("mode") < n).collect():
+            base[row[tuple(r[c] for c in on)], r["mode"]] = r["pattern"]
+        out = _projected(x.select(time, *on, "_p", "_c", "_s", "_w"), time, on, base)
+    else:
+        modes = patterns.where(F.col("mode") < n).join(pcs.where(F.col("mode") < n), "mode")
+        back = modes.groupBy(time, *on).agg(F.sum(F.col("pattern") * F.col("pc")).alias("_b"))
+        out = x.join(back, [time, *on], "left")
+    out = out.withColumn("separated", F.coalesce(F.col("_b") / F.sqrt("_w"), F.lit(0.0)))
     out = out.select(time, *on, "separated", (F.col("_c") - F.col("separated")).alias("noise"), "_w")
     rms = out.agg(F.sqrt(F.sum(F.col("_w") * F.col("noise") ** 2) / F.sum("_w"))).first()[0]
     return out.drop("_w"), n, rms
 
 
+def _projected(x: DataFrame, time: str, on: list[str], base: np.ndarray) -> DataFrame:
+    """Adds _b, each epoch's values _s at the places _p as the columns of ``base`` give them back; null without an epoch."""
+    shared = x.sparkSession.sparkContext.broadcast(base)  # places by modes kept
+
+    def run(table, at):
+        base = shared.value
+        group = np.repeat(np.arange(len(at)), np.diff([*at, table.num_rows]))
+        p, s = table.column("_p").to_numpy(), batches.floats(table, "_s")
+        s = np.where(np.isnan(s), 0.0, s)
+        b = np.zeros(len(s))
+        step = max(1, (1 << 20) // len(base))
+        for lo in range(0, len(at), step):
+            rows = (group >= lo) & (group < lo + step)
+            field = np.zeros((min(step, len(at) - lo), len(base)))
+            np.add.at(field, (group[rows] - lo, p[rows]), s[rows])
+            b[rows] = ((field @ base) @ base.T)[group[rows] - lo, p[rows]]
+        yield from table.append_column("_b", pa.array(b)).to_batches()
+
+    schema = batches.types(x, x.columns) + "_b double"
+    return batches.map_groups(x, [time], [], run, schema).withColumn("_b", F.when(F.col(time).isNotNull(), F.col("_b")))
+
+
 def block_factors(covariance: DataFrame) -> DataFrame:
     """Cholesky factors (m, cs, n_row, n, l) of covariance rows (m, cs, n1 <= n2, cov); a block that is not positive definite is an error."""
 
