@@ -241,6 +241,9 @@ def block_factors(covariance: DataFrame) -> DataFrame:
     return covariance.groupBy("m", "cs").applyInPandas(run, "m int, cs int, n_row int, n int, l double")
 
 
+DRAWS = 1 << 22
+
+
 def monte_carlo(coef: DataFrame, transform, keys: list[str], samples: int = 500, seed: int = 1, covariance: DataFrame | None = None) -> DataFrame:
     """Mean and deviation of ``transform`` (DataFrame with ``sample`` and ``v`` to one with keys and ``value``).
 
@@ -249,10 +252,13 @@ def monte_carlo(coef: DataFrame, transform, keys: list[str], samples: int = 500,
 
     Noise comes from hashes of (seed, sample, keys, coefficient) by Box-Muller, so a recomputed task draws the same and
     every set has draws of its own.
-    Coefficients are dealt by ``keys`` before they are drawn, so that samples need no shuffle.
+    Coefficients are dealt by ``keys`` before they are drawn, so that samples need no shuffle, into parts of about
+    ``DRAWS`` draws, so that a part's sums stay in memory.
     """
-    dealt = coef.repartition(*keys) if set(keys) <= set(coef.columns) else coef
-    x = dealt.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    if set(keys) <= set(coef.columns):
+        parts = max(1, -(-coef.count() * samples // DRAWS))
+        coef = coef.repartition(parts, *keys)
+    x = coef.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
     own = [k for k in keys if k in coef.columns and k not in ("n", "m", "cs")]
 
     def u(k: int):

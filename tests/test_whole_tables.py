@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orbloom.operators import combination as M
 from orbloom.operators import sequential as K
@@ -74,3 +75,26 @@ def test_chain_standard_fits_every_set(spark, sf_dir, monkeypatch):
     assert QUERIES["chain_standard"](spark, sf_dir).count() == 64
     sets = coef(spark, sf_dir).select("epoch").distinct().count()
     assert seen[0].select("epoch").distinct().count() == sets
+
+
+def test_simulation_is_dealt_by_its_draws(spark, sf_dir, monkeypatch):
+    """More draws, more parts: no part's sums outgrow its memory."""
+    monkeypatch.setattr(M, "DRAWS", 1 << 14)
+    x = coef(spark, sf_dir).where("n < 2")
+    out = M.monte_carlo(x, lambda d: d.groupBy("sample", "set_id").agg(F.sum("v").alias("value")), ["set_id"], 200)
+    assert out.rdd.getNumPartitions() == -(-x.count() * 200 // (1 << 14)) > 8
+
+
+def test_separated_field_meets_no_other_epoch(spark):
+    """More epochs than places: one shuffle, by the epoch, and the field of the dense decomposition."""
+    rng = np.random.default_rng(6)
+    a = np.outer(rng.standard_normal(80), [3.0, -2.0, 1.0, 2.0]) + 0.1 * rng.standard_normal((80, 4))
+    x = spark.createDataFrame([(float(t), p, float(v)) for (t, p), v in np.ndenumerate(a)], "t double, p int, v double")
+    out, n, rms = M.separate(x, "t", ["p"], "v", keep=1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+    c = a - a.mean(axis=0)
+    u = np.linalg.svd(c, full_matrices=False)[2][0]
+    got = out.toPandas().sort_values(["t", "p"])
+    assert np.allclose(got.separated, (c @ np.outer(u, u)).ravel()) and np.allclose(got.separated + got.noise, c.ravel())
+    assert n == 1 and np.isclose(rms, np.sqrt(((c - c @ np.outer(u, u)) ** 2).mean()))
