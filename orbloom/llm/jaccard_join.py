@@ -9,9 +9,10 @@ A document's set holds the 64-bit hashes of its distinct word shingles.  Documen
   What is left is the index: tokens by themselves where they are rare, two-token combinations where they are frequent
   (for which one of the dropped tokens comes back).  Sets of more than ``COMBINED`` tokens would have too many
   combinations and index their frequent tokens singly; sets near the limit do both.
-* Within a posting list every node meets the list's hub first (linear in the list).  Then only nodes of different
-  components meet, if their sizes and places in the prefix still allow a link.  Parity bitmaps, which bound the
-  symmetric difference from below, and at last the whole sets decide.
+* Within a posting list every node meets the list's hub first (linear in the list).  The hub of a list of more than
+  ``FREQUENT`` nodes is the one nearest to the majority of their bitmaps, so that near copies of one text link to it
+  and not to each other.  Then only nodes of different components meet, if their sizes and places in the prefix still
+  allow a link.  Parity bitmaps, which bound the symmetric difference from below, and at last the whole sets decide.
 
 Defined results: a null text or one without words has an empty set, links with nothing and is its own component;
 fewer words than a shingle are one shingle; equal texts link; a component's id is its smallest doc_id that is not
@@ -37,6 +38,7 @@ DEPTH = 8  # tokens that nodes must share, if their plain prefixes are short
 BITMAP = 1024  # bits of a set's parity bitmap, at least
 FOLD = 16  # 64-bit numbers of a bitmap's fold
 BLOOM_BITS = 1 << 25
+PART = 512  # nodes of a list whose bits are counted together
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,6 +224,44 @@ def _possible(sa: Column, ia: Column, sb: Column, ib: Column, percent: int) -> C
     return (F.least(sa, sb) * 100 >= F.greatest(sa, sb) * percent) & (most * (100 + percent) >= (sa + sb) * percent)
 
 
+def majority(counts: np.ndarray, nodes: int) -> list[int]:
+    """The folded bitmap of the bits that more than half of the nodes have; counts as ``np.unpackbits`` orders the bits."""
+    return np.packbits(2 * counts > nodes).view(np.int64).tolist()
+
+
+def _hubs(posts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key and hub (own, size, place, node) of every list of two nodes or more.
+
+    The hub of a short list is the node that has least of its own: among near copies, the one that the others were made
+    from.  A prefix tells too little of that where many copies have nothing of their own in it; the hub of a list of more
+    than ``FREQUENT`` nodes is the one whose bitmap is nearest to the majority of all its nodes' bitmaps.
+    """
+    one = saved(posts.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("own", "size", "place", "node")).alias("hub")).where("m > 1"), "least-own")
+    sig = [f"s{k}" for k in range(FOLD)]
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / PART)).alias("part")
+    long = posts.join(one.where(F.col("m") > FREQUENT).select("key", "m"), "key").select("key", "node", "size", "place", "own", part)
+    long = saved(long.join(nodes.select("node", *sig), "node"), "long-lists")
+
+    def count(t: pa.Table) -> pa.Table:
+        words = np.ascontiguousarray(np.stack([t.column(k).to_numpy() for k in range(1, FOLD + 1)], axis=1))
+        bits = np.unpackbits(words.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+        return pa.table({"key": t.column(0).slice(0, 1), "n": [t.num_rows], "bits": pa.array([bits], pa.list_(pa.int32()))})
+
+    def vote(t: pa.Table) -> pa.Table:
+        bits = t.column(2).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1).sum(axis=0, dtype=np.int64)
+        most = majority(bits, sum(t.column(1).to_pylist()))
+        return pa.table({"key": t.column(0).slice(0, 1), **{f"m{k}": pa.array([v], pa.int64()) for k, v in enumerate(most)}})
+
+    counts = long.select("key", *sig, "part").groupBy("key", "part").applyInArrow(count, "key bigint, n bigint, bits array<int>")
+    votes = saved(counts.groupBy("key").applyInArrow(vote, "key bigint, " + ", ".join(f"m{k} bigint" for k in range(FOLD))), "majorities")
+    apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"m{k}"))) for k in range(FOLD)), F.lit(0))
+    near = long.join(votes, "key").groupBy("key").agg(F.min(F.struct(apart.alias("apart"), "own", "size", "place", "node")).alias("x"))
+    near = near.select("key", F.struct("x.own", "x.size", "x.place", "x.node").alias("hub"))
+    hubs = saved(one.where(F.col("m") <= FREQUENT).select("key", "hub").union(near), "hubs")
+    dropped(one, long, votes)
+    return hubs
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link: bitmaps first, then the whole sets."""
     a = nodes.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("ba"))
@@ -342,9 +382,7 @@ def _rooted(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     bounded_batches(docs.sparkSession)
     nodes = saved(_nodes(docs, n, percent), "nodes")
     posts = saved(_postings(nodes, percent), "postings")
-    # The hub is the node that has least of its own: among near copies, the one that the others were made from.
-    hubs = posts.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("own", "size", "place", "node")).alias("hub")).where("m > 1").select("key", "hub")
-    hubs = saved(hubs, "hubs")  # so that the join shuffles both sides anew and can split a hot key over tasks
+    hubs = _hubs(posts, nodes)  # stored, so that the join shuffles both sides anew and can split a hot key over tasks
     lists = saved(posts.join(hubs, "key"), "posting-lists")
     dropped(posts, hubs)
     shared = (
@@ -369,8 +407,8 @@ def _rooted(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
 
     # Nodes of different components that share a list, other than those that met the hub.
     sig = [f"s{k}" for k in range(FOLD)]
-    labelled = lists.join(comp, "node", "left").select("key", "node", "size", "place", "before", "between", "own", F.coalesce("root", "node").alias("c"))
-    centre = labelled.groupBy("key").agg(F.min(F.struct("own", "size", "place", "node", "c")).alias("h"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key", F.col("h.c").alias("hc"))
+    labelled = lists.join(comp, "node", "left").select("key", "node", "size", "place", "before", "between", (F.col("node") == F.col("hub.node")).alias("is_hub"), F.coalesce("root", "node").alias("c"))
+    centre = labelled.groupBy("key").agg(F.max(F.when(F.col("is_hub"), F.col("c"))).alias("hc"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key", "hc")
     centre = saved(centre, "mixed-keys")
     mixed = saved(labelled.join(centre, "key").withColumn("minor", F.col("c") != F.col("hc")), "mixed-lists")
     signed = mixed.join(nodes.select("node", *sig), "node")  # only now, so that lists stay narrow until here

@@ -122,6 +122,43 @@ def test_frequent_tokens_of_all_set_sizes(spark, sizes, n, percent):
     assert (combined > 0) == (min(sizes) * percent <= 100 * jaccard_join.COMBINED)
 
 
+def test_near_copies_meet_their_centre_and_not_each_other(spark, monkeypatch):
+    """Copies with a word changed link in all pairs; shorter texts of the family, which link with none, must not be the hubs."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(base)]
+    for k in range(150):
+        w = list(base)
+        w[rng.randrange(150)] = f"x{k}"
+        texts.append(" ".join(w))
+    for _ in range(150):
+        gone = set(rng.sample(range(150), 4))
+        texts.append(" ".join(v for i, v in enumerate(base) if i not in gone))
+    rng.shuffle(texts)
+    want, links = components(texts, 3, 90)
+    made = {}
+
+    def saved(df, name):
+        table = _arrow.saved(df, name)
+        made[name] = made.get(name, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(jaccard_join, "saved", saved)
+    monkeypatch.setattr(jaccard_join, "PART", 40)  # votes of several parts
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(want)) and links > 10_000
+    assert made["majorities"] > 0 and made["cross-pairs"] <= 2 * len(texts)
+
+
+def test_majority_of_bitmaps():
+    rng = np.random.default_rng(6)
+    sigs = [jaccard_join.signature(jaccard_join.bitmap(np.unique(rng.integers(0, 2**63, 700).astype(np.uint64)))) for _ in range(7)]
+    bits = np.unpackbits(np.array(sigs, np.int64).view(np.uint8), axis=1)
+    want = [sum(((v >> b) & 1) > 0 for v in column) > 3 for column in zip(*sigs) for b in range(64)]
+    got = [(v >> b) & 1 > 0 for v in jaccard_join.majority(bits.sum(axis=0), len(sigs)) for b in range(64)]
+    assert got == want
+
+
 def test_null_and_repeated_ids_in_the_join(spark):
     text = " ".join(f"w{k}" for k in range(40))
     rows = [(None, text), (4, text), (4, text + " z"), (4, "other words here now"), (9, text), (None, None), (2, "")]
