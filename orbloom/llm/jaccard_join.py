@@ -10,8 +10,8 @@ A document's set holds the 64-bit hashes of its distinct word shingles.  Documen
   (for which one of the dropped tokens comes back).  Sets of more than ``COMBINED`` tokens would have too many
   combinations and index their frequent tokens singly; sets near the limit do both.
 * Within a posting list every node meets the list's hub first (linear in the list).  The hub of a list of more than
-  ``FREQUENT`` nodes is the one nearest to the majority of their bitmaps, so that near copies of one text link to it
-  and not to each other.  Then only nodes of different components meet, if their sizes and places in the prefix still
+  ``FREQUENT`` nodes is the one nearest to the majority of its near copies' bitmaps, so that they link to it and not to
+  each other; each node votes once, for all lists it is in.  Then only nodes of different components meet, if their sizes and places in the prefix still
   allow a link.  Parity bitmaps, which bound the symmetric difference from below, and at last the whole sets decide.
 
 Defined results: a null text or one without words has an empty set, links with nothing and is its own component;
@@ -38,7 +38,7 @@ DEPTH = 8  # tokens that nodes must share, if their plain prefixes are short
 BITMAP = 1024  # bits of a set's parity bitmap, at least
 FOLD = 16  # 64-bit numbers of a bitmap's fold
 BLOOM_BITS = 1 << 25
-PART = 512  # nodes of a list whose bits are counted together
+PART = 512  # voters whose bits are counted together
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,13 +187,14 @@ def _nodes(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _postings(nodes: DataFrame, percent: int) -> DataFrame:
-    """What each node has in the index: key, node, size, place, the tokens before (see ``index_keys``) and ``own``.
+    """What each node has in the index: key, node, size, place, the tokens before (see ``index_keys``), ``own``, ``few``, ``apart``.
 
-    ``own`` is how many thousandths of its prefix no other node has.
+    ``own`` is how many thousandths of its prefix no other node has; for the last two see ``_central``.
     """
     each = nodes.select("node", "size", F.size("keys").alias("m"), F.posexplode("keys").alias("place", "key"))
     live = saved(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "live-tokens")
-    found = each.join(live, "key").groupBy("node").agg(F.first("size").alias("size"), F.first("m").alias("m"), F.collect_list(F.struct("place", "key", "n")).alias("x"))
+    found = saved(each.join(live, "key").groupBy("node").agg(F.first("size").alias("size"), F.first("m").alias("m"), F.collect_list(F.struct("place", "key", "n")).alias("x")), "found-tokens")
+    central = _central(found, nodes)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,20 +202,24 @@ def _postings(nodes: DataFrame, percent: int) -> DataFrame:
             flat, off = b.column(3).flatten(), b.column(3).offsets.to_numpy()
             off = off - off[0]
             place, key, count = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            cols: list[list] = [[] for _ in range(7)]
-            for r, (node, size, m) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)))):
+            cols: list[list] = [[] for _ in range(9)]
+            for r, (node, size, m, few, apart) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4, 5)))):
                 at = place[off[r] : off[r + 1]]
                 # Tokens that no other node has keep their places in the order, with a key that is never posted.
                 keys, counts = np.zeros(m, np.int64), np.ones(m, np.int64)
                 keys[at], counts[at] = key[off[r] : off[r + 1]], count[off[r] : off[r + 1]]
                 k, p, first, second = index_keys(keys.view(np.uint64), counts, size, percent)
                 own = 1000 * (m - len(at)) // m
-                for c, v in zip(cols, (k.view(np.int64), np.full(len(k), node), np.full(len(k), size, np.int32), p.astype(np.int32), first.view(np.int64), second.view(np.int64), np.full(len(k), own, np.int32))):
+                one = (np.full(len(k), v, np.int32) for v in (own, few, apart))
+                for c, v in zip(cols, (k.view(np.int64), np.full(len(k), node), np.full(len(k), size, np.int32), p.astype(np.int32), first.view(np.int64), second.view(np.int64), *one)):
                     c.append(v)
             if cols[0]:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in cols], names=["key", "node", "size", "place", "before", "between", "own"])
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in cols], names=["key", "node", "size", "place", "before", "between", "own", "few", "apart"])
 
-    return found.select("node", "size", "m", "x").mapInArrow(run, "key bigint, node bigint, size int, place int, before bigint, between bigint, own int")
+    ranked = found.join(central, "node", "left").select("node", "size", "m", "x", F.coalesce("few", F.lit(64)).alias("few"), F.coalesce("apart", F.lit(0)).alias("apart"))
+    posts = saved(ranked.mapInArrow(run, "key bigint, node bigint, size int, place int, before bigint, between bigint, own int, few int, apart int"), "postings")
+    dropped(live, found, central)
+    return posts
 
 
 def _possible(sa: Column, ia: Column, sb: Column, ib: Column, percent: int) -> Column:
@@ -229,18 +234,20 @@ def majority(counts: np.ndarray, nodes: int) -> list[int]:
     return np.packbits(2 * counts > nodes).view(np.int64).tolist()
 
 
-def _hubs(posts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """key and hub (own, size, place, node) of every list of two nodes or more.
+def _central(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, few and apart of every node with a frequent token: how near it is to the middle of its near copies.
 
-    The hub of a short list is the node that has least of its own: among near copies, the one that the others were made
-    from.  A prefix tells too little of that where many copies have nothing of their own in it; the hub of a list of more
-    than ``FREQUENT`` nodes is the one whose bitmap is nearest to the majority of all its nodes' bitmaps.
+    A node votes once, among those whose rarest frequent token is also its own: what all near copies of a text share has
+    at least their number of nodes, and most of them have the rarest of it.  ``apart`` is in how many bits its folded
+    bitmap differs from the majority of the voters' bitmaps; ``few`` falls by 1 when the voters double, as the majority
+    of a few nodes says little.  A bitmap travels once for each node, however many lists the node is in.
     """
-    one = saved(posts.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("own", "size", "place", "node")).alias("hub")).where("m > 1"), "least-own")
     sig = [f"s{k}" for k in range(FOLD)]
+    rarest = F.array_min(F.transform(F.filter("x", lambda t: t["n"] > FREQUENT), lambda t: F.struct(t["n"], t["key"])))
+    voters = found.select("node", rarest["key"].alias("key")).where("key IS NOT NULL")
+    voters = saved(voters.join(nodes.select("node", *sig), "node"), "voters")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / PART)).alias("part")
-    long = posts.join(one.where(F.col("m") > FREQUENT).select("key", "m"), "key").select("key", "node", "size", "place", "own", part)
-    long = saved(long.join(nodes.select("node", *sig), "node"), "long-lists")
+    parts = voters.join(voters.groupBy("key").agg(F.count("*").alias("m")), "key").select("key", *sig, part)
 
     def count(t: pa.Table) -> pa.Table:
         words = np.ascontiguousarray(np.stack([t.column(k).to_numpy() for k in range(1, FOLD + 1)], axis=1))
@@ -249,17 +256,29 @@ def _hubs(posts: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def vote(t: pa.Table) -> pa.Table:
         bits = t.column(2).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1).sum(axis=0, dtype=np.int64)
-        most = majority(bits, sum(t.column(1).to_pylist()))
-        return pa.table({"key": t.column(0).slice(0, 1), **{f"m{k}": pa.array([v], pa.int64()) for k, v in enumerate(most)}})
+        n = sum(t.column(1).to_pylist())
+        return pa.table({"key": t.column(0).slice(0, 1), "n": [n], **{f"m{k}": pa.array([v], pa.int64()) for k, v in enumerate(majority(bits, n))}})
 
-    counts = long.select("key", *sig, "part").groupBy("key", "part").applyInArrow(count, "key bigint, n bigint, bits array<int>")
-    votes = saved(counts.groupBy("key").applyInArrow(vote, "key bigint, " + ", ".join(f"m{k} bigint" for k in range(FOLD))), "majorities")
+    counts = parts.groupBy("key", "part").applyInArrow(count, "key bigint, n bigint, bits array<int>")
+    votes = saved(counts.groupBy("key").applyInArrow(vote, "key bigint, n bigint, " + ", ".join(f"m{k} bigint" for k in range(FOLD))), "majorities")
     apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"m{k}"))) for k in range(FOLD)), F.lit(0))
-    near = long.join(votes, "key").groupBy("key").agg(F.min(F.struct(apart.alias("apart"), "own", "size", "place", "node")).alias("x"))
-    near = near.select("key", F.struct("x.own", "x.size", "x.place", "x.node").alias("hub"))
-    hubs = saved(one.where(F.col("m") <= FREQUENT).select("key", "hub").union(near), "hubs")
-    dropped(one, long, votes)
-    return hubs
+    few = (F.lit(63) - F.floor(F.log2("n"))).cast("int")
+    central = saved(voters.join(votes, "key").select("node", few.alias("few"), apart.alias("apart")), "central")
+    dropped(voters, votes)
+    return central
+
+
+def _hubs(posts: DataFrame) -> DataFrame:
+    """key and hub (own, size, place, node) of every list of two nodes or more.
+
+    The hub of a short list is the node that has least of its own: among near copies, the one that the others were made
+    from.  A prefix tells too little of that where many copies have nothing of their own in it; the hub of a list of more
+    than ``FREQUENT`` nodes is the one nearest to the majority of the most nodes (see ``_central``).
+    """
+    least, central = (F.min(F.struct(*c, "own", "size", "place", "node")).alias(k) for k, c in (("least", ()), ("central", ("few", "apart"))))
+    one = posts.groupBy("key").agg(F.count("*").alias("m"), least, central).where("m > 1")
+    hub = F.when(F.col("m") <= FREQUENT, F.col("least")).otherwise(F.struct(*[F.col(f"central.{k}") for k in ("own", "size", "place", "node")]))
+    return saved(one.select("key", hub.alias("hub")), "hubs")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -381,8 +400,8 @@ def _rooted(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     """The rows of ``_sizes`` with their nodes, and node, its least doc_id and the root of its component."""
     bounded_batches(docs.sparkSession)
     nodes = saved(_nodes(docs, n, percent), "nodes")
-    posts = saved(_postings(nodes, percent), "postings")
-    hubs = _hubs(posts, nodes)  # stored, so that the join shuffles both sides anew and can split a hot key over tasks
+    posts = _postings(nodes, percent)
+    hubs = _hubs(posts)  # stored, so that the join shuffles both sides anew and can split a hot key over tasks
     lists = saved(posts.join(hubs, "key"), "posting-lists")
     dropped(posts, hubs)
     shared = (

@@ -150,6 +150,36 @@ def test_near_copies_meet_their_centre_and_not_each_other(spark, monkeypatch):
     assert made["majorities"] > 0 and made["cross-pairs"] <= 2 * len(texts)
 
 
+def test_bitmaps_travel_once_for_each_node(spark, monkeypatch):
+    """Near copies are together in hundreds of lists; a line that other texts have too does not draw their votes."""
+    rng = random.Random(8)
+    line = [f"c{k}" for k in range(12)]
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join(line + base)]
+    for k in range(140):
+        w = list(base)
+        w[rng.randrange(120)] = f"x{k}"
+        texts.append(" ".join(line + w))
+    texts += [" ".join(line + [f"y{k}-{i}" for i in range(40)]) for k in range(160)]
+    rng.shuffle(texts)
+    want, links = components(texts, 5, 80)
+    sent, made = [], {}
+
+    def saved(df, name):
+        table = _arrow.saved(df, name)
+        made[name] = made.get(name, 0) + table.count()
+        if "s0" in table.columns and name != "nodes":
+            sent.append(table.count())
+        return table
+
+    monkeypatch.setattr(jaccard_join, "saved", saved)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs(spark, texts), 5, 80).collect()}
+    assert got == dict(enumerate(want)) and links > 5_000
+    assert made["postings"] > 20 * len(texts)
+    assert 0 < max(sent) <= made["nodes"] == len(texts)
+    assert made["cross-pairs"] <= 2 * len(texts)
+
+
 def test_majority_of_bitmaps():
     rng = np.random.default_rng(6)
     sigs = [jaccard_join.signature(jaccard_join.bitmap(np.unique(rng.integers(0, 2**63, 700).astype(np.uint64)))) for _ in range(7)]
